@@ -38,7 +38,7 @@ def running_byte_cuts(paragraphs: Column) -> Column:
         paragraphs,
         F.array().cast("array<int>"),
         lambda acc, p: F.concat(acc, F.array(
-            (F.coalesce(F.element_at(acc, -1), F.lit(0)) + F.octet_length(p)).cast("int"))),
+            (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.octet_length(p)).cast("int"))),
     )
 
 
