@@ -1 +1,373 @@
-"""Registered queries."""
+"""Registered corpus-table queries: lookups, listings, inserts, keys (2.1-2.3, 2.5.4, 2.7.1-2, 2.8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkstone.functions import keys
+from inkstone.operators import chunking as C
+from inkstone.operators import tables as TB
+from inkstone.plans.registry import register
+from inkstone.sources import adapters as A
+from inkstone.sources.tables import table
+from inkstone.streaming.tasks import task_state, uuid_of
+
+_ART_COLS = ["id", "title", "url", "source", "party", "md5", "published_at"]
+
+
+def _int_list(col):
+    return F.array_join(F.transform(col, lambda x: x.cast("string")), ",")
+
+
+# ---------------------------------------------------------------- derived views
+
+def user_articles(spark, sf_dir):
+    """users.articles from the press passages, defaults as in the schema."""
+    p = A.press(spark, sf_dir)
+    raw = p.select(
+        F.col("id"),
+        uuid_of(F.col("id")).alias("task_id"),
+        F.lit(None).cast("string").alias("title"),
+        F.lit(None).cast("string").alias("url"),
+        F.lit(None).cast("string").alias("source"),
+        F.col("content"),
+        F.timestamp_add("HOUR", F.col("id"), F.lit(A.EPOCH).cast("timestamp_ntz")).alias("published_at"),
+    )
+    return TB.with_defaults(raw, {"title": "undefined", "url": "local", "source": "user", "content": ""})
+
+
+def tasks(spark, sf_dir):
+    return task_state(A.messages(spark, sf_dir))
+
+
+def chunk_table(spark, sf_dir, arts=None):
+    """chunks(id, article_id, start, offset_left, offset_right, end) with dense ids."""
+    arts = arts if arts is not None else A.articles(spark, sf_dir)
+    offs = C.paragraph_offsets(arts).drop("chunk_no")
+    return TB.sequential_ids(offs, ["article_id", "start"])
+
+
+_USER_ARTICLES_SQL = """
+, user_articles AS (
+  SELECT item_id AS id,
+         substr(md5(CAST(item_id AS VARCHAR)), 1, 8) || '-' || substr(md5(CAST(item_id AS VARCHAR)), 9, 4) || '-4' ||
+         substr(md5(CAST(item_id AS VARCHAR)), 14, 3) || '-8' || substr(md5(CAST(item_id AS VARCHAR)), 18, 3) || '-' ||
+         substr(md5(CAST(item_id AS VARCHAR)), 21, 12) AS task_id,
+         'undefined' AS title, 'local' AS url, 'user' AS source, coalesce(text, '') AS content,
+         TIMESTAMP '2024-01-01 00:00:00' + to_hours(item_id) AS published_at
+  FROM benchmark)
+"""
+
+_TASKS_SQL = """
+, tasks AS (
+  SELECT task_id AS id,
+         substr(md5(CAST(task_id AS VARCHAR)), 1, 8) || '-' || substr(md5(CAST(task_id AS VARCHAR)), 9, 4) || '-4' ||
+         substr(md5(CAST(task_id AS VARCHAR)), 14, 3) || '-8' || substr(md5(CAST(task_id AS VARCHAR)), 18, 3) || '-' ||
+         substr(md5(CAST(task_id AS VARCHAR)), 21, 12) AS task_uuid,
+         arg_max(subject, (event_at, event_id)) AS status,
+         arg_max(payload, (event_at, event_id)) FILTER (WHERE subject = 'failed') AS error_message,
+         min(event_at) AS created_at, max(event_at) AS updated_at, count(*) AS n_events
+  FROM messages WHERE subject IN ('pending', 'processing', 'done', 'failed')
+  GROUP BY task_id)
+"""
+
+_CHUNKS_SQL = """
+, p AS (
+  SELECT id AS article_id, pidx, para,
+         CAST(coalesce(sum(length(para)) OVER (PARTITION BY id ORDER BY pidx
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
+  FROM (SELECT id, unnest(paragraphs) AS para, generate_subscripts(paragraphs, 1) AS pidx FROM articles))
+, q AS (SELECT article_id, s, length(para) AS n, unnest(range(0, length(para), 224)) AS i FROM p)
+, offs AS (
+  SELECT article_id, s + greatest(0, i - 16) AS start, i - greatest(0, i - 16) AS offset_left,
+         least(n, i + 224) - greatest(0, i - 16) AS offset_right, s + least(n, i + 240) AS "end"
+  FROM q)
+, chunks AS (SELECT row_number() OVER (ORDER BY article_id, start) AS id, * FROM offs)
+"""
+
+
+# ---------------------------------------------------------------- 2.1 sources / sinks
+
+@register("scan_articles", """
+SELECT id, title, url, source, party, md5, content, array_to_string(cuts, ',') AS cuts, published_at
+FROM articles
+""", views=("articles",))
+def scan_articles(spark, sf_dir):
+    """2.1.1: full-row scan projected to the canonical article schema."""
+    a = A.articles(spark, sf_dir)
+    return a.select("id", "title", "url", "source", "party", "md5", "content",
+                    _int_list(F.col("cuts")).alias("cuts"), "published_at")
+
+
+@register("insert_if_absent", _CHUNKS_SQL + """
+, labelled AS (SELECT DISTINCT doc_id FROM labels)
+, existing AS (
+  SELECT row_number() OVER (ORDER BY article_id, start) AS id, article_id, start, "end"
+  FROM offs WHERE article_id IN (SELECT doc_id FROM labelled))
+, fresh AS (
+  SELECT o.article_id, o.start, o."end" FROM offs o
+  WHERE NOT EXISTS (SELECT 1 FROM existing e
+                    WHERE e.article_id = o.article_id AND e.start = o.start AND e."end" = o."end"))
+SELECT (SELECT coalesce(max(id), 0) FROM existing) + row_number() OVER (ORDER BY article_id, start) AS id,
+       article_id, start, "end"
+FROM fresh
+""", views=("articles",))
+def insert_if_absent(spark, sf_dir):
+    """2.1.2 / 2.6.5: store chunks of every article; labelled articles' chunks already exist.
+
+    Returns the inserted rows with their new ids (``RETURNING id``).
+    """
+    arts = A.articles(spark, sf_dir)
+    offs = C.paragraph_offsets(arts).drop("chunk_no")
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("article_id")).distinct()
+    existing = TB.sequential_ids(offs.join(labelled, "article_id", "left_semi"), ["article_id", "start"])
+    out = TB.insert_returning_ids(offs, existing, ["article_id", "start", "end"], ["article_id", "start"])
+    return out.select("id", "article_id", "start", "end")
+
+
+@register("append_articles", _USER_ARTICLES_SQL + """
+SELECT (SELECT max(id) FROM articles) + row_number() OVER (ORDER BY u.id) AS id,
+       u.task_id, u.title, u.url, u.source, length(u.content) AS content_len, u.published_at,
+       to_base64(unhex(md5(u.title || u.source || strftime(u.published_at, '%Y-%m-%d')))) AS md5
+FROM user_articles u
+""", views=("articles",))
+def append_articles(spark, sf_dir):
+    """2.1.3: append user articles with column defaults and ids after max(id)."""
+    u = user_articles(spark, sf_dir).withColumnRenamed("id", "src_id")
+    start = A.articles(spark, sf_dir).agg(F.max("id")).scalar()
+    out = TB.sequential_ids(u, ["src_id"], "id", start_after=start)
+    return out.select("id", "task_id", "title", "url", "source", F.length("content").alias("content_len"),
+                      "published_at",
+                      keys.article_key(F.col("title"), F.col("source"), F.col("published_at")).alias("md5"))
+
+
+@register("unique_violations", _USER_ARTICLES_SQL + """
+SELECT 'articles_md5' AS "constraint", md5 AS key_value, count(*) AS n FROM articles GROUP BY md5 HAVING count(*) > 1
+UNION ALL
+SELECT 'users_articles_md5', to_base64(unhex(md5(title || source || strftime(published_at, '%Y-%m-%d')))), count(*)
+FROM (SELECT title, source, published_at FROM articles) GROUP BY 2 HAVING count(*) > 1
+UNION ALL
+SELECT 'embeddings_key', CAST(article_id AS VARCHAR) || '|' || CAST(chunk_id AS VARCHAR) || '|' || CAST(model_id AS VARCHAR),
+       count(*) FROM vecs GROUP BY 2 HAVING count(*) > 1
+UNION ALL
+SELECT 'models_name', name, count(*) FROM models GROUP BY name HAVING count(*) > 1
+""", views=("articles", "vecs", "models"))
+def unique_violations(spark, sf_dir):
+    """2.1.4: UNIQUE-constraint report (constraint, key_value, n)."""
+    a = A.articles(spark, sf_dir)
+    ua = a.select(keys.article_key(F.col("title"), F.col("source"), F.col("published_at")).alias("k"))
+    parts = [
+        TB.unique_violations(a, ["md5"], "articles_md5"),
+        TB.unique_violations(ua, ["k"], "users_articles_md5"),
+        TB.unique_violations(A.vectors(spark, sf_dir), ["article_id", "chunk_id", "model_id"], "embeddings_key"),
+        TB.unique_violations(A.models(spark, sf_dir), ["name"], "models_name"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ---------------------------------------------------------------- 2.2 lookups
+
+@register("article_by_id", """
+SELECT id, title, url, source, party, md5, published_at FROM articles WHERE id = 42
+""", views=("articles",))
+def article_by_id(spark, sf_dir):
+    """2.2.1: ``id = $1`` (point lookup; id 42)."""
+    return A.articles(spark, sf_dir).filter(F.col("id") == 42).select(*_ART_COLS)
+
+
+@register("articles_by_ids", """
+SELECT id, title, url, source, party, md5, published_at FROM articles
+WHERE id IN (SELECT article_id FROM vecs)
+""", views=("articles", "vecs"))
+def articles_by_ids(spark, sf_dir):
+    """2.2.2: ``id = ANY(ids)`` with the id list taken from the embeddings table (semi-join)."""
+    ids = A.vectors(spark, sf_dir).select(F.col("article_id").alias("id"))
+    return A.articles(spark, sf_dir).join(ids, "id", "left_semi").select(*_ART_COLS)
+
+
+@register("article_by_md5", """
+SELECT id, title, md5 FROM articles
+WHERE md5 IN (SELECT a.md5 FROM articles a JOIN labels l ON l.doc_id = a.id)
+""", views=("articles",))
+def article_by_md5(spark, sf_dir):
+    """2.2.3: ``md5 = $1`` for a batch of keys (the md5 of every labelled article)."""
+    a = A.articles(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    keys_ = a.join(lab, "id", "left_semi").select("md5")
+    return a.join(keys_, "md5", "left_semi").select("id", "title", "md5")
+
+
+@register("article_by_task", _USER_ARTICLES_SQL + _TASKS_SQL + """
+SELECT u.task_id, u.id AS article_id, t.status, t.id AS task_row
+FROM user_articles u JOIN tasks t ON t.task_uuid = u.task_id
+""", views=("messages",))
+def article_by_task(spark, sf_dir):
+    """2.2.4: users.articles by task_id, for every known task at once."""
+    u = user_articles(spark, sf_dir)
+    t = tasks(spark, sf_dir).select(F.col("task_id"), "status", F.col("id").alias("task_row"))
+    return u.join(t, "task_id").select("task_id", F.col("id").alias("article_id"), "status", "task_row")
+
+
+@register("articles_in_interval", """
+SELECT id, title, published_at FROM articles
+WHERE published_at BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'
+ORDER BY published_at DESC LIMIT 50
+""", views=("articles",))
+def articles_in_interval(spark, sf_dir):
+    """2.2.5: ``published_at BETWEEN start AND end ORDER BY published_at DESC LIMIT 50``."""
+    a = A.articles(spark, sf_dir)
+    lo = F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")
+    hi = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    return TB.page(a.filter(F.col("published_at").between(lo, hi)).select("id", "title", "published_at"),
+                   [F.col("published_at").desc()], 50)
+
+
+@register("articles_past_k_days", """
+SELECT id, title, published_at FROM articles
+WHERE published_at >= TIMESTAMP '2024-02-10 00:00:00' - INTERVAL 7 DAY
+ORDER BY published_at DESC LIMIT 20
+""", views=("articles",))
+def articles_past_k_days(spark, sf_dir, as_of="2024-02-10 00:00:00", k=7):
+    """2.2.6: ``published_at >= as_of - k days``; ``as_of`` replaces now() for reproducibility."""
+    a = A.articles(spark, sf_dir)
+    since = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(k))
+    return TB.page(a.filter(F.col("published_at") >= since).select("id", "title", "published_at"),
+                   [F.col("published_at").desc()], 20)
+
+
+@register("models_by_key", """
+SELECT id, name FROM models WHERE name = 'model-1'
+UNION ALL
+SELECT id, name FROM models WHERE id = 0
+""", views=("models",))
+def models_by_key(spark, sf_dir):
+    """2.2.7: model by name and by id (``LIMIT 1`` each; names and ids are unique)."""
+    m = A.models(spark, sf_dir)
+    return (m.filter(F.col("name") == "model-1").select("id", "name").limit(1)
+            .unionByName(m.filter(F.col("id") == 0).select("id", "name").limit(1)))
+
+
+# ---------------------------------------------------------------- 2.3 joins
+
+@register("fk_orphans", _USER_ARTICLES_SQL + _TASKS_SQL + _CHUNKS_SQL + """
+SELECT 'embeddings.article_id' AS edge, CAST(article_id AS VARCHAR) AS key_value FROM vecs
+WHERE article_id IS NOT NULL AND article_id NOT IN (SELECT id FROM articles)
+UNION ALL
+SELECT 'embeddings.chunk_id', CAST(chunk_id AS VARCHAR) FROM vecs
+WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT id FROM chunks)
+UNION ALL
+SELECT 'embeddings.model_id', CAST(model_id AS VARCHAR) FROM vecs
+WHERE model_id IS NOT NULL AND model_id NOT IN (SELECT id FROM models)
+UNION ALL
+SELECT 'users.articles.task_id', task_id FROM user_articles
+WHERE task_id IS NOT NULL AND task_id NOT IN (SELECT task_uuid FROM tasks)
+""", views=("articles", "vecs", "models", "messages"))
+def fk_orphans(spark, sf_dir):
+    """2.3.3: foreign-key orphans per edge, as (edge, key_value)."""
+    arts = A.articles(spark, sf_dir)
+    v = A.vectors(spark, sf_dir)
+    parts = [
+        TB.fk_orphans(v, ["article_id"], arts, ["id"], "embeddings.article_id"),
+        TB.fk_orphans(v, ["chunk_id"], chunk_table(spark, sf_dir, arts), ["id"], "embeddings.chunk_id"),
+        TB.fk_orphans(v, ["model_id"], A.models(spark, sf_dir), ["id"], "embeddings.model_id"),
+        TB.fk_orphans(user_articles(spark, sf_dir), ["task_id"], tasks(spark, sf_dir), ["task_id"],
+                      "users.articles.task_id"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("cascade_delete", """
+SELECT v.id, v.article_id, v.model_id FROM vecs v
+WHERE v.model_id NOT IN (SELECT id FROM models WHERE name = 'model-1')
+  AND v.article_id NOT IN (SELECT id FROM articles WHERE party = 'none')
+""", views=("articles", "vecs", "models"))
+def cascade_delete(spark, sf_dir):
+    """2.3.4: delete model 'model-1' and the 'none'-party articles; embeddings cascade."""
+    v = A.vectors(spark, sf_dir)
+    gone_models = A.models(spark, sf_dir).filter(F.col("name") == "model-1")
+    gone_articles = A.articles(spark, sf_dir).filter(F.col("party") == "none")
+    s = TB.cascade_delete(v, gone_models, "model_id")
+    s = TB.cascade_delete(s, gone_articles, "article_id")
+    return s.select("id", "article_id", "model_id")
+
+
+@register("cache_then_db", """
+SELECT a.id, CASE WHEN nullif(c.cached, '') IS NOT NULL THEN 'cache' ELSE 'db' END AS served_from,
+       length(coalesce(nullif(c.cached, ''), a.content)) AS content_len
+FROM articles a LEFT JOIN (
+  SELECT doc_id, CASE WHEN quality = 1 THEN d.text ELSE '' END AS cached
+  FROM labels l JOIN documents d USING (doc_id)) c ON c.doc_id = a.id
+""", views=("articles",))
+def cache_then_db(spark, sf_dir):
+    """2.3.7: content from the cache when present and non-empty, else from the table.
+
+    The cache holds each labelled document's raw text (an empty entry for low quality).
+    """
+    lab = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = lab.join(docs, "doc_id").select(
+        F.col("doc_id").alias("id"),
+        F.when(F.col("quality") == 1, F.col("text")).otherwise(F.lit("")).alias("cached"))
+    a = A.articles(spark, sf_dir).select("id", "content").join(cache, "id", "left")
+    hit = F.nullif(F.col("cached"), F.lit(""))
+    return a.select("id", F.when(hit.isNotNull(), "cache").otherwise("db").alias("served_from"),
+                    F.length(F.coalesce(hit, F.col("content"))).alias("content_len"))
+
+
+# ---------------------------------------------------------------- 2.5.4 / 2.7 listings
+
+@register("latest_by_url", """
+SELECT url, id, published_at FROM (
+  SELECT url, id, published_at,
+         row_number() OVER (PARTITION BY url ORDER BY published_at DESC, id DESC) AS rn FROM articles)
+WHERE rn = 1
+""", views=("articles",))
+def latest_by_url(spark, sf_dir):
+    """2.5.4: newest article per URL."""
+    return TB.latest_by(A.articles(spark, sf_dir).select("url", "id", "published_at"), "url")
+
+
+@register("list_models", """
+SELECT id, name FROM models ORDER BY created_at DESC, id LIMIT 1 OFFSET 1
+""", views=("models",))
+def list_models(spark, sf_dir):
+    """2.7.1: ``ORDER BY created_at DESC LIMIT 1 OFFSET 1``."""
+    m = A.models(spark, sf_dir)
+    return TB.page(m, [F.col("created_at").desc(), "id"], 1, 1).select("id", "name")
+
+
+@register("list_tasks", _TASKS_SQL + """
+SELECT id, task_uuid AS task_id, status FROM tasks WHERE id > 10 ORDER BY id DESC LIMIT 20
+""", views=("messages",))
+def list_tasks(spark, sf_dir):
+    """2.7.2: keyset page ``id > x ORDER BY id DESC LIMIT n`` (returns the newest n)."""
+    t = tasks(spark, sf_dir).filter(F.col("id") > 10)
+    return TB.page(t, [F.col("id").desc()], 20).select("id", "task_id", "status")
+
+
+@register("task_state", _TASKS_SQL + """
+SELECT id, task_uuid AS task_id, status, error_message, created_at, updated_at, n_events FROM tasks
+""", views=("messages",))
+def task_state_q(spark, sf_dir):
+    """2.12.4 (batch form): latest task status from the event table."""
+    return tasks(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- 2.8 union
+
+@register("corpus_union", _USER_ARTICLES_SQL + """
+SELECT 'public' AS scope, id, title, party, CAST(NULL AS VARCHAR) AS task_id FROM articles
+UNION ALL
+SELECT 'users', id, title, NULL, task_id FROM user_articles
+""", views=("articles",))
+def corpus_union(spark, sf_dir):
+    """2.8: public and user corpora as one table with a ``scope`` column."""
+    pub = A.articles(spark, sf_dir).select(F.lit("public").alias("scope"), "id", "title", "party")
+    usr = user_articles(spark, sf_dir).select(F.lit("users").alias("scope"), "id", "title", "task_id")
+    return pub.unionByName(usr, allowMissingColumns=True).select("scope", "id", "title", "party", "task_id")
