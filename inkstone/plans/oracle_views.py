@@ -56,6 +56,8 @@ raw_pages AS (SELECT page_id AS id, url, html FROM pages)""",
 
 
 def with_views(body: str, *names: str) -> str:
+    body = body.strip()
     if not names:
-        return body
+        # a body that opens with its own CTEs (", x AS (...)") still needs WITH
+        return "WITH " + body[1:].lstrip() if body.startswith(",") else body
     return "WITH " + ",\n".join(VIEWS[n].strip() for n in names) + "\n" + body
