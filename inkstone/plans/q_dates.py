@@ -1 +1,104 @@
-"""Registered queries."""
+"""Registered date/time queries (2.9.17-2.9.21).
+
+The fixture has no site date strings, so each event's timestamp is rendered
+in the site formats (JVM-side) and parsed back by the operators; the oracle
+computes the expected instants directly from the timestamp.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkstone.functions import dates as D
+from inkstone.plans.registry import register
+from inkstone.sources.tables import table
+
+AS_OF = "2024-06-01 00:00:00"
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+
+
+@register("site_dates", """
+SELECT event_id,
+       CAST(CAST(ts AS DATE) AS TIMESTAMP) - INTERVAL 8 HOUR AS d_dash,
+       CAST(CAST(ts AS DATE) AS TIMESTAMP) - INTERVAL 8 HOUR AS d_slash,
+       date_trunc('second', ts) - INTERVAL 8 HOUR AS d_rfc3339
+FROM events
+""")
+def site_dates(spark, sf_dir):
+    """2.9.18: '2006-01-02', '2006/01/02' (Asia/Taipei) and RFC3339 with offset."""
+    e = _events(spark, sf_dir)
+    ts = F.col("ts")
+    rfc = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+08:00"))
+    return e.select("event_id",
+                    D.site_date(F.date_format(ts, "yyyy-MM-dd")).alias("d_dash"),
+                    D.site_date(F.date_format(ts, "yyyy/MM/dd")).alias("d_slash"),
+                    D.site_date(rfc).alias("d_rfc3339"))
+
+
+@register("roc_date", """
+SELECT event_id,
+       CASE WHEN event_type = 'click'
+            THEN CAST(date_trunc('month', ts) AS TIMESTAMP) - INTERVAL 8 HOUR
+            ELSE CAST(CAST(ts AS DATE) AS TIMESTAMP) - INTERVAL 8 HOUR END AS published
+FROM events
+""")
+def roc_date(spark, sf_dir):
+    """2.9.19: ROC 'YYY.MM.DD' in the first paragraph, else '/YYYY/MM/blog-post' in the link.
+
+    Click events carry only the link form; the others carry the ROC text.
+    """
+    e = _events(spark, sf_dir)
+    ts = F.col("ts")
+    roc = F.format_string("公告 %d.%s.%s 發布", F.year(ts) - 1911, F.date_format(ts, "MM"), F.date_format(ts, "dd"))
+    link = F.concat(F.lit("https://www.kmt.org.tw/"), F.date_format(ts, "yyyy/MM"), F.lit("/blog-post_1.html"))
+    text = F.when(F.col("event_type") == "click", F.lit("無日期")).otherwise(roc)
+    return e.select("event_id", D.roc_date(text, link).alias("published"))
+
+
+@register("taiwan_datetime", """
+SELECT event_id, date_trunc('minute', ts) AS parsed FROM events
+""")
+def taiwan_datetime(spark, sf_dir):
+    """2.9.20: '2006年1月2日 週一 下午3:04' rendered from each timestamp and parsed back."""
+    e = _events(spark, sf_dir)
+    return e.select("event_id", D.taiwan_datetime(D.format_taiwan(F.col("ts"))).alias("parsed"))
+
+
+@register("publish_date_cascade", f"""
+SELECT event_id,
+       CASE WHEN event_type IN ('purchase', 'view') THEN date_trunc('second', ts) - INTERVAL 8 HOUR
+            WHEN event_type = 'signup' THEN date_trunc('minute', ts)
+            ELSE TIMESTAMP '{AS_OF}' END AS published
+FROM events
+""")
+def publish_date_cascade(spark, sf_dir):
+    """2.9.17: JSON-LD -> datetime attribute -> Taiwanese text -> as_of.
+
+    purchase events carry JSON-LD, view events the attribute, signup events
+    the text; the rest fall back to ``as_of``.
+    """
+    e = _events(spark, sf_dir)
+    ts, et = F.col("ts"), F.col("event_type")
+    rfc = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+08:00"))
+    jsonld = F.when(et == "purchase", rfc)
+    attr = F.when(et == "view", rfc)
+    text = F.when(et == "signup", D.format_taiwan(ts))
+    return e.select("event_id", D.publish_date(jsonld, attr, text, F.lit(AS_OF).cast("timestamp_ntz"))
+                    .alias("published"))
+
+
+@register("event_time", """
+SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS event_at,
+       to_timestamp(CAST(floor(epoch(ts)) AS BIGINT))::TIMESTAMP AS event_ts,
+       epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-01 00:00:00') // 1000 AS elapsed_ms
+FROM events
+""")
+def event_time(spark, sf_dir):
+    """2.9.21: unix seconds <-> timestamp, elapsed milliseconds since the epoch of the fixture."""
+    e = _events(spark, sf_dir)
+    sec = D.unix_seconds(F.col("ts"))
+    return e.select("event_id", sec.alias("event_at"), D.from_unix_seconds(sec).alias("event_ts"),
+                    D.elapsed_ms(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")).alias("elapsed_ms"))
