@@ -25,6 +25,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(_sum(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
 
 
+def unit(a: Column) -> Column:
+    """a / ||a|| (NaN for a zero vector).  The norm is a fold result bound to a
+    lambda variable, so it is computed once per row, not once per element."""
+    return F.aggregate(a, F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"),
+                       lambda s: F.transform(a, lambda x: x.cast("double") / F.sqrt(s)))
+
+
 def l2(a: Column, b: Column) -> Column:
     """``a <-> b``: Euclidean distance."""
     return F.sqrt(_sum(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2))))

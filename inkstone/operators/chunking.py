@@ -149,12 +149,19 @@ def context_triples(df: DataFrame, paragraphs_col: str = "paragraphs", id_col: s
             F.substring(prev, F.greatest(F.length(prev) - lo, F.lit(0)) + 1, lo))
         next_head = F.when(nxt.isNull(), F.lit("")).otherwise(F.substring(nxt, 1, lo))
         short = F.array(F.struct(prev_tail.alias("left"), p.alias("body"), next_head.alias("right")))
-        cs = _triples(p, size, overlap)
-        last = F.size(cs) - 1
-        long_ = F.transform(cs, lambda t, j: F.struct(
-            F.when((j == 0) & (i > min_left), prev_tail).otherwise(t["left"]).alias("left"),
-            t["body"].alias("body"),
-            F.when((j == last) & (i < n_p - 1), next_head).otherwise(t["right"]).alias("right")))
+        n = F.length(p)
+
+        def chunk(lhs):
+            rhs = F.least(lhs + lu, n)
+            left_from = F.greatest(lhs - lo, F.lit(0))
+            own_left = F.substring(p, left_from + 1, lhs - left_from)
+            own_right = F.substring(p, rhs + 1, F.least(rhs + lo, n) - rhs)
+            return F.struct(
+                F.when((lhs == 0) & (i > min_left), prev_tail).otherwise(own_left).alias("left"),
+                F.substring(p, lhs + 1, rhs - lhs).alias("body"),
+                F.when((rhs >= n) & (i < n_p - 1), next_head).otherwise(own_right).alias("right"))
+
+        long_ = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(lu)), chunk)
         typ = "array<struct<left:string,body:string,right:string>>"
         return F.when(F.length(p) == 0, F.array().cast(typ)) \
             .when(F.length(p) <= lu, short).otherwise(long_)
@@ -170,10 +177,19 @@ def byte_cuts(paragraphs: Column) -> Column:
 
 
 def split_by_cuts(text: Column, cuts: Column) -> Column:
-    """2.9.3 inverse: slice text by byte cuts; empty pieces skipped; no cuts -> [text]."""
-    b = F.encode(text, "UTF-8")
+    """2.9.3 inverse: slice text by byte cuts; empty pieces skipped; no cuts -> [text].
+
+    The encoded bytes ride in the fold's accumulator so they are computed once
+    per row, not once per piece.
+    """
     heads = F.concat(F.array(F.lit(0)), F.slice(cuts, 1, F.greatest(F.size(cuts) - 1, F.lit(0))))
-    pieces = F.transform(F.arrays_zip(heads.alias("h"), cuts.alias("t")),
-                         lambda z: F.when(z["t"] > z["h"],
-                                          F.decode(F.substring(b, z["h"] + 1, z["t"] - z["h"]), "UTF-8")))
-    return F.when(F.size(cuts) == 0, F.array(text)).otherwise(F.filter(pieces, lambda x: x.isNotNull()))
+    zero = F.struct(F.encode(text, "UTF-8").alias("b"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, z):
+        piece = F.decode(F.substring(acc["b"], z["h"] + 1, z["t"] - z["h"]), "UTF-8")
+        return F.struct(acc["b"].alias("b"),
+                        F.when(z["t"] > z["h"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
+                        .alias("out"))
+
+    pieces = F.aggregate(F.arrays_zip(heads.alias("h"), cuts.alias("t")), zero, step, lambda acc: acc["out"])
+    return F.when(F.size(cuts) == 0, F.array(text)).otherwise(pieces)

@@ -171,7 +171,7 @@ def _join_block(spark, queries_block: DataFrame, corpus: DataFrame, k: int, metr
                 exclude_self: bool, qid: str, qvec: str, model: str, vec_col: str) -> DataFrame:
     bq = spark.sparkContext.broadcast(_collect_queries(queries_block, qid, qvec, model))
     return (corpus.filter(V.is_valid(F.col(vec_col)))
-            .select("id", "article_id", "model_id", F.col(vec_col).alias("vector"))
+            .select("id", "article_id", F.col(model).alias("model_id"), F.col(vec_col).alias("vector"))
             .mapInPandas(_partial_topk(bq, k, metric, exclude_self), _JOIN_SCHEMA))
 
 
@@ -179,9 +179,11 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
              exclude_self: bool = False, qid: str = "query_id", qvec: str = "query_vector",
              model: str = "model_id", vec_col: str = "vector",
              max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Top-k corpus rows for every query, matched within the same model.
+    """Top-k corpus rows for every query, matched within the same ``model`` key.
 
-    Returns (query_id, id, article_id, distance, rank).
+    ``model`` names the grouping column present on both sides (the embedding
+    model, or any key such as an LSH bucket).  Returns
+    (query_id, id, article_id, distance, rank).
     """
     if metric not in V.METRICS:
         raise ValueError(f"metric must be one of {V.METRICS}")
@@ -201,3 +203,47 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
         cand = cand.unionByName(p)
     ranked = cand.withColumn("rank", F.row_number().over(_rank_window("query_id")))
     return ranked.filter(F.col("rank") <= k)
+
+
+# ---------------------------------------------------------------- approximate
+
+def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
+               bucket_length: float = 0.1, num_tables: int = 8, seed: int = 7,
+               qid: str = "query_id", qvec: str = "query_vector", vec_col: str = "vector",
+               exclude_self: bool = False) -> DataFrame:
+    """LSH candidates + exact re-rank (the HNSW index re-aimed).
+
+    Vectors (unit-normalised for cosine) are hashed by
+    ``BucketedRandomProjectionLSH``; every (model, table, bucket) becomes a
+    join key and the exact broadcast top-k join runs per key, so only
+    same-bucket pairs are scored and none are emitted.  Results per query are
+    the best k over all tables (recall < 1 by design).
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    def unit(c):
+        return V.unit(c) if metric == "cosine" else c
+
+    c = corpus.filter(V.is_valid(F.col(vec_col))).withColumn("_u", array_to_vector(unit(F.col(vec_col))))
+    q = queries.filter(V.is_valid(F.col(qvec))).withColumn("_u", array_to_vector(unit(F.col(qvec))))
+    lsh = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=bucket_length,
+                                      numHashTables=num_tables, seed=seed).fit(c.select("_u").limit(1))
+
+    def keyed(df, model_col):
+        h = lsh.transform(df).select("*", F.posexplode("_h").alias("_t", "_hv"))
+        key = F.xxhash64(F.col(model_col), F.col("_t"), vector_to_array(F.col("_hv"))[0])
+        return h.withColumn("_key", key).drop("_u", "_h", "_t", "_hv")
+
+    cand = knn_join(keyed(q, "model_id"), keyed(c, "model_id"), k, metric, exclude_self=exclude_self,
+                    qid=qid, qvec=qvec, model="_key", vec_col=vec_col)
+    best = cand.select(F.col("query_id"), "id", "article_id", "distance").dropDuplicates(["query_id", "id"])
+    w = _rank_window("query_id")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
+    """(recall, n): share of exact (query_id, id) neighbours the approximate search found."""
+    found = approx.select("query_id", "id").withColumn("_found", F.lit(1))
+    j = exact.select("query_id", "id").join(found, ["query_id", "id"], "left")
+    return j.agg(F.avg(F.coalesce(F.col("_found"), F.lit(0))).alias("recall"), F.count("*").alias("n"))

@@ -368,7 +368,7 @@ def party_similarity(spark, sf_dir):
     arts = A.articles(spark, sf_dir).select(F.col("id").alias("article_id"), "party")
     unit = av.join(arts, "article_id").select(
         "article_id", "model_id", "party",
-        F.transform("vector", lambda x: x / V.norm(F.col("vector"))).alias("u"))
+        V.unit(F.col("vector")).alias("u"))
     releases = unit.filter(F.col("party") != "none")
     cents = VA.mean_by(releases, ["model_id", "party"], vec_col="u", out_col="c").drop("n")
     news = unit.filter(F.col("party") == "none").drop("party")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkstone.functions import vectors as V
 from inkstone.operators import knn as K
 from inkstone.operators import vector_agg as VA
+from inkstone.plans.q_chunks import _PARA_OFFSETS as _PARA_OFFSETS_SQL
 from inkstone.plans.registry import register
 from inkstone.sources import adapters as A
 
@@ -159,3 +160,87 @@ def dimension_check(spark, sf_dir):
     v = A.vectors(spark, sf_dir)
     return v.select("id", F.coalesce(F.size("vector"), F.lit(-1)).cast("int").alias("dim"),
                     F.when(V.dimension_ok(F.col("vector"), DIM), "ok").otherwise("rejected").alias("status"))
+
+
+# ---------------------------------------------------------------- approximate / embedding jobs
+
+@register("knn_approx")
+def knn_approx(spark, sf_dir):
+    """2.7.6: LSH (random projections on unit vectors) + exact re-rank; no SQL twin
+    (approximate by design) — ``recall_at_k`` against ``knn_join`` is tested."""
+    vecs = A.vectors(spark, sf_dir)
+    queries = vecs.select(F.col("id").alias("query_id"), "model_id", F.col("vector").alias("query_vector"))
+    r = K.knn_approx(queries, vecs, K_JOIN, "cosine", exclude_self=True)
+    return r.select("query_id", "rank", "id", "article_id", F.round("distance", 4).alias("distance"))
+
+
+def _chunk_texts(spark, sf_dir):
+    from inkstone.operators import chunking as C
+    arts = A.articles(spark, sf_dir)
+    p = C.parts(C.paragraph_offsets(arts), arts)
+    return p.select("article_id", "chunk_no", "start", F.col("chunk").alias("text"))
+
+
+_EMBED_SQL = r"""
+, texts AS (
+  SELECT c.article_id, c.chunk_no, c.start, substring(a.content, c.start + 1, c."end" - c.start) AS text
+  FROM chunks c JOIN articles a ON a.id = c.article_id)
+, idx AS (
+  SELECT article_id, chunk_no, start,
+         list_transform(regexp_extract_all(lower(text), '\p{L}[\p{L}\p{N}]{2,}'),
+                        lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64) AS ix
+  FROM texts)
+, cnt AS (
+  SELECT article_id, chunk_no, start,
+         list_transform(range(64), lambda j: CAST(len(list_filter(ix, lambda x: x = j)) AS DOUBLE)) AS c
+  FROM idx)
+, nrm AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM cnt)
+, emb AS (
+  SELECT article_id, chunk_no, start,
+         CASE WHEN n > 0 THEN list_transform(c, lambda x: x / n) ELSE c END AS v
+  FROM nrm)
+"""
+
+
+@register("embed_chunks", _PARA_OFFSETS_SQL + _EMBED_SQL + """
+SELECT article_id, chunk_no, '' AS state,
+       array_to_string(list_transform(v, lambda x: CAST(round(x * 10000) AS BIGINT)), ',') AS vector
+FROM emb
+""", views=("articles",))
+def embed_chunks(spark, sf_dir):
+    """2.11.4: embed every chunk text (offline default: hashed bag of tokens, JVM-side)."""
+    from inkstone.operators import embed as EM
+    e = EM.embed_hashed(_chunk_texts(spark, sf_dir), "text", DIM)
+    return e.select("article_id", "chunk_no", "state", V.as_scaled_ints(F.col("vector")).alias("vector"))
+
+
+@register("article_pipeline", _PARA_OFFSETS_SQL + _EMBED_SQL + """
+, ids AS (SELECT row_number() OVER (ORDER BY article_id, start) AS chunk_id, article_id, start FROM chunks)
+, new_emb AS (SELECT i.article_id, i.chunk_id, 0 AS model_id FROM emb e JOIN ids i USING (article_id, start))
+, ins AS (SELECT * FROM new_emb n WHERE NOT EXISTS (
+            SELECT 1 FROM vecs v WHERE v.article_id = n.article_id AND v.chunk_id = n.chunk_id AND v.model_id = 0))
+SELECT a.id AS article_id, count(DISTINCT i.chunk_id) AS n_chunks, count(DISTINCT s.chunk_id) AS n_inserted
+FROM articles a JOIN ids i ON i.article_id = a.id LEFT JOIN ins s ON s.chunk_id = i.chunk_id
+GROUP BY a.id
+""", views=("articles", "vecs"))
+def article_pipeline(spark, sf_dir):
+    """2.11.5: paragraphs -> chunks (256/32) -> texts -> embeddings -> insert-if-absent.
+
+    Returns per article the chunk count and the embeddings actually inserted
+    (keys already present in the embeddings table are skipped).
+    """
+    from inkstone.operators import embed as EM
+    from inkstone.operators import tables as TB
+    from inkstone.operators import chunking as C
+    arts = A.articles(spark, sf_dir)
+    offs = C.paragraph_offsets(arts)
+    chunks = TB.sequential_ids(offs, ["article_id", "start"], "chunk_id")
+    texts = C.parts(chunks.withColumnRenamed("chunk_id", "cid"), arts).join(
+        chunks.select("article_id", "chunk_no", "chunk_id"), ["article_id", "chunk_no"])
+    emb = EM.embed_hashed(texts.select("article_id", "chunk_id", F.col("chunk").alias("text")), "text", DIM)
+    new = emb.select("article_id", "chunk_id", F.lit(0).alias("model_id"), "vector")
+    ins = TB.insert_if_absent(new, A.vectors(spark, sf_dir), ["article_id", "chunk_id", "model_id"])
+    per_chunk = chunks.groupBy("article_id").agg(F.count("*").alias("n_chunks"))
+    per_ins = ins.groupBy("article_id").agg(F.count("*").alias("n_inserted"))
+    return (per_chunk.join(per_ins, "article_id", "left")
+            .select("article_id", "n_chunks", F.coalesce("n_inserted", F.lit(0)).alias("n_inserted")))
