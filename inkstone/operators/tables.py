@@ -15,24 +15,34 @@ from pyspark.sql import functions as F
 
 
 def sequential_ids(df: DataFrame, order_cols: list, id_col: str = "id", start_after: Column | int = 0) -> DataFrame:
-    """Dense ids ``start_after + 1, +2, ...`` in ``order_cols`` order.
+    """Dense ids ``start_after + 1, +2, ...`` in ``order_cols`` order (a total order).
 
     No single-partition window: the data is range-partitioned and sorted
     (``orderBy``), each row gets its index inside its partition from
     ``monotonically_increasing_id`` (partition id in the upper bits), and a
-    tiny table of per-partition counts turns into offsets.  Both branches
-    read the same shuffle (exchange reuse), so the numbering is consistent.
+    tiny table of per-partition counts (one row per partition) becomes
+    offsets.  Range bounds come from sampling rows whose order after a
+    shuffle is not fixed, so two evaluations could partition differently:
+    the numbered rows are therefore materialised once with a reliable
+    ``checkpoint()`` (under ``spark.checkpoint.dir``) and both the counts and
+    the ids read that copy — consistent, and safe against executor loss.
     """
-    ordered = df.orderBy(*order_cols).withColumn("_pid", F.spark_partition_id()) \
-        .withColumn("_mono", F.monotonically_increasing_id())
-    local = ordered.withColumn("_local", F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    from inkstone.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    ordered = (df.orderBy(*order_cols)
+               .withColumn("_pid", F.spark_partition_id())
+               .withColumn("_local", F.monotonically_increasing_id()
+                           - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    local = ordered.checkpoint(eager=True)
     counts = local.groupBy("_pid").agg(F.count("*").alias("_cnt"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
     base = start_after if isinstance(start_after, Column) else F.lit(start_after)
+    # offsets has one row per partition of ``local``: a bounded broadcast.
     out = local.join(F.broadcast(offsets), "_pid")
     return (out.withColumn(id_col, (base + F.col("_off") + F.col("_local") + 1).cast("long"))
-            .drop("_pid", "_mono", "_local", "_off"))
+            .drop("_pid", "_local", "_off"))
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
