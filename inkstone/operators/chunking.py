@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.functions.bind import let, let2
 from inkstone.sources.adapters import running_byte_cuts
 
 
@@ -26,20 +27,27 @@ def check_params(size: int, overlap: int) -> None:
 
 
 def _offsets_in(n: Column, base: Column, size: int, overlap: int) -> Column:
-    """array<struct(start, offset_left, offset_right, end)> for a text of length n at base."""
+    """array<struct(start, offset_left, offset_right, end)> for a text of length n at base.
+
+    ``n`` and ``base`` are bound once per row (``let``): referenced inside
+    the lambda they would be re-evaluated for every chunk.
+    """
     u, h = size - overlap, overlap // 2
+    typ = "array<struct<start:int,offset_left:int,offset_right:int,end:int>>"
 
-    def one(i):
-        start = F.greatest(F.lit(0), i - h)
-        return F.struct(
-            (base + start).cast("int").alias("start"),
-            (i - start).cast("int").alias("offset_left"),
-            (F.least(n, i + u) - start).cast("int").alias("offset_right"),
-            (base + F.least(n, i + size - h)).cast("int").alias("end"),
-        )
+    def build(n, base):
+        def one(i):
+            start = F.greatest(F.lit(0), i - h)
+            return F.struct(
+                (base + start).cast("int").alias("start"),
+                (i - start).cast("int").alias("offset_left"),
+                (F.least(n, i + u) - start).cast("int").alias("offset_right"),
+                (base + F.least(n, i + size - h)).cast("int").alias("end"),
+            )
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(u)), one)) \
-        .otherwise(F.array().cast("array<struct<start:int,offset_left:int,offset_right:int,end:int>>"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(u)), one)).otherwise(F.array().cast(typ))
+
+    return let2(n, base, build)
 
 
 def offsets(df: DataFrame, text_col: str = "content", id_col: str = "id", size: int = 256,
@@ -102,19 +110,21 @@ def parts(chunks: DataFrame, articles: DataFrame, content_col: str = "content")
 def _triples(text: Column, size: int, overlap: int) -> Column:
     """array<struct(left, body, right)> of the direct chunker; empty text -> one empty triple."""
     lo, lu = overlap // 2, size - overlap
-    n = F.length(text)
+    empty = F.array(F.struct(F.lit("").alias("left"), F.lit("").alias("body"), F.lit("").alias("right")))
 
-    def one(lhs):
-        rhs = F.least(lhs + lu, n)
-        left_from = F.greatest(lhs - lo, F.lit(0))
-        return F.struct(
-            F.substring(text, left_from + 1, lhs - left_from).alias("left"),
-            F.substring(text, lhs + 1, rhs - lhs).alias("body"),
-            F.substring(text, rhs + 1, F.least(rhs + lo, n) - rhs).alias("right"),
-        )
+    def build(text, n):
+        def one(lhs):
+            rhs = F.least(lhs + lu, n)
+            left_from = F.greatest(lhs - lo, F.lit(0))
+            return F.struct(
+                F.substring(text, left_from + 1, lhs - left_from).alias("left"),
+                F.substring(text, lhs + 1, rhs - lhs).alias("body"),
+                F.substring(text, rhs + 1, F.least(rhs + lo, n) - rhs).alias("right"),
+            )
 
-    empty = F.array(F.struct(F.lit("").alias("left"), F.lit("").alias("body"), F.lit("").alias("right")))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(lu)), one)).otherwise(empty)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(lu)), one)).otherwise(empty)
+
+    return let2(text, F.length(text), build)
 
 
 def text_triples(df: DataFrame, text_col: str = "content", id_col: str = "id", size: int = 256,
@@ -138,36 +148,40 @@ def context_triples(df: DataFrame, paragraphs_col: str = "paragraphs", id_col: s
     """
     check_params(size, overlap)
     lo, lu = overlap // 2, size - overlap
-    paras = F.col(paragraphs_col)
-    n_p = F.size(paras)
     min_left = 1 if compat else 0
 
-    def per_para(p, i):  # i is 0-based
+    def per_para_in(paras, p, i):  # i is 0-based
+        n_p = F.size(paras)
         prev = F.when(i > 0, F.try_element_at(paras, i)).otherwise(F.lit(None).cast("string"))
         nxt = F.when(i < n_p - 1, F.try_element_at(paras, i + 2)).otherwise(F.lit(None).cast("string"))
         prev_tail = F.when(prev.isNull(), F.lit("")).otherwise(
             F.substring(prev, F.greatest(F.length(prev) - lo, F.lit(0)) + 1, lo))
         next_head = F.when(nxt.isNull(), F.lit("")).otherwise(F.substring(nxt, 1, lo))
         short = F.array(F.struct(prev_tail.alias("left"), p.alias("body"), next_head.alias("right")))
-        n = F.length(p)
 
-        def chunk(lhs):
-            rhs = F.least(lhs + lu, n)
-            left_from = F.greatest(lhs - lo, F.lit(0))
-            own_left = F.substring(p, left_from + 1, lhs - left_from)
-            own_right = F.substring(p, rhs + 1, F.least(rhs + lo, n) - rhs)
-            return F.struct(
-                F.when((lhs == 0) & (i > min_left), prev_tail).otherwise(own_left).alias("left"),
-                F.substring(p, lhs + 1, rhs - lhs).alias("body"),
-                F.when((rhs >= n) & (i < n_p - 1), next_head).otherwise(own_right).alias("right"))
+        def chunks_of(n, heads):
+            prev_tail, next_head = heads["l"], heads["r"]
+
+            def chunk(lhs):
+                rhs = F.least(lhs + lu, n)
+                left_from = F.greatest(lhs - lo, F.lit(0))
+                own_left = F.substring(p, left_from + 1, lhs - left_from)
+                own_right = F.substring(p, rhs + 1, F.least(rhs + lo, n) - rhs)
+                return F.struct(
+                    F.when((lhs == 0) & (i > min_left), prev_tail).otherwise(own_left).alias("left"),
+                    F.substring(p, lhs + 1, rhs - lhs).alias("body"),
+                    F.when((rhs >= n) & (i < n_p - 1), next_head).otherwise(own_right).alias("right"))
+
+            return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(lu)), chunk)
 
-        long_ = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(lu)), chunk)
         typ = "array<struct<left:string,body:string,right:string>>"
-        return F.when(F.length(p) == 0, F.array().cast(typ)) \
-            .when(F.length(p) <= lu, short).otherwise(long_)
+        heads = F.struct(prev_tail.alias("l"), next_head.alias("r"))
+        return let2(F.length(p), heads, lambda n, hs: F.when(n == 0, F.array().cast(typ))
+                    .when(n <= lu, short).otherwise(chunks_of(n, hs)))
 
-    return (df.select(F.col(id_col).alias("article_id"),
-                      F.posexplode(F.flatten(F.transform(paras, per_para))).alias("chunk_no", "t"))
+    all_chunks = let(F.col(paragraphs_col),
+                     lambda paras: F.flatten(F.transform(paras, lambda p, i: per_para_in(paras, p, i))))
+    return (df.select(F.col(id_col).alias("article_id"), F.posexplode(all_chunks).alias("chunk_no", "t"))
             .select("article_id", "chunk_no", "t.*"))
 
 

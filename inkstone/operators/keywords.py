@@ -65,15 +65,19 @@ def keyword_struct(themes: Column, entities: Column) -> Column:
 
     Relations link consecutive entities (at most MAX_PER_CATEGORY - 1 per document).
     """
-    ents = F.slice(entities, 1, MAX_PER_CATEGORY)
-    rel = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ents) - 1, F.lit(1))), lambda i: F.struct(
-        F.try_element_at(ents, i).alias("entity1"), F.try_element_at(ents, i + 1).alias("entity2"),
-        F.lit("co_occurs").alias("relation")))
-    rel = F.filter(rel, lambda r: r["entity2"].isNotNull())
-    empty = F.array().cast("array<string>")
-    return F.struct(F.struct(F.slice(themes, 1, MAX_PER_CATEGORY).alias("themes"), empty.alias("events"),
-                             ents.alias("entities"), empty.alias("actions")).alias("keywords"),
-                    rel.alias("relations"))
+    from inkstone.functions.bind import let
+
+    def build(ents):
+        rel = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ents) - 1, F.lit(1))), lambda i: F.struct(
+            F.try_element_at(ents, i).alias("entity1"), F.try_element_at(ents, i + 1).alias("entity2"),
+            F.lit("co_occurs").alias("relation")))
+        rel = F.filter(rel, lambda r: r["entity2"].isNotNull())
+        empty = F.array().cast("array<string>")
+        return F.struct(F.struct(F.slice(themes, 1, MAX_PER_CATEGORY).alias("themes"), empty.alias("events"),
+                                 ents.alias("entities"), empty.alias("actions")).alias("keywords"),
+                        rel.alias("relations"))
+
+    return let(F.slice(entities, 1, MAX_PER_CATEGORY), build)
 
 
 def flatten(kw: Column) -> Column:

@@ -211,8 +211,9 @@ def relevance_band(spark, sf_dir):
     a = A.articles(spark, sf_dir).select(F.col("id").alias("doc_id"), "title")
     j = a.join(themes_by_doc(spark, sf_dir), "doc_id", "left")
     themes = F.coalesce(F.col("themes"), F.array().cast("array<string>"))
-    title_toks = KW.tokens(F.col("title"))
-    hit = F.size(F.filter(themes, lambda t: F.array_contains(title_toks, t)))
+    from inkstone.functions.bind import let
+    hit = let(KW.tokens(F.col("title")),
+              lambda toks: F.size(F.filter(themes, lambda t: F.array_contains(toks, t))))
     score = F.when(F.size(themes) == 0, F.lit(None)).otherwise(hit / F.size(themes))
     return j.select("doc_id", F.round(score, 4).alias("score"), KW.relevance_band(score).alias("band"),
                     (score >= 0.5).alias("relevant"))
