@@ -17,7 +17,22 @@ TABLES = (
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin redistribute a scan that cannot use the cluster's cores.
+
+    A parquet file with one large row group is read by a single task no
+    matter how it is split, and the text operators on it are CPU-bound.
+    Only when the scan has fewer partitions than the default parallelism is
+    the data redistributed (one small shuffle); on a cluster reading many
+    files this is a no-op.  Filters and column pruning still reach the scan.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
 
 
 def register_all(spark: SparkSession, sf_dir: str) -> None:
