@@ -10,7 +10,8 @@ compiled once per literal).  The reference patterns are written for RE2
   Unicode space set.
 * RE2 ``.`` excludes only ``\\n`` (Java ``(?d)``); JS ``.`` excludes
   ``\\n \\r U+2028 U+2029`` (Java's default also excludes U+0085).
-* ``(?i)`` adds Java's Unicode case folding (``u``).
+* RE2 ``(?i)`` folds Unicode (``ſ`` matches ``s``): Java ``(?iu)``; JS ``/i``
+  (no ``u``) folds ASCII only: Java ``(?i)``.
 """
 
 from __future__ import annotations
@@ -149,7 +150,25 @@ UI_INJECTION_PATTERNS = [
 
 _RE2_SPACE = r"\t\n\f\r "
 _JS_SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-_ASCII_BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+# ASCII word char, never case-folded (RE2 / JS word boundaries do not fold)
+_W = r"(?-iu:[A-Za-z0-9_])"
+_ASCII_BOUNDARY = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+_WORD_START = rf"(?<!{_W})"  # \b where the next char is a word char
+_WORD_END = rf"(?!{_W})"     # \b where the previous char is a word char
+
+# a group of plain-word alternatives, e.g. (SELECT|INSERT) or (?:or|and)
+_WORD_GROUP = r"\((?:\?:)?[A-Za-z0-9_]+(?:\|[A-Za-z0-9_]+)*\)"
+
+
+def _boundary(p: str, i: int) -> str:
+    """Cheapest exact form of the ``\b`` at p[i:i+2] given its neighbours."""
+    import re as _re
+    after, before = p[i + 2:], p[:i]
+    if _re.match(r"[A-Za-z0-9_]", after) or _re.match(_WORD_GROUP, after):
+        return _WORD_START
+    if _re.search(r"(?<!\\)[A-Za-z0-9_]$", before) or _re.search(_WORD_GROUP + "$", before):
+        return _WORD_END
+    return _ASCII_BOUNDARY
 _JS_DOT = r"[^\n\r\x{2028}\x{2029}]"
 
 
@@ -164,7 +183,7 @@ def _translate(p: str, space: str, dot: str | None) -> str:
             elif nxt == "S":
                 out.append(f"[^{space}]")
             elif nxt == "b" and not depth:
-                out.append(_ASCII_BOUNDARY)
+                out.append(_boundary(p, i))
             elif nxt == "w":
                 out.append("A-Za-z0-9_" if depth else "[A-Za-z0-9_]")
             elif nxt == "d":
@@ -203,7 +222,8 @@ def re2_to_java(p: str) -> str:
 
 def js_to_java(source: str, flags: str) -> str:
     """JavaScript regex literal (source, flags) -> java.util.regex pattern."""
-    prefix = "(?iu)" if "i" in flags else ""
+    # JS /i without /u folds ASCII only (non-ASCII never maps onto ASCII)
+    prefix = "(?i)" if "i" in flags else ""
     return prefix + _translate(source, _JS_SPACE, _JS_DOT)
 
 

@@ -31,18 +31,22 @@ def injection_scan(df: DataFrame, text_col: str = "text", patterns: list[str] |
 def injection_scan_families(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Browser-side list: (n_hits, first_pattern, families) per row.
 
-    ``families`` lists, in table order, the families with at least one hit.
+    Every pattern is evaluated once into a 0/1 hit vector; the count, the
+    first hit and the families are read from that vector.  ``families``
+    lists, in table order, the families with at least one hit.
     """
     t = F.col(text_col)
-    hits = [t.rlike(p).cast("int") for _, p in R.UI_JAVA]
+    hits = df.select("*", F.array(*[t.rlike(p).cast("int") for _, p in R.UI_JAVA]).alias("_hits"))
+    h = F.col("_hits")
     fam_hit = []
     for fam in R.UI_FAMILIES:
         idx = [i for i, (f, _) in enumerate(R.UI_JAVA) if f == fam]
-        any_hit = F.greatest(*[hits[i] for i in idx]) if len(idx) > 1 else hits[idx[0]]
-        fam_hit.append(F.when(any_hit == 1, F.lit(fam)))
-    return df.select(
-        "*",
-        sum(hits[1:], hits[0]).alias("n_hits"),
-        first_match(t, [p for _, p in R.UI_JAVA]).alias("first_pattern"),
+        fam_hit.append(F.when(F.greatest(*[h[i] for i in idx]) == 1, F.lit(fam)) if len(idx) > 1
+                       else F.when(h[idx[0]] == 1, F.lit(fam)))
+    first = F.array_position(h, 1)
+    return hits.select(
+        *df.columns,
+        F.aggregate(h, F.lit(0), lambda a, x: a + x).alias("n_hits"),
+        F.when(first > 0, first.cast("int")).alias("first_pattern"),
         F.concat_ws(",", *fam_hit).alias("families"),
     )
