@@ -19,7 +19,15 @@ TOP = 5
 
 
 def terms(spark, sf_dir):
-    return KW.topk_terms(A.articles(spark, sf_dir), "id", "text", TOP)
+    """Top-5 terms per article, materialised once (reliable checkpoint).
+
+    The table is small (<= 5 rows per article) and is read by several
+    actions of the same query (broadcast blocks, id numbering, the main
+    job); without the checkpoint each action would re-tokenise the corpus.
+    """
+    from inkstone.session import checkpoint_dir
+    checkpoint_dir(spark)
+    return KW.topk_terms(A.articles(spark, sf_dir), "id", "text", TOP).checkpoint(eager=True)
 
 
 def themes_by_doc(spark, sf_dir):
