@@ -28,8 +28,10 @@ def norm(a: Column) -> Column:
 def unit(a: Column) -> Column:
     """a / ||a|| (NaN for a zero vector).  The norm is a fold result bound to a
     lambda variable, so it is computed once per row, not once per element."""
+    nan = F.lit(float("nan"))
     return F.aggregate(a, F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"),
-                       lambda s: F.transform(a, lambda x: x.cast("double") / F.sqrt(s)))
+                       lambda s: F.transform(a, lambda x: F.when(s > 0, x.cast("double") / F.sqrt(s))
+                                             .otherwise(nan)))
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -39,7 +41,9 @@ def l2(a: Column, b: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     """``a <=> b``: 1 - cos(a, b).  NaN when either vector has zero norm."""
-    return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
+    den = norm(a) * norm(b)
+    # pgvector returns NaN for a zero vector; ANSI division would raise instead
+    return F.when(den == 0, F.lit(float("nan"))).otherwise(F.lit(1.0) - dot(a, b) / den)
 
 
 def neg_inner_product(a: Column, b: Column) -> Column:

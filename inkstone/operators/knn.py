@@ -225,8 +225,13 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos
     def unit(c):
         return V.unit(c) if metric == "cosine" else c
 
-    c = corpus.filter(V.is_valid(F.col(vec_col))).withColumn("_u", array_to_vector(unit(F.col(vec_col))))
-    q = queries.filter(V.is_valid(F.col(qvec))).withColumn("_u", array_to_vector(unit(F.col(qvec))))
+    def hashable(df, col):
+        # zero vectors have no direction: cosine is undefined (NaN), they cannot be hashed
+        ok = V.is_valid(F.col(col))
+        return df.filter(ok & (V.norm(F.col(col)) > 0) if metric == "cosine" else ok)
+
+    c = hashable(corpus, vec_col).withColumn("_u", array_to_vector(unit(F.col(vec_col))))
+    q = hashable(queries, qvec).withColumn("_u", array_to_vector(unit(F.col(qvec))))
     lsh = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=bucket_length,
                                       numHashTables=num_tables, seed=seed).fit(c.select("_u").limit(1))
 
