@@ -78,7 +78,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(
         F.col("vec_id").alias("id"),
-        (F.col("vec_id") / 5).cast("long").alias("article_id"),
+        F.expr("vec_id div 5").cast("long").alias("article_id"),  # integer division, exact for any id
         F.col("vec_id").alias("chunk_id"),
         (F.col("label") % 2).cast("int").alias("model_id"),
         F.col("embedding").alias("vector"),
