@@ -41,3 +41,23 @@ def test_assemble_cuts(spark):
     pages = spark.createDataFrame(PAGES[:1], "id long, url string, html string")
     a = PG.assemble(PG.extract(pages)).first()
     assert a.content == "one boldtwo" and a.cuts == [8, 11] and a.source == "user"
+
+
+def test_sink_and_known_keys(spark, sf):
+    import tempfile
+
+    from inkstone.plans import q_pages
+    from inkstone.sources import sinks
+    d = tempfile.mkdtemp(prefix="sink-", dir="/tmp")
+    rec = q_pages.sink_records(spark, sf)
+    sinks.write_records(rec, d)
+    keys = {r.key for r in sinks.known_keys(spark, d).collect()}
+    exp = {r.key for r in q_pages.known_pages(spark, sf).collect()}
+    assert keys == exp and len(keys) > 0
+
+
+def test_sql_surface(spark, sf):
+    from inkstone.plans import sql
+    assert "articles" in sql.register(spark, sf)
+    n = spark.sql("SELECT count(*) AS n FROM articles a JOIN chunks c ON c.article_id = a.id").first().n
+    assert n > 0
