@@ -12,7 +12,7 @@ articles AS (
   SELECT id, title, url, source, party, paragraphs,
          array_to_string(paragraphs, '') AS content,
          list_transform(generate_series(1, len(paragraphs)),
-                        lambda i: CAST(strlen(array_to_string(paragraphs[1:i], '')) AS INTEGER)) AS cuts,
+                        lambda i: CAST(strlen(array_to_string(paragraphs[1:i], '')) AS BIGINT)) AS cuts,
          to_base64(unhex(md5(title || url || strftime(published_at, '%Y-%m-%d')))) AS md5,
          published_at, lang, text
   FROM (
@@ -20,7 +20,7 @@ articles AS (
            trim(split_part(text, chr(10), 1)) AS title,
            'https://' || source || '.example.com/article/' || CAST(doc_id % 97 AS VARCHAR) AS url,
            source,
-           ['none', 'KMT', 'DPP', 'TPP'][CAST(doc_id % 4 AS INTEGER) + 1] AS party,
+           ['none', 'KMT', 'DPP', 'TPP'][CAST(doc_id % 4 AS BIGINT) + 1] AS party,
            list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS paragraphs,
            lang,
            TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS published_at,
@@ -31,14 +31,14 @@ articles AS (
     "vecs": r"""
 vecs AS (
   SELECT vec_id AS id, CAST(vec_id // 5 AS BIGINT) AS article_id, vec_id AS chunk_id,
-         CAST(label % 2 AS INTEGER) AS model_id, embedding AS vector
+         CAST(label % 2 AS BIGINT) AS model_id, embedding AS vector
   FROM embeddings
 )""",
     "models": r"""
 models AS (
   SELECT id, 'model-' || CAST(id AS VARCHAR) AS name,
          TIMESTAMP '2024-01-01 00:00:00' + to_days(id) AS created_at
-  FROM (SELECT DISTINCT CAST(label % 2 AS INTEGER) AS id FROM embeddings)
+  FROM (SELECT DISTINCT CAST(label % 2 AS BIGINT) AS id FROM embeddings)
 )""",
     "press": r"""
 press AS (SELECT item_id AS id, text AS content FROM benchmark)""",

@@ -55,7 +55,7 @@ def _chunk_inputs(spark, sf_dir):
 SELECT request_no,
        'embed-{NOW}-{JOB}-' || lpad(CAST(request_no AS VARCHAR), CAST(length(CAST((SELECT n FROM nreq) AS VARCHAR)) AS INTEGER), '0')
          AS custom_id,
-       count(*) AS n_inputs, sum(length(input)) AS input_chars
+       count(*) AS n_inputs, CAST(sum(length(input)) AS BIGINT) AS input_chars
 FROM num GROUP BY request_no
 """, views=("articles",))
 def batch_requests(spark, sf_dir):
@@ -97,7 +97,7 @@ _RESULTS_SQL = f"""
 , num AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) AS seq FROM embeddings)
 , nreq AS (SELECT CAST(ceil(count(*) / {PER_REQUEST}) AS BIGINT) AS n FROM embeddings)
 , g AS (SELECT vec_id, label, embedding, (seq - 1) // {PER_REQUEST} AS request_no,
-               CAST((seq - 1) % {PER_REQUEST} AS INTEGER) AS idx FROM num)
+               CAST((seq - 1) % {PER_REQUEST} AS BIGINT) AS idx FROM num)
 , req AS (SELECT request_no, arg_min(label, idx) = 9 AS cancelled,
                  'embed-{NOW}-{JOB}-' || lpad(CAST(request_no AS VARCHAR), CAST(length(CAST((SELECT n FROM nreq) AS VARCHAR)) AS INTEGER), '0')
                    AS custom_id

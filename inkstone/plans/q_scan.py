@@ -12,8 +12,8 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_GO_CASE = "CASE " + " ".join(
-    f"WHEN regexp_matches(text, {_q(p)}) THEN {i}" for i, p in enumerate(R.GO_INJECTION_PATTERNS, 1)) + " END"
+_GO_CASE = "CAST(CASE " + " ".join(
+    f"WHEN regexp_matches(text, {_q(p)}) THEN {i}" for i, p in enumerate(R.GO_INJECTION_PATTERNS, 1)) + " END AS BIGINT)"
 
 
 @register("injection_scan", f"""
@@ -27,9 +27,9 @@ def injection_scan(spark, sf_dir):
 
 
 _UI_RE2 = [(f, R.js_to_re2(s, fl)) for f, s, fl in R.UI_INJECTION_PATTERNS]
-_UI_HITS = " + ".join(f"CAST(regexp_matches(text, {_q(p)}) AS INTEGER)" for _, p in _UI_RE2)
-_UI_FIRST = "CASE " + " ".join(
-    f"WHEN regexp_matches(text, {_q(p)}) THEN {i}" for i, (_, p) in enumerate(_UI_RE2, 1)) + " END"
+_UI_HITS = " + ".join(f"CAST(regexp_matches(text, {_q(p)}) AS BIGINT)" for _, p in _UI_RE2)
+_UI_FIRST = "CAST(CASE " + " ".join(
+    f"WHEN regexp_matches(text, {_q(p)}) THEN {i}" for i, (_, p) in enumerate(_UI_RE2, 1)) + " END AS BIGINT)"
 _UI_FAMS = "concat_ws(',', " + ", ".join(
     "CASE WHEN " + " OR ".join(f"regexp_matches(text, {_q(p)})" for f2, p in _UI_RE2 if f2 == fam)
     + f" THEN {_q(fam)} END" for fam in R.UI_FAMILIES) + ")"

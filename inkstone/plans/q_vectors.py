@@ -45,7 +45,7 @@ def _centroid_sql(dist):
 
 _VECS = """vecs AS (
   SELECT vec_id AS id, CAST(vec_id // 5 AS BIGINT) AS article_id, vec_id AS chunk_id,
-         CAST(label % 2 AS INTEGER) AS model_id, embedding AS vector
+         CAST(label % 2 AS BIGINT) AS model_id, embedding AS vector
   FROM embeddings)"""
 
 _DV = "CAST(v.vector AS DOUBLE[])"
@@ -122,7 +122,7 @@ def avg_embedding_by_article(spark, sf_dir):
   GROUP BY article_id, model_id)
 SELECT r.article_id, r.model_id,
        array_to_string(list_transform(m.avg_vector, lambda x: CAST(round(x * 10000) AS BIGINT)), ',') AS avg_vector
-FROM (SELECT id AS article_id, CAST(id % 2 AS INTEGER) AS model_id FROM articles) r
+FROM (SELECT id AS article_id, CAST(id % 2 AS BIGINT) AS model_id FROM articles) r
 LEFT JOIN means m USING (article_id, model_id)
 """, views=("vecs", "articles"))
 def avg_embedding(spark, sf_dir):
@@ -151,7 +151,7 @@ DIM = 64
 
 
 @register("dimension_check", """
-SELECT id, CAST(coalesce(len(vector), -1) AS INTEGER) AS dim,
+SELECT id, CAST(coalesce(len(vector), -1) AS BIGINT) AS dim,
        CASE WHEN vector IS NOT NULL AND len(vector) = 64 THEN 'ok' ELSE 'rejected' END AS status
 FROM vecs
 """, views=("vecs",))

@@ -8,6 +8,8 @@ from inkstone.sources.tables import TABLES
 from tools.check import canon
 
 QUERIES = E.queries()
+TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+         "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
 ORACLE = E.oracle_sql()
 
 
@@ -40,3 +42,8 @@ def test_query_matches_oracle(spark, sf, con, name):
     cols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(cols)
     assert canon(df.columns, rows) == canon(cols, res.fetchall())
+    # same column types as the SQL twin (integers are 64-bit on both sides)
+    duck = {r[0]: r[1] for r in con.execute(f"DESCRIBE {ORACLE[name]}").fetchall()}
+    spark_t = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    for c, t in spark_t.items():
+        assert TYPES.get(t, t) == duck[c], (c, t, duck[c])
