@@ -101,3 +101,31 @@ def message_sink(commands: DataFrame, path: str, name: str = "publish", trigger:
     return (out.writeStream.format("json").partitionBy("subject").option("path", path)
             .option("checkpointLocation", checkpoint_for(spark, name))
             .trigger(**(trigger or {"availableNow": True})).start())
+
+
+CACHE_TTL = "60 minutes"  # submitted-text cache lifetime
+
+
+def content_cache_hits(wire: DataFrame, ttl: str = CACHE_TTL) -> DataFrame:
+    """Processing steps whose task cached its content within ``ttl`` before them.
+
+    A stream-stream left-semi join: both sides carry a watermark of ``ttl``,
+    so the join state holds at most one TTL of cache entries and steps.
+    """
+    parsed = with_event_time(CM.parse(wire)).filter(F.col("reason").isNull())
+    cache = (parsed.filter(F.col("subject") == CM.TASK_CREATED)
+             .select(F.col("m")["task_id"].alias("c_task"), F.col("event_at").alias("cached_at"))
+             .withWatermark("cached_at", ttl))
+    steps = (parsed.filter((F.col("subject") == CM.TASK_UPDATE_STATUS) & (F.col("m")["status"] == "processing"))
+             .select("event_id", F.col("m")["task_id"].alias("task_id"), "event_at")
+             .withWatermark("event_at", ttl))
+    cond = F.expr(f"c_task = task_id AND cached_at <= event_at AND cached_at >= event_at - INTERVAL {ttl}")
+    return steps.join(cache, cond, "left_semi")
+
+
+def content_cache_job(wire: DataFrame, out_path: str, name: str = "content-cache",
+                      trigger: dict | None = None) -> StreamingQuery:
+    spark = wire.sparkSession
+    return (content_cache_hits(wire).writeStream.outputMode("append").foreachBatch(_epoch_sink(out_path))
+            .option("checkpointLocation", checkpoint_for(spark, name))
+            .trigger(**(trigger or {"availableNow": True})).start())

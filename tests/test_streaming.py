@@ -95,3 +95,31 @@ def test_embed_with_states(spark):
     py = EM.hashed_fn(8)([x.text for x in hashed])
     for row, vec in zip(hashed, py):
         assert [round(a, 9) for a in row.vector] == [round(b, 9) for b in vec]
+
+
+def test_content_cache_stream_matches_batch(spark, wire_dir):
+    out = tempfile.mkdtemp(prefix="cc-", dir="/tmp")
+    q = J.content_cache_job(J.read_wire(spark, wire_dir), out, name="t-cache")
+    q.awaitTermination()
+    got = {r.event_id for r in spark.read.parquet(out).collect()}
+    # batch form on the same valid messages
+    p = J.with_event_time(CM.parse(spark.read.json(wire_dir))).filter("reason IS NULL").dropDuplicates(["event_id"])
+    cache = p.filter(F.col("subject") == CM.TASK_CREATED).select(
+        F.col("m")["task_id"].alias("c_task"), F.col("event_at").alias("cached_at"))
+    steps = p.filter((F.col("subject") == CM.TASK_UPDATE_STATUS) & (F.col("m")["status"] == "processing")).select(
+        "event_id", F.col("m")["task_id"].alias("task_id"), "event_at")
+    cond = F.expr("c_task = task_id AND cached_at <= event_at AND cached_at >= event_at - INTERVAL 60 minutes")
+    exp = {r.event_id for r in steps.join(cache, cond, "left_semi").collect()}
+    assert got and got == exp
+
+
+def test_message_sink_partitions_by_subject(spark, wire_dir):
+    out = tempfile.mkdtemp(prefix="pub-", dir="/tmp")
+    good = CM.parse(J.read_wire(spark, wire_dir)).filter("reason IS NULL").select("event_id", "subject", "data")
+    q = J.message_sink(good, out, name="t-publish")
+    q.awaitTermination()
+    back = spark.read.json(out)
+    assert set(r.subject for r in back.select("subject").distinct().collect()) <= {
+        CM.TASK_CREATED, CM.TASK_UPDATE_STATUS, CM.TASK_FAILED, CM.TASK_LOG}
+    exp = CM.parse(spark.read.json(wire_dir)).filter("reason IS NULL").count()
+    assert back.count() == exp
