@@ -67,7 +67,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        # Only reached when nothing is configured, i.e. local tests.
+        if not sc.master.startswith("local"):
+            # a machine-local folder is not shared by executors and is lost with them
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
+        # local mode without a configured folder (tests): a private scratch folder
         d = tempfile.mkdtemp(prefix="inkstone-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
