@@ -47,16 +47,17 @@ def build(master: str | None = None, app: str = "inkstone", shuffle_partitions:
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply defaults that are unset and make sure a checkpoint dir exists.
+    """Apply defaults that are unset.
 
-    The checkpoint directory is read from ``spark.checkpoint.dir``; only when
-    the session has none (local tests) do we create a private scratch folder.
+    The checkpoint directory (``checkpoint_dir``) is read from
+    ``spark.checkpoint.dir``; only in local mode without one (tests) is a
+    private scratch folder created.
     """
     conf = spark.conf
     for k, v in DEFAULTS.items():
         if conf.get(k, None) is None:
             conf.set(k, v)
-    checkpoint_dir(spark)
+    # the checkpoint folder is resolved lazily by the jobs that checkpoint
     return spark
 
 
