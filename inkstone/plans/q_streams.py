@@ -57,9 +57,11 @@ SELECT 'event-' || CAST(event_id AS VARCHAR) AS event_key, subject AS event,
        CASE WHEN source = 'url' THEN 'task.scrape' ELSE 'task.generate_title' END AS command
 FROM wire WHERE subject = 'task.created' AND reason IS NULL
 UNION ALL
-SELECT 'page-' || CAST(page_id AS VARCHAR), 'article.scraped', c.command
-FROM pages, (VALUES ('task.extract.keyword'), ('task.create.embedding')) c(command)
-WHERE regexp_matches(html, '(?s)<article>.*?<p>')
+SELECT 'page-' || CAST(page_id AS VARCHAR), 'article.scraped', 'task.extract.keyword'
+FROM pages WHERE regexp_matches(html, '(?s)<article>.*?<p>')
+UNION ALL
+SELECT 'page-' || CAST(page_id AS VARCHAR), 'article.scraped', 'task.create.embedding'
+FROM pages WHERE regexp_matches(html, '(?s)<article>.*?<p>')
 """, views=("messages",))
 def route_events(spark, sf_dir):
     """2.12.3: next command per event: task.created by source, article.scraped fans out to two.
