@@ -151,7 +151,7 @@ def stage_latency(spark, sf_dir):
     """2.12.9: elapsed ms from a task's previous event to each event, per subject.
 
     Previous event via ``with_previous`` (equi-join on the global sequence),
-    then partial aggregates per subject; p50 is approximate.
+    then partial aggregates per subject.
     """
     m = A.messages(spark, sf_dir).select("event_id", "task_id", "subject", "event_at")
     p = SQ.with_previous(m, "task_id", ["event_at", "event_id"], ["event_at"])
