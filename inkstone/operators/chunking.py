@@ -89,6 +89,44 @@ def paragraph_offsets(df: DataFrame, paragraphs_col: str = "paragraphs", id_col:
             .select("article_id", "chunk_no", "c.*"))
 
 
+def paragraph_chunks(df: DataFrame, paragraphs_col: str = "paragraphs", id_col: str = "id",
+                     size: int = 256, overlap: int = 32) -> DataFrame:
+    """2.6.2 + 2.6.3 in one pass: offsets and the four text parts of every chunk.
+
+    Chunks never cross paragraphs, so each text is cut from its own
+    paragraph inside the row: no join back to the article text (which would
+    shuffle the whole corpus) and substrings scan a paragraph, not the article.
+    (article_id, chunk_no, start, offset_left, offset_right, end, chunk,
+    left_overlap, unique, right_overlap)
+    """
+    check_params(size, overlap)
+    paras = F.col(paragraphs_col)
+    starts = paragraph_starts(paras)
+
+    def per_para(z):
+        def cut(p, base):
+            offs = _offsets_in(F.length(p), F.lit(0), size, overlap)
+
+            def one(o):
+                s, e, ol, orr = o["start"], o["end"], o["offset_left"], o["offset_right"]
+                return F.struct(
+                    (base + s).cast("int").alias("start"), ol.alias("offset_left"), orr.alias("offset_right"),
+                    (base + e).cast("int").alias("end"),
+                    F.substring(p, s + 1, e - s).alias("chunk"),
+                    F.when(ol > 0, F.substring(p, s + 1, ol)).otherwise(F.lit("")).alias("left_overlap"),
+                    F.substring(p, s + ol + 1, orr - ol).alias("unique"),
+                    F.when(orr < e - s, F.substring(p, s + orr + 1, e - s - orr)).otherwise(F.lit(""))
+                    .alias("right_overlap"))
+
+            return F.transform(offs, one)
+
+        return let2(z["p"], z["s"], cut)
+
+    arr = F.flatten(F.transform(F.arrays_zip(paras.alias("p"), starts.alias("s")), per_para))
+    return (df.select(F.col(id_col).alias("article_id"), F.posexplode(arr).alias("chunk_no", "c"))
+            .select("article_id", "chunk_no", "c.*"))
+
+
 def parts(chunks: DataFrame, articles: DataFrame, content_col: str = "content") -> DataFrame:
     """2.3.1 + 2.6.3: join chunks to their article text and cut the four parts.
 

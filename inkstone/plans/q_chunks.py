@@ -75,8 +75,9 @@ SELECT c.article_id, c.chunk_no, c.start, c."end",
 FROM articles a JOIN chunks c ON a.id = c.article_id
 """, views=("articles",))
 def chunk_parts(spark, sf_dir):
-    """2.6.3: chunk, left overlap, unique part, right overlap."""
-    return C.parts(_chunks(spark, sf_dir), A.articles(spark, sf_dir))
+    """2.6.3: chunk, left overlap, unique part, right overlap (cut inside each paragraph)."""
+    return C.paragraph_chunks(A.articles(spark, sf_dir), size=SIZE, overlap=OVERLAP).select(
+        "article_id", "chunk_no", "start", "end", "chunk", "left_overlap", "unique", "right_overlap")
 
 
 @register("chunk_text", """

@@ -40,8 +40,7 @@ def paragraphs_from_text(spark, sf_dir):
 
 
 def _chunk_inputs(spark, sf_dir):
-    arts = A.articles(spark, sf_dir)
-    parts = C.parts(C.paragraph_offsets(arts), arts)
+    parts = C.paragraph_chunks(A.articles(spark, sf_dir))
     return parts.select("article_id", "chunk_no", F.concat(F.lit(PASSAGE), F.col("chunk")).alias("input"))
 
 

@@ -176,8 +176,7 @@ def knn_approx(spark, sf_dir):
 
 def _chunk_texts(spark, sf_dir):
     from inkstone.operators import chunking as C
-    arts = A.articles(spark, sf_dir)
-    p = C.parts(C.paragraph_offsets(arts), arts)
+    p = C.paragraph_chunks(A.articles(spark, sf_dir))
     return p.select("article_id", "chunk_no", "start", F.col("chunk").alias("text"))
 
 
@@ -233,11 +232,8 @@ def article_pipeline(spark, sf_dir):
     from inkstone.operators import tables as TB
     from inkstone.operators import chunking as C
     arts = A.articles(spark, sf_dir)
-    offs = C.paragraph_offsets(arts)
-    chunks = TB.sequential_ids(offs, ["article_id", "start"], "chunk_id")
-    texts = C.parts(chunks.withColumnRenamed("chunk_id", "cid"), arts).join(
-        chunks.select("article_id", "chunk_no", "chunk_id"), ["article_id", "chunk_no"])
-    emb = EM.embed_hashed(texts.select("article_id", "chunk_id", F.col("chunk").alias("text")), "text", DIM)
+    chunks = TB.sequential_ids(C.paragraph_chunks(arts), ["article_id", "start"], "chunk_id")
+    emb = EM.embed_hashed(chunks.select("article_id", "chunk_id", F.col("chunk").alias("text")), "text", DIM)
     new = emb.select("article_id", "chunk_id", F.lit(0).alias("model_id"), "vector")
     ins = TB.insert_if_absent(new, A.vectors(spark, sf_dir), ["article_id", "chunk_id", "model_id"])
     per_chunk = chunks.groupBy("article_id").agg(F.count("*").alias("n_chunks"))

@@ -130,3 +130,12 @@ def test_split_without_cuts_is_whole_text(spark):
 def test_paragraph_starts(spark):
     df = spark.createDataFrame([(["ab", "", "新聞x"],)], "p array<string>")
     assert df.select(C.paragraph_starts(F.col("p")).alias("s")).first().s == [0, 2, 2]
+
+
+def test_paragraph_chunks_equal_join_based_parts(spark):
+    paras = ["新" * 300, "", "ab", "c" * 600, "Ünïcødé " * 40]
+    arts = spark.createDataFrame([(5, paras, "".join(paras))], "id long, paragraphs array<string>, content string")
+    inline = C.paragraph_chunks(arts).orderBy("chunk_no").collect()
+    joined = C.parts(C.paragraph_offsets(arts), arts).orderBy("chunk_no").collect()
+    cols = ["start", "end", "chunk", "left_overlap", "unique", "right_overlap"]
+    assert [[r[c] for c in cols] for r in inline] == [[r[c] for c in cols] for r in joined]
