@@ -22,6 +22,10 @@ DEFAULTS = {
     # Arrow batches for mapInPandas: bounded so one batch of long texts
     # (20k-word documents) stays well inside executor memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    # streaming state (one row per task, dedupe keys within the horizon) lives in
+    # RocksDB off-heap instead of executor heap maps
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
