@@ -4,11 +4,12 @@
   (TakeOrderedAndProject: every partition keeps k rows, the driver merges).
 * ``knn_per_key`` — one query vector per key (e.g. a model centroid), joined
   on that key; top-k per key through a window that Spark limits map-side.
-* ``knn_join`` — many queries x corpus.  Pairs are never materialised as rows:
-  the (size-checked) query matrix is broadcast, each corpus partition computes
-  distances with numpy and keeps only a running top-k per query, then a
-  window picks the global top-k from <= k x partitions candidates per query.
-  A query side above the broadcast bound is processed in bounded blocks.
+* ``knn_join`` — many queries x corpus.  Pairs are never materialised as rows.
+  The smaller side is broadcast (size-checked).  Corpus broadcast: query
+  partitions compute each query's complete top-k in one task.  Query
+  broadcast: each corpus partition keeps a running top-k per query and a
+  window picks the global top-k from <= k x partitions candidates per query;
+  a query side above the bound is processed in bounded blocks.
 * ``knn_approx`` — LSH candidate generation + exact re-rank.
 """
 
@@ -26,6 +27,8 @@ from inkstone.functions import vectors as V
 
 # Upper bound on the query matrix shipped to every task (float64 bytes).
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
+# Upper bound on exact-join passes over the corpus (one per query block).
+MAX_BLOCKS = 4096
 # Max distance-matrix cells computed at once inside one task.
 _CELLS = 2_000_000
 
@@ -150,6 +153,71 @@ def _partial_topk(bq, k: int, metric: str, exclude_self: bool):
     return run
 
 
+def _full_topk(bc, k: int, metric: str, exclude_self: bool):
+    """mapInPandas body over query partitions against a broadcast corpus: the
+    complete top-k of every query, ranked in the task (no merge step)."""
+
+    def run(batches):
+        corpus = bc.value  # model -> (ids, article_ids, matrix, norms)
+        for pdf in batches:
+            outs = []
+            for m, grp in pdf.groupby("model_id", sort=False):
+                m = int(m)
+                if m not in corpus:
+                    continue
+                cids, caid, cm, cn = corpus[m]
+                qm = _matrix(grp["query_vector"])
+                if qm.shape[1] != cm.shape[1]:
+                    continue
+                qids = grp["query_id"].to_numpy(np.int64)
+                qn = np.sqrt((qm * qm).sum(axis=1))
+                step = max(1, _CELLS // max(1, len(cids)))
+                for s in range(0, len(qids), step):
+                    qs, qi = qm[s:s + step], qids[s:s + step]
+                    d = _dist_matrix(metric, qs, qn[s:s + step], cm, cn)
+                    skip = (qi[:, None] == cids[None, :]) if exclude_self else None
+                    if skip is not None:
+                        d[skip] = np.inf
+                    order = _smallest(d, np.broadcast_to(cids, d.shape), k)
+                    ex = _exact(metric, qs[:, None, :], cm[order])
+                    if skip is not None:
+                        ex[np.take_along_axis(skip, order, axis=1)] = np.inf
+                    ids, aids = cids[order], caid[order]
+                    o = _smallest(ex, ids, k)
+                    ex, ids, aids = (np.take_along_axis(a, o, axis=1) for a in (ex, ids, aids))
+                    n_q, kk = ex.shape
+                    keep = ~np.isinf(ex.ravel())
+                    rank = np.tile(np.arange(1, kk + 1), n_q)
+                    # ranks count only kept neighbours (excluded self sorts last as inf)
+                    outs.append(pd.DataFrame({
+                        "query_id": np.repeat(qi, kk)[keep], "id": ids.ravel()[keep],
+                        "article_id": aids.ravel()[keep], "distance": ex.ravel()[keep],
+                        "rank": rank[keep].astype(np.int32)}))
+            if outs:
+                yield pd.concat(outs, ignore_index=True)
+
+    return run
+
+
+def _collect_corpus(corpus: DataFrame, vec_col: str, model: str):
+    pdf = corpus.select("id", "article_id", model, vec_col).toPandas()
+    out = {}
+    for m, grp in pdf.groupby(model, sort=False):
+        mat = _matrix(grp[vec_col])
+        out[int(m)] = (grp["id"].to_numpy(np.int64), grp["article_id"].to_numpy(np.int64), mat,
+                       np.sqrt((mat * mat).sum(axis=1)))
+    return out
+
+
+_FULL_SCHEMA = T.StructType([
+    T.StructField("query_id", T.LongType()),
+    T.StructField("id", T.LongType()),
+    T.StructField("article_id", T.LongType()),
+    T.StructField("distance", T.DoubleType()),
+    T.StructField("rank", T.IntegerType()),
+])
+
+
 def _collect_queries(queries: DataFrame, qid: str, qvec: str, model: str):
     pdf = queries.select(qid, model, qvec).toPandas()
     out = {}
@@ -189,10 +257,23 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
         raise ValueError(f"metric must be one of {V.METRICS}")
     spark = corpus.sparkSession
     queries = queries.filter(V.is_valid(F.col(qvec)))
-    stats = queries.agg(F.count("*").alias("n"), F.max(F.size(qvec)).alias("dim")).first()
-    n, dim = int(stats["n"] or 0), int(stats["dim"] or 0)
-    est_bytes = n * max(dim, 1) * 8 * 2
-    blocks = max(1, math.ceil(est_bytes / max_broadcast_bytes))
+    corpus = corpus.filter(V.is_valid(F.col(vec_col)))
+    qs = queries.agg(F.count("*").alias("n"), F.max(F.size(qvec)).alias("dim")).first()
+    cs = corpus.agg(F.count("*").alias("n"), F.max(F.size(vec_col)).alias("dim")).first()
+    q_bytes = int(qs["n"] or 0) * max(int(qs["dim"] or 0), 1) * 16
+    c_bytes = int(cs["n"] or 0) * max(int(cs["dim"] or 0), 1) * 16
+    if c_bytes < q_bytes and c_bytes <= max_broadcast_bytes:
+        # the corpus is the small side: broadcast it, stream the queries;
+        # every query's complete top-k is computed in one task, no merge shuffle
+        bc = spark.sparkContext.broadcast(_collect_corpus(corpus, vec_col, model))
+        return (queries.select(F.col(qid).alias("query_id"), F.col(model).alias("model_id"),
+                               F.col(qvec).alias("query_vector"))
+                .mapInPandas(_full_topk(bc, k, metric, exclude_self), _FULL_SCHEMA))
+    blocks = max(1, math.ceil(q_bytes / max_broadcast_bytes))
+    if blocks > MAX_BLOCKS:
+        # each block is one pass over the corpus; refuse rather than plan thousands of passes
+        raise ValueError(f"exact k-NN join needs {blocks} query blocks of {max_broadcast_bytes} bytes; "
+                         "raise max_broadcast_bytes or use knn_approx")
     parts = []
     for b in range(blocks):
         qb = queries if blocks == 1 else queries.filter(

@@ -89,3 +89,24 @@ def test_distance_columns_null_and_zero(spark):
     u = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "a array<double>").select(V.unit(F.col("a")).alias("u"))
     us = [r.u for r in u.collect()]
     assert us[0] == [0.6, 0.8] and all(np.isnan(us[1]))
+
+
+def test_knn_join_corpus_broadcast_path_matches(spark, vecs):
+    v, pdf = vecs
+    q = v.select(F.col("id").alias("query_id"), "model_id", F.col("vector").alias("query_vector"))
+    small = v.filter(F.col("id") % 7 == 0)  # a corpus smaller than the query side
+    got = K.knn_join(q, small, 3, "l2", exclude_self=True).toPandas()        # corpus broadcast
+    # a bound below the corpus size forces the query-broadcast path, in ~9 query blocks
+    forced = K.knn_join(q, small, 3, "l2", exclude_self=True, max_broadcast_bytes=60_000).toPandas()
+    key = lambda df: sorted(zip(df.query_id, df["rank"], df.id))
+    assert key(got) == key(forced)
+    cp = pdf[pdf.id % 7 == 0]
+    exp = []
+    for _, row in pdf.iterrows():
+        c = cp[cp.model_id == row.model_id]
+        cm = np.stack(c.vector.map(lambda a: np.asarray(a, dtype=np.float64)))
+        d = np.sqrt(((cm - np.asarray(row.vector, dtype=np.float64)) ** 2).sum(1))
+        d[c.id.to_numpy() == row.id] = np.inf
+        order = [j for j in np.lexsort((c.id.to_numpy(), d)) if np.isfinite(d[j])][:3]
+        exp += [(row.id, r, c.id.to_numpy()[j]) for r, j in enumerate(order, 1)]
+    assert key(got) == sorted(exp)
