@@ -1,7 +1,8 @@
 """SQL surface: canonical views for ``spark.sql`` users.
 
 ``register(spark, sf_dir)`` exposes the raw tables and the canonical views
-(articles, vecs, models, press, messages, raw_pages, chat, chunks) so the
+(articles, vecs, models, press, messages, raw_pages, chat, chunks,
+avg_embedding) so the
 operators' results can be queried with plain Spark SQL.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from inkstone.operators import chunking as C
+from inkstone.operators import vector_agg as VA
 from inkstone.sources import adapters as A
 from inkstone.sources.tables import register_all
 
@@ -26,6 +28,8 @@ def register(spark: SparkSession, sf_dir: str) -> list[str]:
         "chat": A.chat(spark, sf_dir),
     }
     views["chunks"] = C.paragraph_offsets(views["articles"])
+    # avg_embedding(aid, mid) for SQL users: SELECT avg_vector FROM avg_embedding WHERE ...
+    views["avg_embedding"] = VA.mean_by(views["vecs"], ["article_id", "model_id"])
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return sorted(views)
