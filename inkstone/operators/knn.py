@@ -37,6 +37,15 @@ def _rank_window(partition_col: str, order_cols=("distance", "id")):
     return Window.partitionBy(partition_col).orderBy(*[F.col(c).asc_nulls_last() for c in order_cols])
 
 
+def _final_topk(cand: DataFrame, k: int) -> DataFrame:
+    """Global top-k per query from candidates that may repeat a (query, id) pair
+    (a query under several keys).  ``dense_rank`` over (distance, id) gives a
+    repeated pair one rank, so repeats never take several of the k slots; the
+    repeats are then dropped inside the query partitioning (no extra shuffle)."""
+    ranked = cand.withColumn("rank", F.dense_rank().over(_rank_window("query_id")))
+    return ranked.filter(F.col("rank") <= k).dropDuplicates(["query_id", "id"])
+
+
 def knn(corpus: DataFrame, query: list[float], k: int, metric: str = "l2",
         model_id: int | None = None, vec_col: str = "vector") -> DataFrame:
     """k nearest rows of ``corpus`` to one literal query vector.
@@ -246,11 +255,12 @@ def _join_block(spark, queries_block: DataFrame, corpus: DataFrame, k: int, metr
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
              exclude_self: bool = False, qid: str = "query_id", qvec: str = "query_vector",
              model: str = "model_id", vec_col: str = "vector",
-             max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+             max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, unique_queries: bool = True) -> DataFrame:
     """Top-k corpus rows for every query, matched within the same ``model`` key.
 
     ``model`` names the grouping column present on both sides (the embedding
-    model, or any key such as an LSH bucket).  Returns
+    model, or any key such as an LSH bucket).  ``unique_queries=False`` when a
+    query id appears under several keys (its lists are merged).  Returns
     (query_id, id, article_id, distance, rank).
     """
     if metric not in V.METRICS:
@@ -266,9 +276,10 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
         # the corpus is the small side: broadcast it, stream the queries;
         # every query's complete top-k is computed in one task, no merge shuffle
         bc = spark.sparkContext.broadcast(_collect_corpus(corpus, vec_col, model))
-        return (queries.select(F.col(qid).alias("query_id"), F.col(model).alias("model_id"),
+        full = (queries.select(F.col(qid).alias("query_id"), F.col(model).alias("model_id"),
                                F.col(qvec).alias("query_vector"))
                 .mapInPandas(_full_topk(bc, k, metric, exclude_self), _FULL_SCHEMA))
+        return full if unique_queries else _final_topk(full.drop("rank"), k)
     blocks = max(1, math.ceil(q_bytes / max_broadcast_bytes))
     if blocks > MAX_BLOCKS:
         # each block is one pass over the corpus; refuse rather than plan thousands of passes
@@ -282,14 +293,13 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
-    ranked = cand.withColumn("rank", F.row_number().over(_rank_window("query_id")))
-    return ranked.filter(F.col("rank") <= k)
+    return _final_topk(cand, k)
 
 
 # ---------------------------------------------------------------- approximate
 
 def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
-               bucket_length: float = 0.1, num_tables: int = 8, seed: int = 7,
+               bucket_length: float | None = None, num_tables: int = 8, seed: int = 7,
                qid: str = "query_id", qvec: str = "query_vector", vec_col: str = "vector",
                exclude_self: bool = False) -> DataFrame:
     """LSH candidates + exact re-rank (the HNSW index re-aimed).
@@ -298,7 +308,9 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos
     ``BucketedRandomProjectionLSH``; every (model, table, bucket) becomes a
     join key and the exact broadcast top-k join runs per key, so only
     same-bucket pairs are scored and none are emitted.  Results per query are
-    the best k over all tables (recall < 1 by design).
+    the best k over all tables (recall < 1 by design).  The default bucket
+    width is 1.5 / sqrt(dim): a projection of a unit vector has standard
+    deviation 1 / sqrt(dim), so a table has a handful of buckets.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -313,6 +325,9 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos
 
     c = hashable(corpus, vec_col).withColumn("_u", array_to_vector(unit(F.col(vec_col))))
     q = hashable(queries, qvec).withColumn("_u", array_to_vector(unit(F.col(qvec))))
+    if bucket_length is None:
+        dim = c.select(F.max(F.size(vec_col))).first()[0] or 1
+        bucket_length = 1.5 / math.sqrt(dim)
     lsh = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=bucket_length,
                                       numHashTables=num_tables, seed=seed).fit(c.select("_u").limit(1))
 
@@ -321,11 +336,8 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos
         key = F.xxhash64(F.col(model_col), F.col("_t"), vector_to_array(F.col("_hv"))[0])
         return h.withColumn("_key", key).drop("_u", "_h", "_t", "_hv")
 
-    cand = knn_join(keyed(q, "model_id"), keyed(c, "model_id"), k, metric, exclude_self=exclude_self,
-                    qid=qid, qvec=qvec, model="_key", vec_col=vec_col)
-    best = cand.select(F.col("query_id"), "id", "article_id", "distance").dropDuplicates(["query_id", "id"])
-    w = _rank_window("query_id")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return knn_join(keyed(q, "model_id"), keyed(c, "model_id"), k, metric, exclude_self=exclude_self,
+                    qid=qid, qvec=qvec, model="_key", vec_col=vec_col, unique_queries=False)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
