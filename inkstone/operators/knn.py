@@ -268,10 +268,13 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
     spark = corpus.sparkSession
     queries = queries.filter(V.is_valid(F.col(qvec)))
     corpus = corpus.filter(V.is_valid(F.col(vec_col)))
-    qs = queries.agg(F.count("*").alias("n"), F.max(F.size(qvec)).alias("dim")).first()
-    cs = corpus.agg(F.count("*").alias("n"), F.max(F.size(vec_col)).alias("dim")).first()
-    q_bytes = int(qs["n"] or 0) * max(int(qs["dim"] or 0), 1) * 16
-    c_bytes = int(cs["n"] or 0) * max(int(cs["dim"] or 0), 1) * 16
+    # both sides' sizes in one job: count and max dimension per tagged side
+    sizes = (queries.select(F.lit("q").alias("side"), F.size(qvec).alias("dim"))
+             .unionByName(corpus.select(F.lit("c").alias("side"), F.size(vec_col).alias("dim")))
+             .groupBy("side").agg(F.count("*").alias("n"), F.max("dim").alias("dim")).collect())
+    st = {r["side"]: (int(r["n"] or 0), max(int(r["dim"] or 0), 1)) for r in sizes}
+    q_bytes = st.get("q", (0, 1))[0] * st.get("q", (0, 1))[1] * 16
+    c_bytes = st.get("c", (0, 1))[0] * st.get("c", (0, 1))[1] * 16
     if c_bytes < q_bytes and c_bytes <= max_broadcast_bytes:
         # the corpus is the small side: broadcast it, stream the queries;
         # every query's complete top-k is computed in one task, no merge shuffle
