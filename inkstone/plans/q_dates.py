@@ -92,7 +92,7 @@ def publish_date_cascade(spark, sf_dir):
 
 @register("event_time", """
 SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS event_at,
-       to_timestamp(CAST(floor(epoch(ts)) AS BIGINT))::TIMESTAMP AS event_ts,
+       make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) * 1000000) AS event_ts,
        epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-01 00:00:00') // 1000 AS elapsed_ms
 FROM events
 """)

@@ -61,6 +61,9 @@ def configure(spark: SparkSession) -> SparkSession:
     for k, v in DEFAULTS.items():
         if conf.get(k, None) is None:
             conf.set(k, v)
+    # timestamps are UTC by contract (zone-less parquet values, RFC3339 output);
+    # an unset zone reads back as the JVM default, so pin it explicitly
+    conf.set("spark.sql.session.timeZone", "UTC")
     # the checkpoint folder is resolved lazily by the jobs that checkpoint
     return spark
 
