@@ -39,6 +39,8 @@ def build(master: str | None = None, app: str = "inkstone", shuffle_partitions:
     conf.setdefault("spark.ui.enabled", "false")
     conf.setdefault("spark.ui.showConsoleProgress", "false")
     conf.setdefault("spark.driver.memory", "16g")
+    # remove checkpoint files (numbered intermediates) once nothing references them
+    conf.setdefault("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
