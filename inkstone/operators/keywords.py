@@ -113,6 +113,9 @@ def relevance_band(score: Column) -> Column:
 
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 _PAIR_CAP = 4_000_000  # candidate pairs counted at once in one task
+DEFAULT_HOT_DF = 1_000       # a term in more documents than this is "hot" (absolute: bounds pair work per posting)
+MAX_HOT_TERMS = 4096         # hot-term bitmask width (64 words)
+MAX_GROUPS = 500_000         # (hot-term set, size) groups broadcast for pure-hot matches
 
 _OVERLAP_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
@@ -132,15 +135,28 @@ def _select_topk(q, b, shared, jac, k):
     return q[keep], b[keep], shared[keep], jac[keep]
 
 
+def _masks(sets, bit: dict, words: int) -> np.ndarray:
+    m = np.zeros((len(sets), max(words, 1)), dtype=np.uint64)
+    for i, ts in enumerate(sets):
+        for t in ts:
+            j = bit.get(t)
+            if j is not None:
+                m[i, j >> 6] |= np.uint64(1) << np.uint64(j & 63)
+    return m
+
+
 def _overlap_fn(bq, k: int, exclude_self: bool):
+    """Corpus partitions vs a broadcast query block.  Pairs are enumerated only
+    through non-hot terms; shared hot terms are added with a bitmask popcount."""
+
     def run(batches):
-        qids, qsize, postings = bq.value  # postings: term -> np.array of query row indices
+        qids, qsize, postings, qmask, bit, words = bq.value
         best = None
         for pdf in batches:
             ids = pdf["id"].to_numpy(np.int64)
-            terms = pdf["terms"]
-            bsizes = np.array([len(set(t)) if t is not None else 0 for t in terms], dtype=np.int64)
-            # (query row, corpus row) pairs through the inverted index, in capped slices
+            sets = [set(t) if t is not None else set() for t in pdf["terms"]]
+            bsizes = np.array([len(t) for t in sets], dtype=np.int64)
+            bmask = _masks(sets, bit, words) if words else None
             rows_q, rows_b, n = [], [], 0
 
             def flush():
@@ -152,9 +168,10 @@ def _overlap_fn(bq, k: int, exclude_self: bool):
                 key = qq * (len(ids) + 1) + bb
                 uniq, cnt = np.unique(key, return_counts=True)
                 qi, bi = uniq // (len(ids) + 1), uniq % (len(ids) + 1)
-                bsize = bsizes[bi]
                 shared = cnt.astype(np.int64)
-                jac = shared / (qsize[qi] + bsize - shared)
+                if words:
+                    shared = shared + np.bitwise_count(qmask[qi] & bmask[bi]).sum(axis=1).astype(np.int64)
+                jac = shared / (qsize[qi] + bsizes[bi] - shared)
                 bid = ids[bi]
                 if exclude_self:
                     m = qids[qi] != bid
@@ -167,10 +184,8 @@ def _overlap_fn(bq, k: int, exclude_self: bool):
                 best = _select_topk(qi, bid, shared, jac, k)
                 rows_q, rows_b, n = [], [], 0
 
-            for j, ts in enumerate(terms):
-                if ts is None:
-                    continue
-                for t in set(ts):
+            for j, ts in enumerate(sets):
+                for t in ts:
                     p = postings.get(t)
                     if p is None:
                         continue
@@ -187,37 +202,142 @@ def _overlap_fn(bq, k: int, exclude_self: bool):
     return run
 
 
-def _collect_block(queries: DataFrame):
+def _collect_block(queries: DataFrame, hot: list[str]):
     pdf = queries.select("query_id", "terms").toPandas()
     qids = pdf["query_id"].to_numpy(np.int64)
-    sizes = np.array([len(set(t)) if t is not None else 0 for t in pdf["terms"]], dtype=np.int64)
+    sets = [set(t) if t is not None else set() for t in pdf["terms"]]
+    sizes = np.array([len(t) for t in sets], dtype=np.int64)
+    bit = {t: i for i, t in enumerate(hot)}
+    words = (len(hot) + 63) // 64
+    post: dict = {}
+    for i, ts in enumerate(sets):
+        for t in ts:
+            if t not in bit:  # hot terms are never enumerated pair by pair
+                post.setdefault(t, []).append(i)
+    qmask = _masks(sets, bit, words) if words else None
+    return qids, sizes, {t: np.array(v, dtype=np.int64) for t, v in post.items()}, qmask, bit, words
+
+
+def _group_fn(bg, k: int, exclude_self: bool):
+    """Query partitions vs the broadcast group index: best documents among those
+    that share only hot terms with the query.  Score depends on (shared, size)
+    alone, so each group's k+1 smallest ids suffice (a group member that also
+    shares a rare term is found by the pair kernel with a higher score)."""
+
+    def run(batches):
+        bit, words, gmask, gsize, gids, gpost = bg.value
+        for pdf in batches:
+            out_q, out_b, out_s, out_j = [], [], [], []
+            for qid, ts in zip(pdf["query_id"], pdf["terms"]):
+                tset = set(ts) if ts is not None else set()
+                hot_bits = [bit[t] for t in tset if t in bit]
+                if not hot_bits:
+                    continue
+                cand = np.unique(np.concatenate([gpost[b] for b in hot_bits]))
+                qm = _masks([tset], bit, words)[0]
+                sh = np.bitwise_count(gmask[cand] & qm).sum(axis=1).astype(np.int64)
+                a = len(tset)
+                jac = sh / (a + gsize[cand] - sh)
+                order = np.lexsort((-sh, -jac))
+                got_b, got_s, got_j = [], [], []
+                for oi in order:
+                    g = cand[oi]
+                    if len(got_b) >= k and (jac[oi], sh[oi]) < (got_j[k - 1], got_s[k - 1]):
+                        break
+                    for b in gids[g]:
+                        if exclude_self and b == qid:
+                            continue
+                        got_b.append(b)
+                        got_s.append(sh[oi])
+                        got_j.append(jac[oi])
+                    # keep the running list ordered so got_*[k-1] is the current k-th best
+                    o = np.lexsort((np.array(got_b), -np.array(got_s), -np.array(got_j)))
+                    got_b = [got_b[i] for i in o]
+                    got_s = [got_s[i] for i in o]
+                    got_j = [got_j[i] for i in o]
+                out_q += [qid] * min(k, len(got_b))
+                out_b += got_b[:k]
+                out_s += got_s[:k]
+                out_j += got_j[:k]
+            if out_q:
+                yield pd.DataFrame({"query_id": np.array(out_q, dtype=np.int64), "id": np.array(out_b, dtype=np.int64),
+                                    "shared": np.array(out_s, dtype=np.int64),
+                                    "jaccard": np.array(out_j, dtype=np.float64)})
+
+    return run
+
+
+def _hot_terms(corpus: DataFrame, hot_df: int) -> list[str] | None:
+    """Terms in more than ``hot_df`` corpus documents (None: too many to index)."""
+    df_ = (corpus.select(F.explode(F.array_distinct("terms")).alias("term"))
+           .groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") > hot_df))
+    hot = [r.term for r in df_.orderBy("term").limit(MAX_HOT_TERMS + 1).collect()]
+    return None if len(hot) > MAX_HOT_TERMS else hot
+
+
+def _group_index(corpus: DataFrame, hot: list[str], k: int):
+    """(hot-term set, set size) -> k+1 smallest ids, as broadcast-ready arrays (None if too many)."""
+    hot_arr = F.array(*[F.lit(t) for t in hot])
+    terms = F.array_distinct("terms")
+    g = (corpus.select("id", F.array_sort(F.array_intersect(terms, hot_arr)).alias("S"), F.size(terms).alias("b"))
+         .filter(F.size("S") > 0))
+    w = Window.partitionBy("S", "b").orderBy("id")
+    top = g.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1)
+    groups = top.groupBy("S", "b").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    rows = groups.limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        return None
+    bit = {t: i for i, t in enumerate(hot)}
+    words = (len(hot) + 63) // 64
+    gmask = _masks([r.S for r in rows], bit, words)
+    gsize = np.array([r.b for r in rows], dtype=np.int64)
+    gids = [np.array(r.ids, dtype=np.int64) for r in rows]
     post: dict = {}
-    for i, ts in enumerate(pdf["terms"]):
-        for t in set(ts if ts is not None else []):
-            post.setdefault(t, []).append(i)
-    return qids, sizes, {t: np.array(v, dtype=np.int64) for t, v in post.items()}
+    for gi, r in enumerate(rows):
+        for t in r.S:
+            post.setdefault(bit[t], []).append(gi)
+    gpost = {b: np.array(v, dtype=np.int64) for b, v in post.items()}
+    return bit, words, gmask, gsize, gids, gpost
 
 
 def overlap_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude_self: bool = True,
-                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Top-k corpus rows per query by keyword overlap.
+                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, hot_df: int | None = DEFAULT_HOT_DF) -> DataFrame:
+    """Top-k corpus rows per query by keyword overlap (exact).
 
     queries(query_id, terms array<string>), corpus(id, terms array<string>)
     -> (query_id, id, shared, jaccard, rank); ties broken by id.
+
+    Terms in more than ``hot_df`` documents are not enumerated pair by pair:
+    documents sharing only such terms with a query are ranked through a
+    small index of (hot-term set, set size) groups (each with its k+1
+    smallest ids), so a term present in a third of the corpus costs one
+    bitmask test per group instead of one per document.
     """
     spark = corpus.sparkSession
+    hot = _hot_terms(corpus, hot_df) if hot_df is not None else []
+    index = _group_index(corpus, hot, k) if hot else None
+    if hot and (hot is None or index is None):
+        hot, index = [], None  # too many hot terms / groups to index: plain exact enumeration
+    hot = hot or []
     st = queries.agg(F.count("*").alias("n"),
                      F.sum(F.aggregate(F.coalesce("terms", F.array().cast("array<string>")), F.lit(0),
                                        lambda a, t: a + F.length(t) + 16)).alias("bytes")).first()
-    est = int(st["bytes"] or 0) + 16 * int(st["n"] or 0)
+    est = int(st["bytes"] or 0) + 16 * int(st["n"] or 0) + int(st["n"] or 0) * 8 * ((len(hot) + 63) // 64)
     blocks = max(1, math.ceil(est * 4 / max_broadcast_bytes))
     parts = []
     for b in range(blocks):
         qb = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        bq = spark.sparkContext.broadcast(_collect_block(qb))
+        bq = spark.sparkContext.broadcast(_collect_block(qb, hot))
         parts.append(corpus.select("id", "terms").mapInPandas(_overlap_fn(bq, k, exclude_self), _OVERLAP_SCHEMA))
+    if index is not None:
+        bg = spark.sparkContext.broadcast(index)
+        parts.append(queries.select("query_id", "terms").mapInPandas(_group_fn(bg, k, exclude_self), _OVERLAP_SCHEMA))
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
+    # one shuffle by query: a document found by both paths keeps its exact (higher) score
+    cand = cand.repartition("query_id")
+    dedupe = Window.partitionBy("query_id", "id").orderBy(F.col("jaccard").desc(), F.col("shared").desc())
+    cand = cand.withColumn("_d", F.row_number().over(dedupe)).filter(F.col("_d") == 1).drop("_d")
     w = Window.partitionBy("query_id").orderBy(F.col("jaccard").desc(), F.col("shared").desc(), F.col("id"))
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

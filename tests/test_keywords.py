@@ -23,14 +23,14 @@ def brute(sets, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("max_bytes", [None, 200])
-def test_overlap_topk_matches_brute_force(spark, max_bytes):
+@pytest.mark.parametrize("max_bytes,hot_df", [(None, None), (200, None), (None, 20), (200, 5), (None, 0)])
+def test_overlap_topk_matches_brute_force(spark, max_bytes, hot_df):
     words = ["a", "b", "c", "d", "e", "f", "g"]
     # a hot term ("a") shared by most documents
     sets = {i: ["a"] + [words[(i * j) % 7] for j in range(1, 4)] for i in range(60)}
     df = spark.createDataFrame(list(sets.items()), "id long, terms array<string>")
     kw = {} if max_bytes is None else {"max_broadcast_bytes": max_bytes}
-    got = KW.overlap_topk(df.withColumnRenamed("id", "query_id"), df, k=3, **kw)
+    got = KW.overlap_topk(df.withColumnRenamed("id", "query_id"), df, k=3, hot_df=hot_df, **kw)
     got = sorted((r.query_id, r.rank, r.id, r.shared) for r in got.collect())
     assert got == brute(sets, 3)
 
@@ -63,3 +63,16 @@ def test_topk_terms_small(spark):
                                "id long, content string")
     r = {(x.doc_id, x.rank): x.term for x in KW.topk_terms(df, k=2).collect()}
     assert r[(1, 1)] == "apple" and r[(3, 1)] == "plum"
+
+
+@pytest.mark.parametrize("hot_df", [None, 15, 40])
+def test_overlap_topk_random_zipf(spark, hot_df):
+    import random
+    rnd = random.Random(11)
+    vocab = [f"w{i}" for i in range(40)]
+    weights = [1.0 / (i + 1) for i in range(40)]
+    sets = {i: sorted(set(rnd.choices(vocab, weights, k=rnd.randint(1, 5)))) for i in range(150)}
+    df = spark.createDataFrame(list(sets.items()), "id long, terms array<string>")
+    got = KW.overlap_topk(df.withColumnRenamed("id", "query_id"), df, k=5, hot_df=hot_df)
+    got = sorted((r.query_id, r.rank, r.id, r.shared) for r in got.collect())
+    assert got == brute(sets, 5)
