@@ -16,8 +16,41 @@ from inkstone.sources import adapters as A
 from inkstone.sources.tables import register_all
 
 
+# SQL-bodied functions: inlined by the analyzer, so they stay JVM-side.
+FUNCTIONS = {
+    "l2_distance": """(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE
+        RETURN sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))""",
+    "neg_inner_product": """(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE
+        RETURN -aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)""",
+    "cosine_distance": """(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE
+        RETURN CASE WHEN sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)) = 0
+                    THEN double('NaN')
+                    ELSE 1D - aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)
+                         / (sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)))
+               END""",
+    "article_key": """(title STRING, url STRING, published TIMESTAMP_NTZ) RETURNS STRING
+        RETURN base64(unhex(md5(concat(coalesce(title, ''), coalesce(url, ''), date_format(published, 'yyyy-MM-dd')))))""",
+    "link_key": """(link STRING) RETURNS STRING RETURN md5(regexp_replace(link, '^https://', ''))""",
+    # raw string: the SQL text itself carries the regex escapes (\\t, \\x00 ...)
+    "normalize_text": r"""(s STRING) RETURNS STRING
+        RETURN regexp_replace(regexp_replace(replace(s, char(160), ' '), '[\\t\\n\\f\\r ]+', ' '),
+                              '[\\x00-\\x1F\\x7F-\\x9F\\x{3000} ]', '')""",
+    "mask_secret": """(s STRING) RETURNS STRING
+        RETURN CASE WHEN length(s) <= 10 THEN repeat('●', length(s))
+                    ELSE concat(left(s, 5), repeat('●', least(length(s) - 10, 10)), right(s, 5)) END""",
+}
+
+
+def register_functions(spark: SparkSession) -> list[str]:
+    """Temporary SQL functions for the pgvector operators and the key/text helpers."""
+    for name, body in FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
+    return sorted(FUNCTIONS)
+
+
 def register(spark: SparkSession, sf_dir: str) -> list[str]:
     register_all(spark, sf_dir)
+    register_functions(spark)
     views = {
         "articles": A.articles(spark, sf_dir),
         "vecs": A.vectors(spark, sf_dir),

@@ -61,3 +61,25 @@ def test_sql_surface(spark, sf):
     assert "articles" in sql.register(spark, sf)
     n = spark.sql("SELECT count(*) AS n FROM articles a JOIN chunks c ON c.article_id = a.id").first().n
     assert n > 0
+
+
+def test_sql_functions_match_column_builders(spark):
+    import datetime as dt
+
+    from inkstone.functions import keys as KY
+    from inkstone.functions import text as TX
+    from inkstone.functions import vectors as V
+    from inkstone.plans import sql
+    sql.register_functions(spark)
+    df = spark.createDataFrame([([1.0, 2.0], [2.0, 0.5], "a  b\\tc　d", "0123456789abcdef", "T", "https://x/y",
+                                 dt.datetime(2024, 5, 1, 3, 0))],
+                               "a array<double>, b array<double>, s string, k string, t string, u string, p timestamp_ntz")
+    df.createOrReplaceTempView("fx")
+    got = spark.sql("""SELECT l2_distance(a, b) AS l2, cosine_distance(a, b) AS c, neg_inner_product(a, b) AS ip,
+                              normalize_text(s) AS n, mask_secret(k) AS m, link_key(u) AS lk,
+                              article_key(t, u, p) AS ak FROM fx""").first()
+    exp = df.select(V.l2("a", "b").alias("l2"), V.cosine_distance("a", "b").alias("c"),
+                    V.neg_inner_product("a", "b").alias("ip"), TX.normalize(F.col("s")).alias("n"),
+                    TX.mask_secret(F.col("k")).alias("m"), KY.link_key(F.col("u")).alias("lk"),
+                    KY.article_key(F.col("t"), F.col("u"), F.col("p")).alias("ak")).first()
+    assert got.asDict() == exp.asDict()
