@@ -29,10 +29,12 @@ def spread(df: DataFrame) -> DataFrame:
     the data redistributed (one small shuffle); on a cluster reading many
     files this is a no-op.  Filters and column pruning still reach the scan.
     """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the scan as is
+        return df
+    return df.repartition(par) if n < par else df
 
 
 def register_all(spark: SparkSession, sf_dir: str) -> None:
