@@ -129,3 +129,17 @@ def content_cache_job(wire: DataFrame, out_path: str, name: str = "content-cache
     return (content_cache_hits(wire).writeStream.outputMode("append").foreachBatch(_epoch_sink(out_path))
             .option("checkpointLocation", checkpoint_for(spark, name))
             .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def routed_commands(wire: DataFrame) -> DataFrame:
+    """Next commands for valid events, as wire messages (event_id, subject, data)."""
+    good = CM.parse(wire).filter(F.col("reason").isNull())
+    routed = CM.route(good)
+    data = F.to_json(F.struct(F.lit(CM.MESSAGE_VERSION).alias("version"), F.col("task_id"),
+                              F.col("event").alias("caused_by")))
+    return routed.select("event_id", F.col("command").alias("subject"), data.alias("data"))
+
+
+def route_job(wire: DataFrame, out_path: str, name: str = "route", trigger: dict | None = None) -> StreamingQuery:
+    """2.12.3 as a stream: route every valid event and publish the next command."""
+    return message_sink(routed_commands(wire), out_path, name=name, trigger=trigger)

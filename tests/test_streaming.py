@@ -123,3 +123,15 @@ def test_message_sink_partitions_by_subject(spark, wire_dir):
         CM.TASK_CREATED, CM.TASK_UPDATE_STATUS, CM.TASK_FAILED, CM.TASK_LOG}
     exp = CM.parse(spark.read.json(wire_dir)).filter("reason IS NULL").count()
     assert back.count() == exp
+
+
+def test_route_job_matches_batch(spark, wire_dir):
+    out = tempfile.mkdtemp(prefix="route-", dir="/tmp")
+    q = J.route_job(J.read_wire(spark, wire_dir), out, name="t-route")
+    q.awaitTermination()
+    got = sorted((r.subject, r.value) for r in spark.read.json(out).collect())
+    exp_df = J.routed_commands(spark.read.json(wire_dir))
+    exp = sorted((r.subject, r.value) for r in exp_df.select(
+        "subject", F.to_json(F.struct("event_id", "data")).alias("value")).collect())
+    assert got and got == exp
+    assert {s for s, _ in got} <= {CM.TASK_SCRAPE, CM.TASK_GENERATE_TITLE}
