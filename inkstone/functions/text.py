@@ -90,7 +90,8 @@ def description_fallback(description: Column, contents: Column, n: int = 100) ->
 
 
 def log_level(line: Column) -> Column:
-    lvl = F.regexp_extract(line, r'"level"\s*:\s*"([A-Za-z0-9_]+)"', 1)
+    """``"level":"x"`` value or 'unknown' (RE2 ``\\s`` / ``\\w`` semantics)."""
+    lvl = F.regexp_extract(line, r'"level"[\t\n\f\r ]*:[\t\n\f\r ]*"([A-Za-z0-9_]+)"', 1)
     return F.when(lvl == "", F.lit("unknown")).otherwise(lvl)
 
 
@@ -103,8 +104,11 @@ def prefixed(prefix: Column, content: Column) -> Column:
     return F.concat(F.coalesce(prefix, F.lit("")), content)
 
 
-def is_uuid_v4(s: Column) -> Column:
-    return s.rlike(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-4[0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$")
+def is_uuid_v4(s: Column, canonicalise: bool = False) -> Column:
+    """Version-4 UUID text.  The path rule is lowercase-only; ``canonicalise``
+    first lower-cases (an id that was parsed and re-printed)."""
+    v = F.lower(s) if canonicalise else s
+    return v.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
 
 
 def url_host(url: Column) -> Column:

@@ -256,7 +256,7 @@ def length_bounds(spark, sf_dir):
 
 @register("uuid_validation", """
 SELECT event_id, u AS task_uuid,
-       regexp_matches(u, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-4[0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$') AS valid
+       regexp_matches(u, '^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$') AS valid
 FROM (SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' ||
              substr(h, 17, 4) || '-' || substr(h, 21, 12) AS u
       FROM (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS h FROM events))

@@ -57,6 +57,9 @@ def test_log_level_and_uuid(spark):
     assert one(spark, TX.log_level, '{"msg":"x"}') == "unknown"
     assert one(spark, TX.is_uuid_v4, "123e4567-e89b-42d3-a456-426614174000") is True
     assert one(spark, TX.is_uuid_v4, "123e4567-e89b-12d3-a456-426614174000") is False
+    assert one(spark, TX.is_uuid_v4, "123E4567-E89B-42D3-A456-426614174000") is False
+    assert one(spark, lambda c: TX.is_uuid_v4(c, canonicalise=True), "123E4567-E89B-42D3-A456-426614174000") is True
+    assert one(spark, TX.log_level, '{"level"\x0b:"x"}') == "unknown"  # RE2 \s has no VT
 
 
 def test_keys(spark):
