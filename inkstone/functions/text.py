@@ -47,7 +47,7 @@ def normalize(s: Column, keep_spaces: bool = False) -> Column:
     The reference's deletion class also contains an ordinary space, so by
     default all spaces vanish ("a b" -> "ab"); ``keep_spaces=True`` keeps them.
     """
-    s = F.regexp_replace(s, " ", " ")
+    s = F.regexp_replace(s, "\u00a0", " ")
     s = F.regexp_replace(s, r"[\t\n\f\r ]+", " ")
     cls = r"[\x00-\x1F\x7F-\x9F\x{3000}" + ("" if keep_spaces else " ") + "]"
     return F.regexp_replace(s, cls, "")

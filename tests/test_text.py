@@ -89,3 +89,7 @@ def test_roc_and_taiwan(spark):
     tw = spark.createDataFrame([("2025年5月21日 週三 下午4:01",), ("2025年5月21日 週三 上午12:05",)], "s string")
     got = [r.o for r in tw.select(D.taiwan_datetime(F.col("s")).alias("o")).collect()]
     assert got == [dt.datetime(2025, 5, 21, 16, 1), dt.datetime(2025, 5, 21, 0, 5)]
+
+
+def test_normalize_nbsp(spark):
+    assert one(spark, lambda c: TX.normalize(c, keep_spaces=True), "a  b") == "a b"
