@@ -16,10 +16,15 @@ K_JOIN = 5
 
 
 def _centroid_knn(spark, sf_dir, metric):
+    """k nearest to each model's centroid.  One query per model: the query side
+    is tiny, so the exact join broadcasts it and every corpus task keeps a
+    running top-k with a matrix product (no per-row interpreted lambdas)."""
     vecs = A.vectors(spark, sf_dir)
-    cent = VA.mean_by(vecs, ["model_id"], out_col="query_vector").drop("n")
-    r = K.knn_per_key(vecs, cent, K_NN, metric)
-    return r.select("model_id", "rank", "id", "article_id", F.round("distance", 4).alias("distance"))
+    cent = VA.mean_by(vecs, ["model_id"], out_col="query_vector").drop("n") \
+        .withColumn("query_id", F.col("model_id").cast("long"))
+    r = K.knn_join(cent, vecs, K_NN, metric)
+    return r.select(F.col("query_id").cast("int").alias("model_id"), "rank", "id", "article_id",
+                    F.round("distance", 4).alias("distance"))
 
 
 _CENTROID_SQL = """
