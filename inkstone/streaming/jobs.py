@@ -143,3 +143,54 @@ def routed_commands(wire: DataFrame) -> DataFrame:
 def route_job(wire: DataFrame, out_path: str, name: str = "route", trigger: dict | None = None) -> StreamingQuery:
     """2.12.3 as a stream: route every valid event and publish the next command."""
     return message_sink(routed_commands(wire), out_path, name=name, trigger=trigger)
+
+
+RETRY_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()),
+    T.StructField("task_id", T.StringType()),
+    T.StructField("attempt", T.LongType()),
+    T.StructField("delay_ms", T.LongType()),
+    T.StructField("action", T.StringType()),
+])
+
+
+def _retry_state_fn(base_ms: int, max_ms: int, max_attempts: int | None, idle_ms: int):
+    import pandas as pd
+
+    def fn(key, pdfs, state):
+        if state.hasTimedOut:  # no failure for a whole horizon: forget the task
+            state.remove()
+            return
+        attempts = state.get[0] if state.exists else 0
+        rows = pd.concat(list(pdfs)).sort_values(["event_at", "event_id"])
+        out = []
+        for eid, ts in zip(rows["event_id"], rows["event_at"]):
+            delay = int(min(max_ms, base_ms * 2 ** attempts))
+            action = "dead_letter" if max_attempts is not None and attempts >= max_attempts else "retry"
+            out.append((int(eid), key[0], attempts, delay, action))
+            attempts += 1
+        state.update((attempts,))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
+        yield pd.DataFrame(out, columns=["event_id", "task_id", "attempt", "delay_ms", "action"])
+
+    return fn
+
+
+def retry_job(wire: DataFrame, out_path: str, policy=(500, 10_000, 3), name: str = "retry",
+              trigger: dict | None = None) -> StreamingQuery:
+    """2.12.7 as a stream: attempt number per failed task, capped exponential delay,
+    dead letter after the maximum.  State is one counter per task, dropped after a
+    horizon without failures (event-time timeout)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    spark = wire.sparkSession
+    base, cap, max_attempts = policy
+    failed = (with_event_time(CM.parse(wire)).filter(F.col("reason").isNull() & (F.col("subject") == CM.TASK_FAILED))
+              .select("event_id", F.col("m")["task_id"].alias("task_id"), "event_at")
+              .withWatermark("event_at", DEDUPE_HORIZON).dropDuplicatesWithinWatermark(["event_id"]))
+    out = failed.groupBy("task_id").applyInPandasWithState(
+        _retry_state_fn(base, cap, max_attempts, idle_ms=3 * 3600 * 1000), RETRY_SCHEMA,
+        "attempts long", "append", GroupStateTimeout.EventTimeTimeout)
+    return (out.writeStream.outputMode("append").foreachBatch(_epoch_sink(out_path))
+            .option("checkpointLocation", checkpoint_for(spark, name))
+            .trigger(**(trigger or {"availableNow": True})).start())

@@ -135,3 +135,19 @@ def test_route_job_matches_batch(spark, wire_dir):
         "subject", F.to_json(F.struct("event_id", "data")).alias("value")).collect())
     assert got and got == exp
     assert {s for s, _ in got} <= {CM.TASK_SCRAPE, CM.TASK_GENERATE_TITLE}
+
+
+def test_retry_stream_matches_batch(spark, wire_dir):
+    from pyspark.sql import Window
+    out = tempfile.mkdtemp(prefix="retry-", dir="/tmp")
+    q = J.retry_job(J.read_wire(spark, wire_dir), out, name="t-retry")
+    q.awaitTermination()
+    got = sorted((r.event_id, r.attempt, r.delay_ms, r.action) for r in spark.read.parquet(out).collect())
+    p = J.with_event_time(CM.parse(spark.read.json(wire_dir))).filter("reason IS NULL").dropDuplicates(["event_id"])
+    f = p.filter(F.col("subject") == CM.TASK_FAILED).select("event_id", F.col("m")["task_id"].alias("task_id"), "event_at")
+    w = Window.partitionBy("task_id").orderBy("event_at", "event_id")
+    a = f.withColumn("attempt", F.row_number().over(w) - 1)
+    exp = sorted((r.event_id, r.attempt, r.d, r.act) for r in a.select(
+        "event_id", "attempt", CM.backoff_ms(F.col("attempt"), 500, 10_000).alias("d"),
+        F.when(F.col("attempt") >= 3, "dead_letter").otherwise("retry").alias("act")).collect())
+    assert got and got == exp
