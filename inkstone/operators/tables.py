@@ -15,22 +15,26 @@ from pyspark.sql import functions as F
 
 
 def sequential_ids(df: DataFrame, order_cols: list, id_col: str = "id", start_after: Column | int = 0) -> DataFrame:
-    """Dense ids ``start_after + 1, +2, ...`` in ``order_cols`` order (a total order).
+    """Dense ids ``start_after + 1, +2, ...`` in ``order_cols`` order.
 
-    No single-partition window: the data is range-partitioned and sorted
-    (``orderBy``), each row gets its index inside its partition from
+    ``order_cols`` must identify rows (a total order).  No single-partition
+    window: the keys are range-partitioned and sorted (``orderBy``), each
+    key gets its index inside its partition from
     ``monotonically_increasing_id`` (partition id in the upper bits), and a
     tiny table of per-partition counts (one row per partition) becomes
-    offsets.  Range bounds come from sampling rows whose order after a
-    shuffle is not fixed, so two evaluations could partition differently:
-    the numbered rows are therefore materialised once with a reliable
-    ``checkpoint()`` (under ``spark.checkpoint.dir``) and both the counts and
-    the ids read that copy — consistent, and safe against executor loss.
+    offsets.  Range bounds are sampled from rows whose order after a shuffle
+    is not fixed, so two evaluations could partition differently: the
+    numbered *keys only* are materialised once with a reliable
+    ``checkpoint()`` (under ``spark.checkpoint.dir``), and the ids are joined
+    back to the rows on the keys (null-safe).
     """
     from inkstone.session import checkpoint_dir
 
     checkpoint_dir(df.sparkSession)
-    ordered = (df.orderBy(*order_cols)
+    names = [c for c in order_cols if isinstance(c, str)]
+    narrow = len(names) == len(order_cols)
+    base_df = df.select(*names) if narrow else df
+    ordered = (base_df.orderBy(*order_cols)
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_local", F.monotonically_increasing_id()
                            - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
@@ -40,9 +44,17 @@ def sequential_ids(df: DataFrame, order_cols: list, id_col: str = "id", start_af
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
     base = start_after if isinstance(start_after, Column) else F.lit(start_after)
     # offsets has one row per partition of ``local``: a bounded broadcast.
-    out = local.join(F.broadcast(offsets), "_pid")
-    return (out.withColumn(id_col, (base + F.col("_off") + F.col("_local") + 1).cast("long"))
-            .drop("_pid", "_local", "_off"))
+    numbered = (local.join(F.broadcast(offsets), "_pid")
+                .withColumn(id_col, (base + F.col("_off") + F.col("_local") + 1).cast("long"))
+                .drop("_pid", "_local", "_off"))
+    if not narrow:
+        return numbered
+    ids = numbered.select(*[F.col(c).alias(f"_k_{c}") for c in names], id_col)
+    cond = None
+    for c in names:
+        e = df[c].eqNullSafe(ids[f"_k_{c}"])
+        cond = e if cond is None else cond & e
+    return df.join(ids, cond).drop(*[f"_k_{c}" for c in names])
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
