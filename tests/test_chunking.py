@@ -139,3 +139,31 @@ def test_paragraph_chunks_equal_join_based_parts(spark):
     joined = C.parts(C.paragraph_offsets(arts), arts).orderBy("chunk_no").collect()
     cols = ["start", "end", "chunk", "left_overlap", "unique", "right_overlap"]
     assert [[r[c] for c in cols] for r in inline] == [[r[c] for c in cols] for r in joined]
+
+
+def test_offsets_property_random(spark):
+    """Randomised texts and parameters (hypothesis), all checked in one Spark job."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    cases = []
+
+    @settings(max_examples=40, deadline=None, database=None)
+    @given(st.text(alphabet=st.sampled_from(list("ab 新聞é\n")), max_size=700),
+           st.integers(min_value=1, max_value=20), st.integers(min_value=3, max_value=300))
+    def collect(text, half, size):
+        overlap = 2 * half
+        if overlap >= size:
+            return
+        cases.append((len(cases), text, size, overlap))
+
+    collect()
+    assert cases
+    got = {}
+    for size, overlap in {(c[2], c[3]) for c in cases}:
+        rows = [(i, t) for i, t, s, o in cases if (s, o) == (size, overlap)]
+        df = spark.createDataFrame(rows, "id long, content string")
+        for r in C.offsets(df, size=size, overlap=overlap).collect():
+            got.setdefault(r.article_id, []).append((r.chunk_no, (r.start, r.offset_left, r.offset_right, r.end)))
+    for i, text, size, overlap in cases:
+        assert [o for _, o in sorted(got.get(i, []))] == model_offsets(len(text), size, overlap)
