@@ -167,3 +167,24 @@ def test_offsets_property_random(spark):
             got.setdefault(r.article_id, []).append((r.chunk_no, (r.start, r.offset_left, r.offset_right, r.end)))
     for i, text, size, overlap in cases:
         assert [o for _, o in sorted(got.get(i, []))] == model_offsets(len(text), size, overlap)
+
+
+def test_join_split_property_random(spark):
+    """Random paragraph lists (incl. multi-byte and empty): splitting the joined
+    text by its byte cuts returns exactly the non-empty paragraphs."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    cases = []
+
+    @settings(max_examples=60, deadline=None, database=None)
+    @given(st.lists(st.text(alphabet=st.sampled_from(list("ab 新聞é")), max_size=12), max_size=8))
+    def collect(paras):
+        cases.append((len(cases), paras))
+
+    collect()
+    df = spark.createDataFrame(cases, "id long, p array<string>")
+    out = df.select("id", "p", C.split_by_cuts(F.array_join("p", ""), C.byte_cuts(F.col("p"))).alias("pieces"))
+    for r in out.collect():
+        exp = [x for x in r.p if x] if r.p else [""]
+        assert r.pieces == exp, (r.p, r.pieces)
