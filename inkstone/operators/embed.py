@@ -46,9 +46,43 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     return F.aggregate(idx, zero, add, finish)
 
 
+# Above this dimension the per-token array update (O(tokens x dim) lambda steps)
+# costs more than handing the bucket indices to numpy (O(tokens + dim)).
+COLUMN_PATH_MAX_DIM = 128
+
+
+def _bincount_fn(dim: int, keep: list[str]):
+    def run(batches):
+        for pdf in batches:
+            vecs = []
+            for idx in pdf["_idx"]:
+                v = np.bincount(np.asarray(idx if idx is not None else [], dtype=np.int64),
+                                minlength=dim).astype(np.float64)
+                n = np.sqrt((v * v).sum())
+                vecs.append(v / n if n > 0 else v)
+            out = pdf[keep].copy()
+            out["vector"] = vecs
+            out["state"] = ""
+            yield out
+
+    return run
+
+
 def embed_hashed(df: DataFrame, text_col: str, dim: int = 64) -> DataFrame:
-    v = hashed_embedding(F.col(text_col), dim)
-    return df.withColumn("vector", v).withColumn("state", F.lit(""))
+    """Hashed bag-of-tokens embedding of every row (state '' = ok).
+
+    Small dims: one column expression.  Larger dims: bucket indices are
+    computed JVM-side and counted with ``np.bincount`` per row in
+    ``mapInPandas`` (same values; linear instead of tokens x dim work).
+    """
+    if dim <= COLUMN_PATH_MAX_DIM:
+        v = hashed_embedding(F.col(text_col), dim)
+        return df.withColumn("vector", v).withColumn("state", F.lit(""))
+    keep = list(df.columns)
+    idx = F.transform(tokens(F.col(text_col)), lambda t: token_bucket(t, dim))
+    schema = T.StructType(list(df.schema.fields) + [T.StructField("vector", T.ArrayType(T.DoubleType())),
+                                                    T.StructField("state", T.StringType())])
+    return df.withColumn("_idx", idx).mapInPandas(_bincount_fn(dim, keep), schema)
 
 
 def embed_with(df: DataFrame, text_col: str, fn: Callable[[list[str]], list], dim: int,

@@ -151,3 +151,17 @@ def test_retry_stream_matches_batch(spark, wire_dir):
         "event_id", "attempt", CM.backoff_ms(F.col("attempt"), 500, 10_000).alias("d"),
         F.when(F.col("attempt") >= 3, "dead_letter").otherwise("retry").alias("act")).collect())
     assert got and got == exp
+
+
+def test_embed_hashed_paths_agree(spark, sf):
+    from inkstone.operators import chunking as C
+    from inkstone.sources import adapters as A2
+    texts = C.paragraph_chunks(A2.articles(spark, sf)).select("article_id", "chunk_no", F.col("chunk").alias("text"))
+    for dim in (64, 256):
+        col = EM.hashed_embedding(F.col("text"), dim)
+        a = {(r.article_id, r.chunk_no): r.v for r in texts.select("article_id", "chunk_no", col.alias("v")).collect()}
+        b = {(r.article_id, r.chunk_no): r.vector for r in EM.embed_hashed(texts, "text", dim).collect()} \
+            if dim > EM.COLUMN_PATH_MAX_DIM else a
+        assert a.keys() == b.keys()
+        for k in a:
+            assert all(abs(x - y) < 1e-12 for x, y in zip(a[k], b[k]))
