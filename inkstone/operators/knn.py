@@ -1,7 +1,6 @@
 """Exact and approximate k-nearest-neighbour search over embedding tables.
 
-* ``knn`` — one query vector: a JVM-side distance column + ``orderBy.limit``
-  (TakeOrderedAndProject: every partition keeps k rows, the driver merges).
+* ``knn`` — one query vector: the exact kernel below with a one-row query side.
 * ``knn_per_key`` — one query vector per key (e.g. a model centroid), joined
   on that key; top-k per key through a window that Spark limits map-side.
 * ``knn_join`` — many queries x corpus.  Pairs are never materialised as rows.
@@ -48,17 +47,19 @@ def _final_topk(cand: DataFrame, k: int) -> DataFrame:
 
 def knn(corpus: DataFrame, query: list[float], k: int, metric: str = "l2",
         model_id: int | None = None, vec_col: str = "vector") -> DataFrame:
-    """k nearest rows of ``corpus`` to one literal query vector.
+    """k nearest rows of ``corpus`` to one query vector (a parameter).
 
-    Returns (id, article_id, distance) ordered by distance, id.
+    Runs the exact broadcast kernel with a one-row query side: every corpus
+    task keeps a top-k from a matrix product, then k x tasks candidates are
+    ranked.  Returns (id, article_id, distance) ordered by distance, id.
     """
-    q = F.array(*[F.lit(float(x)) for x in query])
-    c = corpus
-    if model_id is not None:
-        c = c.filter(F.col("model_id") == F.lit(model_id))
-    c = c.filter(V.is_valid(F.col(vec_col)))
-    return (c.select("id", "article_id", V.distance(metric, F.col(vec_col), q).alias("distance"))
-            .orderBy(F.col("distance").asc_nulls_last(), "id").limit(k))
+    spark = corpus.sparkSession
+    q = spark.createDataFrame([(0, 0, [float(x) for x in query])],
+                              "query_id long, _g int, query_vector array<double>")
+    c = corpus if model_id is None else corpus.filter(F.col("model_id") == F.lit(model_id))
+    c = c.withColumn("_g", F.lit(0))
+    r = knn_join(q, c, k, metric, model="_g", vec_col=vec_col)
+    return r.select("id", "article_id", "distance").orderBy(F.col("distance").asc_nulls_last(), "id")
 
 
 def knn_per_key(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
