@@ -34,6 +34,9 @@ def con(sf):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, sf, con, name):
     df = QUERIES[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # no query forms a cross product of its inputs
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, plan
     rows = [tuple(r) for r in df.collect()]
     if name not in ORACLE:
         assert isinstance(rows, list)
@@ -47,3 +50,8 @@ def test_query_matches_oracle(spark, sf, con, name):
     spark_t = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     for c, t in spark_t.items():
         assert TYPES.get(t, t) == duck[c], (c, t, duck[c])
+
+
+def test_point_lookup_pushes_filter_to_parquet(spark, sf):
+    plan = QUERIES["article_by_id"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,42)]" in plan
