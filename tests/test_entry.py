@@ -37,6 +37,8 @@ def test_query_matches_oracle(spark, sf, con, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     # no query forms a cross product of its inputs
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, plan
+    # Python only as Arrow-batched map operators, never row-at-a-time UDFs
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, plan
     rows = [tuple(r) for r in df.collect()]
     if name not in ORACLE:
         assert isinstance(rows, list)
