@@ -1,6 +1,5 @@
 """Keyword operators: overlap ranking vs brute force, structs, bands."""
 
-import itertools
 
 import pytest
 from pyspark.sql import functions as F
