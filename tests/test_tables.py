@@ -61,3 +61,18 @@ def test_with_previous_matches_lag(spark):
     w = Window.partitionBy("key").orderBy("t", "eid")
     exp = {r.eid: r.p for r in ev.withColumn("p", F.lag("t").over(w)).collect()}
     assert got == exp
+
+
+def test_sinks_append_and_partition_overwrite(spark):
+    import tempfile
+
+    from inkstone.sources import sinks
+    d = tempfile.mkdtemp(prefix="sink-tbl-", dir="/tmp") + "/t"
+    a = spark.createDataFrame([(1, 0, "a"), (2, 1, "b"), (3, 1, "c")], "id long, model_id int, v string")
+    sinks.append_table(a, d, ["model_id"])
+    sinks.append_table(spark.createDataFrame([(4, 0, "d")], "id long, model_id int, v string"), d, ["model_id"])
+    assert sorted(r.id for r in spark.read.parquet(d).collect()) == [1, 2, 3, 4]
+    # survivors of a cascade for model 1 only: partition 0 must be left untouched
+    sinks.overwrite_partitions(spark.createDataFrame([(3, 1, "c")], "id long, model_id int, v string"), d, ["model_id"])
+    got = sorted((r.id, r.model_id) for r in spark.read.parquet(d).collect())
+    assert got == [(1, 0), (3, 1), (4, 0)]
