@@ -110,3 +110,13 @@ def test_knn_join_corpus_broadcast_path_matches(spark, vecs):
         order = [j for j in np.lexsort((c.id.to_numpy(), d)) if np.isfinite(d[j])][:3]
         exp += [(row.id, r, c.id.to_numpy()[j]) for r, j in enumerate(order, 1)]
     assert key(got) == sorted(exp)
+
+
+def test_knn_per_key_jvm_path_matches_kernel(spark, vecs):
+    v, _ = vecs
+    cent = VA.mean_by(v, ["model_id"], out_col="query_vector").drop("n")
+    jvm = {(r.model_id, r["rank"]): (r.id, round(r.distance, 9))
+           for r in K.knn_per_key(v, cent, 6, "cosine").collect()}
+    ker = {(r.query_id, r["rank"]): (r.id, round(r.distance, 9))
+           for r in K.knn_join(cent.withColumn("query_id", F.col("model_id").cast("long")), v, 6, "cosine").collect()}
+    assert jvm == ker and len(jvm) == 12
