@@ -76,3 +76,14 @@ def test_sinks_append_and_partition_overwrite(spark):
     sinks.overwrite_partitions(spark.createDataFrame([(3, 1, "c")], "id long, model_id int, v string"), d, ["model_id"])
     got = sorted((r.id, r.model_id) for r in spark.read.parquet(d).collect())
     assert got == [(1, 0), (3, 1), (4, 0)]
+
+
+def test_sequential_ids_with_hot_leading_key(spark):
+    n = 20000
+    df = spark.range(n).select(F.when(F.col("id") % 10 < 7, F.lit("hot")).otherwise(
+        F.concat(F.lit("k"), (F.col("id") % 13).cast("string"))).alias("key"), F.col("id").alias("t")).repartition(9)
+    out = TB.sequential_ids(df, ["key", "t"], "sid")
+    rows = out.orderBy("key", "t").collect()
+    assert [r.sid for r in rows] == list(range(1, n + 1))
+    hot = [r for r in rows if r.key == "hot"]
+    assert len(hot) == 14000 and hot[0].sid < hot[-1].sid
