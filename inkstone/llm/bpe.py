@@ -23,12 +23,14 @@ import heapq
 import json
 import mmap
 import os
+import re
 import tempfile
 import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +38,16 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from inkstone.llm.common import arrow_batches, texts
 
 #: Words compiled into the lexicon: the bound of what the driver gathers.
 LEXICON_WORDS = 50_000
 #: Distinct words that a task holds in memory while counting or encoding.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 500_000
 WORD_END = "</w>"
+_NEVER = 1 << 30
 
 
 def byte_letters() -> list[str]:
@@ -53,12 +57,26 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(keep) else chr(next(moved)) for b in range(256)]
 
 
+@cache
+def unassigned() -> re.Pattern:
+    """Characters that this Python's Unicode version does not know yet."""
+    runs: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c)) == "Cn":
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+
+
 class Vocabulary:
     """What a worker needs of a vocabulary file: pattern, merges, ids and tokens."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            self.source = f.read()
+        spec = json.loads(self.source)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -74,9 +92,31 @@ class Vocabulary:
     def words(self) -> Callable[[str], list[str]]:
         """Splitter of texts into normalised words; special tokens come out as they are."""
         word = regex.compile(self.pattern.replace(r"\s", r"\p{White_Space}")).findall
+        # the same pattern for texts of the first 256 characters, which have few classes and are normal already
+        few = self.pattern
+        for kind in (r"\p{L}", r"\p{N}"):
+            few = few.replace(kind, "".join(re.escape(chr(c)) for c in range(256) if regex.match(kind, chr(c))))
+        fast = re.compile(few.replace(r"\s", r"\t-\r \x85\xa0")).findall
         apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
 
+        byte = {c: b for b, c in enumerate(self.letters)}
+        library: list[Tokenizer] = []
+
+        def by_library(text: str) -> list[str]:
+            # characters younger than this Python's Unicode tables: take the library's
+            if not library:
+                library.append(Tokenizer.from_str(self.source))
+            t = library[0]
+            pieces = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))
+            return [bytes(byte[c] for c in p).decode() for p, _ in pieces]
+
         def plain(text: str) -> list[str]:
+            try:
+                text.encode("latin-1")
+                return fast(text.lower())
+            except UnicodeEncodeError:
+                if unassigned().search(text):
+                    return by_library(text)
             # lower case letter by letter: no final form of sigma
             return word(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
@@ -98,6 +138,20 @@ class Vocabulary:
         if not part:
             return []
         part[-1] += WORD_END
+        if len(part) > 32:
+            return self._merged_long(part)
+        rank = self.ranks.get
+        while len(part) > 1:
+            found = [rank(pair, _NEVER) for pair in pairwise(part)]
+            least = min(found)
+            if least == _NEVER:
+                break
+            k = found.index(least)
+            part[k:k + 2] = [part[k] + part[k + 1]]
+        return [self.ids[p] for p in part]
+
+    def _merged_long(self, part: list[str]) -> list[int]:
+        """The same with a queue of pairs, for words of many letters."""
         left, right = list(range(-1, len(part) - 1)), [*range(1, len(part)), -1]
         heap = [(r, i, i + 1) for i in range(len(part) - 1) if (r := self.ranks.get((part[i], part[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -201,16 +255,6 @@ class Lexicon:
         return self.ids[self.begin[number]:self.begin[number + 1]].tolist()
 
 
-_open: dict[str, Lexicon] = {}
-
-
-def _lexicon(name: str) -> Lexicon:
-    """One mapping per worker process."""
-    if name not in _open:
-        _open[name] = Lexicon(SparkFiles.get(name))
-    return _open[name]
-
-
 class _Memo(dict):
     """Ids of the words a task has met; filled from the lexicon, else by merging."""
 
@@ -228,6 +272,17 @@ class _Memo(dict):
         return ids
 
 
+_memos: dict[str, _Memo] = {}
+
+
+def _memo(name: str, vocabulary: Vocabulary) -> _Memo:
+    """One mapping and memo per worker process; tasks of an earlier lexicon leave theirs behind."""
+    if name not in _memos:
+        _memos.clear()
+        _memos[name] = _Memo(vocabulary, Lexicon(SparkFiles.get(name)))
+    return _memos[name]
+
+
 def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(word, n) over all of (doc_id, text): counted in tasks first, then summed."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -270,7 +325,7 @@ def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_W
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, memo = shared.value.words(), _Memo(shared.value, _lexicon(name))
+        split, memo = shared.value.words(), _memo(name, shared.value)
         for batch in batches:
             ids = [list(chain.from_iterable(map(memo.__getitem__, split(t)))) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
