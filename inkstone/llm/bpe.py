@@ -48,6 +48,7 @@ LEXICON_WORDS = 50_000
 MEMO_WORDS = 500_000
 WORD_END = "</w>"
 _NEVER = 1 << 30
+_BYTES = [bytes([b]) for b in range(256)]
 
 
 def byte_letters() -> list[str]:
@@ -233,23 +234,24 @@ class Lexicon:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        head = np.frombuffer(self._map, np.int32, 8)
-        self.n_edges, self.root = int(head[0]), int(head[1])
+        view = memoryview(self._map)
+        head = view[:32].cast("i")
+        self.n_edges, self.root = head[0], head[1]
         at = 32
-        for name, n in zip(("target", "skip", "first", "final", "begin", "ids"), head[2:].tolist(), strict=True):
-            setattr(self, name, np.frombuffer(self._map, np.int32, n, at))
+        for name, n in zip(("target", "skip", "first", "final", "begin", "ids"), head[2:], strict=True):
+            setattr(self, name, view[at:at + 4 * n].cast("i"))
             at += 4 * n
         self._labels = at
 
     def __getitem__(self, word: bytes) -> list[int] | None:
         """The ids of ``word``, or None if the lexicon lacks it."""
-        s, number, base, find = self.root, 0, self._labels, self._map.find
-        for k in range(len(word)):
-            e = find(word[k:k + 1], base + int(self.first[s]), base + int(self.first[s + 1])) - base
+        s, number, base, find, first = self.root, 0, self._labels, self._map.find, self.first
+        for b in word:
+            e = find(_BYTES[b], base + first[s], base + first[s + 1]) - base
             if e < 0:
                 return None
-            number += int(self.skip[e])
-            s = int(self.target[e])
+            number += self.skip[e]
+            s = self.target[e]
         if not word or not self.final[s]:
             return None
         return self.ids[self.begin[number]:self.begin[number + 1]].tolist()
