@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import bpe, exactdedup, fingerprint, licenses, minhash, mixing
+from inkstone.llm import bpe, exactdedup, fingerprint, licenses, minhash, mixing, quality
 from inkstone.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,13 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@_query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels")
+    rated = labels.select("doc_id", quality.grade_of(labels).alias("grade"))
+    return quality.classify(read(spark, sf_dir, "documents"), rated)
+
+
 @_query("op9_source_mix", mixing.SQL)
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select(

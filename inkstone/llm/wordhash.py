@@ -29,6 +29,7 @@ def stream(n: int, seed: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_APART = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE = stream(256, 1)[_LOWER]
@@ -47,30 +48,40 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All word hashes of ``texts`` in order, and where each text's words begin (one more entry than texts)."""
+def _hashes(texts: list[bytes], apart: np.ndarray, leads: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of all words between ``apart`` bytes, then of their first ``leads`` bytes, and where each text begins."""
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     begins = np.concatenate(([0], np.cumsum(lengths)))
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    hashes, places = [], []
+    places, hashes = [np.zeros(0, np.int64)], [[np.zeros(0, U)] for _ in range(1 + len(leads))]
     at, end = 0, len(data) if texts else 0
     while at < end:
         stop = min(at + SEGMENT, end)
-        while stop < end and not _SPACE[data[stop - 1]]:
-            ahead = np.flatnonzero(_SPACE[data[stop:stop + SEGMENT]])
+        while stop < end and not apart[data[stop - 1]]:
+            ahead = np.flatnonzero(apart[data[stop:stop + SEGMENT]])
             stop = stop + int(ahead[0]) + 1 if len(ahead) else min(stop + SEGMENT, end)
         part = data[at:stop]
-        space = _SPACE[part]
-        edge = np.diff(np.concatenate(([1], space.view(np.int8), [1])))
+        edge = np.diff(np.concatenate(([1], apart[part].view(np.int8), [1])))
         first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        power, inverse = _power(min(max(len(part), 2), 1 << 62))
+        power, inverse = _power(max(len(part), 2))
         total = np.concatenate((np.zeros(1, U), np.cumsum(_BYTE[part] * power[:len(part)], dtype=U)))
-        hashes.append(mix((total[last] - total[first]) * inverse[first] + (last - first).astype(U)))
+        for k, until in enumerate([last, *(np.minimum(first + n, last) for n in leads)]):
+            hashes[k].append(mix((total[until] - total[first]) * inverse[first] + (until - first).astype(U)))
         places.append(first + at)
         at = stop
-    if not hashes:
-        return np.zeros(0, U), np.zeros(len(texts) + 1, np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), begins)
+    return [np.concatenate(h) for h in hashes], np.searchsorted(np.concatenate(places), begins)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All word hashes of ``texts`` in order, and where each text's words begin (one more entry than texts)."""
+    (words,), begins = _hashes(texts, _SPACE)
+    return words, begins
+
+
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of letters, digits and bytes beyond ASCII: hashes of each, of its first four and first five bytes; begins."""
+    (words, four, five), begins = _hashes(texts, _APART, (4, 5))
+    return words, four, five, begins
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
