@@ -1,15 +1,79 @@
-"""Corpus pipeline: raw documents to token ids, stage by stage."""
+"""Corpus pipeline: raw documents to token ids, stage by stage.
+
+Every stage takes all documents that its predecessor kept and, but for the
+last, returns documents with all their columns.  ``run`` writes each stage's
+result to the shared folder and reads it back, so a lost executor never
+repeats an earlier stage.
+
+Edge cases are those of the operators: null and empty texts pass the
+classifier by their statistics, are one group for exact dedup, link with
+nothing, are taken 0 times by the mix and so leave there; an empty table stays
+empty.  Rows that repeat a doc_id are decided together, by doc_id.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkstone.llm import bpe, exactdedup, minhash, mixing, quality
+from inkstone.llm.common import read, stored
+
+
+def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id was kept; ``decided``: (doc_id, kept)."""
+    keep = decided.where("kept").select(F.col("doc_id").alias("kept_id_")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id_"]), "left_semi")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that the classifier rejects go."""
+    labels = read(spark, sf_dir, "labels")
+    rated = labels.select("doc_id", quality.grade_of(labels).alias("grade"))
+    return _only(docs, quality.classify(docs, rated))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: one document of each group of equal texts stays."""
+    return _only(docs, exactdedup.exact_dedup(docs))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: one document of each group of near-duplicates stays."""
+    return _only(docs, minhash.near_duplicates(docs))
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: every document as often as the mix takes it."""
+    taken = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("taken_id_")).agg(
+        F.max("copies").cast("int").alias("copies_"))
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id_"]))
+    return rows.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(
+        *[docs[c] for c in docs.columns])
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: token counts and digests of ids and decoded text, one row per taken copy."""
+    return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("MinHash near-dedup", near_stage),
+    ("mixing sources to target weights", mix_stage),
+    ("BPE encoding and decoding", encode_stage),
+]
 
-#: The quality stage trains a model, which SQL cannot express.
+#: The quality stage trains a model, which SQL cannot express; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, f"stage-{k}")
     return docs
