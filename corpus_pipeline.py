@@ -18,20 +18,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm import bpe, exactdedup, minhash, mixing, quality
-from inkstone.llm.common import read, stored
+from inkstone.llm.common import arrow_batches, read, stored, texts
 
 
 def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id was kept; ``decided``: (doc_id, kept)."""
     keep = decided.where("kept").select(F.col("doc_id").alias("kept_id_")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id_"]), "left_semi")
+    # a shuffle join at every size: the ids grow with the input
+    return docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["kept_id_"]), "left_semi")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that the classifier rejects go."""
+    """Operator 8: documents that the classifier rejects go (a filter on the score; rows do not move)."""
+    arrow_batches(spark)
     labels = read(spark, sf_dir, "labels")
-    rated = labels.select("doc_id", quality.grade_of(labels).alias("grade"))
-    return _only(docs, quality.classify(docs, rated))
+    model = quality.train(texts(docs), labels.select("doc_id", quality.grade_of(labels).alias("grade")))
+    if model is None:
+        return docs
+    return docs.where(quality.scored(spark, model)(docs["text"])["p_top"] >= quality.KEEP)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +52,10 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: every document as often as the mix takes it."""
     taken = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("taken_id_")).agg(
         F.max("copies").cast("int").alias("copies_"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id_"]))
-    return rows.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(
-        *[docs[c] for c in docs.columns])
+    # the whole row as one column, so no column of documents can clash
+    whole = docs.select(F.col("doc_id").alias("id_"), F.struct(*docs.columns).alias("row_"))
+    rows = whole.join(taken.hint("merge"), whole["id_"].eqNullSafe(taken["taken_id_"]))
+    return rows.select("row_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select("row_.*")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,8 +29,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm import wordhash
@@ -201,21 +202,23 @@ def classify(docs: DataFrame, rated: DataFrame, grades: int = 3, keep: float = K
     """doc_id, score, expected_grade, p_top, kept of every document; rated: (doc_id, grade)."""
     arrow_batches(docs.sparkSession)
     plain = texts(docs, id_col, text_col)
-    kind = plain.schema["doc_id"].dataType.simpleString()
     model = train(plain, rated, grades, per_grade)
     if model is None:
         none = F.lit(None).cast("double")
         return plain.select("doc_id", none.alias("score"), none.alias("expected_grade"), none.alias("p_top"),
                             F.lit(True).alias("kept"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    out = plain.select("doc_id", scored(docs.sparkSession, model)("text").alias("s")).select("doc_id", "s.*")
+    return out.withColumn("kept", F.col("p_top") >= keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = shared.value.score(features(batch.column("text").cast(pa.binary()).to_pylist()))
-            tails = shared.value.tails(score)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(score), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])],
-                ["doc_id", "score", "expected_grade", "p_top"])
 
-    out = plain.mapInArrow(run, f"doc_id {kind}, score double, expected_grade double, p_top double")
-    return out.withColumn("kept", F.col("p_top") >= keep)
+def scored(spark: SparkSession, model: Model):
+    """Column function of texts: struct of score, expected_grade and p_top (nulls are empty texts)."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("score double, expected_grade double, p_top double")
+    def run(text: pd.Series) -> pd.DataFrame:
+        score = shared.value.score(features([t.encode() if t else b"" for t in text]))
+        tails = shared.value.tails(score)
+        return pd.DataFrame({"score": score, "expected_grade": tails.sum(axis=1), "p_top": tails[:, -1]})
+
+    return run
