@@ -1,15 +1,21 @@
 """Exact and approximate k-nearest-neighbour search over embedding tables.
 
-* ``knn`` — one query vector: the exact kernel below with a one-row query side.
-* ``knn_per_key`` — one query vector per key (e.g. a model centroid), joined
-  on that key; top-k per key through a window that Spark limits map-side.
-* ``knn_join`` — many queries x corpus.  Pairs are never materialised as rows.
-  The smaller side is broadcast (size-checked).  Corpus broadcast: query
-  partitions compute each query's complete top-k in one task.  Query
-  broadcast: each corpus partition keeps a running top-k per query and a
-  window picks the global top-k from <= k x partitions candidates per query;
-  a query side above the bound is processed in bounded blocks.
-* ``knn_approx`` — LSH candidate generation + exact re-rank.
+* ``knn`` — one query vector: distance column, sort and limit; every task keeps
+  its k best rows, nothing is shuffled.
+* ``knn_per_key`` — one query vector per key (e.g. a model centroid), joined on
+  that key; top-k per key through a window that Spark limits map-side.
+* ``knn_join`` — many queries x corpus, matched within a key (the model) and
+  the vector's dimension.  Both sides of a key are dealt into blocks of bounded
+  size; every pair of blocks is one task that scores its block with matrix
+  products and returns its k best per query.  One plan at every size: nothing
+  is collected to the driver, nothing is broadcast, and a key that holds most
+  of the rows is as many tasks as its blocks need.
+* ``knn_approx`` — random-projection buckets as keys of the same join, so only
+  vectors that share a bucket meet, and an over-full bucket is dealt into
+  blocks like any other key.
+
+Vectors of another dimension than the query's never match (``dimension_split``
+reports them).  Distances that are NaN (cosine of a zero vector) rank last.
 """
 
 from __future__ import annotations
@@ -24,42 +30,32 @@ from pyspark.sql import types as T
 
 from inkstone.functions import vectors as V
 
-# Upper bound on the query matrix shipped to every task (float64 bytes).
-DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
-# Upper bound on exact-join passes over the corpus (one per query block).
-MAX_BLOCKS = 4096
-# Max distance-matrix cells computed at once inside one task.
+#: Rows of either side in one task of the join.
+BLOCK_ROWS = 4096
+# Distance cells computed at once inside one task.
 _CELLS = 2_000_000
+# Neighbours beyond k that are re-scored exactly, against rounding in the matrix product.
+_SPARE = 8
 
 
-def _rank_window(partition_col: str, order_cols=("distance", "id")):
-    return Window.partitionBy(partition_col).orderBy(*[F.col(c).asc_nulls_last() for c in order_cols])
+def _rank_window(*partition_cols: str):
+    return Window.partitionBy(*partition_cols).orderBy(F.col("distance").asc_nulls_last(), F.col("id").asc_nulls_last())
 
 
-def _final_topk(cand: DataFrame, k: int) -> DataFrame:
-    """Global top-k per query from candidates that may repeat a (query, id) pair
-    (a query under several keys).  ``dense_rank`` over (distance, id) gives a
-    repeated pair one rank, so repeats never take several of the k slots; the
-    repeats are then dropped inside the query partitioning (no extra shuffle)."""
-    ranked = cand.withColumn("rank", F.dense_rank().over(_rank_window("query_id")))
-    return ranked.filter(F.col("rank") <= k).dropDuplicates(["query_id", "id"])
+def dimension_split(vectors: DataFrame, dim: int, vec_col: str = "vector") -> tuple[DataFrame, DataFrame]:
+    """(rows whose vector has ``dim`` elements, all other rows)."""
+    ok = F.coalesce(V.dimension_ok(F.col(vec_col), dim), F.lit(False))
+    return vectors.filter(ok), vectors.filter(~ok)
 
 
 def knn(corpus: DataFrame, query: list[float], k: int, metric: str = "l2",
         model_id: int | None = None, vec_col: str = "vector") -> DataFrame:
-    """k nearest rows of ``corpus`` to one query vector (a parameter).
-
-    Runs the exact broadcast kernel with a one-row query side: every corpus
-    task keeps a top-k from a matrix product, then k x tasks candidates are
-    ranked.  Returns (id, article_id, distance) ordered by distance, id.
-    """
-    spark = corpus.sparkSession
-    q = spark.createDataFrame([(0, 0, [float(x) for x in query])],
-                              "query_id long, _g int, query_vector array<double>")
+    """(id, article_id, distance) of the k nearest rows of ``corpus`` to one query vector (a parameter)."""
     c = corpus if model_id is None else corpus.filter(F.col("model_id") == F.lit(model_id))
-    c = c.withColumn("_g", F.lit(0))
-    r = knn_join(q, c, k, metric, model="_g", vec_col=vec_col)
-    return r.select("id", "article_id", "distance").orderBy(F.col("distance").asc_nulls_last(), "id")
+    q = F.array(*[F.lit(float(x)) for x in query])
+    c = c.filter(V.dimension_ok(F.col(vec_col), len(query)))
+    d = c.select("id", "article_id", V.distance(metric, F.col(vec_col), q).alias("distance"))
+    return d.orderBy(F.col("distance").asc_nulls_last(), "id").limit(k)
 
 
 def knn_per_key(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
@@ -67,10 +63,12 @@ def knn_per_key(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2
     """Top-k corpus rows per key against ``queries`` (exactly one vector per key).
 
     ``queries`` is keyed (unique ``key``), so the equi-join is a lookup that
-    never multiplies corpus rows.  Its size is bounded by the key count.
+    never multiplies corpus rows; adaptive execution splits a skewed key.
     """
-    j = corpus.filter(V.is_valid(F.col(vec_col))).join(queries.select(key, qvec_col), key)
-    d = j.select(key, "id", "article_id", V.distance(metric, F.col(vec_col), F.col(qvec_col)).alias("distance"))
+    q = queries.select(F.col(key).alias("_key"), F.col(qvec_col).alias("_qvec"))
+    j = corpus.filter(V.is_valid(F.col(vec_col))).join(
+        q, (F.col(key) == F.col("_key")) & (F.size(vec_col) == F.size("_qvec")))
+    d = j.select(key, "id", "article_id", V.distance(metric, F.col(vec_col), F.col("_qvec")).alias("distance"))
     return (d.withColumn("rank", F.row_number().over(_rank_window(key)))
             .filter(F.col("rank") <= k))
 
@@ -78,17 +76,17 @@ def knn_per_key(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2
 # ---------------------------------------------------------------- knn_join
 
 def _matrix(series: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series]) if len(series) else np.zeros((0, 0))
+    return np.stack([np.asarray(v, dtype=np.float64) for v in series])
 
 
-def _dist_matrix(metric: str, q: np.ndarray, qn: np.ndarray, c: np.ndarray, cn: np.ndarray) -> np.ndarray:
+def _dist_matrix(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
     g = q @ c.T
     if metric == "inner_product":
         return -g
     if metric == "cosine":
         with np.errstate(divide="ignore", invalid="ignore"):
-            return 1.0 - g / np.outer(qn, cn)
-    d2 = (qn ** 2)[:, None] + (cn ** 2)[None, :] - 2.0 * g
+            return 1.0 - g / np.outer(np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1)))
+    d2 = (q * q).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2.0 * g
     return np.sqrt(np.maximum(d2, 0.0))
 
 
@@ -103,140 +101,41 @@ def _exact(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
         return 1.0 - dotp / (np.sqrt((q * q).sum(axis=-1)) * np.sqrt((c * c).sum(axis=-1)))
 
 
-def _smallest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Column order of the k smallest (distance, id) per row; NaN sorts last."""
-    key = np.where(np.isnan(dist), np.inf, dist)
-    return np.lexsort((ids, key), axis=1)[:, :k]
-
-
-def _partial_topk(bq, k: int, metric: str, exclude_self: bool):
-    """mapInPandas body: running exact top-k per broadcast query over one partition.
-
-    Distances for a whole batch come from one matrix product; only the k
-    survivors per query are re-evaluated exactly and kept.  Output is at most
-    k rows per query per task, never the pairs.
-    """
-
-    def run(batches):
-        queries = bq.value  # model -> (qids, matrix, norms)
-        best = {}
-        for pdf in batches:
-            for m, grp in pdf.groupby("model_id", sort=False):
-                m = int(m)
-                if m not in queries:
-                    continue
-                qids, qm, qn = queries[m]
-                cm = _matrix(grp["vector"])
-                if cm.shape[1] != qm.shape[1]:
-                    continue  # a wrong dimension never matches
-                cids = grp["id"].to_numpy(np.int64)
-                caid = grp["article_id"].to_numpy(np.int64)
-                cn = np.sqrt((cm * cm).sum(axis=1))
-                step = max(1, _CELLS // max(1, len(cids)))
-                for s in range(0, len(qids), step):
-                    qs = qm[s:s + step]
-                    d = _dist_matrix(metric, qs, qn[s:s + step], cm, cn)
-                    skip = (qids[s:s + step][:, None] == cids[None, :]) if exclude_self else None
-                    if skip is not None:
-                        d[skip] = np.inf
-                    order = _smallest(d, np.broadcast_to(cids, d.shape), k)
-                    ex = _exact(metric, qs[:, None, :], cm[order])
-                    if skip is not None:
-                        ex[np.take_along_axis(skip, order, axis=1)] = np.inf
-                    ids, aids = cids[order], caid[order]
-                    prev = best.get((m, s))
-                    if prev is not None:
-                        ex = np.concatenate([prev[0], ex], axis=1)
-                        ids = np.concatenate([prev[1], ids], axis=1)
-                        aids = np.concatenate([prev[2], aids], axis=1)
-                    o = _smallest(ex, ids, k)
-                    best[(m, s)] = tuple(np.take_along_axis(a, o, axis=1) for a in (ex, ids, aids))
-        for (m, s), (ex, ids, aids) in best.items():
-            qids = queries[m][0]
-            n_q, kk = ex.shape
-            rq = np.repeat(np.arange(s, s + n_q), kk)
-            flat = ex.ravel()
-            keep = ~np.isinf(flat)
-            yield pd.DataFrame({"query_id": qids[rq[keep]], "id": ids.ravel()[keep],
-                                "article_id": aids.ravel()[keep], "distance": flat[keep]})
+def _smallest(dist: np.ndarray, ids: np.ndarray, out: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k smallest (excluded last, then NaN, then distance, then id) per row."""
+    nan = np.isnan(dist)
+    return np.lexsort((ids, np.where(nan, 0.0, dist), nan, out), axis=1)[:, :k]
+
+
+def _block_topk(k: int, metric: str, exclude_self: bool):
+    """Cogroup body: the k best corpus rows of one block for every query of one block."""
+
+    def run(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(corpus):
+            return pd.DataFrame({c: [] for c in ("query_id", "id", "article_id", "distance")})
+        qid, cid = queries["query_id"].to_numpy(np.int64), corpus["id"].to_numpy(np.int64)
+        aid = corpus["article_id"].to_numpy(np.int64)
+        q, c = _matrix(queries["vector"]), _matrix(corpus["vector"])
+        step = max(1, _CELLS // len(cid))
+        parts = []
+        for s in range(0, len(qid), step):
+            qs, qi = q[s:s + step], qid[s:s + step]
+            d = _dist_matrix(metric, qs, c)
+            out = (qi[:, None] == cid[None, :]) if exclude_self else np.zeros(d.shape, bool)
+            near = _smallest(d, np.broadcast_to(cid, d.shape), out, k + _SPARE)
+            exact = _exact(metric, qs[:, None, :], c[near])
+            out = np.take_along_axis(out, near, axis=1)
+            best = _smallest(exact, cid[near], out, k)
+            rows = np.take_along_axis(near, best, axis=1)
+            use = ~np.take_along_axis(out, best, axis=1)
+            parts.append(pd.DataFrame({
+                "query_id": np.broadcast_to(qi[:, None], rows.shape)[use], "id": cid[rows][use],
+                "article_id": aid[rows][use], "distance": np.take_along_axis(exact, best, axis=1)[use]}))
+        return pd.concat(parts, ignore_index=True)
 
     return run
 
 
-def _full_topk(bc, k: int, metric: str, exclude_self: bool):
-    """mapInPandas body over query partitions against a broadcast corpus: the
-    complete top-k of every query, ranked in the task (no merge step)."""
-
-    def run(batches):
-        corpus = bc.value  # model -> (ids, article_ids, matrix, norms)
-        for pdf in batches:
-            outs = []
-            for m, grp in pdf.groupby("model_id", sort=False):
-                m = int(m)
-                if m not in corpus:
-                    continue
-                cids, caid, cm, cn = corpus[m]
-                qm = _matrix(grp["query_vector"])
-                if qm.shape[1] != cm.shape[1]:
-                    continue
-                qids = grp["query_id"].to_numpy(np.int64)
-                qn = np.sqrt((qm * qm).sum(axis=1))
-                step = max(1, _CELLS // max(1, len(cids)))
-                for s in range(0, len(qids), step):
-                    qs, qi = qm[s:s + step], qids[s:s + step]
-                    d = _dist_matrix(metric, qs, qn[s:s + step], cm, cn)
-                    skip = (qi[:, None] == cids[None, :]) if exclude_self else None
-                    if skip is not None:
-                        d[skip] = np.inf
-                    order = _smallest(d, np.broadcast_to(cids, d.shape), k)
-                    ex = _exact(metric, qs[:, None, :], cm[order])
-                    if skip is not None:
-                        ex[np.take_along_axis(skip, order, axis=1)] = np.inf
-                    ids, aids = cids[order], caid[order]
-                    o = _smallest(ex, ids, k)
-                    ex, ids, aids = (np.take_along_axis(a, o, axis=1) for a in (ex, ids, aids))
-                    n_q, kk = ex.shape
-                    keep = ~np.isinf(ex.ravel())
-                    rank = np.tile(np.arange(1, kk + 1), n_q)
-                    # ranks count only kept neighbours (excluded self sorts last as inf)
-                    outs.append(pd.DataFrame({
-                        "query_id": np.repeat(qi, kk)[keep], "id": ids.ravel()[keep],
-                        "article_id": aids.ravel()[keep], "distance": ex.ravel()[keep],
-                        "rank": rank[keep].astype(np.int32)}))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-
-    return run
-
-
-def _collect_corpus(corpus: DataFrame, vec_col: str, model: str):
-    pdf = corpus.select("id", "article_id", model, vec_col).toPandas()
-    out = {}
-    for m, grp in pdf.groupby(model, sort=False):
-        mat = _matrix(grp[vec_col])
-        out[int(m)] = (grp["id"].to_numpy(np.int64), grp["article_id"].to_numpy(np.int64), mat,
-                       np.sqrt((mat * mat).sum(axis=1)))
-    return out
-
-
-_FULL_SCHEMA = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("id", T.LongType()),
-    T.StructField("article_id", T.LongType()),
-    T.StructField("distance", T.DoubleType()),
-    T.StructField("rank", T.IntegerType()),
-])
-
-
-def _collect_queries(queries: DataFrame, qid: str, qvec: str, model: str):
-    pdf = queries.select(qid, model, qvec).toPandas()
-    out = {}
-    for m, grp in pdf.groupby(model, sort=False):
-        mat = _matrix(grp[qvec])
-        out[int(m)] = (grp[qid].to_numpy(np.int64), mat, np.sqrt((mat * mat).sum(axis=1)))
-    return out
-
-
 _JOIN_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
     T.StructField("id", T.LongType()),
@@ -245,59 +144,58 @@ _JOIN_SCHEMA = T.StructType([
 ])
 
 
-def _join_block(spark, queries_block: DataFrame, corpus: DataFrame, k: int, metric: str,
-                exclude_self: bool, qid: str, qvec: str, model: str, vec_col: str) -> DataFrame:
-    bq = spark.sparkContext.broadcast(_collect_queries(queries_block, qid, qvec, model))
-    return (corpus.filter(V.is_valid(F.col(vec_col)))
-            .select("id", "article_id", F.col(model).alias("model_id"), F.col(vec_col).alias("vector"))
-            .mapInPandas(_partial_topk(bq, k, metric, exclude_self), _JOIN_SCHEMA))
-
-
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
              exclude_self: bool = False, qid: str = "query_id", qvec: str = "query_vector",
-             model: str = "model_id", vec_col: str = "vector",
-             max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, unique_queries: bool = True) -> DataFrame:
+             model: str = "model_id", vec_col: str = "vector", block_rows: int = BLOCK_ROWS,
+             unique_queries: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Top-k corpus rows for every query, matched within the same ``model`` key.
 
     ``model`` names the grouping column present on both sides (the embedding
     model, or any key such as an LSH bucket).  ``unique_queries=False`` when a
-    query id appears under several keys (its lists are merged).  Returns
+    query id appears under several keys whose lists are to be merged; with
+    ``keep`` (the model column) a query is ranked per key instead.  Returns
     (query_id, id, article_id, distance, rank).
     """
     if metric not in V.METRICS:
         raise ValueError(f"metric must be one of {V.METRICS}")
-    spark = corpus.sparkSession
-    queries = queries.filter(V.is_valid(F.col(qvec)))
-    corpus = corpus.filter(V.is_valid(F.col(vec_col)))
-    # both sides' sizes in one job: count and max dimension per tagged side
-    sizes = (queries.select(F.lit("q").alias("side"), F.size(qvec).alias("dim"))
-             .unionByName(corpus.select(F.lit("c").alias("side"), F.size(vec_col).alias("dim")))
-             .groupBy("side").agg(F.count("*").alias("n"), F.max("dim").alias("dim")).collect())
-    st = {r["side"]: (int(r["n"] or 0), max(int(r["dim"] or 0), 1)) for r in sizes}
-    q_bytes = st.get("q", (0, 1))[0] * st.get("q", (0, 1))[1] * 16
-    c_bytes = st.get("c", (0, 1))[0] * st.get("c", (0, 1))[1] * 16
-    if c_bytes < q_bytes and c_bytes <= max_broadcast_bytes:
-        # the corpus is the small side: broadcast it, stream the queries;
-        # every query's complete top-k is computed in one task, no merge shuffle
-        bc = spark.sparkContext.broadcast(_collect_corpus(corpus, vec_col, model))
-        full = (queries.select(F.col(qid).alias("query_id"), F.col(model).alias("model_id"),
-                               F.col(qvec).alias("query_vector"))
-                .mapInPandas(_full_topk(bc, k, metric, exclude_self), _FULL_SCHEMA))
-        return full if unique_queries else _final_topk(full.drop("rank"), k)
-    blocks = max(1, math.ceil(q_bytes / max_broadcast_bytes))
-    if blocks > MAX_BLOCKS:
-        # each block is one pass over the corpus; refuse rather than plan thousands of passes
-        raise ValueError(f"exact k-NN join needs {blocks} query blocks of {max_broadcast_bytes} bytes; "
-                         "raise max_broadcast_bytes or use knn_approx")
-    parts = []
-    for b in range(blocks):
-        qb = queries if blocks == 1 else queries.filter(
-            F.pmod(F.xxhash64(F.col(qid)), F.lit(blocks)) == b)
-        parts.append(_join_block(spark, qb, corpus, k, metric, exclude_self, qid, qvec, model, vec_col))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    return _final_topk(cand, k)
+    per_key = keep is not None
+    q = queries.filter(V.is_valid(F.col(qvec))).select(
+        F.col(qid).cast("long").alias("query_id"), F.col(model).alias("key"), F.size(qvec).alias("dim"),
+        F.col(qvec).cast("array<double>").alias("vector"))
+    c = corpus.filter(V.is_valid(F.col(vec_col))).select(
+        F.col("id").cast("long").alias("id"), F.col("article_id").cast("long").alias("article_id"),
+        F.col(model).alias("key"), F.size(vec_col).alias("dim"), F.col(vec_col).cast("array<double>").alias("vector"))
+    on = ["key", "dim"]
+    blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
+    nq, nc = q.groupBy(*on).agg(blocks.alias("nq")), c.groupBy(*on).agg(blocks.alias("nc"))
+    dealt = nq.join(nc, on)  # one row per key that both sides have
+
+    def block(id_col: str, n: str):
+        return F.pmod(F.xxhash64(id_col), F.col(n)).cast("int")
+
+    def all_of(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    qs = q.join(dealt, on).withColumn("qb", block("query_id", "nq")).withColumn("cb", all_of("nc"))
+    cs = c.join(dealt, on).withColumn("cb", block("id", "nc")).withColumn("qb", all_of("nq"))
+    body = _block_topk(k, metric, exclude_self)
+    task = [*on, "qb", "cb"]
+    schema = T.StructType([*_JOIN_SCHEMA.fields, T.StructField("key", c.schema["key"].dataType)]) if per_key else _JOIN_SCHEMA
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = body(left, right)
+        return out.assign(key=key[0]) if per_key else out
+
+    cand = qs.select(*task, "query_id", "vector").groupBy(*task).cogroup(
+        cs.select(*task, "id", "article_id", "vector").groupBy(*task)).applyInPandas(run, schema)
+    if per_key:
+        ranked = cand.withColumn("rank", F.row_number().over(_rank_window("key", "query_id")))
+        return ranked.filter(F.col("rank") <= k).withColumnRenamed("key", keep[0])
+    if unique_queries:
+        return cand.withColumn("rank", F.row_number().over(_rank_window("query_id"))).filter(F.col("rank") <= k)
+    # a pair may come from several keys: equal rows share a dense rank, then one of them stays
+    ranked = cand.withColumn("rank", F.dense_rank().over(_rank_window("query_id")))
+    return ranked.filter(F.col("rank") <= k).dropDuplicates(["query_id", "id"])
 
 
 # ---------------------------------------------------------------- approximate
@@ -305,16 +203,16 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
 def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
                bucket_length: float | None = None, num_tables: int = 8, seed: int = 7,
                qid: str = "query_id", qvec: str = "query_vector", vec_col: str = "vector",
-               exclude_self: bool = False) -> DataFrame:
+               exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """LSH candidates + exact re-rank (the HNSW index re-aimed).
 
     Vectors (unit-normalised for cosine) are hashed by
-    ``BucketedRandomProjectionLSH``; every (model, table, bucket) becomes a
-    join key and the exact broadcast top-k join runs per key, so only
-    same-bucket pairs are scored and none are emitted.  Results per query are
-    the best k over all tables (recall < 1 by design).  The default bucket
-    width is 1.5 / sqrt(dim): a projection of a unit vector has standard
-    deviation 1 / sqrt(dim), so a table has a handful of buckets.
+    ``BucketedRandomProjectionLSH``; every (model, table, bucket) is a key of
+    the exact block join, so only same-bucket pairs are scored and none are
+    emitted.  Results per query are the best k over all tables (recall < 1 by
+    design).  The default bucket width is 1.5 / sqrt(dim): a projection of a
+    unit vector has standard deviation 1 / sqrt(dim), so a table has a handful
+    of buckets.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -341,7 +239,7 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos
         return h.withColumn("_key", key).drop("_u", "_h", "_t", "_hv")
 
     return knn_join(keyed(q, "model_id"), keyed(c, "model_id"), k, metric, exclude_self=exclude_self,
-                    qid=qid, qvec=qvec, model="_key", vec_col=vec_col, unique_queries=False)
+                    qid=qid, qvec=qvec, model="_key", vec_col=vec_col, block_rows=block_rows, unique_queries=False)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -38,12 +38,11 @@ def test_knn_literal_matches_numpy(vecs, metric):
     assert np.allclose([r.distance for r in got], d[order], atol=1e-9)
 
 
-@pytest.mark.parametrize("max_bytes", [None, 20_000])
-def test_knn_join_matches_brute_force(spark, vecs, max_bytes):
+@pytest.mark.parametrize("rows", [4096, 37])
+def test_knn_join_matches_brute_force(spark, vecs, rows):
     v, pdf = vecs
     q = v.select(F.col("id").alias("query_id"), "model_id", F.col("vector").alias("query_vector"))
-    kw = {} if max_bytes is None else {"max_broadcast_bytes": max_bytes}  # small bound -> several blocks
-    got = K.knn_join(q, v, 4, "cosine", exclude_self=True, **kw).toPandas()
+    got = K.knn_join(q, v, 4, "cosine", exclude_self=True, block_rows=rows).toPandas()
     exp = []
     for m, g in pdf.groupby("model_id"):
         c = np.stack(g.vector.map(lambda a: np.asarray(a, dtype=np.float64)))
@@ -91,27 +90,59 @@ def test_distance_columns_null_and_zero(spark):
     assert us[0] == [0.6, 0.8] and all(np.isnan(us[1]))
 
 
-def test_knn_join_corpus_broadcast_path_matches(spark, vecs):
+def test_knn_join_smaller_corpus_and_blocks(spark, vecs):
     v, pdf = vecs
     q = v.select(F.col("id").alias("query_id"), "model_id", F.col("vector").alias("query_vector"))
-    small = v.filter(F.col("id") % 7 == 0)  # a corpus smaller than the query side
-    got = K.knn_join(q, small, 3, "l2", exclude_self=True).toPandas()        # corpus broadcast
-    # a bound below the corpus size forces the query-broadcast path, in ~9 query blocks
-    forced = K.knn_join(q, small, 3, "l2", exclude_self=True, max_broadcast_bytes=60_000).toPandas()
+    small = v.filter(F.col("id") % 7 == 0)
+    got = K.knn_join(q, small, 3, "l2", exclude_self=True).toPandas()
+    blocks = K.knn_join(q, small, 3, "l2", exclude_self=True, block_rows=10).toPandas()
     key = lambda df: sorted(zip(df.query_id, df["rank"], df.id))
-    assert key(got) == key(forced)
+    assert key(got) == key(blocks)
     cp = pdf[pdf.id % 7 == 0]
     exp = []
     for _, row in pdf.iterrows():
-        c = cp[cp.model_id == row.model_id]
+        c = cp[(cp.model_id == row.model_id) & (cp.id != row.id)]
         cm = np.stack(c.vector.map(lambda a: np.asarray(a, dtype=np.float64)))
         d = np.sqrt(((cm - np.asarray(row.vector, dtype=np.float64)) ** 2).sum(1))
-        d[c.id.to_numpy() == row.id] = np.inf
-        order = [j for j in np.lexsort((c.id.to_numpy(), d)) if np.isfinite(d[j])][:3]
-        exp += [(row.id, r, c.id.to_numpy()[j]) for r, j in enumerate(order, 1)]
+        exp += [(row.id, r, c.id.to_numpy()[j]) for r, j in enumerate(np.lexsort((c.id.to_numpy(), d))[:3], 1)]
     assert key(got) == sorted(exp)
 
 
+def test_knn_join_uneven_batches_many_queries_hot_key_and_mixed_dimensions(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i, 0 if i % 10 else 1, rng.normal(size=6).tolist()) for i in range(3000)]
+    rows += [(5000, 5000, 0, [0.0] * 6), (5001, 5001, 0, [1.0, 2.0]), (5002, 5002, 0, []), (5003, 5003, 0, None),
+             (5004, 5004, 9, [1.0] * 6), (5005, 5005, 0, [3.0, 4.0])]
+    v = spark.createDataFrame(rows, "id long, article_id long, model_id int, vector array<float>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        q = v.select(F.col("id").alias("query_id"), "model_id", F.col("vector").alias("query_vector"))
+        got = K.knn_join(q, v, 3, "cosine", exclude_self=True, block_rows=700).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append((r["rank"], r.id))
+    for i, _, m, x in rows[::97] + rows[-6:]:
+        x = None if x is None else np.asarray(x, dtype=np.float32).astype(float)
+        cand = [(j, np.asarray(y, dtype=np.float32).astype(float)) for j, _, n, y in rows
+                if n == m and j != i and y and x is not None and len(y) == len(x) and len(x)]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            d = [(np.isnan(e), 0.0 if np.isnan(e) else e, j) for j, y in cand
+                 for e in [1 - (x @ y) / (np.sqrt(x @ x) * np.sqrt(y @ y))]]
+        assert sorted(by.get(i, [])) == [(r, j) for r, (_, _, j) in enumerate(sorted(d)[:3], 1)], i
+    good, bad = K.dimension_split(v, 6)
+    assert good.count() == 3002 and {r.id for r in bad.collect()} == {5001, 5002, 5003, 5005}
+
+
+def test_knn_keeps_infinite_distances_and_drops_self(spark):
+    v = spark.createDataFrame([(1, 1, 0, [1e200]), (2, 2, 0, [-1e200]), (3, 3, 0, [float("inf")])],
+                              "id long, article_id long, model_id int, vector array<double>")
+    q = v.select(F.col("id").alias("query_id"), "model_id", F.col("vector").alias("query_vector"))
+    got = {(r.query_id, r["rank"]): r.id for r in K.knn_join(q, v, 3, "l2", exclude_self=True).collect()}
+    assert got[(1, 1)] == 2 and got[(1, 2)] == 3 and (1, 3) not in got
+
+
 def test_knn_per_key_jvm_path_matches_kernel(spark, vecs):
     v, _ = vecs
     cent = VA.mean_by(v, ["model_id"], out_col="query_vector").drop("n")
