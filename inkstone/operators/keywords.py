@@ -4,25 +4,19 @@
   aggregates; the tf x df join is keyed by term (df has one row per term,
   so a hot term is handled by AQE's skew split), idf uses a scalar subquery
   for N.  Top-k per document via ``row_number`` (Spark limits it map-side).
-* ``overlap_topk`` — documents ranked by shared keywords.  A self-join on the
-  keyword would emit every pair inside a keyword's group (quadratic for a hot
-  keyword), so instead the query side is broadcast in size-checked blocks and
-  every corpus partition counts overlaps in memory with an inverted index,
-  keeping a running top-k per query (the k-NN join pattern).  Only <= k rows
-  per query per task are emitted.
+* ``overlap_topk`` — documents ranked by shared keywords, through an index of
+  term subsets that keeps k + 1 rows per subset; no pairs inside a keyword's group.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN_RE = r"\p{L}[\p{L}\p{N}]{2,}"
+#: Runs of these scripts have no blanks between words; their tokens are pairs of neighbouring characters.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 CATEGORIES = ["themes", "events", "entities", "actions"]
 PREFIX = {"themes": "theme", "events": "event", "entities": "entity", "actions": "action"}
 MAX_PER_CATEGORY = 5
@@ -39,14 +33,34 @@ KEYWORDS_SCHEMA = T.StructType([
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased word tokens (a letter then >= 2 letters/digits)."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RE), 0)
+    """Lower-cased word tokens (a letter then >= 2 letters/digits), and character pairs of unspaced scripts."""
+    low = F.lower(text)
+    spaced = F.regexp_extract_all(F.regexp_replace(low, UNSPACED + "+", " "), F.lit(TOKEN_RE), 0)
+    runs = F.regexp_extract_all(low, F.lit(UNSPACED + "{2,}"), 0)
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(
+        F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    return F.when(low.rlike(UNSPACED), F.concat(spaced, pairs)).otherwise(F.regexp_extract_all(low, F.lit(TOKEN_RE), 0))
+
+
+def counted(toks: Column) -> Column:
+    """Array of (term, tf) of a token array: sorted, then the lengths of equal runs (a document is one row, so
+    term counts need no shuffle)."""
+    from inkstone.functions.bind import let
+
+    def runs(s):
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda st: F.transform(st, lambda p, j: F.struct(
+            F.get(s, p).alias("term"), (F.coalesce(F.get(st, j + 1), n) - p).cast("long").alias("tf"))))
+
+    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return let(F.array_sort(toks), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
 
 
 def topk_terms(docs: DataFrame, id_col: str = "id", text_col: str = "content", k: int = 5) -> DataFrame:
     """(doc_id, rank, term, tf, df, score) with score = tf * ln(N / df)."""
-    t = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens(F.col(text_col))).alias("term"))
-    tf = t.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    t = docs.select(F.col(id_col).alias("doc_id"), F.explode(counted(tokens(F.col(text_col)))).alias("t"))
+    tf = t.select("doc_id", "t.term", "t.tf")
     df_ = tf.groupBy("term").agg(F.count("*").alias("df"))
     n_docs = docs.select(F.count("*")).scalar()
     scored = tf.join(df_, "term").withColumn("score", F.col("tf") * F.log(n_docs / F.col("df")))
@@ -111,233 +125,67 @@ def relevance_band(score: Column) -> Column:
 
 # ---------------------------------------------------------------- overlap top-k
 
-DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
-_PAIR_CAP = 4_000_000  # candidate pairs counted at once in one task
-DEFAULT_HOT_DF = 1_000       # a term in more documents than this is "hot" (absolute: bounds pair work per posting)
-MAX_HOT_TERMS = 4096         # hot-term bitmask width (64 words)
-MAX_GROUPS = 500_000         # (hot-term set, size) groups broadcast for pure-hot matches
-
-_OVERLAP_SCHEMA = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("id", T.LongType()),
-    T.StructField("shared", T.LongType()),
-    T.StructField("jaccard", T.DoubleType()),
-])
+#: Term sets up to this size are indexed by all their subsets (2 ** 8 - 1 keys at most); larger ones are joined by term.
+SUBSET_TERMS = 8
 
 
-def _select_topk(q, b, shared, jac, k):
-    """Rows with the k best (jaccard desc, shared desc, id asc) per q."""
-    order = np.lexsort((b, -shared, -jac, q))
-    q, b, shared, jac = q[order], b[order], shared[order], jac[order]
-    start = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
-    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
-    keep = rank < k
-    return q[keep], b[keep], shared[keep], jac[keep]
-
-
-def _masks(sets, bit: dict, words: int) -> np.ndarray:
-    m = np.zeros((len(sets), max(words, 1)), dtype=np.uint64)
-    for i, ts in enumerate(sets):
-        for t in ts:
-            j = bit.get(t)
-            if j is not None:
-                m[i, j >> 6] |= np.uint64(1) << np.uint64(j & 63)
-    return m
-
-
-def _overlap_fn(bq, k: int, exclude_self: bool):
-    """Corpus partitions vs a broadcast query block.  Pairs are enumerated only
-    through non-hot terms; shared hot terms are added with a bitmask popcount."""
-
-    def run(batches):
-        qids, qsize, postings, qmask, bit, words = bq.value
-        best = None
-        for pdf in batches:
-            ids = pdf["id"].to_numpy(np.int64)
-            sets = [set(t) if t is not None else set() for t in pdf["terms"]]
-            bsizes = np.array([len(t) for t in sets], dtype=np.int64)
-            bmask = _masks(sets, bit, words) if words else None
-            rows_q, rows_b, n = [], [], 0
-
-            def flush():
-                nonlocal best, rows_q, rows_b, n
-                if not rows_q:
-                    return
-                qq = np.concatenate(rows_q)
-                bb = np.concatenate(rows_b)
-                key = qq * (len(ids) + 1) + bb
-                uniq, cnt = np.unique(key, return_counts=True)
-                qi, bi = uniq // (len(ids) + 1), uniq % (len(ids) + 1)
-                shared = cnt.astype(np.int64)
-                if words:
-                    shared = shared + np.bitwise_count(qmask[qi] & bmask[bi]).sum(axis=1).astype(np.int64)
-                jac = shared / (qsize[qi] + bsizes[bi] - shared)
-                bid = ids[bi]
-                if exclude_self:
-                    m = qids[qi] != bid
-                    qi, bid, shared, jac = qi[m], bid[m], shared[m], jac[m]
-                if best is not None:
-                    qi = np.concatenate([best[0], qi])
-                    bid = np.concatenate([best[1], bid])
-                    shared = np.concatenate([best[2], shared])
-                    jac = np.concatenate([best[3], jac])
-                best = _select_topk(qi, bid, shared, jac, k)
-                rows_q, rows_b, n = [], [], 0
-
-            for j, ts in enumerate(sets):
-                for t in ts:
-                    p = postings.get(t)
-                    if p is None:
-                        continue
-                    rows_q.append(p)
-                    rows_b.append(np.full(len(p), j, dtype=np.int64))
-                    n += len(p)
-                if n >= _PAIR_CAP:
-                    flush()
-            flush()
-        if best is not None and len(best[0]):
-            yield pd.DataFrame({"query_id": qids[best[0]], "id": best[1], "shared": best[2],
-                                "jaccard": best[3].astype(np.float64)})
-
-    return run
-
-
-def _collect_block(queries: DataFrame, hot: list[str]):
-    pdf = queries.select("query_id", "terms").toPandas()
-    qids = pdf["query_id"].to_numpy(np.int64)
-    sets = [set(t) if t is not None else set() for t in pdf["terms"]]
-    sizes = np.array([len(t) for t in sets], dtype=np.int64)
-    bit = {t: i for i, t in enumerate(hot)}
-    words = (len(hot) + 63) // 64
-    post: dict = {}
-    for i, ts in enumerate(sets):
-        for t in ts:
-            if t not in bit:  # hot terms are never enumerated pair by pair
-                post.setdefault(t, []).append(i)
-    qmask = _masks(sets, bit, words) if words else None
-    return qids, sizes, {t: np.array(v, dtype=np.int64) for t, v in post.items()}, qmask, bit, words
-
-
-def _group_fn(bg, k: int, exclude_self: bool):
-    """Query partitions vs the broadcast group index: best documents among those
-    that share only hot terms with the query.  Score depends on (shared, size)
-    alone, so each group's k+1 smallest ids suffice (a group member that also
-    shares a rare term is found by the pair kernel with a higher score)."""
-
-    def run(batches):
-        bit, words, gmask, gsize, gids, gpost = bg.value
-        for pdf in batches:
-            out_q, out_b, out_s, out_j = [], [], [], []
-            for qid, ts in zip(pdf["query_id"], pdf["terms"]):
-                tset = set(ts) if ts is not None else set()
-                hot_bits = [bit[t] for t in tset if t in bit]
-                if not hot_bits:
-                    continue
-                cand = np.unique(np.concatenate([gpost[b] for b in hot_bits]))
-                qm = _masks([tset], bit, words)[0]
-                sh = np.bitwise_count(gmask[cand] & qm).sum(axis=1).astype(np.int64)
-                a = len(tset)
-                jac = sh / (a + gsize[cand] - sh)
-                order = np.lexsort((-sh, -jac))
-                got_b, got_s, got_j = [], [], []
-                for oi in order:
-                    g = cand[oi]
-                    if len(got_b) >= k and (jac[oi], sh[oi]) < (got_j[k - 1], got_s[k - 1]):
-                        break
-                    for b in gids[g]:
-                        if exclude_self and b == qid:
-                            continue
-                        got_b.append(b)
-                        got_s.append(sh[oi])
-                        got_j.append(jac[oi])
-                    # keep the running list ordered so got_*[k-1] is the current k-th best
-                    o = np.lexsort((np.array(got_b), -np.array(got_s), -np.array(got_j)))
-                    got_b = [got_b[i] for i in o]
-                    got_s = [got_s[i] for i in o]
-                    got_j = [got_j[i] for i in o]
-                out_q += [qid] * min(k, len(got_b))
-                out_b += got_b[:k]
-                out_s += got_s[:k]
-                out_j += got_j[:k]
-            if out_q:
-                yield pd.DataFrame({"query_id": np.array(out_q, dtype=np.int64), "id": np.array(out_b, dtype=np.int64),
-                                    "shared": np.array(out_s, dtype=np.int64),
-                                    "jaccard": np.array(out_j, dtype=np.float64)})
-
-    return run
-
-
-def _hot_terms(corpus: DataFrame, hot_df: int) -> list[str] | None:
-    """Terms in more than ``hot_df`` corpus documents (None: too many to index)."""
-    df_ = (corpus.select(F.explode(F.array_distinct("terms")).alias("term"))
-           .groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") > hot_df))
-    hot = [r.term for r in df_.orderBy("term").limit(MAX_HOT_TERMS + 1).collect()]
-    return None if len(hot) > MAX_HOT_TERMS else hot
-
-
-def _group_index(corpus: DataFrame, hot: list[str], k: int):
-    """(hot-term set, set size) -> k+1 smallest ids, as broadcast-ready arrays (None if too many)."""
-    hot_arr = F.array(*[F.lit(t) for t in hot])
-    terms = F.array_distinct("terms")
-    g = (corpus.select("id", F.array_sort(F.array_intersect(terms, hot_arr)).alias("S"), F.size(terms).alias("b"))
-         .filter(F.size("S") > 0))
-    w = Window.partitionBy("S", "b").orderBy("id")
-    top = g.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1)
-    groups = top.groupBy("S", "b").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    rows = groups.limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        return None
-    bit = {t: i for i, t in enumerate(hot)}
-    words = (len(hot) + 63) // 64
-    gmask = _masks([r.S for r in rows], bit, words)
-    gsize = np.array([r.b for r in rows], dtype=np.int64)
-    gids = [np.array(r.ids, dtype=np.int64) for r in rows]
-    post: dict = {}
-    for gi, r in enumerate(rows):
-        for t in r.S:
-            post.setdefault(bit[t], []).append(gi)
-    gpost = {b: np.array(v, dtype=np.int64) for b, v in post.items()}
-    return bit, words, gmask, gsize, gids, gpost
+def _subsets(terms: Column) -> Column:
+    """All non-empty subsets of a sorted array of distinct terms, each joined to one key."""
+    n = F.size(terms)
+    every = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n) - 1)
+    return F.transform(every, lambda m: F.array_join(F.filter(
+        terms, lambda t, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1), "\x01"))
 
 
 def overlap_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, exclude_self: bool = True,
-                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, hot_df: int | None = DEFAULT_HOT_DF) -> DataFrame:
+                 subset_terms: int = SUBSET_TERMS) -> DataFrame:
     """Top-k corpus rows per query by keyword overlap (exact).
 
     queries(query_id, terms array<string>), corpus(id, terms array<string>)
-    -> (query_id, id, shared, jaccard, rank); ties broken by id.
-
-    Terms in more than ``hot_df`` documents are not enumerated pair by pair:
-    documents sharing only such terms with a query are ranked through a
-    small index of (hot-term set, set size) groups (each with its k+1
-    smallest ids), so a term present in a third of the corpus costs one
-    bitmask test per group instead of one per document.
+    -> (query_id, id, shared, jaccard, rank); most similar first, then most
+    shared, then smallest id.
+
+    No pairs are listed inside a term's group.  Whatever set T of terms a
+    query shares with a row, rows that hold T and come earlier by (set size,
+    id) are at least as good, so the k + 1 earliest rows of every T (one may
+    be the query itself) suffice.  Each row is therefore listed under all
+    subsets of its terms, each subset keeps its k + 1 earliest rows (limited
+    in the tasks before the shuffle, so a term of a third of the corpus costs
+    k + 1 rows per task), and a query looks up its own subsets.  Sets of more
+    than ``subset_terms`` terms, on either side, are joined by term instead.
     """
-    spark = corpus.sparkSession
-    hot = _hot_terms(corpus, hot_df) if hot_df is not None else []
-    index = _group_index(corpus, hot, k) if hot else None
-    if hot and (hot is None or index is None):
-        hot, index = [], None  # too many hot terms / groups to index: plain exact enumeration
-    hot = hot or []
-    st = queries.agg(F.count("*").alias("n"),
-                     F.sum(F.aggregate(F.coalesce("terms", F.array().cast("array<string>")), F.lit(0),
-                                       lambda a, t: a + F.length(t) + 16)).alias("bytes")).first()
-    est = int(st["bytes"] or 0) + 16 * int(st["n"] or 0) + int(st["n"] or 0) * 8 * ((len(hot) + 63) // 64)
-    blocks = max(1, math.ceil(est * 4 / max_broadcast_bytes))
-    parts = []
-    for b in range(blocks):
-        qb = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        bq = spark.sparkContext.broadcast(_collect_block(qb, hot))
-        parts.append(corpus.select("id", "terms").mapInPandas(_overlap_fn(bq, k, exclude_self), _OVERLAP_SCHEMA))
-    if index is not None:
-        bg = spark.sparkContext.broadcast(index)
-        parts.append(queries.select("query_id", "terms").mapInPandas(_group_fn(bg, k, exclude_self), _OVERLAP_SCHEMA))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    # one shuffle by query: a document found by both paths keeps its exact (higher) score
-    cand = cand.repartition("query_id")
-    dedupe = Window.partitionBy("query_id", "id").orderBy(F.col("jaccard").desc(), F.col("shared").desc())
-    cand = cand.withColumn("_d", F.row_number().over(dedupe)).filter(F.col("_d") == 1).drop("_d")
-    w = Window.partitionBy("query_id").orderBy(F.col("jaccard").desc(), F.col("shared").desc(), F.col("id"))
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    def sized(df: DataFrame, id_col: str) -> DataFrame:
+        terms = F.array_sort(F.array_distinct(F.filter("terms", lambda t: t.isNotNull())))
+        return df.select(F.col(id_col), terms.alias("terms")).filter(F.size("terms") > 0)
+
+    q, c = sized(queries, "query_id"), sized(corpus, "id")
+    few_q, few_c = (x.filter(F.size("terms") <= subset_terms) for x in (q, c))
+    many_q, many_c = (x.filter(F.size("terms") > subset_terms) for x in (q, c))
+
+    listed = few_c.select("id", "terms", F.size("terms").alias("n"), F.explode(_subsets(F.col("terms"))).alias("key"))
+    early = Window.partitionBy("key").orderBy("n", "id")
+    best = listed.withColumn("nth", F.row_number().over(early)).filter(F.col("nth") <= k + 1)
+    best = best.groupBy("key").agg(F.collect_list(F.struct("id", "terms")).alias("rows"))
+    asked = few_q.select("query_id", F.col("terms").alias("asked"), F.explode(_subsets(F.col("terms"))).alias("key"))
+    met = asked.join(best, "key").select("query_id", "asked", F.explode("rows").alias("r")).select(
+        "query_id", F.col("r.id").alias("id"), F.size(F.array_intersect("asked", F.col("r.terms"))).alias("shared"),
+        F.size("asked").alias("nq"), F.size("r.terms").alias("nc"))
+    by_term = _shared_terms(many_q, c).unionByName(_shared_terms(few_q, many_c))
+    cand = met.unionByName(by_term)
+    if exclude_self:
+        cand = cand.filter(F.col("query_id") != F.col("id"))
+    cand = cand.withColumn("jaccard", F.col("shared") / (F.col("nq") + F.col("nc") - F.col("shared")))
+    # equal rows share a dense rank, so a pair met under several subsets takes one place
+    order = Window.partitionBy("query_id").orderBy(F.col("jaccard").desc(), F.col("shared").desc(), F.col("id"))
+    top = cand.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k)
+    return top.groupBy("query_id", "id", "rank").agg(
+        F.max("shared").cast("long").alias("shared"), F.max("jaccard").alias("jaccard")).select(
+        "query_id", "id", "shared", "jaccard", "rank")
+
+
+def _shared_terms(q: DataFrame, c: DataFrame) -> DataFrame:
+    """Shared terms of (query, row) pairs with at least one, counted over a join by term."""
+    left = q.select("query_id", F.size("terms").alias("nq"), F.explode("terms").alias("term"))
+    right = c.select("id", F.size("terms").alias("nc"), F.explode("terms").alias("term"))
+    return left.join(right, "term").groupBy("query_id", "id", "nq", "nc").agg(
+        F.count(F.lit(1)).cast("int").alias("shared")).select("query_id", "id", "shared", "nq", "nc")

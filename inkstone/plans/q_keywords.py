@@ -76,7 +76,8 @@ SELECT doc_id, rank, term, tf, df, round(score, 6) AS score FROM top
 """, views=("articles",))
 def keyword_topk(spark, sf_dir):
     """2.11.1: five tf-idf keywords per article (deterministic stand-in for the model)."""
-    return terms(spark, sf_dir).withColumn("score", F.round("score", 6))
+    top = KW.topk_terms(A.articles(spark, sf_dir), "id", "text", TOP)  # read once: no checkpoint
+    return top.withColumn("score", F.round("score", 6))
 
 
 # ---------------------------------------------------------------- 2.9.22 / 2.9.23 / 2.4.3
@@ -304,70 +305,72 @@ HYBRID_K = 10
 W_VEC, W_KW = 0.5, 0.5
 
 
-def _article_vectors(spark, sf_dir, model_id=0):
-    v = A.vectors(spark, sf_dir).filter(F.col("model_id") == model_id)
-    return VA.mean_by(v, ["article_id", "model_id"], out_col="vector").drop("n")
+def _article_vectors(spark, sf_dir):
+    """One mean vector per article and model."""
+    return VA.mean_by(A.vectors(spark, sf_dir), ["article_id", "model_id"], out_col="vector").drop("n")
 
 
 @register("hybrid_related", _TERMS_SQL + _OVERLAP_SQL + """
 , av AS (
-  SELECT article_id, list(m ORDER BY pos) AS v FROM (
-    SELECT article_id, pos, avg(CAST(x AS DOUBLE)) AS m FROM (
-      SELECT article_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos
-      FROM vecs WHERE model_id = 0 AND vector IS NOT NULL AND len(vector) > 0)
-    GROUP BY article_id, pos)
-  GROUP BY article_id)
-, vd AS (SELECT q.article_id AS query_id, c.article_id AS id, list_cosine_distance(c.v, q.v) AS distance
-         FROM av q JOIN av c ON q.article_id <> c.article_id)
-, vr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM vd)
+  SELECT article_id, model_id, list(m ORDER BY pos) AS v FROM (
+    SELECT article_id, model_id, pos, avg(CAST(x AS DOUBLE)) AS m FROM (
+      SELECT article_id, model_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos
+      FROM vecs WHERE vector IS NOT NULL AND len(vector) > 0)
+    GROUP BY article_id, model_id, pos)
+  GROUP BY article_id, model_id)
+, vd AS (SELECT q.model_id, q.article_id AS query_id, c.article_id AS id, list_cosine_distance(c.v, q.v) AS distance
+         FROM av q JOIN av c ON q.article_id <> c.article_id AND q.model_id = c.model_id)
+, vr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_id, query_id ORDER BY distance, id) AS r FROM vd)
          WHERE r <= 10)
-, kr AS (SELECT query_id, id, jaccard FROM ovr WHERE rank <= 10 AND query_id IN (SELECT article_id FROM av))
+, kr AS (SELECT av.model_id, o.query_id, o.id, o.jaccard FROM ovr o JOIN av ON av.article_id = o.query_id WHERE o.rank <= 10)
 , h AS (
-  SELECT coalesce(vr.query_id, kr.query_id) AS query_id, coalesce(vr.id, kr.id) AS id,
-         0.5 * coalesce(1 - vr.distance, 0) + 0.5 * coalesce(kr.jaccard, 0) AS score
-  FROM vr FULL OUTER JOIN kr ON vr.query_id = kr.query_id AND vr.id = kr.id)
-SELECT query_id, rank, id, round(score, 4) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h)
+  SELECT coalesce(vr.model_id, kr.model_id) AS model_id, coalesce(vr.query_id, kr.query_id) AS query_id,
+         coalesce(vr.id, kr.id) AS id, 0.5 * coalesce(1 - vr.distance, 0) + 0.5 * coalesce(kr.jaccard, 0) AS score
+  FROM vr FULL OUTER JOIN kr ON vr.model_id = kr.model_id AND vr.query_id = kr.query_id AND vr.id = kr.id)
+SELECT model_id, query_id, rank, id, round(score, 4) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY model_id, query_id ORDER BY score DESC, id) AS rank FROM h)
 WHERE rank <= 5
 """, views=("articles", "vecs"))
 def hybrid_related(spark, sf_dir):
-    """2.11.6: fuse vector (cosine) and keyword (Jaccard) candidate lists, top 5 per article."""
+    """2.11.6: fuse vector (cosine) and keyword (Jaccard) candidate lists, top 5 per article and model."""
     av = _article_vectors(spark, sf_dir)
     q = av.select(F.col("article_id").alias("query_id"), "model_id", F.col("vector").alias("query_vector"))
     corpus = av.select(F.col("article_id").alias("id"), "article_id", "model_id", "vector")
-    vr = K.knn_join(q, corpus, HYBRID_K, "cosine", exclude_self=True).select("query_id", "id", "distance")
+    vr = K.knn_join(q, corpus, HYBRID_K, "cosine", exclude_self=True, keep=["model_id"]).select(
+        "model_id", "query_id", "id", "distance")
     s = _kw_sets(spark, sf_dir)
-    qk = s.join(av.select(F.col("article_id").alias("id")), "id", "left_semi").withColumnRenamed("id", "query_id")
-    kr = KW.overlap_topk(qk, s, k=HYBRID_K).select("query_id", "id", "jaccard")
-    h = vr.join(kr, ["query_id", "id"], "full_outer").select(
-        "query_id", "id",
+    asked = av.select("model_id", F.col("article_id").alias("query_id"))
+    qk = s.join(asked.select(F.col("query_id").alias("id")), "id", "left_semi").withColumnRenamed("id", "query_id")
+    kr = KW.overlap_topk(qk, s, k=HYBRID_K).join(asked, "query_id").select("model_id", "query_id", "id", "jaccard")
+    h = vr.join(kr, ["model_id", "query_id", "id"], "full_outer").select(
+        "model_id", "query_id", "id",
         (F.lit(W_VEC) * F.coalesce(1 - F.col("distance"), F.lit(0.0))
          + F.lit(W_KW) * F.coalesce(F.col("jaccard"), F.lit(0.0))).alias("score"))
     from pyspark.sql import Window
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
+    w = Window.partitionBy("model_id", "query_id").orderBy(F.col("score").desc(), F.col("id"))
     return (h.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 5)
-            .select("query_id", "rank", "id", F.round("score", 4).alias("score")))
+            .select("model_id", "query_id", "rank", "id", F.round("score", 4).alias("score")))
 
 
 @register("party_similarity", """
 , av AS (
-  SELECT article_id, list(m ORDER BY pos) AS v FROM (
-    SELECT article_id, pos, avg(CAST(x AS DOUBLE)) AS m FROM (
-      SELECT article_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos
-      FROM vecs WHERE model_id = 0 AND vector IS NOT NULL AND len(vector) > 0)
-    GROUP BY article_id, pos)
-  GROUP BY article_id)
-, ap AS (SELECT av.article_id, av.v, a.party FROM av JOIN articles a ON a.id = av.article_id)
+  SELECT article_id, model_id, list(m ORDER BY pos) AS v FROM (
+    SELECT article_id, model_id, pos, avg(CAST(x AS DOUBLE)) AS m FROM (
+      SELECT article_id, model_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos
+      FROM vecs WHERE vector IS NOT NULL AND len(vector) > 0)
+    GROUP BY article_id, model_id, pos)
+  GROUP BY article_id, model_id)
+, ap AS (SELECT av.article_id, av.model_id, av.v, a.party FROM av JOIN articles a ON a.id = av.article_id)
 , pairs AS (
-  SELECT n.article_id, r.party, 1 - list_cosine_distance(n.v, r.v) AS sim
-  FROM ap n JOIN ap r ON r.party <> 'none' WHERE n.party = 'none')
-SELECT article_id, round(avg(sim) FILTER (WHERE party = 'KMT'), 4) AS KMT,
+  SELECT n.article_id, n.model_id, r.party, 1 - list_cosine_distance(n.v, r.v) AS sim
+  FROM ap n JOIN ap r ON r.party <> 'none' AND r.model_id = n.model_id WHERE n.party = 'none')
+SELECT article_id, model_id, round(avg(sim) FILTER (WHERE party = 'KMT'), 4) AS KMT,
        round(avg(sim) FILTER (WHERE party = 'DPP'), 4) AS DPP,
        round(avg(sim) FILTER (WHERE party = 'TPP'), 4) AS TPP
-FROM pairs GROUP BY article_id
+FROM pairs GROUP BY article_id, model_id
 """, views=("articles", "vecs"))
 def party_similarity(spark, sf_dir):
-    """2.11.7: mean cosine similarity of each news article to each party's releases.
+    """2.11.7: mean cosine similarity of each news article to each party's releases, per model.
 
     mean_b cos(a, b) = unit(a) . mean_b unit(b), so each party needs one
     centroid of unit vectors (a partial aggregate) and each article one dot
@@ -381,7 +384,7 @@ def party_similarity(spark, sf_dir):
     releases = unit.filter(F.col("party") != "none")
     cents = VA.mean_by(releases, ["model_id", "party"], vec_col="u", out_col="c").drop("n")
     news = unit.filter(F.col("party") == "none").drop("party")
-    sims = news.join(F.broadcast(cents), "model_id").select(
-        "article_id", "party", V.dot(F.col("u"), F.col("c")).alias("sim"))
-    p = sims.groupBy("article_id").pivot("party", ["KMT", "DPP", "TPP"]).agg(F.first("sim"))
-    return p.select("article_id", *[F.round(c, 4).alias(c) for c in ["KMT", "DPP", "TPP"]])
+    sims = news.join(cents, "model_id").select(
+        "article_id", "model_id", "party", V.dot(F.col("u"), F.col("c")).alias("sim"))
+    p = sims.groupBy("article_id", "model_id").pivot("party", ["KMT", "DPP", "TPP"]).agg(F.first("sim"))
+    return p.select("article_id", "model_id", *[F.round(c, 4).alias(c) for c in ["KMT", "DPP", "TPP"]])

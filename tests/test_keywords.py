@@ -22,14 +22,13 @@ def brute(sets, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("max_bytes,hot_df", [(None, None), (200, None), (None, 20), (200, 5), (None, 0)])
-def test_overlap_topk_matches_brute_force(spark, max_bytes, hot_df):
+@pytest.mark.parametrize("subset_terms", [8, 3, 0])
+def test_overlap_topk_matches_brute_force(spark, subset_terms):
     words = ["a", "b", "c", "d", "e", "f", "g"]
     # a hot term ("a") shared by most documents
     sets = {i: ["a"] + [words[(i * j) % 7] for j in range(1, 4)] for i in range(60)}
     df = spark.createDataFrame(list(sets.items()), "id long, terms array<string>")
-    kw = {} if max_bytes is None else {"max_broadcast_bytes": max_bytes}
-    got = KW.overlap_topk(df.withColumnRenamed("id", "query_id"), df, k=3, hot_df=hot_df, **kw)
+    got = KW.overlap_topk(df.withColumnRenamed("id", "query_id"), df, k=3, subset_terms=subset_terms)
     got = sorted((r.query_id, r.rank, r.id, r.shared) for r in got.collect())
     assert got == brute(sets, 3)
 
@@ -64,14 +63,39 @@ def test_topk_terms_small(spark):
     assert r[(1, 1)] == "apple" and r[(3, 1)] == "plum"
 
 
-@pytest.mark.parametrize("hot_df", [None, 15, 40])
-def test_overlap_topk_random_zipf(spark, hot_df):
+@pytest.mark.parametrize("subset_terms", [8, 3])
+def test_overlap_topk_random_zipf(spark, subset_terms):
     import random
     rnd = random.Random(11)
     vocab = [f"w{i}" for i in range(40)]
     weights = [1.0 / (i + 1) for i in range(40)]
     sets = {i: sorted(set(rnd.choices(vocab, weights, k=rnd.randint(1, 5)))) for i in range(150)}
     df = spark.createDataFrame(list(sets.items()), "id long, terms array<string>")
-    got = KW.overlap_topk(df.withColumnRenamed("id", "query_id"), df, k=5, hot_df=hot_df)
+    got = KW.overlap_topk(df.withColumnRenamed("id", "query_id"), df, k=5, subset_terms=subset_terms)
     got = sorted((r.query_id, r.rank, r.id, r.shared) for r in got.collect())
     assert got == brute(sets, 5)
+
+
+def test_unspaced_scripts_give_character_pairs(spark):
+    df = spark.createDataFrame([(1, "民進黨今天表示 The DPP said 表示"), (2, "國民黨"), (3, None), (4, "")], "id long, content string")
+    toks = {r.id: r.t for r in df.select("id", KW.tokens(F.col("content")).alias("t")).collect()}
+    assert toks[1] == ["the", "dpp", "said", "民進", "進黨", "黨今", "今天", "天表", "表示", "表示"]
+    assert toks[2] == ["國民", "民黨"] and not toks[3] and toks[4] == []
+    top = [r.term for r in KW.topk_terms(df, k=3).filter("doc_id = 1").orderBy("rank").collect()]
+    assert top[0] == "表示"
+
+
+def test_counts_in_the_row_match_a_counter(spark):
+    from collections import Counter
+    texts = ["b a b c a b", "", "z", None]
+    df = spark.createDataFrame([(i, t.split() if t is not None else None) for i, t in enumerate(texts)], "id int, t array<string>")
+    for r in df.select("id", KW.counted(F.col("t")).alias("c")).collect():
+        assert {x.term: x.tf for x in (r.c or [])} == dict(Counter((texts[r.id] or "").split()))
+
+
+def test_no_plan_lists_pairs_of_a_hot_term(spark):
+    df = spark.range(3000).selectExpr("id", "array('hot', concat('t', id % 1000)) AS terms")
+    got = KW.overlap_topk(df.withColumnRenamed("id", "query_id"), df, k=2)
+    assert got.count() == 6000
+    first = got.filter("query_id = 5").orderBy("rank").collect()
+    assert [(r.id, r.shared) for r in first] == [(1005, 2), (2005, 2)]
