@@ -33,6 +33,8 @@ from inkstone.llm.common import WORD, stored
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 BINS = 65_536
+#: Join keys that one source is dealt over, so a source with a third of all rows is no single task.
+SALTS = 64
 
 
 def draw(doc_id: Column, seed: int) -> Column:
@@ -41,6 +43,14 @@ def draw(doc_id: Column, seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2 ** 52))
 
 
+def _per_source(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with one row per source (column ``key``, dropped): every source is dealt over ``SALTS`` keys."""
+    salted = table.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+    on = dealt["source"].eqNullSafe(salted[key]) & (dealt["salt"] == salted["salt_"])
+    return dealt.join(salted, on, how).drop(key, "salt", "salt_")
+
+
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """(source, source_size, target) from rows of (source, size).
 
@@ -80,13 +90,13 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES,
     goal = goal.join(heavy, goal["source"].eqNullSafe(heavy["s"])).drop("s").withColumnRenamed("source", "s")
     wanted = F.when(F.col("weighted") > 0, F.least(
         F.lit(float(max_copies)), F.col("weight") * F.col("target") / F.col("weighted"))).otherwise(0.0)
-    rows = sized.join(goal, sized["source"].eqNullSafe(goal["s"])).withColumn("wanted", wanted)
+    rows = _per_source(sized, goal, "s").withColumn("wanted", wanted)
     rows = rows.withColumn("whole", F.floor("wanted")).withColumn("p", F.col("wanted") - F.col("whole"))
     u = draw(F.col("doc_id"), seed)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     # rank in (0, 1): the odds ratio on a bounded scale, in the same order
     rows = rows.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (1 + odds)))
-    rows = rows.withColumn("bin", F.floor(F.col("rank") * bins)).drop("s", "weighted", "wanted", "weight")
+    rows = rows.withColumn("bin", F.floor(F.col("rank") * bins)).drop("weighted", "wanted", "weight")
 
     # what whole copies leave open, and the bin in which the running total crosses it
     per_bin = rows.groupBy("source", "bin").agg(
@@ -100,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES,
         F.col("source").alias("s"), F.col("bin").alias("cross"), "before")
     rest = per_bin.groupBy(F.col("source").alias("s1")).agg(F.max("rest").alias("rest"))
     plan = rest.join(crossing, F.col("s1").eqNullSafe(F.col("s")), "left").drop("s")
-    rows = rows.join(plan, rows["source"].eqNullSafe(plan["s1"])).drop("s1")
+    rows = _per_source(rows, plan, "s1")
 
     inside = rows.where("bin = cross")
     running = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "size").rowsBetween(
@@ -115,11 +125,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES,
     gap = rows.groupBy(F.col("source").alias("s")).agg(
         (F.max("rest") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
     spare = rows.where("rank IS NOT NULL AND NOT chosen")
-    spare = spare.join(gap, spare["source"].eqNullSafe(gap["s"])).withColumn("miss", F.abs(F.col("gap") - F.col("size")))
+    spare = _per_source(spare, gap, "s").withColumn("miss", F.abs(F.col("gap") - F.col("size")))
     close = spare.where("miss < gap").groupBy(F.col("source").alias("s2")).agg(
         F.min(F.struct("miss", "rank", "doc_id")).alias("best")).select("s2", F.col("best.rank").alias("best_rank"),
                                                                         F.col("best.doc_id").alias("best_id"))
-    rows = rows.join(close, rows["source"].eqNullSafe(close["s2"]), "left")
+    rows = _per_source(rows, close, "s2", "left")
     extra = F.col("chosen") | F.coalesce(
         (F.col("rank") == F.col("best_rank")) & F.col("doc_id").eqNullSafe(F.col("best_id")), F.lit(False))
     copies = F.col("whole") + F.when(extra, 1).otherwise(0)
