@@ -14,7 +14,8 @@ filled one are not (0.0).
 
 Edge cases: a null text is an empty text; a table of one document is its own
 next document; an empty table gives an empty result; rows that repeat both
-doc_id and text count once; different texts under one doc_id follow each other
+doc_id and text count once in that order and are returned as often as they
+occur; different texts under one doc_id follow each other
 by text hash; a null doc_id comes first.
 """
 
@@ -91,6 +92,11 @@ def next_documents(docs: DataFrame) -> DataFrame:
     return seq.join(follow, "seq").drop("seq")
 
 
+def _name(doc_id: str) -> Column:
+    """A doc_id as a key without nulls."""
+    return F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit(""))
+
+
 def edit_likeness(docs: DataFrame, scale: int = SCALE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness.
 
@@ -101,13 +107,15 @@ def edit_likeness(docs: DataFrame, scale: int = SCALE, id_col: str = "doc_id", t
     """
     plain = texts(docs, id_col, text_col)
     order = next_documents(plain)
-    keyed = plain.withColumn("h", F.xxhash64("text"))
-    takes = order.select(F.col("next_id").alias("id"), F.col("next_h").alias("th"), F.col("doc_id").alias("prev_id"),
-                         F.col("h").alias("prev_h"), F.floor(F.col("n") / 4).cast("int").alias("take"))
-    full = keyed.withColumn("held", sketch(F.col("text"), scale)).dropDuplicates(["doc_id", "h"])
-    given = full.join(takes, full["doc_id"].eqNullSafe(takes["id"]) & (full["h"] == takes["th"])).select(
-        "prev_id", "prev_h", F.col("text").substr(F.lit(1), F.col("take")).alias("tail"), F.col("held").alias("next_held"))
-    pairs = full.join(given, full["doc_id"].eqNullSafe(given["prev_id"]) & (full["h"] == given["prev_h"]))
+    # the same three columns on both sides of the second join, so that texts move in one exchange; the rest is made behind it
+    full = plain.select("text", _name("doc_id").alias("name"), F.xxhash64("text").alias("h"))
+    takes = order.select(_name("next_id").alias("name"), F.col("next_h").alias("h"), "doc_id",
+                         _name("doc_id").alias("prev_name"), F.col("h").alias("prev_h"), F.floor(F.col("n") / 4).cast("int").alias("take"))
+    given = full.join(takes, ["name", "h"]).select(
+        "doc_id", F.col("prev_name").alias("name"), F.col("prev_h").alias("h"),
+        F.col("text").substr(F.lit(1), F.col("take")).alias("tail"), sketch(F.col("text"), scale).alias("next_held"))
+    given = given.dropDuplicates(["name", "h"])
+    pairs = full.join(given, ["name", "h"]).withColumn("held", sketch(F.col("text"), scale))
     n = F.length("text")
     edited = F.concat(F.col("text").substr(F.lit(1), n - F.floor(n / 4).cast("int")), F.col("tail"))
     out = pairs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "held", "next_held")
