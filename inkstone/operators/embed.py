@@ -1,8 +1,8 @@
 """Chunk embedding jobs.
 
-* ``hashed_embedding`` — the offline default: a hashed bag of tokens (bucket
-  = md5 prefix of the token mod dim), L2-normalised; a pure column
-  expression, so it runs JVM-side inside the scan's stage.
+* ``embed_hashed`` — the offline default: a hashed bag of tokens (bucket = md5
+  prefix of the token mod dim), L2-normalised; tokens and buckets are column
+  expressions, the counts one numpy call per row.
 * ``embed_with`` — any user embedder ``fn(list[str]) -> list[list[float]]``
   run through ``mapInPandas`` in bounded sub-batches; a failing call marks
   its rows ``error`` instead of failing the job, a wrong length marks
@@ -25,32 +25,6 @@ def token_bucket(tok: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long"), F.lit(dim))
 
 
-def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """array<double>: per-bucket token counts divided by their L2 norm (zeros when no tokens).
-
-    One ``aggregate`` pass: the token buckets are computed once (the fold's
-    input), counts live in the accumulator, the norm in the finish step.
-    Referencing an outer expression inside a lambda would re-evaluate it per
-    element, so nothing expensive is referenced there.
-    """
-    idx = F.transform(tokens(text), lambda t: token_bucket(t, dim))
-    zero = F.array_repeat(F.lit(0.0), dim)
-
-    def add(acc, x):
-        return F.transform(acc, lambda v, i: F.when(i == x, v + 1.0).otherwise(v))
-
-    def finish(acc):
-        return F.aggregate(acc, F.lit(0.0), lambda s, y: s + y * y,
-                           lambda ss: F.transform(acc, lambda v: F.when(ss > 0, v / F.sqrt(ss)).otherwise(v)))
-
-    return F.aggregate(idx, zero, add, finish)
-
-
-# Above this dimension the per-token array update (O(tokens x dim) lambda steps)
-# costs more than handing the bucket indices to numpy (O(tokens + dim)).
-COLUMN_PATH_MAX_DIM = 128
-
-
 def _bincount_fn(dim: int, keep: list[str]):
     def run(batches):
         for pdf in batches:
@@ -69,15 +43,11 @@ def _bincount_fn(dim: int, keep: list[str]):
 
 
 def embed_hashed(df: DataFrame, text_col: str, dim: int = 64) -> DataFrame:
-    """Hashed bag-of-tokens embedding of every row (state '' = ok).
+    """Hashed bag-of-tokens embedding of every row (state '' = ok), L2-normalised, zeros without tokens.
 
-    Small dims: one column expression.  Larger dims: bucket indices are
-    computed JVM-side and counted with ``np.bincount`` per row in
-    ``mapInPandas`` (same values; linear instead of tokens x dim work).
+    Bucket numbers are computed JVM-side and counted per row with
+    ``np.bincount``: work of tokens + dim at every dimension.
     """
-    if dim <= COLUMN_PATH_MAX_DIM:
-        v = hashed_embedding(F.col(text_col), dim)
-        return df.withColumn("vector", v).withColumn("state", F.lit(""))
     keep = list(df.columns)
     idx = F.transform(tokens(F.col(text_col)), lambda t: token_bucket(t, dim))
     schema = T.StructType(list(df.schema.fields) + [T.StructField("vector", T.ArrayType(T.DoubleType())),
@@ -120,7 +90,7 @@ def embed_with(df: DataFrame, text_col: str, fn: Callable[[list[str]], list], di
 
 
 def hashed_fn(dim: int = 64):
-    """Python twin of ``hashed_embedding`` for ``embed_with`` (tests / local use)."""
+    """Python twin of ``embed_hashed`` for ``embed_with`` (tests / local use)."""
     import hashlib
 
     import regex

@@ -148,7 +148,7 @@ FROM messages WHERE subject = 'failed' GROUP BY task_id
 """, views=("messages",))
 def first_error_per_index(spark, sf_dir):
     """2.4.4: collect errors per index (task), the first one wins (min_by, partial aggregate)."""
-    m = A.messages(spark, sf_dir).filter(F.col("subject") == "failed")
+    m = A.messages(spark, sf_dir, ["failed"])
     return m.groupBy("task_id").agg(
         F.min_by("payload", F.struct("event_at", "event_id")).alias("first_error"),
         F.min("event_at").alias("first_at"), F.count("*").alias("n_errors"))

@@ -122,26 +122,32 @@ def retry_backoff(spark, sf_dir):
     task with a third of the failures is still spread over many tasks).
     """
     base, cap, max_attempts = RETRY_MODEL
-    f = A.messages(spark, sf_dir).filter(F.col("subject") == "failed").select("event_id", "task_id", "event_at")
+    f = A.messages(spark, sf_dir, ["failed"]).select("event_id", "task_id", "event_at")
     r = SQ.rank_within(f, "task_id", ["event_at", "event_id"], "ordinal").withColumn("attempt", F.col("ordinal") - 1)
     return r.select("event_id", "task_id", "attempt", CM.backoff_ms(F.col("attempt"), base, cap).alias("delay_ms"),
                     F.when(F.col("attempt") >= max_attempts, "dead_letter").otherwise("retry").alias("action"))
 
 
-@register("log_rollup", """
-SELECT time_bucket(INTERVAL 10 MINUTE, event_at) AS window_start, subject, count(*) AS n
-FROM messages GROUP BY 1, 2
+@register("log_rollup", _WIRE_SQL + """
+SELECT time_bucket(INTERVAL 10 MINUTE, date_trunc('second', event_at)) AS window_start,
+       ['Debug', 'Info', 'Warn', 'Error', 'Fatal', 'Panic', 'Trace'][1 + event_id % 7] AS level, count(*) AS n
+FROM wire WHERE subject = 'task.logs' AND reason IS NULL GROUP BY 1, 2
 """, views=("messages",))
 def log_rollup(spark, sf_dir):
-    """2.12.8: tumbling 10-minute counts per subject (batch form of the windowed stream)."""
-    m = A.messages(spark, sf_dir)
-    return (m.groupBy(F.window(F.col("event_at").cast("timestamp"), "10 minutes"), "subject")
-            .agg(F.count("*").alias("n"))
-            .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "subject", "n"))
+    """2.12.8: tumbling 10-minute counts of log messages per level (batch form of the windowed stream)."""
+    p = CM.parse(CM.render(A.messages(spark, sf_dir, ["log"]))).filter(F.col("reason").isNull())
+    at = F.timestamp_seconds(F.col("m")["event_at"])
+    return (p.groupBy(F.window(at, "10 minutes"), F.col("m")["level"].alias("level")).agg(F.count("*").alias("n"))
+            .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "level", "n"))
+
+
+#: Percentiles are exact for groups of fewer rows, and within one in so many ranks beyond.
+PERCENTILE_ACCURACY = 100_000
 
 
 @register("stage_latency", """
-SELECT subject, count(*) AS n, round(avg(ms), 1) AS avg_ms, max(ms) AS max_ms FROM (
+SELECT subject, count(*) AS n, round(avg(ms), 1) AS avg_ms, max(ms) AS max_ms,
+       quantile_disc(ms, 0.5) AS p50_ms, quantile_disc(ms, 0.95) AS p95_ms FROM (
   SELECT subject, epoch_us(event_at) // 1000 - epoch_us(prev_at) // 1000 AS ms FROM (
     SELECT subject, event_at,
            lag(event_at) OVER (PARTITION BY task_id ORDER BY event_at, event_id) AS prev_at FROM messages))
@@ -157,37 +163,70 @@ def stage_latency(spark, sf_dir):
     p = SQ.with_previous(m, "task_id", ["event_at", "event_id"], ["event_at"])
     ms = D.elapsed_ms(F.col("prev_event_at"), F.col("event_at"))
     return (p.withColumn("ms", ms).filter(F.col("ms").isNotNull()).groupBy("subject")
-            .agg(F.count("*").alias("n"), F.round(F.avg("ms"), 1).alias("avg_ms"), F.max("ms").alias("max_ms")))
+            .agg(F.count("*").alias("n"), F.round(F.avg("ms"), 1).alias("avg_ms"), F.max("ms").alias("max_ms"),
+                 F.percentile_approx("ms", 0.5, PERCENTILE_ACCURACY).alias("p50_ms"),
+                 F.percentile_approx("ms", 0.95, PERCENTILE_ACCURACY).alias("p95_ms")))
 
 
-CACHE_TTL = "60 minutes"  # submitted-text cache
+# Cache lifetimes in minutes: submitted texts, scraped contents.
+CACHE_TTL, CONTENT_TTL = 60, 180
 
 
-@register("content_cache", """
+def _cache_sql(minutes: int) -> str:
+    return f"""
 SELECT p.event_id,
        CASE WHEN EXISTS (SELECT 1 FROM messages c WHERE c.subject = 'pending' AND c.task_id = p.task_id
-                         AND c.event_at <= p.event_at AND c.event_at >= p.event_at - INTERVAL 60 MINUTE)
+                         AND c.event_at <= p.event_at AND c.event_at >= p.event_at - INTERVAL {minutes} MINUTE)
             THEN 'cache' ELSE 'db' END AS served_from
 FROM messages p WHERE p.subject = 'processing'
-""", views=("messages",))
+"""
+
+
+def _served_from(spark, sf_dir, minutes: int):
+    """Range join keyed by (task, bucket): buckets are as wide as the TTL, so an entry can serve only its own and
+    the next one.  One left join; the newest entry per step decides, combined before any shuffle of its own."""
+    m = A.messages(spark, sf_dir, ["pending", "processing"])
+    bucket = F.floor(F.unix_seconds(F.col("event_at").cast("timestamp")) / (60 * minutes))
+    cache = (m.filter(F.col("subject") == "pending")
+             .select(F.col("task_id").alias("c_task"), F.col("event_at").alias("cached_at"),
+                     F.explode(F.array(bucket, bucket + 1)).alias("c_bucket")))
+    steps = m.filter(F.col("subject") == "processing").select("event_id", "task_id", "event_at", bucket.alias("bucket"))
+    hit = ((F.col("task_id") == F.col("c_task")) & (F.col("bucket") == F.col("c_bucket"))
+           & (F.col("cached_at") <= F.col("event_at"))
+           & (F.col("cached_at") >= F.col("event_at") - F.make_dt_interval(mins=F.lit(minutes))))
+    return steps.join(cache, hit, "left").groupBy("event_id").agg(
+        F.when(F.count("cached_at") > 0, "cache").otherwise("db").alias("served_from"))
+
+
+@register("content_cache", _cache_sql(CACHE_TTL), views=("messages",))
 def content_cache(spark, sf_dir):
-    """2.12.6: a processing step reads the content the task cached at creation if the
-    entry is younger than the TTL, else the table.
+    """2.12.6: a processing step reads the text its task cached at creation if the entry is younger than the
+    TTL of 60 minutes, else the table."""
+    return _served_from(spark, sf_dir, CACHE_TTL)
+
+
+@register("content_cache_scraped", _cache_sql(CONTENT_TTL), views=("messages",))
+def content_cache_scraped(spark, sf_dir):
+    """2.12.6: the same for scraped contents, which live 3 hours."""
+    return _served_from(spark, sf_dir, CONTENT_TTL)
+
 
-    Range semi-join keyed by (task, hour bucket): a cache entry can serve only
-    its own and the next bucket, so no task-wide pairs are formed; the semi
-    join emits each probe row at most once.
+@register("redeliveries", _WIRE_SQL + """
+SELECT event_id, reason AS error, d AS attempt, CASE WHEN d < 5 THEN 'redeliver' ELSE 'drop' END AS action,
+       CASE WHEN d < 5 THEN event_at + to_milliseconds(CAST(least(10000, 500 * pow(2, d)) AS BIGINT)) END AS next_at
+FROM (SELECT *, unnest(range(0, 6)) AS d FROM wire WHERE reason IS NOT NULL) WHERE d <= event_id % 6
+""", views=("messages",))
+def redeliveries(spark, sf_dir):
+    """2.12.2: redelivery table of rejected messages: attempt, action, time of the next delivery.
+
+    Rejected messages come back ``event_id % 6`` times (the fixture's rule);
+    after five attempts they are dropped.
     """
-    m = A.messages(spark, sf_dir)
-    hour = F.floor(F.unix_seconds(F.col("event_at").cast("timestamp")) / 3600)
-    cache = (m.filter(F.col("subject") == "pending")
-             .select("task_id", F.col("event_at").alias("cached_at"), hour.alias("b0"))
-             .withColumn("bucket", F.explode(F.array(F.col("b0"), F.col("b0") + 1))).drop("b0"))
-    steps = m.filter(F.col("subject") == "processing").select("event_id", "task_id", "event_at",
-                                                               hour.alias("bucket"))
-    cond = ((steps["task_id"] == cache["task_id"]) & (steps["bucket"] == cache["bucket"])
-            & (cache["cached_at"] <= steps["event_at"])
-            & (cache["cached_at"] >= steps["event_at"] - F.expr(f"INTERVAL {CACHE_TTL}")))
-    hit = steps.join(cache, cond, "left_semi").select("event_id", F.lit("cache").alias("served_from"))
-    miss = steps.join(cache, cond, "left_anti").select("event_id", F.lit("db").alias("served_from"))
-    return hit.unionByName(miss)
+    base, cap, most = RETRY_PUBLISH
+    p = parsed(spark, sf_dir).filter(F.col("reason").isNotNull()).select("event_id", F.col("reason").alias("error"))
+    at = A.messages(spark, sf_dir).select("event_id", "event_at")
+    p = p.join(at, "event_id").withColumn("attempt", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 6).cast("int"))))
+    delay = CM.backoff_ms(F.col("attempt"), base, cap)
+    again = F.col("attempt") < most
+    return p.select("event_id", "error", "attempt", F.when(again, "redeliver").otherwise("drop").alias("action"),
+                    F.when(again, F.col("event_at") + F.make_dt_interval(secs=(delay / 1000).cast("decimal(18,6)"))).alias("next_at"))

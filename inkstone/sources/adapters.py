@@ -117,9 +117,14 @@ def subject_of(event_type: Column) -> Column:
     return expr
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """messages(event_id, task_id, subject, event_at, payload, value)."""
+def messages(spark: SparkSession, sf_dir: str, subjects: list[str] | None = None) -> DataFrame:
+    """messages(event_id, task_id, subject, event_at, payload, value).
+
+    ``subjects`` filters on the stored event type, so the filter reaches the scan.
+    """
     ev = table(spark, sf_dir, "events")
+    if subjects is not None:
+        ev = ev.filter(F.col("event_type").isin([k for k, v in EVENT_SUBJECT.items() if v in subjects]))
     return ev.select(
         "event_id",
         F.col("user_id").alias("task_id"),

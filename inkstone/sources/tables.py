@@ -20,21 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
+#: Setting for local runs on small files: partitions that every scan is dealt into.
+SCAN_PARTITIONS = "spark.inkstone.scanPartitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin redistribute a scan that cannot use the cluster's cores.
+    """Deal a scan into as many partitions as ``spark.inkstone.scanPartitions`` says; unset, leave it alone.
 
-    A parquet file with one large row group is read by a single task no
-    matter how it is split, and the text operators on it are CPU-bound.
-    Only when the scan has fewer partitions than the default parallelism is
-    the data redistributed (one small shuffle); on a cluster reading many
-    files this is a no-op.  Filters and column pruning still reach the scan.
+    A small file with one row group is one task, whatever its text operators
+    cost.  Local sessions (``session.build``) set the number; on a cluster it
+    is unset and ``spark.sql.files.maxPartitionBytes`` with properly written
+    row groups decides.
     """
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave the scan as is
-        return df
-    return df.repartition(par) if n < par else df
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def register_all(spark: SparkSession, sf_dir: str) -> None:

@@ -67,7 +67,8 @@ def render(messages: DataFrame) -> DataFrame:
     """(event_id, subject, data) wire messages for the task event table.
 
     Fixture rules: events with value < 1 carry a string user_id (malformed
-    JSON types); status updates with value >= 400 carry an unknown status.
+    JSON types); status updates with value >= 400 carry an unknown status; log
+    levels follow the event id.
     """
     s, v = F.col("subject"), F.col("value")
     wire = (F.when(s == "pending", TASK_CREATED).when(s.isin("processing", "done"), TASK_UPDATE_STATUS)
@@ -83,7 +84,8 @@ def render(messages: DataFrame) -> DataFrame:
             F.when(s == "pending", F.when(v >= 50, "url").otherwise("text")).alias("source"),
             F.when(s == "pending", F.col("payload")).alias("original_input"),
             F.when(s.isin("processing", "done"), status).alias("status"),
-            F.when(s == "log", F.lit("Info")).alias("level"),
+            F.when(s == "log", F.element_at(F.array(*[F.lit(x) for x in LOG_LEVELS]),
+                                            (F.col("event_id") % len(LOG_LEVELS) + 1).cast("int"))).alias("level"),
             F.when(s == "log", F.col("payload")).alias("message"),
             F.when(s == "failed", F.col("payload")).alias("errors"),
         ))

@@ -28,10 +28,12 @@ DEDUPE_HORIZON = "3 hours"   # redelivery horizon (cache TTL of the reference)
 LATE_HORIZON = "10 minutes"  # how late an event may arrive for the rollups
 
 
-def read_wire(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Message source: one JSON object per line with event_id, subject, data."""
-    return (spark.readStream.schema(WIRE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-            .json(path))
+def read_wire(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Message source: one JSON object per line with event_id, subject, data; all new files per micro-batch unless limited."""
+    reader = spark.readStream.schema(WIRE_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.json(path)
 
 
 def with_event_time(parsed: DataFrame) -> DataFrame:
@@ -54,10 +56,13 @@ def dead_letter_job(wire: DataFrame, good_path: str, dead_path: str, name: str =
     spark = wire.sparkSession
 
     def split(batch: DataFrame, epoch_id: int) -> None:
-        parsed = CM.parse(batch)
-        good, dead = CM.dead_letters(parsed)
-        good.select("event_id", "subject", "data").write.mode("overwrite").parquet(f"{good_path}/epoch={epoch_id}")
-        dead.write.mode("overwrite").parquet(f"{dead_path}/epoch={epoch_id}")
+        parsed = CM.parse(batch).persist()  # two outputs, parsed once
+        try:
+            good, dead = CM.dead_letters(parsed)
+            good.select("event_id", "subject", "data").write.mode("overwrite").parquet(f"{good_path}/epoch={epoch_id}")
+            dead.write.mode("overwrite").parquet(f"{dead_path}/epoch={epoch_id}")
+        finally:
+            parsed.unpersist()
 
     return (wire.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint_for(spark, name))
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -65,30 +70,49 @@ def dead_letter_job(wire: DataFrame, good_path: str, dead_path: str, name: str =
 
 def task_state_job(wire: DataFrame, out_path: str, name: str = "task-state",
                    trigger: dict | None = None) -> StreamingQuery:
-    """Latest status per task: dedupe redeliveries within the horizon, then a
-    streaming ``max_by`` aggregate (state = one row per task) in update mode."""
+    """Latest status per task and day: dedupe redeliveries within the horizon, then a streaming ``max_by``
+    aggregate in update mode.
+
+    State is one row per task and day of events and goes when the watermark
+    passes the day, so it never grows with the tasks of the past;
+    ``latest_tasks`` merges what the epochs wrote into one row per task.
+    """
     spark = wire.sparkSession
     parsed = with_event_time(CM.parse(wire)).filter(F.col("reason").isNull())
     ev = (parsed.withWatermark("event_at", DEDUPE_HORIZON).dropDuplicatesWithinWatermark(["event_id"])
           .filter(F.col("subject").isin(CM.TASK_UPDATE_STATUS, CM.TASK_CREATED, CM.TASK_FAILED)))
     status = (F.when(F.col("subject") == CM.TASK_CREATED, "pending")
               .when(F.col("subject") == CM.TASK_FAILED, "failed").otherwise(F.col("m")["status"]))
-    agg = ev.groupBy(F.col("m")["task_id"].alias("task_id")).agg(
-        F.max_by(status, F.struct("event_at", "event_id")).alias("status"),
-        F.max("event_at").alias("updated_at"), F.count("*").alias("n_events"))
+    order, failed = F.struct("event_at", "event_id"), F.col("subject") == CM.TASK_FAILED
+    agg = ev.groupBy(F.window("event_at", "1 day"), F.col("m")["task_id"].alias("task_id")).agg(
+        F.max_by(status, order).alias("status"), F.max(order).alias("last"),
+        F.max_by(F.when(failed, F.col("m")["errors"]), F.when(failed, order)).alias("error_message"),
+        F.max(F.when(failed, order)).alias("last_error"),
+        F.min("event_at").alias("created_at"), F.max("event_at").alias("updated_at"), F.count("*").alias("n_events"))
+    agg = agg.withColumn("day", F.col("window.start")).drop("window")
     return (agg.writeStream.outputMode("update").foreachBatch(_epoch_sink(out_path))
             .option("checkpointLocation", checkpoint_for(spark, name))
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def latest_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """One row per task from the epochs of ``task_state_job``: the newest row of each day, then days merged."""
+    epochs = spark.read.option("basePath", path).parquet(path)  # epoch comes from the folder names
+    days = epochs.groupBy("task_id", "day").agg(F.max_by(F.struct(*[c for c in epochs.columns if c not in (
+        "task_id", "day", "epoch")]), "epoch").alias("r")).select("task_id", "r.*")
+    return days.groupBy("task_id").agg(
+        F.max_by("status", "last").alias("status"), F.max_by("error_message", "last_error").alias("error_message"),
+        F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.sum("n_events").alias("n_events"))
+
+
 def log_rollup_job(wire: DataFrame, out_path: str, name: str = "log-rollup",
                    trigger: dict | None = None) -> StreamingQuery:
-    """Tumbling 10-minute counts per subject; windows close at the watermark (append)."""
+    """Tumbling 10-minute counts of log messages per level; windows close at the watermark (append)."""
     spark = wire.sparkSession
-    ev = with_event_time(CM.parse(wire)).filter(F.col("reason").isNull())
+    ev = with_event_time(CM.parse(wire)).filter(F.col("reason").isNull() & (F.col("subject") == CM.TASK_LOG))
     agg = (ev.withWatermark("event_at", LATE_HORIZON)
-           .groupBy(F.window("event_at", "10 minutes"), "subject").agg(F.count("*").alias("n")))
-    return (agg.select(F.col("window.start").alias("window_start"), "subject", "n")
+           .groupBy(F.window("event_at", "10 minutes"), F.col("m")["level"].alias("level")).agg(F.count("*").alias("n")))
+    return (agg.select(F.col("window.start").alias("window_start"), "level", "n")
             .writeStream.outputMode("append").foreachBatch(_epoch_sink(out_path))
             .option("checkpointLocation", checkpoint_for(spark, name))
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -103,7 +127,7 @@ def message_sink(commands: DataFrame, path: str, name: str = "publish", trigger:
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-CACHE_TTL = "60 minutes"  # submitted-text cache lifetime
+CACHE_TTL = "60 minutes"  # submitted-text cache lifetime; scraped contents live 3 hours
 
 
 def content_cache_hits(wire: DataFrame, ttl: str = CACHE_TTL) -> DataFrame:
@@ -124,9 +148,9 @@ def content_cache_hits(wire: DataFrame, ttl: str = CACHE_TTL) -> DataFrame:
 
 
 def content_cache_job(wire: DataFrame, out_path: str, name: str = "content-cache",
-                      trigger: dict | None = None) -> StreamingQuery:
+                      trigger: dict | None = None, ttl: str = CACHE_TTL) -> StreamingQuery:
     spark = wire.sparkSession
-    return (content_cache_hits(wire).writeStream.outputMode("append").foreachBatch(_epoch_sink(out_path))
+    return (content_cache_hits(wire, ttl).writeStream.outputMode("append").foreachBatch(_epoch_sink(out_path))
             .option("checkpointLocation", checkpoint_for(spark, name))
             .trigger(**(trigger or {"availableNow": True})).start())
 
@@ -151,6 +175,7 @@ RETRY_SCHEMA = T.StructType([
     T.StructField("attempt", T.LongType()),
     T.StructField("delay_ms", T.LongType()),
     T.StructField("action", T.StringType()),
+    T.StructField("next_at", T.TimestampType()),
 ])
 
 
@@ -162,24 +187,26 @@ def _retry_state_fn(base_ms: int, max_ms: int, max_attempts: int | None, idle_ms
             state.remove()
             return
         attempts = state.get[0] if state.exists else 0
-        rows = pd.concat(list(pdfs)).sort_values(["event_at", "event_id"])
-        out = []
-        for eid, ts in zip(rows["event_id"], rows["event_at"]):
-            delay = int(min(max_ms, base_ms * 2 ** attempts))
-            action = "dead_letter" if max_attempts is not None and attempts >= max_attempts else "retry"
-            out.append((int(eid), key[0], attempts, delay, action))
-            attempts += 1
+        for pdf in pdfs:  # one Arrow batch of the task at a time: a task is never held whole
+            out = []
+            rows = pdf.sort_values(["event_at", "event_id"])
+            for eid, at in zip(rows["event_id"], rows["event_at"], strict=True):
+                delay = int(max_ms if attempts > 40 else min(max_ms, base_ms * 2 ** attempts))
+                dead = max_attempts is not None and attempts >= max_attempts
+                out.append((int(eid), key[0], attempts, delay, "dead_letter" if dead else "retry",
+                            None if dead else at + pd.Timedelta(milliseconds=delay)))
+                attempts += 1
+            yield pd.DataFrame(out, columns=RETRY_SCHEMA.fieldNames())
         state.update((attempts,))
         state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
-        yield pd.DataFrame(out, columns=["event_id", "task_id", "attempt", "delay_ms", "action"])
 
     return fn
 
 
 def retry_job(wire: DataFrame, out_path: str, policy=(500, 10_000, 3), name: str = "retry",
               trigger: dict | None = None) -> StreamingQuery:
-    """2.12.7 as a stream: attempt number per failed task, capped exponential delay,
-    dead letter after the maximum.  State is one counter per task, dropped after a
+    """2.12.7 as a stream: attempt number per failed task, capped exponential delay, time of the next delivery
+    (the redelivery table), dead letter after the maximum.  State is one counter per task, dropped after a
     horizon without failures (event-time timeout)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 

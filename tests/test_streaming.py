@@ -56,28 +56,31 @@ def test_dead_letter_job(spark, wire_dir):
 
 def test_task_state_stream_matches_batch(spark, wire_dir):
     out = tempfile.mkdtemp(prefix="ts-", dir="/tmp")
-    q = J.task_state_job(J.read_wire(spark, wire_dir), out, name="t-state")
+    q = J.task_state_job(J.read_wire(spark, wire_dir, max_files_per_trigger=1), out, name="t-state")
     q.awaitTermination()
-    epoch = F.regexp_extract(F.input_file_name(), r"epoch=(\d+)", 1).cast("int")
-    got = (spark.read.parquet(out).withColumn("e", epoch)
-           .groupBy("task_id").agg(F.max_by("status", "e").alias("status")))
+    got = J.latest_tasks(spark, out)
     parsed = J.with_event_time(CM.parse(spark.read.json(wire_dir))).filter("reason IS NULL").dropDuplicates(["event_id"])
     ev = parsed.filter(F.col("subject").isin(CM.TASK_UPDATE_STATUS, CM.TASK_CREATED, CM.TASK_FAILED))
     status = (F.when(F.col("subject") == CM.TASK_CREATED, "pending")
               .when(F.col("subject") == CM.TASK_FAILED, "failed").otherwise(F.col("m")["status"]))
     exp = ev.groupBy(F.col("m")["task_id"].alias("task_id")).agg(
-        F.max_by(status, F.struct("event_at", "event_id")).alias("status"))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+        F.max_by(status, F.struct("event_at", "event_id")).alias("status"),
+        F.max_by(F.when(F.col("subject") == CM.TASK_FAILED, F.col("m")["errors"]),
+                 F.when(F.col("subject") == CM.TASK_FAILED, F.struct("event_at", "event_id"))).alias("error_message"),
+        F.min("event_at").alias("created_at"), F.max("event_at").alias("updated_at"), F.count("*").alias("n_events"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, exp.collect()), key=repr)
+    assert got.filter("error_message IS NOT NULL").count() > 0
 
 
 def test_log_rollup_stream_closed_windows(spark, wire_dir):
     out = tempfile.mkdtemp(prefix="lr-", dir="/tmp")
     q = J.log_rollup_job(J.read_wire(spark, wire_dir), out, name="t-rollup")
     q.awaitTermination()
-    got = {(str(r.window_start), r.subject): r.n for r in spark.read.parquet(out).collect()}
-    parsed = J.with_event_time(CM.parse(spark.read.json(wire_dir))).filter("reason IS NULL")
-    exp = {(str(r.ws), r.subject): r.n for r in parsed.groupBy(
-        F.window("event_at", "10 minutes").start.alias("ws"), "subject").agg(F.count("*").alias("n")).collect()}
+    got = {(str(r.window_start), r.level): r.n for r in spark.read.parquet(out).collect()}
+    parsed = J.with_event_time(CM.parse(spark.read.json(wire_dir))).filter("reason IS NULL").filter(F.col("subject") == CM.TASK_LOG)
+    exp = {(str(r.ws), r.level): r.n for r in parsed.groupBy(
+        F.window("event_at", "10 minutes").start.alias("ws"), F.col("m")["level"].alias("level")).agg(F.count("*").alias("n")).collect()}
+    assert {level for _, level in got} == set(CM.LOG_LEVELS)
     assert got and all(exp[k] == v for k, v in got.items())
 
 
@@ -97,9 +100,10 @@ def test_embed_with_states(spark):
         assert [round(a, 9) for a in row.vector] == [round(b, 9) for b in vec]
 
 
-def test_content_cache_stream_matches_batch(spark, wire_dir):
+@pytest.mark.parametrize("ttl", ["60 minutes", "3 hours"])
+def test_content_cache_stream_matches_batch(spark, wire_dir, ttl):
     out = tempfile.mkdtemp(prefix="cc-", dir="/tmp")
-    q = J.content_cache_job(J.read_wire(spark, wire_dir), out, name="t-cache")
+    q = J.content_cache_job(J.read_wire(spark, wire_dir), out, name="t-cache-" + ttl[0], ttl=ttl)
     q.awaitTermination()
     got = {r.event_id for r in spark.read.parquet(out).collect()}
     # batch form on the same valid messages
@@ -108,7 +112,7 @@ def test_content_cache_stream_matches_batch(spark, wire_dir):
         F.col("m")["task_id"].alias("c_task"), F.col("event_at").alias("cached_at"))
     steps = p.filter((F.col("subject") == CM.TASK_UPDATE_STATUS) & (F.col("m")["status"] == "processing")).select(
         "event_id", F.col("m")["task_id"].alias("task_id"), "event_at")
-    cond = F.expr("c_task = task_id AND cached_at <= event_at AND cached_at >= event_at - INTERVAL 60 minutes")
+    cond = F.expr("c_task = task_id AND cached_at <= event_at AND cached_at >= event_at - INTERVAL " + ttl)
     exp = {r.event_id for r in steps.join(cache, cond, "left_semi").collect()}
     assert got and got == exp
 
@@ -151,17 +155,44 @@ def test_retry_stream_matches_batch(spark, wire_dir):
         "event_id", "attempt", CM.backoff_ms(F.col("attempt"), 500, 10_000).alias("d"),
         F.when(F.col("attempt") >= 3, "dead_letter").otherwise("retry").alias("act")).collect())
     assert got and got == exp
+    rows = spark.read.parquet(out)
+    assert rows.filter("action = 'retry' AND next_at IS NULL OR action = 'dead_letter' AND next_at IS NOT NULL").count() == 0
 
 
-def test_embed_hashed_paths_agree(spark, sf):
+@pytest.mark.parametrize("dim", [8, 64, 300])
+def test_embed_hashed_matches_python_twin_at_every_dimension(spark, sf, dim):
     from inkstone.operators import chunking as C
-    from inkstone.sources import adapters as A2
-    texts = C.paragraph_chunks(A2.articles(spark, sf)).select("article_id", "chunk_no", F.col("chunk").alias("text"))
-    for dim in (64, 256):
-        col = EM.hashed_embedding(F.col("text"), dim)
-        a = {(r.article_id, r.chunk_no): r.v for r in texts.select("article_id", "chunk_no", col.alias("v")).collect()}
-        b = {(r.article_id, r.chunk_no): r.vector for r in EM.embed_hashed(texts, "text", dim).collect()} \
-            if dim > EM.COLUMN_PATH_MAX_DIM else a
-        assert a.keys() == b.keys()
-        for k in a:
-            assert all(abs(x - y) < 1e-12 for x, y in zip(a[k], b[k]))
+    texts = C.paragraph_chunks(A.articles(spark, sf)).select("article_id", "chunk_no", F.col("chunk").alias("text")).limit(200)
+    rows = EM.embed_hashed(texts, "text", dim).collect()
+    for r, v in zip(rows, EM.hashed_fn(dim)([r.text for r in rows]), strict=True):
+        assert all(abs(x - y) < 1e-12 for x, y in zip(r.vector, v, strict=True))
+
+
+def test_workers_import_the_package_from_any_folder(tmp_path):
+    import subprocess
+    import sys
+
+    import inkstone
+    root = os.path.dirname(os.path.dirname(os.path.abspath(inkstone.__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from inkstone import session
+from inkstone.operators import embed
+s = session.build("local[1]", shuffle_partitions=1)
+df = s.createDataFrame([("some words here",)], "text string")
+print("VECTORS", embed.embed_hashed(df, "text", 8).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME")}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "VECTORS 1" in out.stdout, out.stderr[-2000:]
+
+
+def test_scans_are_dealt_only_where_a_local_session_says_so(spark, sf):
+    from inkstone.sources import tables
+    plan = lambda: tables.table(spark, sf, "documents")._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(4)" in plan()
+    spark.conf.unset(tables.SCAN_PARTITIONS)
+    try:
+        assert "Exchange" not in plan()
+    finally:
+        spark.conf.set(tables.SCAN_PARTITIONS, "4")
