@@ -182,7 +182,8 @@ def verified_links(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT,
     blocks = F.ceil(F.greatest(F.col("c") / members, F.col("w") / shingles)).cast("int")
     dealt = clusters.select("cid", "cluster").join(size.select("cluster", blocks.alias("blocks")), "cluster")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    text = docs.join(dealt, docs["doc_id"] == dealt["cid"]).select("cid", "text", "cluster", "blocks", "block")
+    # a shuffle join at every size: the classes grow with the input, a broadcast of them would stop working
+    text = docs.join(dealt.hint("merge"), docs["doc_id"] == dealt["cid"]).select("cid", "text", "cluster", "blocks", "block")
     text = text.dropDuplicates(["cid"])
     met = text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "cid", "text")
