@@ -1,7 +1,6 @@
 """Batch-API files for embedding jobs as DataFrames.
 
-* ``requests`` — inputs numbered in a global order (dense ids without a
-  single-partition window), grouped into requests of ``per_request``
+* ``requests`` — numbered inputs grouped into requests of ``per_request``
   inputs, one JSONL line per request.  Each group is bounded by
   ``per_request``, so ``collect_list`` never holds an unbounded group.
 * ``parse_results`` — JSONL result lines -> success rows (one per returned
@@ -68,15 +67,17 @@ def custom_id(kind: str, now: Column, job: Column, i: Column, n_requests: Column
                     F.lpad(i.cast("string"), digits, "0"))
 
 
-def requests(inputs: DataFrame, order_cols: list, text_col: str, now: int, job: str, model: str,
-             per_request: int = 10, dim: int | None = None) -> DataFrame:
-    """(request_no, custom_id, n_inputs, line): one embeddings request per group of inputs."""
-    numbered = sequential_ids(inputs, order_cols, "_seq")
-    g = numbered.withColumn("request_no", F.floor((F.col("_seq") - 1) / per_request).cast("long"))
+def requests(inputs: DataFrame, seq_col: str, text_col: str, now: int, job: str, model: str,
+             n_inputs: int, per_request: int = 10, dim: int | None = None) -> DataFrame:
+    """(request_no, custom_id, n_inputs, line): one embeddings request per group of inputs.
+
+    ``seq_col`` numbers the ``n_inputs`` inputs from 1 (``tables.key_offsets`` or
+    ``sequential_ids``), so no text is sorted here.
+    """
+    g = inputs.withColumn("_seq", F.col(seq_col)).withColumn("request_no", F.floor((F.col("_seq") - 1) / per_request).cast("long"))
     grouped = g.groupBy("request_no").agg(
         F.array_sort(F.collect_list(F.struct("_seq", F.col(text_col).alias("t")))).alias("_items"))
-    n_req = numbered.select(F.max("_seq")).scalar()
-    n_requests = F.ceil(n_req / F.lit(per_request))
+    n_requests = F.lit(-(-n_inputs // per_request))
     cid = custom_id("embed", F.lit(now), F.lit(job), F.col("request_no"), n_requests)
     body_fields = [F.transform("_items", lambda x: x["t"]).alias("input"), F.lit(model).alias("model"),
                    F.lit("float").alias("encoding_format")]
@@ -96,8 +97,15 @@ def request_inputs(inputs: DataFrame, order_cols: list, key_cols: list, per_requ
 
 
 def parse_results(lines: DataFrame, line_col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(ok rows: custom_id, index, embedding float[]; error rows: custom_id, code, message)."""
-    p = lines.select(F.from_json(F.col(line_col), RESULT_SCHEMA).alias("r")).filter(F.col("r").isNotNull())
+    """(ok rows: custom_id, index, embedding float[]; error rows: custom_id, code, message).
+
+    Blank lines are skipped; a line that is no result becomes an error row of code ``malformed``.
+    """
+    filled = lines.filter(F.trim(F.col(line_col)) != "")
+    p = filled.select(F.col(line_col).alias("line"), F.from_json(F.col(line_col), RESULT_SCHEMA).alias("r"))
+    bad = p.filter(F.col("r").isNull() | F.col("r.custom_id").isNull()).select(
+        F.lit(None).cast("string").alias("custom_id"), F.lit("malformed").alias("code"), F.col("line").alias("message"))
+    p = p.filter(F.col("r.custom_id").isNotNull())
     ok = (p.filter(F.col("r.response").isNotNull())
           .select(F.col("r.custom_id").alias("custom_id"), F.explode("r.response.body.data").alias("d"))
           .select("custom_id", F.col("d.index").alias("index"),
@@ -105,7 +113,7 @@ def parse_results(lines: DataFrame, line_col: str = "value") -> tuple[DataFrame,
     err = (p.filter(F.col("r.error").isNotNull())
            .select(F.col("r.custom_id").alias("custom_id"), F.col("r.error.code").alias("code"),
                    F.col("r.error.message").alias("message")))
-    return ok, err
+    return ok, err.unionByName(bad)
 
 
 def place_responses(requested: DataFrame, returned: DataFrame, dim: int) -> DataFrame:

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 
 def sequential_ids(df: DataFrame, order_cols: list, id_col: str = "id", start_after: Column | int = 0) -> DataFrame:
@@ -45,13 +46,42 @@ def sequential_ids(df: DataFrame, order_cols: list, id_col: str = "id", start_af
             .drop("_pid", "_local", "_off"))
 
 
-def insert_if_absent(new: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
+def key_offsets(counts: DataFrame, key: str, n_col: str = "n", out: str = "offset") -> DataFrame:
+    """(key, out): how many rows come before each key's, in key order; ``counts``: one row (key, n) per key.
+
+    Numbers rows that already have an ordinal within their key (chunks of an
+    article) as offset + ordinal: only keys and counts are sorted, never the
+    rows.  Same scheme as ``sequential_ids``: range partitions, running sums
+    inside each, and one total per partition.
+    """
+    from inkstone.session import checkpoint_dir
+
+    checkpoint_dir(counts.sparkSession)
+    ordered = counts.select(key, F.col(n_col).alias("_n")).orderBy(key).withColumn("_pid", F.spark_partition_id())
+    local = ordered.checkpoint(eager=True)
+    totals = local.groupBy("_pid").agg(F.sum("_n").alias("_total"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition of ``local``: a bounded broadcast
+    before = totals.select("_pid", F.coalesce(F.sum("_total").over(w), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_pid").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    run = local.withColumn("_run", F.sum("_n").over(inside) - F.col("_n"))
+    return run.join(F.broadcast(before), "_pid").select(key, (F.col("_off") + F.col("_run")).cast("long").alias(out))
+
+
+def insert_if_absent(new: DataFrame, existing: DataFrame, key: list[str], first_by: list | None = None) -> DataFrame:
     """``INSERT ... ON CONFLICT DO NOTHING``: rows of ``new`` whose key is absent.
 
-    Duplicate keys inside the batch keep one row (the first by the key
-    columns' natural order is irrelevant: the rows are equal on the key).
+    Of rows that share a key the first by ``first_by`` stays (default: the
+    smallest by all other columns), so reruns keep the same one.
     """
-    return new.dropDuplicates(key).join(existing.select(*key).distinct(), key, "left_anti")
+    rest = [c for c in new.columns if c not in key]
+    if not rest:
+        one = new.distinct()
+    else:
+        order = F.struct(*(first_by or [c for c in rest if not isinstance(new.schema[c].dataType, MapType)]))
+        one = new.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(
+            *key, *[F.col("_row")[c].alias(c) for c in rest]).select(*new.columns)
+    return one.join(existing.select(*key).distinct(), key, "left_anti")
 
 
 def insert_returning_ids(new: DataFrame, existing: DataFrame, key: list[str], order_cols: list,

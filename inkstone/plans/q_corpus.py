@@ -43,8 +43,9 @@ def tasks(spark, sf_dir):
 def chunk_table(spark, sf_dir, arts=None):
     """chunks(id, article_id, start, offset_left, offset_right, end) with dense ids."""
     arts = arts if arts is not None else A.articles(spark, sf_dir)
-    offs = C.paragraph_offsets(arts).drop("chunk_no")
-    return TB.sequential_ids(offs, ["article_id", "start"])
+    offs = C.paragraph_offsets(arts)
+    before = TB.key_offsets(offs.groupBy("article_id").agg(F.count("*").alias("n")), "article_id", out="before")
+    return offs.join(before, "article_id").withColumn("id", F.col("before") + F.col("chunk_no") + 1).drop("chunk_no", "before")
 
 
 _USER_ARTICLES_SQL = """
@@ -214,28 +215,28 @@ def article_by_task(spark, sf_dir):
 @register("articles_in_interval", """
 SELECT id, title, published_at FROM articles
 WHERE published_at BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'
-ORDER BY published_at DESC LIMIT 50
+ORDER BY published_at DESC, id DESC LIMIT 50
 """, views=("articles",))
 def articles_in_interval(spark, sf_dir):
-    """2.2.5: ``published_at BETWEEN start AND end ORDER BY published_at DESC LIMIT 50``."""
+    """2.2.5: ``published_at BETWEEN start AND end ORDER BY published_at DESC, id DESC LIMIT 50``."""
     a = A.articles(spark, sf_dir)
     lo = F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")
     hi = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
     return TB.page(a.filter(F.col("published_at").between(lo, hi)).select("id", "title", "published_at"),
-                   [F.col("published_at").desc()], 50)
+                   [F.col("published_at").desc(), F.col("id").desc()], 50)
 
 
 @register("articles_past_k_days", """
 SELECT id, title, published_at FROM articles
 WHERE published_at >= TIMESTAMP '2024-02-10 00:00:00' - INTERVAL 7 DAY
-ORDER BY published_at DESC LIMIT 20
+ORDER BY published_at DESC, id DESC LIMIT 20
 """, views=("articles",))
 def articles_past_k_days(spark, sf_dir, as_of="2024-02-10 00:00:00", k=7):
     """2.2.6: ``published_at >= as_of - k days``; ``as_of`` replaces now() for reproducibility."""
     a = A.articles(spark, sf_dir)
     since = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(k))
     return TB.page(a.filter(F.col("published_at") >= since).select("id", "title", "published_at"),
-                   [F.col("published_at").desc()], 20)
+                   [F.col("published_at").desc(), F.col("id").desc()], 20)
 
 
 @register("models_by_key", """

@@ -8,6 +8,7 @@ from inkstone.functions import text as TX
 from inkstone.functions import vectors as V
 from inkstone.operators import batchfiles as BF
 from inkstone.operators import chunking as C
+from inkstone.operators import tables as TB
 from inkstone.operators.tables import sequential_ids
 from inkstone.plans.q_chunks import _PARA_OFFSETS
 from inkstone.plans.registry import register
@@ -40,8 +41,14 @@ def paragraphs_from_text(spark, sf_dir):
 
 
 def _chunk_inputs(spark, sf_dir):
-    parts = C.paragraph_chunks(A.articles(spark, sf_dir))
-    return parts.select("article_id", "chunk_no", F.concat(F.lit(PASSAGE), F.col("chunk")).alias("input"))
+    """(seq, input) of every chunk and their number: article offsets plus the chunk's ordinal in its article."""
+    arts = A.articles(spark, sf_dir)
+    counts = C.paragraph_offsets(arts).groupBy("article_id").agg(F.count("*").alias("n"))
+    offsets = TB.key_offsets(counts, "article_id")
+    parts = C.paragraph_chunks(arts).join(offsets, "article_id")
+    inputs = parts.select((F.col("offset") + F.col("chunk_no") + 1).alias("seq"),
+                          F.concat(F.lit(PASSAGE), F.col("chunk")).alias("input"))
+    return inputs, counts.agg(F.sum("n")).first()[0] or 0
 
 
 @register("batch_requests", _PARA_OFFSETS + f"""
@@ -59,8 +66,8 @@ FROM num GROUP BY request_no
 """, views=("articles",))
 def batch_requests(spark, sf_dir):
     """2.1.6: JSONL embedding requests, 10 chunk texts each, ``embed-now-job-NN`` ids."""
-    req = BF.requests(_chunk_inputs(spark, sf_dir), ["article_id", "chunk_no"], "input", NOW, JOB, MODEL,
-                      PER_REQUEST)
+    inputs, n = _chunk_inputs(spark, sf_dir)
+    req = BF.requests(inputs, "seq", "input", NOW, JOB, MODEL, n, PER_REQUEST)
     body = F.from_json(F.col("line"), "struct<body:struct<input:array<string>>>")
     return req.select("request_no", "custom_id", "n_inputs",
                       F.aggregate(body["body"]["input"], F.lit(0).cast("long"),
@@ -70,7 +77,8 @@ def batch_requests(spark, sf_dir):
 def result_lines(spark, sf_dir):
     """Result JSONL as a batch API writes it, for the fixture vectors in request order.
 
-    A request whose first vector has label 9 comes back cancelled.
+    A request whose first vector has label 9 comes back cancelled; vectors of label 3 come back cut to
+    half; requests divisible by 50 are followed by a line that is not JSON, and ones by 70 by an empty line.
     """
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     num = sequential_ids(e, ["vec_id"], "_seq")
@@ -81,15 +89,18 @@ def result_lines(spark, sf_dir):
         F.array_sort(F.collect_list(F.struct("_seq", "index", "label", "embedding"))).alias("items"))
     cid = BF.custom_id("embed", F.lit(NOW), F.lit(JOB), F.col("request_no"), n_req)
     cancelled = F.element_at("items", 1)["label"] == 9
-    data = F.transform("items", lambda it: F.struct(F.lit("embedding").alias("object"), it["index"].alias("index"),
-                                                    it["embedding"].alias("embedding")))
+    data = F.transform("items", lambda it: F.struct(
+        F.lit("embedding").alias("object"), it["index"].alias("index"),
+        F.when(it["label"] == 3, F.slice(it["embedding"], 1, DIM // 2)).otherwise(it["embedding"]).alias("embedding")))
     ok = F.struct(F.lit(200).alias("status_code"), F.md5(cid).alias("request_id"),
                   F.struct(F.lit("list").alias("object"), data.alias("data")).alias("body"))
     err = F.struct(F.lit("batch_cancelled").alias("code"),
                    F.lit("This request was not executed because the batch was cancelled.").alias("message"))
     line = F.to_json(F.struct(F.concat(F.lit("batch_req_"), F.md5(cid)).alias("id"), cid.alias("custom_id"),
                               F.when(~cancelled, ok).alias("response"), F.when(cancelled, err).alias("error")))
-    return grp.select(line.alias("value"))
+    no = F.col("request_no")
+    return grp.select(F.explode(F.array(line, F.when(no % 50 == 0, "{broken"), F.when(no % 70 == 0, ""))).alias("value")).filter(
+        "value IS NOT NULL")
 
 
 _RESULTS_SQL = f"""
@@ -106,7 +117,7 @@ _RESULTS_SQL = f"""
 
 @register("batch_results", _RESULTS_SQL + """
 SELECT r.custom_id, g.idx AS "index",
-       array_to_string(list_transform(g.embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT)), ',')
+       array_to_string(list_transform(CASE WHEN g.label = 3 THEN g.embedding[1:32] ELSE g.embedding END, lambda x: CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT)), ',')
          AS embedding
 FROM g JOIN req r USING (request_no) WHERE NOT r.cancelled
 """)
@@ -118,6 +129,7 @@ def batch_results(spark, sf_dir):
 
 @register("batch_errors", _RESULTS_SQL + """
 SELECT custom_id, 'batch_cancelled' AS code FROM req WHERE cancelled
+UNION ALL SELECT NULL, 'malformed' FROM req WHERE request_no % 50 = 0
 """)
 def batch_errors(spark, sf_dir):
     """2.1.7 (second output): error lines of the result file."""
@@ -126,7 +138,7 @@ def batch_errors(spark, sf_dir):
 
 
 @register("embed_responses", _RESULTS_SQL + """
-SELECT g.vec_id, r.custom_id, g.idx AS "index", CASE WHEN r.cancelled THEN 'error' ELSE '' END AS state
+SELECT g.vec_id, r.custom_id, g.idx AS "index", CASE WHEN r.cancelled THEN 'error' WHEN g.label = 3 THEN 'truncated' ELSE '' END AS state
 FROM g JOIN req r USING (request_no)
 """)
 def embed_responses(spark, sf_dir):

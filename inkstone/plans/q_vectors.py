@@ -255,11 +255,13 @@ def article_pipeline(spark, sf_dir):
     from inkstone.operators import tables as TB
     from inkstone.operators import chunking as C
     arts = A.articles(spark, sf_dir)
-    chunks = TB.sequential_ids(C.paragraph_chunks(arts), ["article_id", "start"], "chunk_id")
+    per_chunk = C.paragraph_offsets(arts).groupBy("article_id").agg(F.count("*").alias("n_chunks"))
+    offsets = TB.key_offsets(per_chunk, "article_id", "n_chunks")  # ids without sorting any text
+    chunks = C.paragraph_chunks(arts).join(offsets, "article_id").withColumn(
+        "chunk_id", F.col("offset") + F.col("chunk_no") + 1)
     emb = EM.embed_hashed(chunks.select("article_id", "chunk_id", F.col("chunk").alias("text")), "text", DIM)
     new = emb.select("article_id", "chunk_id", F.lit(0).alias("model_id"), "vector")
     ins = TB.insert_if_absent(new, A.vectors(spark, sf_dir), ["article_id", "chunk_id", "model_id"])
-    per_chunk = chunks.groupBy("article_id").agg(F.count("*").alias("n_chunks"))
     per_ins = ins.groupBy("article_id").agg(F.count("*").alias("n_inserted"))
     return (per_chunk.join(per_ins, "article_id", "left")
             .select("article_id", "n_chunks", F.coalesce("n_inserted", F.lit(0)).alias("n_inserted")))

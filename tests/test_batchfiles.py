@@ -9,7 +9,8 @@ from inkstone.operators import batchfiles as BF
 
 def test_requests_grouping_and_ids(spark):
     inp = spark.createDataFrame([(i, f"text {i}") for i in range(23)], "k long, t string")
-    req = BF.requests(inp, ["k"], "t", 1755706275, "job", "m", per_request=10).orderBy("request_no").collect()
+    inp = inp.selectExpr("k + 1 AS seq", "t")
+    req = BF.requests(inp, "seq", "t", 1755706275, "job", "m", 23, per_request=10).orderBy("request_no").collect()
     assert [r.n_inputs for r in req] == [10, 10, 3]
     assert [r.custom_id for r in req] == ["embed-1755706275-job-0", "embed-1755706275-job-1", "embed-1755706275-job-2"]
     line = json.loads(req[2].line)
@@ -48,3 +49,11 @@ def test_status(spark):
 def test_custom_id_padding(spark):
     df = spark.range(1).select(BF.custom_id("gen", F.lit(5), F.lit("j"), F.lit(7), F.lit(120)).alias("c"))
     assert df.first().c == "gen-5-j-007"
+
+
+def test_lines_that_are_no_results_become_error_rows(spark):
+    lines = spark.createDataFrame([("",), ("  ",), ("{broken",), ("{}",), ("[1]",), (None,),
+                                   ('{"custom_id": "a", "error": {"code": "x", "message": "y"}}',)], "value string")
+    ok, err = BF.parse_results(lines)
+    assert ok.count() == 0
+    assert sorted((r.custom_id or "", r.code) for r in err.collect()) == [("", "malformed")] * 3 + [("a", "x")]

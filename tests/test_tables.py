@@ -87,3 +87,20 @@ def test_sequential_ids_with_hot_leading_key(spark):
     assert [r.sid for r in rows] == list(range(1, n + 1))
     hot = [r for r in rows if r.key == "hot"]
     assert len(hot) == 14000 and hot[0].sid < hot[-1].sid
+
+
+def test_key_offsets_are_prefix_sums(spark):
+    rows = [(k, k % 5) for k in range(0, 3000, 3)]
+    got = {r.k: r.offset for r in TB.key_offsets(spark.createDataFrame(rows, "k long, n long").repartition(9), "k").collect()}
+    total = 0
+    for k, n in rows:
+        assert got[k] == total
+        total += n
+    assert TB.key_offsets(spark.createDataFrame([], "k long, n long"), "k").count() == 0
+
+
+def test_insert_if_absent_keeps_the_first_of_equal_keys(spark):
+    new = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (2, None, 1)], "k int, v string, w int")
+    got = TB.insert_if_absent(new, new.limit(0), ["k"])
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 3), (2, None, 1)]
+    assert TB.insert_if_absent(new, new.limit(0), ["k"], ["w"]).filter("k = 1").first().v == "b"
