@@ -77,7 +77,7 @@ def capitalised(text: Column) -> Column:
 def keyword_struct(themes: Column, entities: Column) -> Column:
     """Keyword extractor output struct; events/actions are left for an external extractor.
 
-    Relations link consecutive entities (at most MAX_PER_CATEGORY - 1 per document).
+    Categories hold MAX_PER_CATEGORY keywords; relations link all consecutive entities.
     """
     from inkstone.functions.bind import let
 
@@ -88,10 +88,51 @@ def keyword_struct(themes: Column, entities: Column) -> Column:
         rel = F.filter(rel, lambda r: r["entity2"].isNotNull())
         empty = F.array().cast("array<string>")
         return F.struct(F.struct(F.slice(themes, 1, MAX_PER_CATEGORY).alias("themes"), empty.alias("events"),
-                                 ents.alias("entities"), empty.alias("actions")).alias("keywords"),
+                                 F.slice(ents, 1, MAX_PER_CATEGORY).alias("entities"), empty.alias("actions")).alias("keywords"),
                         rel.alias("relations"))
 
-    return let(F.slice(entities, 1, MAX_PER_CATEGORY), build)
+    return let(entities, build)
+
+
+def extract_with(df: DataFrame, text_col: str, fn, batch_size: int = 64, keep: list[str] | None = None) -> DataFrame:
+    """(keep..., state, kw struct) using a keyword extractor ``fn(list[str]) -> list[dict | str]``.
+
+    ``fn`` returns per text the keywords and relations as a dict, or a model
+    reply that holds them as JSON; it runs on Arrow batches.  A failing call
+    marks its rows ``error``, a reply without such JSON ``invalid``; the job goes on.
+    """
+    import json
+
+    keep = keep or [c for c in df.columns if c != text_col]
+    base = df.select(*keep, F.col(text_col).alias("_text"))
+    fields = [f for f in base.schema.fields if f.name != "_text"]
+    schema = T.StructType([*fields, T.StructField("state", T.StringType()), T.StructField("reply", T.StringType())])
+
+    def run(batches):
+        for pdf in batches:
+            texts = pdf["_text"].fillna("").tolist()
+            states, replies = [], []
+            for s in range(0, len(texts), batch_size):
+                part = texts[s:s + batch_size]
+                try:
+                    out = list(fn(part))
+                    if len(out) != len(part):
+                        raise ValueError("extractor returned a different number of replies")
+                    replies += [r if isinstance(r, str) or r is None else json.dumps(r, ensure_ascii=False) for r in out]
+                    states += [""] * len(part)
+                except Exception:  # noqa: BLE001 - per-row error state, job continues
+                    states += ["error"] * len(part)
+                    replies += [None] * len(part)
+            res = pdf.drop(columns=["_text"]).copy()
+            res["state"], res["reply"] = states, replies
+            yield res
+
+    got = base.mapInPandas(run, schema)
+    first, last = F.instr("reply", "{"), F.length("reply") - F.instr(F.reverse("reply"), "}") + 1
+    kw = F.from_json(F.when((first > 0) & (last >= first), F.expr("substring(reply, instr(reply, '{'), length(reply))")), KEYWORDS_SCHEMA)
+    ok = kw["keywords"].isNotNull()
+    return got.select(*[f.name for f in fields], F.when((F.col("state") == "") & ~F.coalesce(ok, F.lit(False)), "invalid")
+                      .otherwise(F.col("state")).alias("state"), F.when(ok, kw).alias("kw"))
 
 
 def flatten(kw: Column) -> Column:

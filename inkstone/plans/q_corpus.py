@@ -142,7 +142,29 @@ def append_articles(spark, sf_dir):
                       keys.article_key(F.col("title"), F.col("source"), F.col("published_at")).alias("md5"))
 
 
-@register("unique_violations", _USER_ARTICLES_SQL + """
+# Rows that break each key and each reference, made from the tables (the tables themselves hold none).
+_BROKEN_SQL = """
+, keywords AS (SELECT CAST(doc_id % 50 AS BIGINT) AS id, 'term-' || CAST(doc_id % 40 AS VARCHAR) AS term FROM labels GROUP BY ALL)
+, bridge AS (SELECT doc_id + 7 AS article_id, doc_id % 53 AS keyword_id FROM labels)
+, user_tasks AS (SELECT event_id AS id, user_id % 40 AS task_id FROM events WHERE event_type = 'signup')
+, user_chunks AS (SELECT vec_id AS id, vec_id // 9 AS article_id, vec_id % 3 AS start, 10 AS "end" FROM embeddings)
+"""
+
+
+def broken(spark, sf_dir):
+    """keywords, bridge, user_tasks, user_chunks with violations (the twin of ``_BROKEN_SQL``)."""
+    lab = table(spark, sf_dir, "labels").select("doc_id")
+    keywords = lab.select((F.col("doc_id") % 50).alias("id"), F.concat(F.lit("term-"), (F.col("doc_id") % 40).cast("string")).alias("term")).distinct()
+    bridge = lab.select((F.col("doc_id") + 7).alias("article_id"), (F.col("doc_id") % 53).alias("keyword_id"))
+    user_tasks = table(spark, sf_dir, "events").filter("event_type = 'signup'").select(
+        F.col("event_id").alias("id"), (F.col("user_id") % 40).alias("task_id"))
+    user_chunks = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.expr("vec_id div 9").alias("article_id"), (F.col("vec_id") % 3).alias("start"),
+        F.lit(10).alias("end"))
+    return keywords, bridge, user_tasks, user_chunks
+
+
+@register("unique_violations", _USER_ARTICLES_SQL + _BROKEN_SQL + """
 SELECT 'articles_md5' AS "constraint", md5 AS key_value, count(*) AS n FROM articles GROUP BY md5 HAVING count(*) > 1
 UNION ALL
 SELECT 'users_articles_md5', to_base64(unhex(md5(title || source || strftime(published_at, '%Y-%m-%d')))), count(*)
@@ -152,16 +174,32 @@ SELECT 'embeddings_key', CAST(article_id AS VARCHAR) || '|' || CAST(chunk_id AS
        count(*) FROM vecs GROUP BY 2 HAVING count(*) > 1
 UNION ALL
 SELECT 'models_name', name, count(*) FROM models GROUP BY name HAVING count(*) > 1
+UNION ALL
+SELECT 'keywords_term', term, count(*) FROM keywords GROUP BY term HAVING count(*) > 1
+UNION ALL
+SELECT 'articles_keywords_key', CAST(keyword_id AS VARCHAR) || '|' || CAST(article_id AS VARCHAR), count(*)
+FROM (SELECT keyword_id, article_id // 200 AS article_id FROM bridge) GROUP BY 2 HAVING count(*) > 1
+UNION ALL
+SELECT 'users_tasks_task_id', CAST(task_id AS VARCHAR), count(*) FROM user_tasks GROUP BY task_id HAVING count(*) > 1
+UNION ALL
+SELECT 'users_chunks_key', CAST(article_id AS VARCHAR) || '|' || CAST(start AS VARCHAR) || '|' || CAST("end" AS VARCHAR), count(*)
+FROM user_chunks GROUP BY 2 HAVING count(*) > 1
 """, views=("articles", "vecs", "models"))
 def unique_violations(spark, sf_dir):
     """2.1.4: UNIQUE-constraint report (constraint, key_value, n)."""
     a = A.articles(spark, sf_dir)
+    keywords, bridge, user_tasks, user_chunks = broken(spark, sf_dir)
     ua = a.select(keys.article_key(F.col("title"), F.col("source"), F.col("published_at")).alias("k"))
     parts = [
         TB.unique_violations(a, ["md5"], "articles_md5"),
         TB.unique_violations(ua, ["k"], "users_articles_md5"),
         TB.unique_violations(A.vectors(spark, sf_dir), ["article_id", "chunk_id", "model_id"], "embeddings_key"),
         TB.unique_violations(A.models(spark, sf_dir), ["name"], "models_name"),
+        TB.unique_violations(keywords, ["term"], "keywords_term"),
+        TB.unique_violations(bridge.withColumn("article_id", F.expr("article_id div 200")), ["keyword_id", "article_id"],
+                             "articles_keywords_key"),
+        TB.unique_violations(user_tasks, ["task_id"], "users_tasks_task_id"),
+        TB.unique_violations(user_chunks, ["article_id", "start", "end"], "users_chunks_key"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -253,7 +291,7 @@ def models_by_key(spark, sf_dir):
 
 # ---------------------------------------------------------------- 2.3 joins
 
-@register("fk_orphans", _USER_ARTICLES_SQL + _TASKS_SQL + _CHUNKS_SQL + """
+@register("fk_orphans", _USER_ARTICLES_SQL + _TASKS_SQL + _CHUNKS_SQL + _BROKEN_SQL + """
 SELECT 'embeddings.article_id' AS edge, CAST(article_id AS VARCHAR) AS key_value FROM vecs
 WHERE article_id IS NOT NULL AND article_id NOT IN (SELECT id FROM articles)
 UNION ALL
@@ -265,9 +303,23 @@ WHERE model_id IS NOT NULL AND model_id NOT IN (SELECT id FROM models)
 UNION ALL
 SELECT 'users.articles.task_id', task_id FROM user_articles
 WHERE task_id IS NOT NULL AND task_id NOT IN (SELECT task_uuid FROM tasks)
+UNION ALL
+SELECT 'chunks.article_id', CAST(article_id AS VARCHAR) FROM chunks WHERE article_id NOT IN (SELECT id FROM articles WHERE id % 10 <> 3)
+UNION ALL
+SELECT 'articles_keywords.article_id', CAST(article_id AS VARCHAR) FROM bridge WHERE article_id NOT IN (SELECT id FROM articles)
+UNION ALL
+SELECT 'articles_keywords.keyword_id', CAST(keyword_id AS VARCHAR) FROM bridge WHERE keyword_id NOT IN (SELECT id FROM keywords)
+UNION ALL
+SELECT 'users.chunks.article_id', CAST(article_id AS VARCHAR) FROM user_chunks WHERE article_id NOT IN (SELECT id FROM user_articles)
+UNION ALL
+SELECT 'users.embeddings.chunk_id', CAST(vec_id + 5 AS VARCHAR) FROM embeddings WHERE vec_id + 5 NOT IN (SELECT id FROM user_chunks)
+UNION ALL
+SELECT 'users.embeddings.model_id', CAST(label % 4 AS VARCHAR) FROM embeddings WHERE label % 4 NOT IN (SELECT id FROM models)
 """, views=("articles", "vecs", "models", "messages"))
 def fk_orphans(spark, sf_dir):
     """2.3.3: foreign-key orphans per edge, as (edge, key_value)."""
+    keywords, bridge, _, user_chunks = broken(spark, sf_dir)
+    e = table(spark, sf_dir, "embeddings")
     arts = A.articles(spark, sf_dir)
     v = A.vectors(spark, sf_dir)
     parts = [
@@ -276,6 +328,14 @@ def fk_orphans(spark, sf_dir):
         TB.fk_orphans(v, ["model_id"], A.models(spark, sf_dir), ["id"], "embeddings.model_id"),
         TB.fk_orphans(user_articles(spark, sf_dir), ["task_id"], tasks(spark, sf_dir), ["task_id"],
                       "users.articles.task_id"),
+        TB.fk_orphans(chunk_table(spark, sf_dir, arts), ["article_id"], arts.filter("id % 10 <> 3"), ["id"], "chunks.article_id"),
+        TB.fk_orphans(bridge, ["article_id"], arts, ["id"], "articles_keywords.article_id"),
+        TB.fk_orphans(bridge, ["keyword_id"], keywords, ["id"], "articles_keywords.keyword_id"),
+        TB.fk_orphans(user_chunks, ["article_id"], user_articles(spark, sf_dir), ["id"], "users.chunks.article_id"),
+        TB.fk_orphans(e.select((F.col("vec_id") + 5).alias("chunk_id")), ["chunk_id"], user_chunks, ["id"],
+                      "users.embeddings.chunk_id"),
+        TB.fk_orphans(e.select((F.col("label") % 4).cast("int").alias("model_id")), ["model_id"], A.models(spark, sf_dir), ["id"],
+                      "users.embeddings.model_id"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -283,19 +343,66 @@ def fk_orphans(spark, sf_dir):
     return out
 
 
-@register("cascade_delete", """
-SELECT v.id, v.article_id, v.model_id FROM vecs v
-WHERE v.model_id NOT IN (SELECT id FROM models WHERE name = 'model-1')
-  AND v.article_id NOT IN (SELECT id FROM articles WHERE party = 'none')
+@register("cascade_delete", _CHUNKS_SQL + _BROKEN_SQL + """
+, gone AS (SELECT id FROM articles WHERE party = 'none')
+, left_chunks AS (SELECT * FROM chunks WHERE article_id NOT IN (SELECT id FROM gone))
+SELECT 'articles' AS level, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM articles WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL
+SELECT 'chunks', count(*), CAST(sum(id) AS BIGINT) FROM left_chunks
+UNION ALL
+SELECT 'embeddings', count(*), CAST(sum(id) AS BIGINT) FROM vecs v
+WHERE v.model_id NOT IN (SELECT id FROM models WHERE name = 'model-1') AND v.article_id NOT IN (SELECT id FROM gone)
+  AND v.chunk_id NOT IN (SELECT id FROM chunks WHERE article_id IN (SELECT id FROM gone))
+UNION ALL
+SELECT 'articles_keywords', count(*), CAST(sum(article_id) AS BIGINT) FROM bridge WHERE article_id NOT IN (SELECT id FROM gone)
 """, views=("articles", "vecs", "models"))
 def cascade_delete(spark, sf_dir):
-    """2.3.4: delete model 'model-1' and the 'none'-party articles; embeddings cascade."""
-    v = A.vectors(spark, sf_dir)
+    """2.3.4: delete model 'model-1' and the 'none'-party articles: what survives on every level of the cascade
+    (articles, chunks, embeddings by article, chunk and model, keyword bridge)."""
+    arts = A.articles(spark, sf_dir)
     gone_models = A.models(spark, sf_dir).filter(F.col("name") == "model-1")
-    gone_articles = A.articles(spark, sf_dir).filter(F.col("party") == "none")
-    s = TB.cascade_delete(v, gone_models, "model_id")
-    s = TB.cascade_delete(s, gone_articles, "article_id")
-    return s.select("id", "article_id", "model_id")
+    gone = arts.filter(F.col("party") == "none")
+    chunks = chunk_table(spark, sf_dir, arts)
+    gone_chunks = chunks.join(gone.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+    v = TB.cascade_delete(A.vectors(spark, sf_dir), gone_models, "model_id")
+    v = TB.cascade_delete(TB.cascade_delete(v, gone, "article_id"), gone_chunks, "chunk_id")
+    levels = [("articles", arts.filter(F.col("party") != "none"), "id"), ("chunks", TB.cascade_delete(chunks, gone, "article_id"), "id"),
+              ("embeddings", v, "id"), ("articles_keywords", TB.cascade_delete(broken(spark, sf_dir)[1], gone, "article_id"), "article_id")]
+    out = None
+    for name, df, col in levels:
+        part = df.agg(F.count("*").alias("n"), F.sum(F.col(col).cast("long")).alias("ids")).select(F.lit(name).alias("level"), "n", "ids")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("append_rows", _CHUNKS_SQL + """
+SELECT 'chunks' AS "table", (SELECT max(id) FROM chunks) + row_number() OVER (ORDER BY item_id) AS id, item_id AS ref FROM benchmark
+UNION ALL
+SELECT 'embeddings', (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY vec_id), vec_id FROM embeddings WHERE label = 0
+UNION ALL
+SELECT 'models', (SELECT max(id) FROM models) + row_number() OVER (ORDER BY lang), NULL FROM (SELECT DISTINCT lang FROM documents)
+UNION ALL
+SELECT 'tasks', (SELECT max(user_id) FROM events) + row_number() OVER (ORDER BY event_id), event_id FROM events WHERE event_type = 'signup'
+UNION ALL
+SELECT 'articles', (SELECT max(id) FROM articles) + row_number() OVER (ORDER BY page_id), page_id FROM pages
+""", views=("articles", "models"))
+def append_rows(spark, sf_dir):
+    """2.1.3: plain appends to the other tables, returning the new ids (chunk, embedding, model, task, article)."""
+    t = lambda name: table(spark, sf_dir, name)
+    new = [
+        ("chunks", t("benchmark").select(F.col("item_id").alias("ref")), chunk_table(spark, sf_dir).agg(F.max("id"))),
+        ("embeddings", t("embeddings").filter("label = 0").select(F.col("vec_id").alias("ref")), t("embeddings").agg(F.max("vec_id"))),
+        ("models", t("documents").select("lang").distinct(), A.models(spark, sf_dir).agg(F.max("id"))),
+        ("tasks", t("events").filter("event_type = 'signup'").select(F.col("event_id").alias("ref")), t("events").agg(F.max("user_id"))),
+        ("articles", t("pages").select(F.col("page_id").alias("ref")), A.articles(spark, sf_dir).agg(F.max("id"))),
+    ]
+    out = None
+    for name, rows, last in new:
+        ids = TB.sequential_ids(rows, rows.columns, "id", start_after=last.scalar())
+        ref = F.col("ref") if "ref" in rows.columns else F.lit(None).cast("long")
+        part = ids.select(F.lit(name).alias("table"), "id", ref.alias("ref"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("cache_then_db", """

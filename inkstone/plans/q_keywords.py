@@ -65,7 +65,7 @@ _TERMS_SQL = r"""
            FROM articles a LEFT JOIN (SELECT doc_id, ent, min(pos) AS first_pos FROM ent_raw GROUP BY doc_id, ent) e
              ON e.doc_id = a.id
            GROUP BY a.id)
-, kw AS (SELECT t.doc_id, t.themes, e.entities[1:5] AS ents FROM themes t JOIN ents e USING (doc_id))
+, kw AS (SELECT t.doc_id, t.themes, e.entities[1:5] AS ents, e.entities AS all_ents FROM themes t JOIN ents e USING (doc_id))
 """
 
 
@@ -95,8 +95,8 @@ def flatten_keywords(spark, sf_dir):
 
 
 @register("relations", _TERMS_SQL + """
-SELECT doc_id, i - 1 AS pos, ents[i] AS entity1, 'co_occurs' AS relation, ents[i + 1] AS entity2
-FROM (SELECT doc_id, ents, unnest(generate_series(1, len(ents) - 1)) AS i FROM kw WHERE len(ents) > 1)
+SELECT doc_id, i - 1 AS pos, all_ents[i] AS entity1, 'co_occurs' AS relation, all_ents[i + 1] AS entity2
+FROM (SELECT doc_id, all_ents, unnest(generate_series(1, len(all_ents) - 1)) AS i FROM kw WHERE len(all_ents) > 1)
 """, views=("articles",))
 def relations(spark, sf_dir):
     """2.9.23: relation triples as edge rows."""
@@ -104,7 +104,7 @@ def relations(spark, sf_dir):
 
 
 @register("keyword_counts", _TERMS_SQL + """
-SELECT doc_id, len(themes) + len(ents) AS n_keywords, greatest(len(ents) - 1, 0) AS n_relations FROM kw
+SELECT doc_id, len(themes) + len(ents) AS n_keywords, greatest(len(all_ents) - 1, 0) AS n_relations FROM kw
 """, views=("articles",))
 def keyword_counts(spark, sf_dir):
     """2.4.3: number of flattened keywords and of relations per article."""
@@ -259,6 +259,17 @@ def keyword_store(spark, sf_dir):
     return keyword_tables(spark, sf_dir)[1].select("id", "term")
 
 
+@register("keyword_rejects", _TERMS_SQL + """
+SELECT term, length(term) AS term_length, count(*) AS n_articles, min(doc_id) AS first_article FROM top
+WHERE length(term) > 32 GROUP BY term
+""", views=("articles",))
+def keyword_rejects(spark, sf_dir):
+    """2.11.3: terms that the keyword column (32 characters) refuses, as reject rows (never dropped silently)."""
+    t = terms(spark, sf_dir)
+    return t.filter(F.length("term") > KW.MAX_TERM_LEN).groupBy("term").agg(
+        F.first(F.length("term")).alias("term_length"), F.count("*").alias("n_articles"), F.min("doc_id").alias("first_article"))
+
+
 @register("keyword_articles", _KWSTORE_SQL + """
 SELECT k.id AS keyword_id, k.term, a.id AS article_id, a.title
 FROM articles a JOIN bridge b ON b.article_id = a.id JOIN allk k ON k.id = b.keyword_id

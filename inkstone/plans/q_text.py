@@ -9,6 +9,7 @@ from inkstone.functions import text as TX
 from inkstone.plans.registry import register
 from inkstone.sources import adapters as A
 from inkstone.sources.tables import table
+from inkstone.streaming.commands import EMBED_TYPES, LOG_LEVELS
 
 _GO_SPACE_RE2 = TX.GO_SPACE  # same class body is valid RE2
 
@@ -180,6 +181,7 @@ def message_flatten(spark, sf_dir):
 
 # Enum domains.
 ROLES = ["system", "user", "assistant"]
+MODEL_TYPES = ["generate", "embedding"]
 
 
 @register("enum_validation", """
@@ -190,15 +192,40 @@ SELECT 'task_status', subject, subject IN ('pending', 'processing', 'done', 'fai
 FROM messages GROUP BY subject
 UNION ALL
 SELECT 'role', role, role IN ('system', 'user', 'assistant'), count(*) FROM conversations GROUP BY role
+UNION ALL
+SELECT 'source_type', v, v IN ('url', 'text'), count(*) FROM (
+  SELECT CASE user_id % 3 WHEN 0 THEN 'url' WHEN 1 THEN 'text' ELSE 'file' END AS v FROM events) GROUP BY v
+UNION ALL
+SELECT 'embed_type', v, v IN ('query', 'passage'), count(*) FROM (
+  SELECT CASE label % 3 WHEN 0 THEN 'query' WHEN 1 THEN 'passage' ELSE 'title' END AS v FROM embeddings) GROUP BY v
+UNION ALL
+SELECT 'log_level', v, v IN ('Debug', 'Info', 'Warn', 'Error', 'Fatal', 'Panic', 'Trace'), count(*) FROM (
+  SELECT ['Debug', 'Info', 'Warn', 'Error', 'Fatal', 'Panic', 'Trace', 'info'][1 + event_id % 8] AS v FROM events) GROUP BY v
+UNION ALL
+SELECT 'model_type', v, v IN ('generate', 'embedding'), count(*) FROM (
+  SELECT CASE label % 4 WHEN 0 THEN 'embedding' WHEN 1 THEN 'generate' WHEN 2 THEN 'rerank' END AS v FROM embeddings) GROUP BY v
 """, views=("articles", "messages"))
 def enum_validation(spark, sf_dir):
-    """2.2.10: enum membership report (field, value, valid, n)."""
+    """2.2.10: enum membership report (field, value, valid, n) of all seven enums; the tables lack four of them,
+    so their values, some invalid, are dealt by ids."""
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id")
+    em = table(spark, sf_dir, "embeddings").select("label")
     def rep(df, col, field, domain):
         return df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n")).select(
             F.lit(field).alias("field"), "value", F.col("value").isin(domain).alias("valid"), "n")
     return (rep(A.articles(spark, sf_dir), "party", "party", A.PARTIES)
             .unionByName(rep(A.messages(spark, sf_dir), "subject", "task_status", A.TASK_STATUSES))
-            .unionByName(rep(A.chat(spark, sf_dir), "role", "role", ROLES)))
+            .unionByName(rep(A.chat(spark, sf_dir), "role", "role", ROLES))
+            .unionByName(rep(ev.select(_dealt("user_id", ["url", "text", "file"]).alias("v")), "v", "source_type", A.SOURCE_TYPES))
+            .unionByName(rep(em.select(_dealt("label", ["query", "passage", "title"]).alias("v")), "v", "embed_type", EMBED_TYPES))
+            .unionByName(rep(ev.select(_dealt("event_id", [*LOG_LEVELS, "info"]).alias("v")), "v", "log_level", LOG_LEVELS))
+            .unionByName(rep(em.select(_dealt("label", ["embedding", "generate", "rerank", None]).alias("v")), "v",
+                             "model_type", MODEL_TYPES)))
+
+
+def _dealt(column, values):
+    """A value by the remainder of an integer column (fixture rule)."""
+    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.col(column) % len(values) + 1).cast("int"))
 
 
 # Submission host and per-site crawl filters.

@@ -99,3 +99,27 @@ def test_no_plan_lists_pairs_of_a_hot_term(spark):
     assert got.count() == 6000
     first = got.filter("query_id = 5").orderBy("rank").collect()
     assert [(r.id, r.shared) for r in first] == [(1005, 2), (2005, 2)]
+
+
+def test_external_extractor_states_and_json(spark):
+    df = spark.createDataFrame([(1, "ok"), (2, "boom"), (3, "prose"), (4, "noise"), (5, None)], "id long, text string")
+    good = {"keywords": {"themes": ["t"], "events": [], "entities": ["E", "F"], "actions": []},
+            "relations": [{"entity1": "E", "entity2": "F", "relation": "r"}]}
+
+    def fn(texts):
+        import json
+        if "boom" in texts:
+            raise RuntimeError("remote failure")
+        return [good if t == "ok" else f"Sure:\n{json.dumps(good)} done" if t == "prose" else "none" for t in texts]
+
+    got = {r.id: r for r in KW.extract_with(df, "text", fn, batch_size=1).collect()}
+    assert {i: r.state for i, r in got.items()} == {1: "", 2: "error", 3: "", 4: "invalid", 5: "invalid"}
+    assert got[3].kw == got[1].kw and got[1].kw.keywords.entities == ["E", "F"] and got[2].kw is None
+
+
+def test_relations_are_not_capped_with_the_keywords(spark):
+    names = ["Ann", "Bob", "Cid", "Dan", "Eve", "Fay", "Gus"]
+    df = spark.createDataFrame([(1, [], names)], "id long, themes array<string>, ents array<string>")
+    kw = df.select("id", KW.keyword_struct(F.col("themes"), F.col("ents")).alias("kw"))
+    assert kw.first().kw.keywords.entities == names[:5]
+    assert KW.relations(kw, "kw", "id").count() == 6
