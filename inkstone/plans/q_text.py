@@ -109,33 +109,40 @@ def title_from_text(spark, sf_dir):
 
 
 @register("description_fallback", """
-SELECT id, CASE WHEN length(j) > 100 THEN substring(j, 1, 100) || '...' ELSE j END AS description
-FROM (SELECT id, array_to_string(paragraphs, ' ') AS j FROM articles)
+SELECT id, CASE WHEN id % 3 = 0 THEN title || ' (summary)' WHEN length(j) > 100 THEN substring(j, 1, 100) || '...' ELSE j END AS description
+FROM (SELECT id, title, array_to_string(paragraphs, ' ') AS j FROM articles)
 """, views=("articles",))
 def description_fallback(spark, sf_dir):
-    """2.9.9: no description -> first 100 code points of the space-joined contents + '...'."""
+    """2.9.9: no description -> first 100 code points of the space-joined contents + '...'.
+
+    Every third article has a description, every third an empty one, the rest none.
+    """
     a = A.articles(spark, sf_dir)
-    return a.select("id", TX.description_fallback(F.lit(None).cast("string"), F.col("paragraphs"))
-                    .alias("description"))
+    given = F.when(F.col("id") % 3 == 0, F.concat("title", F.lit(" (summary)"))).when(F.col("id") % 3 == 1, "")
+    return a.select("id", TX.description_fallback(given, F.col("paragraphs")).alias("description"))
 
 
-def _log_line(subject, task_id, payload):
-    return F.concat(F.lit("{"), F.when(subject == "log", F.lit('"level":"Info",')).otherwise(F.lit("")),
-                    F.lit('"task_id":'), task_id.cast("string"), F.lit(',"payload":'), payload, F.lit("}"))
+def _log_line(event_id, task_id, payload):
+    """JSON log lines: levels of all kinds and spacings, empty ones, other types and none, by event id."""
+    kinds = ['"level":"Info",', '"level" : "Warn",', '"level":\t"Error",', '"level":"",', '"level":3,', '', '"loglevel":"Debug",',
+             '"level":"Trace_2",']
+    pick = F.element_at(F.array(*[F.lit(k) for k in kinds]), (event_id % len(kinds) + 1).cast("int"))
+    return F.concat(F.lit("{"), pick, F.lit('"task_id":'), task_id.cast("string"), F.lit(',"payload":'), payload, F.lit("}"))
 
 
 @register("log_level", r"""
 SELECT event_id,
        coalesce(nullif(regexp_extract(line, '"level"\s*:\s*"([A-Za-z0-9_]+)"', 1), ''), 'unknown') AS level
 FROM (SELECT event_id,
-             '{' || CASE WHEN subject = 'log' THEN '"level":"Info",' ELSE '' END ||
+             '{' || ['"level":"Info",', '"level" : "Warn",', '"level":' || chr(9) || '"Error",', '"level":"",', '"level":3,', '',
+                     '"loglevel":"Debug",', '"level":"Trace_2",'][1 + event_id % 8] ||
              '"task_id":' || CAST(task_id AS VARCHAR) || ',"payload":' || payload || '}' AS line
       FROM messages)
 """, views=("messages",))
 def log_level(spark, sf_dir):
     """2.9.13: level of a JSON log line ('unknown' when absent); log lines rendered from messages."""
     m = A.messages(spark, sf_dir)
-    return m.select("event_id", TX.log_level(_log_line(F.col("subject"), F.col("task_id"), F.col("payload")))
+    return m.select("event_id", TX.log_level(_log_line(F.col("event_id"), F.col("task_id"), F.col("payload")))
                     .alias("level"))
 
 

@@ -41,11 +41,26 @@ FUNCTIONS = {
 }
 
 
+# Table functions, used with LATERAL: one row per chunk of a text.
+TABLE_FUNCTIONS = {
+    "chunk_offsets": """(body STRING, size INT, overlap INT)
+        RETURNS TABLE(chunk_no INT, start INT, offset_left INT, offset_right INT, `end` INT)
+        RETURN SELECT pos, c.s, c.i - c.s, least(c.n, c.i + c.u) - c.s, least(c.n, c.i + c.z - c.h)
+               FROM (SELECT posexplode(CASE WHEN length(body) > 0 AND assert_true(size > 0 AND overlap > 1 AND overlap < size AND overlap % 2 = 0, 'bad chunk size or overlap') IS NULL
+                                            THEN transform(sequence(0, length(body) - 1, size - overlap), x -> named_struct(
+                                              'i', x, 's', greatest(0, x - overlap div 2), 'n', length(body), 'u', size - overlap,
+                                              'z', size, 'h', overlap div 2)) END) AS (pos, c))""",
+    "chunk_texts": """(body STRING, size INT, overlap INT)
+        RETURNS TABLE(chunk_no INT, chunk STRING)
+        RETURN SELECT o.chunk_no, substring(body, o.start + 1, o.`end` - o.start) FROM chunk_offsets(body, size, overlap) o""",
+}
+
+
 def register_functions(spark: SparkSession) -> list[str]:
-    """Temporary SQL functions for the pgvector operators and the key/text helpers."""
-    for name, body in FUNCTIONS.items():
+    """Temporary SQL functions for the pgvector operators, the key/text helpers and the chunker."""
+    for name, body in {**FUNCTIONS, **TABLE_FUNCTIONS}.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
-    return sorted(FUNCTIONS)
+    return sorted([*FUNCTIONS, *TABLE_FUNCTIONS])
 
 
 def register(spark: SparkSession, sf_dir: str) -> list[str]:

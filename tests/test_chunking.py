@@ -188,3 +188,19 @@ def test_join_split_property_random(spark):
     for r in out.collect():
         exp = [x for x in r.p if x] if r.p else [""]
         assert r.pieces == exp, (r.p, r.pieces)
+
+
+def test_sql_table_functions_match_the_operator(spark):
+    from inkstone.plans import sql
+    sql.register_functions(spark)
+    df = spark.createDataFrame([(1, "abcdefghij" * 7), (2, "xy"), (3, ""), (4, None)], "id long, content string")
+    df.createOrReplaceTempView("chunk_source")
+    for size, overlap in ((20, 4), (7, 2)):
+        got = spark.sql(f"""SELECT s.id AS article_id, o.chunk_no, o.start, o.offset_left, o.offset_right, o.`end`
+                            FROM chunk_source s, LATERAL chunk_offsets(s.content, {size}, {overlap}) o""")
+        exp = C.offsets(df, size=size, overlap=overlap)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect())) and got.count() > 4
+        texts = spark.sql(f"SELECT s.id, t.chunk FROM chunk_source s, LATERAL chunk_texts(s.content, {size}, {overlap}) t")
+        assert texts.filter("id = 2").first().chunk == "xy"
+    with pytest.raises(Exception, match="bad chunk size"):
+        spark.sql("SELECT o.* FROM chunk_source s, LATERAL chunk_offsets(s.content, 8, 3) o").collect()
