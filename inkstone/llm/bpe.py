@@ -27,7 +27,6 @@ import re
 import tempfile
 import unicodedata
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain, pairwise
@@ -40,14 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkstone.llm.common import arrow_batches, texts
+from inkstone.llm.common import arrow_batches, stored, texts
 
 #: Words compiled into the lexicon: the bound of what the driver gathers.
 LEXICON_WORDS = 50_000
-#: Distinct words that a task holds in memory while counting or encoding.
-MEMO_WORDS = 500_000
+#: Distinct words that a worker holds in memory from batch to batch.
+MEMO_WORDS = 300_000
 WORD_END = "</w>"
 _NEVER = 1 << 30
+_SHIFT = 1 << 24  # beyond every token id
 _BYTES = [bytes([b]) for b in range(256)]
 
 
@@ -89,6 +89,65 @@ class Vocabulary:
         parts = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         self.pattern = next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split")
         self.letters = byte_letters()
+        # merges as sorted numbers of token pairs, with rank and resulting token
+        key = [self.ids[a] * _SHIFT + self.ids[b] for a, b in pairs]
+        order = np.argsort(key, kind="stable")
+        self._pair = np.array(key, np.int64)[order]
+        self._rank = order.astype(np.int32)
+        self._made = np.array([self.ids[a + b] for a, b in pairs], np.int32)
+        self._inner = np.array([self.ids[c] for c in self.letters], np.int32)
+        self._final = np.array([self.ids[c + WORD_END] for c in self.letters], np.int32)
+
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Merge rank of token pairs; ``_NEVER`` where there is none or no second token."""
+        key = a.astype(np.int64) * _SHIFT + b
+        at = np.minimum(np.searchsorted(self._pair, key), len(self._pair) - 1)
+        return np.where((self._pair[at] == key) & (b >= 0), self._rank[at], _NEVER).astype(np.int32)
+
+    def merged_all(self, words: list[str]) -> list[np.ndarray]:
+        """``merged`` for many words: one merge per word and round, words of like length together."""
+        data = [w.encode() for w in words]
+        out: list = [None] * len(words)
+        order = sorted(range(len(words)), key=lambda k: len(data[k]))
+        for a in range(0, len(order), 8192):
+            group = [k for k in order[a:a + 8192] if 0 < len(data[k]) <= 64 and words[k] not in self.special]
+            for k, ids in zip(group, self._merge_rounds([data[k] for k in group]), strict=True):
+                out[k] = ids
+        return [np.array(self.merged(w), np.int32) if ids is None else ids for w, ids in zip(words, out, strict=True)]
+
+    def _merge_rounds(self, data: list[bytes]) -> list[np.ndarray]:
+        if not data:
+            return []
+        size = np.array([len(d) for d in data])
+        wide = int(size.max())
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        row = np.repeat(np.arange(len(data)), size)
+        col = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        part = np.full((len(data), wide + 1), -1, np.int32)
+        part[row, col] = self._inner[flat]
+        part[np.arange(len(data)), size - 1] = self._final[flat[np.cumsum(size) - 1]]
+        rank = self._ranks_of(part[:, :-1], part[:, 1:])
+        rank[part[:, :-1] < 0] = _NEVER
+        live = np.arange(len(data))
+        cols = np.arange(wide)
+        while len(live):
+            p, r = part[live], rank[live]
+            k = r.argmin(axis=1)  # the lowest rank, from the left
+            best = r[np.arange(len(live)), k]
+            go = best < _NEVER
+            live, p, r, k, best = live[go], p[go], r[go], k[go], best[go]
+            at = np.arange(len(live))
+            gone = cols[None, :] > k[:, None]
+            p[at, k] = self._made[best]
+            p[:, :-1] = np.where(gone, p[:, 1:], p[:, :-1])
+            p[:, -1] = -1
+            r[:, :-1] = np.where(gone[:, :-1], r[:, 1:], r[:, :-1])
+            r[:, -1] = _NEVER
+            r[at, k] = self._ranks_of(p[at, k], p[at, k + 1])
+            before = np.maximum(k - 1, 0)
+            r[at, before] = np.where(k > 0, self._ranks_of(p[at, before], p[at, k]), r[at, before])
+            part[live], rank[live] = p, r
+        return [p[:n] for p, n in zip(part, (part >= 0).sum(axis=1).tolist(), strict=True)]
 
     def words(self) -> Callable[[str], list[str]]:
         """Splitter of texts into normalised words; special tokens come out as they are."""
@@ -257,21 +316,40 @@ class Lexicon:
         return self.ids[self.begin[number]:self.begin[number + 1]].tolist()
 
 
-class _Memo(dict):
-    """Ids of the words a task has met; filled from the lexicon, else by merging."""
+class _Memo:
+    """Ids of the words a worker has met: from the lexicon, else by merging."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon) -> None:
-        super().__init__()
         self.vocabulary, self.lexicon = vocabulary, lexicon
-
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.lexicon[word.encode()] if word not in self.vocabulary.special else None
-        if ids is None:
-            ids = self.vocabulary.merged(word)
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def _learn(self, words: list[str]) -> None:
+        found = [None if w in self.vocabulary.special else self.lexicon[w.encode()] for w in words]
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(rest, self.vocabulary.merged_all([words[k] for k in rest]), strict=True):
+            found[k] = ids
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(sizes)))
+        self.ids = np.concatenate([self.ids, *(np.asarray(ids, np.int32) for ids in found)])
+
+    def encode(self, texts_: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts given as words, and where each text's ids begin (one more entry than texts)."""
+        if len(self.number) >= MEMO_WORDS:
+            self._forget()
+        words = list(chain.from_iterable(texts_))
+        fresh = set(words).difference(self.number)
+        if fresh:
+            self._learn(list(fresh))
+        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        first, size = self.begin[which], self.begin[which + 1] - self.begin[which]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
+        return ids, ends[np.concatenate(([0], np.cumsum([len(t) for t in texts_], dtype=np.int64)))]
 
 
 _memos: dict[str, _Memo] = {}
@@ -285,35 +363,36 @@ def _memo(name: str, vocabulary: Vocabulary) -> _Memo:
     return _memos[name]
 
 
-def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, n) over all of (doc_id, text): counted in tasks first, then summed."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) over all of (doc_id, text): runs of letters in lower case.
 
-    def rows(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
-                                          ["word", "n"])
+    The lexicon only speeds encoding up, so its words need not be cut exactly as the encoder cuts them.
+    """
+    word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
+    return docs.select(word).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = shared.value.words(), Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(split(text))
-                if len(counts) >= MEMO_WORDS:
-                    yield rows(counts)
-                    counts = Counter()
-        yield rows(counts)
 
-    arrow_batches(docs.sparkSession)
-    return docs.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def frequent_words(docs: DataFrame, words: int) -> DataFrame:
+    """The most frequent words, at most ``words``: all above a count that a histogram of counts gives."""
+    counts = stored(word_counts(docs).where("n > 1").withColumn("level", F.floor(F.log2("n") * 32).cast("int")), "words")
+    total, least = 0, None
+    levels = counts.groupBy("level").agg(F.count(F.lit(1)).alias("c")).collect()  # at most 32 * 63 rows
+    for r in sorted(levels, key=lambda x: -x["level"]):
+        total += r["c"]
+        if total > words:
+            break
+        least = r["level"]
+    return counts.where(F.lit(False) if least is None else F.col("level") >= least).select("word")
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_WORDS) -> str:
-    """Compile the ``words`` most frequent words and hand the file to the executors; returns its name."""
-    frequent = word_counts(docs, vocabulary).orderBy(F.desc("n"), "word").limit(words).collect()
+    """Compile the most frequent words, at most ``words``, and hand the file to the executors; returns its name."""
+    frequent = [r["word"] for r in frequent_words(docs, words).collect()] if words else []
+    frequent = [w for w in frequent if w not in vocabulary.special]
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)  # Spark copies it from the driver to the executors
-    compile_lexicon({r["word"].encode(): vocabulary.merged(r["word"]) for r in frequent
-                     if r["word"] not in vocabulary.special}, path)
+    ids = vocabulary.merged_all(frequent)
+    compile_lexicon({w.encode(): i.tolist() for w, i in zip(frequent, ids, strict=True)}, path)
     docs.sparkSession.sparkContext.addFile(path)
     return name
 
@@ -329,8 +408,9 @@ def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_W
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, memo = shared.value.words(), _memo(name, shared.value)
         for batch in batches:
-            ids = [list(chain.from_iterable(map(memo.__getitem__, split(t)))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids, begins = memo.encode([split(t) for t in batch.column("text").to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
 
     arrow_batches(docs.sparkSession)
     kind = plain.schema["doc_id"].dataType.simpleString()
@@ -342,9 +422,12 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path).tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value
+        tokens = np.array(shared.value, object)
         for batch in batches:
-            out = [" ".join([tokens[i] for i in ids]) for ids in batch.column("ids").to_pylist()]
+            lists = batch.column("ids")
+            flat = tokens[lists.flatten().to_numpy()].tolist()
+            ends = np.cumsum(lists.value_lengths().to_numpy()).tolist()
+            out = [" ".join(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(out, pa.string())],
                                              ["doc_id", "ids", "decoded"])
 
