@@ -235,6 +235,77 @@ def js_to_re2(source: str, flags: str) -> str:
     return ("(?i)" if "i" in flags else "") + source
 
 
+_RUN = r"[A-Za-z0-9_<>/:\"'=@#%&,;~` -]"
+
+
+def needles(source: str) -> list[str] | None:
+    """Strings of which every match of a pattern contains at least one, or None if none are plain to see.
+
+    The longest run of ordinary characters, or a group of plain words, outside
+    of other groups, classes and optional parts.
+    """
+    import re as _re
+    best: list[str] = []
+    run, i = "", 0
+
+    def keep(found: list[str]) -> None:
+        nonlocal best
+        if min(map(len, found)) >= 2 and (not best or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    def flush() -> None:
+        nonlocal run
+        if run:
+            keep([run])
+        run = ""
+
+    while i < len(source):
+        ch, rest = source[i], source[i:]
+        group = _re.match(_WORD_GROUP, rest)
+        if ch == "|":
+            return None  # a choice of whole patterns
+        if group or ch in "([":
+            flush()
+            if group:
+                end = i + group.end()
+            else:
+                end, depth, inside = i + 1, 1, ch == "["
+                while end < len(source) and depth:
+                    c = source[end]
+                    if c == "\\":
+                        end += 1
+                    elif inside:
+                        depth -= c == "]"
+                        inside = depth > 0 and inside and not (c == "]" and ch == "(")
+                        if c == "]" and ch == "(":
+                            depth, inside = depth + 1, False
+                    elif c == "[":
+                        inside = True
+                    else:
+                        depth += (c == "(") - (c == ")")
+                    end += 1
+            if group and source[end:end + 1] not in ("?", "*", "{"):
+                keep(group.group().removeprefix("(").removeprefix("?:").removesuffix(")").split("|"))
+            i = end
+            continue
+        if ch in "?*{":
+            run = run[:-1]  # the character before may be missing
+            flush()
+            i = source.index("}", i) + 1 if ch == "{" else i + 1
+            continue
+        if _re.match(_RUN, ch):
+            run += ch
+        else:
+            flush()
+            i += ch == "\\"
+        i += 1
+    flush()
+    return best or None
+
+
 GO_JAVA = [re2_to_java(p) for p in GO_INJECTION_PATTERNS]
 UI_JAVA = [(fam, js_to_java(src, fl)) for fam, src, fl in UI_INJECTION_PATTERNS]
+#: Per browser pattern: strings that a match contains (in lower case if the pattern ignores case), and whether it does.
+UI_NEEDLES = [([n.lower() for n in found] if "i" in fl else found, "i" in fl) if (found := needles(src)) else (None, False)
+              for _, src, fl in UI_INJECTION_PATTERNS]
 UI_FAMILIES = list(dict.fromkeys(f for f, _, _ in UI_INJECTION_PATTERNS))

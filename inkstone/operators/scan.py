@@ -6,6 +6,8 @@ A ``CASE WHEN`` chain stops at the first matching pattern, so the common
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +33,22 @@ def injection_scan(df: DataFrame, text_col: str = "text", patterns: list[str] |
 def injection_scan_families(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Browser-side list: (n_hits, first_pattern, families) per row.
 
-    Every pattern is evaluated once into a 0/1 hit vector; the count, the
-    first hit and the families are read from that vector.  ``families``
+    Every pattern is evaluated once into a 0/1 hit vector, its regex only where
+    a string that every match contains occurs (the text is lower-cased once for
+    that); the count, the first hit and the families are read from that vector.  ``families``
     lists, in table order, the families with at least one hit.
     """
     t = F.col(text_col)
-    hits = df.select("*", F.array(*[t.rlike(p).cast("int") for _, p in R.UI_JAVA]).alias("_hits"))
+
+    def hit(pattern: str, needles: list[str] | None, folded: bool) -> Column:
+        if not needles:
+            return t.rlike(pattern).cast("int")
+        place = F.col("_low") if folded else t
+        maybe = reduce(lambda a, b: a | b, [place.contains(n) for n in needles])
+        return F.when(maybe, t.rlike(pattern).cast("int")).otherwise(F.when(t.isNotNull(), 0))
+
+    low = df.select("*", F.lower(t).alias("_low"))
+    hits = low.select("*", F.array(*[hit(p, *n) for (_, p), n in zip(R.UI_JAVA, R.UI_NEEDLES, strict=True)]).alias("_hits"))
     h = F.col("_hits")
     fam_hit = []
     for fam in R.UI_FAMILIES:

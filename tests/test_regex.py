@@ -51,3 +51,29 @@ def test_families_and_first(spark):
     assert r.first_pattern == 10  # the SQL keyword pattern comes first in the table
     assert r.families.split(",")[:2] == ["sql", "command"]
     assert r.n_hits >= 3
+
+
+@pytest.mark.parametrize("source,found", [
+    (r"ignore\s+(all\s+)?previous", ["previous"]), (r"\b(?:drop|alter)\b", ["drop", "alter"]), (r"a|b", None), (r"colou?r", ["colo"]),
+    (r"[abc]+x{0,3}", None), (r"(foo)?bar", ["bar"]), (r"([)a]b)cde", ["cde"]), (r"\$\{x", None), (r"sys\.exit", ["exit"]),
+    (r"<script\b(?:(?!x)y)*>", ["<script"])])
+def test_needles(source, found):
+    assert R.needles(source) == found
+
+
+def test_every_match_holds_a_needle(spark):
+    # texts made of the patterns' own words: gated and plain evaluation agree
+    import random
+    rng = random.Random(8)
+    words = [w for _, src, _ in R.UI_INJECTION_PATTERNS for w in __import__("re").findall(r"[A-Za-z_<>/:;'=({$-]+", src)]
+    texts = ["".join(rng.choice(words) + rng.choice(["", " ", "  ", "K", "\n"]) for _ in range(rng.randint(1, 25))) for _ in range(1500)]
+    texts = [t.upper() if rng.random() < 0.3 else t for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: (r.n_hits, r.first_pattern) for r in S.injection_scan_families(df).collect()}
+    plain = F.array(*[F.col("text").rlike(p).cast("int") for _, p in R.UI_JAVA])
+    want = {r.id: r.h for r in df.select("id", plain.alias("h")).collect()}
+    hits = 0
+    for i, h in want.items():
+        assert got[i] == (sum(h), h.index(1) + 1 if 1 in h else None), texts[i]
+        hits += sum(h)
+    assert hits > 500
