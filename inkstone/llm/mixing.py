@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.llm.common import WORD, stored
+from inkstone.operators.tables import sequential_ids
 
 #: Weights by the rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -59,8 +60,8 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_CO
     weight, until no target is above.
     """
     src = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # one row per source, not per document
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    src = sequential_ids(src, [F.col("source").asc_nulls_last()], "rank")
+    rank = F.col("rank") - 1
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
     src = stored(src.select("source", "source_size", pick.alias("w"),
                             (F.col("source_size") * max_copies).cast("double").alias("cap")), "sources")
