@@ -375,9 +375,9 @@ def hybrid_related(spark, sf_dir):
 , pairs AS (
   SELECT n.article_id, n.model_id, r.party, 1 - list_cosine_distance(n.v, r.v) AS sim
   FROM ap n JOIN ap r ON r.party <> 'none' AND r.model_id = n.model_id WHERE n.party = 'none')
-SELECT article_id, model_id, round(avg(sim) FILTER (WHERE party = 'KMT'), 4) AS KMT,
-       round(avg(sim) FILTER (WHERE party = 'DPP'), 4) AS DPP,
-       round(avg(sim) FILTER (WHERE party = 'TPP'), 4) AS TPP
+SELECT article_id, model_id, round(avg(sim) FILTER (WHERE party = 'KMT'), 4) + 0::DOUBLE AS KMT,
+       round(avg(sim) FILTER (WHERE party = 'DPP'), 4) + 0::DOUBLE AS DPP,
+       round(avg(sim) FILTER (WHERE party = 'TPP'), 4) + 0::DOUBLE AS TPP
 FROM pairs GROUP BY article_id, model_id
 """, views=("articles", "vecs"))
 def party_similarity(spark, sf_dir):
@@ -398,4 +398,4 @@ def party_similarity(spark, sf_dir):
     sims = news.join(cents, "model_id").select(
         "article_id", "model_id", "party", V.dot(F.col("u"), F.col("c")).alias("sim"))
     p = sims.groupBy("article_id", "model_id").pivot("party", ["KMT", "DPP", "TPP"]).agg(F.first("sim"))
-    return p.select("article_id", "model_id", *[F.round(c, 4).alias(c) for c in ["KMT", "DPP", "TPP"]])
+    return p.select("article_id", "model_id", *[(F.round(c, 4) + 0.0).alias(c) for c in ["KMT", "DPP", "TPP"]])
