@@ -60,6 +60,8 @@ TEMPLATES = (
 COMMON = frozenset("a an and are as at by for in is it of on or that the this to with you".split())
 #: Share of a template's pairs that a merged span must cover.
 COVER = 0.75
+#: Templates of at most so many pairs must be covered in full: a single word tells short notices apart.
+SHORT = 8
 #: Diagonals at most so many words apart are merged.
 SLACK = 3
 
@@ -132,7 +134,8 @@ def scan(docs: DataFrame, cover: float = COVER, slack: int = SLACK, id_col: str
         F.min(F.when(full, F.col("diag"))).alias("first"), F.max(F.when(full, F.col("diag"))).alias("last"),
         F.min("dpos").alias("start"), (F.max("dpos") + 2).alias("end"))
     share = F.col("covered") / F.col("pairs")
-    found = (F.col("tid") >= 0) & F.when(F.col("base"), F.col("places") > 0).otherwise(share >= cover)
+    found = (F.col("tid") >= 0) & F.when(F.col("base"), F.col("places") > 0).otherwise(
+        (share >= cover) & ((F.col("pairs") > SHORT) | (share == 1)))
     label = F.when(found, F.col("label"))
     base_label = F.when(found & F.col("base"), F.col("label"))
     out = spans.groupBy("doc_id", "h").agg(
@@ -173,7 +176,8 @@ spans AS (
          max(diag) FILTER (WHERE base AND votes = pairs) AS last_word
   FROM numbered GROUP BY ALL),
 found AS (
-  SELECT *, covered / pairs AS share, CASE WHEN base THEN places > 0 ELSE covered / pairs >= {COVER} END AS found FROM spans),
+  SELECT *, covered / pairs AS share, CASE WHEN base THEN places > 0
+         ELSE covered / pairs >= {COVER} AND (pairs > {SHORT} OR covered = pairs) END AS found FROM spans),
 agg AS (
   SELECT doc_id, sum(places) AS n_base, min(first_word) AS first_word, max(last_word) AS last_word,
          array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE found AND base)), ',') AS base_labels,
