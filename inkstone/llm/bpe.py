@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -44,7 +45,7 @@ from inkstone.llm.common import arrow_batches, stored, texts
 #: Words compiled into the lexicon: the bound of what the driver gathers.
 LEXICON_WORDS = 50_000
 #: Distinct words that a worker holds in memory from batch to batch.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 WORD_END = "</w>"
 _NEVER = 1 << 30
 _SHIFT = 1 << 24  # beyond every token id
@@ -397,48 +398,68 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_
     return name
 
 
-def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_WORDS, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array of int): the token ids of every whole text."""
-    plain = texts(docs, id_col, text_col)
-    vocabulary = Vocabulary(vocabulary_path)
-    name = build_lexicon(plain, vocabulary, lexicon_words)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
+def _encoder(vocabulary: Broadcast, lexicon: str):
+    """(doc_id, text) batches to (doc_id, ids) batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, memo = shared.value.words(), _memo(name, shared.value)
+        split, memo = vocabulary.value.words(), _memo(lexicon, vocabulary.value)
         for batch in batches:
             ids, begins = memo.encode([split(t) for t in batch.column("text").to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
 
-    arrow_batches(docs.sparkSession)
-    kind = plain.schema["doc_id"].dataType.simpleString()
-    return plain.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
-    """``encoded`` (doc_id, ids) with a column ``decoded``: the tokens joined by blanks."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path).tokens)
-
+def _decoder(vocabulary: Broadcast):
+    """(doc_id, ids) batches to (doc_id, ids, decoded) batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = np.array(shared.value, object)
+        tokens = np.array(vocabulary.value.tokens, object)
         for batch in batches:
             lists = batch.column("ids")
             flat = tokens[lists.flatten().to_numpy()].tolist()
             ends = np.cumsum(lists.value_lengths().to_numpy()).tolist()
             out = [" ".join(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(out, pa.string())],
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(out, pa.string())],
                                              ["doc_id", "ids", "decoded"])
 
+    return run
+
+
+def _prepared(docs: DataFrame, vocabulary_path: str, lexicon_words: int, id_col: str, text_col: str):
+    plain = texts(docs, id_col, text_col)
+    vocabulary = Vocabulary(vocabulary_path)
+    lexicon = build_lexicon(plain, vocabulary, lexicon_words)
+    arrow_batches(docs.sparkSession)
+    return plain, docs.sparkSession.sparkContext.broadcast(vocabulary), lexicon, plain.schema["doc_id"].dataType.simpleString()
+
+
+def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_WORDS, id_col: str = "doc_id",
+           text_col: str = "text") -> DataFrame:
+    """doc_id, ids (array of int): the token ids of every whole text."""
+    plain, vocabulary, lexicon, kind = _prepared(docs, vocabulary_path, lexicon_words, id_col, text_col)
+    return plain.mapInArrow(_encoder(vocabulary, lexicon), f"doc_id {kind}, ids array<int>")
+
+
+def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
+    """``encoded`` (doc_id, ids) with a column ``decoded``: the tokens joined by blanks."""
+    arrow_batches(encoded.sparkSession)
+    vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(_decoder(vocabulary), f"doc_id {kind}, ids array<int>, decoded string")
+
+
+def round_trip(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_WORDS, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """doc_id, ids, decoded: ``encode`` and ``decode`` of every whole text in one Python worker per task."""
+    plain, vocabulary, lexicon, kind = _prepared(docs, vocabulary_path, lexicon_words, id_col, text_col)
+    to_ids, to_text = _encoder(vocabulary, lexicon), _decoder(vocabulary)
+    return plain.mapInArrow(lambda batches: to_text(to_ids(batches)), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_WORDS, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
-    both = decode(encode(docs, vocabulary_path, lexicon_words, id_col, text_col), vocabulary_path)
+    both = round_trip(docs, vocabulary_path, lexicon_words, id_col, text_col)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

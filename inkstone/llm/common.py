@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from inkstone.session import checkpoint_dir
 
-#: Rows per Arrow batch handed to Python kernels: 1,000 texts of 20,000 words stay near 100 MB.
-ARROW_ROWS = 1000
+#: Rows per Arrow batch handed to Python kernels: 500 texts of 20,000 words stay near 50 MB.
+ARROW_ROWS = 500
 #: White space of the word rules of most operators: blank and x09 to x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"

@@ -60,9 +60,9 @@ def half_keys(sets: list[np.ndarray], halves: int = HALVES, rows: int = ROWS) ->
     out = np.empty((len(sets), 2 * halves), _U)
     at = 0
     with np.errstate(over="ignore"):
-        while at < len(sets):  # about a million shingles at a time
+        while at < len(sets):  # a quarter million shingles at a time: the numbers stay in the cache
             stop, total = at + 1, len(sets[at])
-            while stop < len(sets) and total + len(sets[stop]) <= 1 << 20:
+            while stop < len(sets) and total + len(sets[stop]) <= 1 << 18:
                 total += len(sets[stop])
                 stop += 1
             x = np.concatenate(sets[at:stop])

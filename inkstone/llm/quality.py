@@ -26,6 +26,7 @@ and every document is kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,20 +110,22 @@ class Model:
 def fit(rows: list[np.ndarray], grade: np.ndarray, weight: np.ndarray, grades: int, penalty: float = PENALTY,
         steps: int = STEPS, least_z: float = LEAST_Z) -> Model:
     """Penalised maximum likelihood by full gradients with per-weight step sizes (Adam)."""
-    every = np.concatenate(rows)
-    known, col, seen = np.unique(every, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    known, seen = np.unique(np.concatenate(rows), return_counts=True)
     z = np.zeros(len(known))
     for k in range(grades):
         chance = np.mean(grade == k)
-        here = np.bincount(col, weights=grade[row] == k, minlength=len(known))
+        mine = [r for r, g in zip(rows, grade.tolist(), strict=True) if g == k]
+        if not mine:
+            continue
+        number, count = np.unique(np.concatenate(mine), return_counts=True)
+        here = np.zeros(len(known))
+        here[np.searchsorted(known, number)] = count
         rest = np.maximum(1 - seen / len(rows), 1e-9)
         z = np.maximum(z, np.abs(here - seen * chance) / np.sqrt(np.maximum(seen * chance * (1 - chance) * rest, 1e-9)))
-    use = (z >= least_z) & (seen < len(rows))
-    new = np.cumsum(use) - 1
-    row = row[use[col]]
-    col = new[col][use[col]]
-    known = known[use]
+    known = known[(z >= least_z) & (seen < len(rows))]
+    held = [np.flatnonzero(np.isin(known, r, assume_unique=True)) for r in rows]
+    row = np.repeat(np.arange(len(rows)), [len(h) for h in held])
+    col = np.concatenate(held)
     w = np.zeros(len(known))
     share = np.array([weight[grade >= k].sum() / weight.sum() for k in range(1, grades)])
     share = np.clip(share, 1e-3, 1 - 1e-3)
@@ -183,9 +186,11 @@ def train(docs: DataFrame, rated: DataFrame, grades: int = 3, per_grade: int = P
     grade = np.array([r["grade"] for r in got], np.int64)
     if len(set(grade.tolist())) < 2:
         return None
-    order = np.lexsort(([bytes(r["f"]) for r in got], grade))  # the same sums in every run
+    # the same order, and so the same sums, in every run
+    order = sorted(range(len(got)), key=lambda k: (grade[k], hashlib.md5(got[k]["f"]).digest()))
     rows = [np.frombuffer(got[k]["f"], np.uint32) for k in order]
     grade = grade[order]
+    del got
     count = np.bincount(grade, minlength=grades)
     weight = np.array([share.get(g, 0) / max(count[g], 1) for g in range(grades)])[grade]
     return fit(rows, grade, weight, grades, **options)

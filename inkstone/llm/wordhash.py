@@ -10,7 +10,7 @@ import numpy as np
 
 U = np.uint64
 #: Bytes hashed at once; longer input is cut at white space.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 SHINGLE = 5
 
 
