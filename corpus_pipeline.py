@@ -44,7 +44,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: one document of each group of near-duplicates stays."""
+    """Operator 7, at its similarity of 0.85: one document of each group of near-duplicates stays."""
     return _only(docs, minhash.near_duplicates(docs))
 
 

@@ -3,9 +3,11 @@
 Two collections of ``HALVES`` short keys (``ROWS`` minhashes each) are computed
 per text; the tables are all pairs of one key from either collection.  So
 ``HALVES ** 2`` tables need only ``2 * HALVES * ROWS`` minhashes.  Texts that
-agree on both halves of any table are candidates.  With 16 halves of 5 rows a
-pair at similarity 0.85 meets in some table with probability 0.9998, at 0.9
-with 1 - 1e-6 (and most groups hold together by more than one link).
+agree on both halves of any table are candidates.  Halves and rows follow from
+the threshold (``bands``): a pair at the threshold meets in some table with
+probability ``MEET`` at least.  At 0.85 these are 16 halves of 5 rows (0.9998,
+and 1 - 1e-6 for a pair at 0.9), at 0.8 16 halves of 4 rows (0.9996); most
+groups hold together by more than one link.
 
 The work is kept near the input's size, whatever the groups:
 
@@ -41,8 +43,10 @@ from pyspark.sql import functions as F
 from inkstone.llm import wordhash
 from inkstone.llm.common import arrow_batches, components, stored, texts
 
+#: Halves of each collection, at least.
 HALVES = 16
-ROWS = 5
+#: Probability with which a pair at the threshold meets in some table, at least.
+MEET = 0.9995
 #: Similarity at which texts are linked, in percent: 100 * shared >= PERCENT * union.
 PERCENT = 85
 #: Bounds of one verification task; larger clusters are dealt into blocks.
@@ -53,7 +57,22 @@ _U = np.uint64
 _SKETCH = "doc_id long, n long, s1 long, s2 long, halves array<long>"
 
 
-def half_keys(sets: list[np.ndarray], halves: int = HALVES, rows: int = ROWS) -> np.ndarray:
+def meets(similarity: float, halves: int, rows: int) -> float:
+    """Probability that two sets agree on a half of either collection."""
+    return (1 - (1 - similarity ** rows) ** halves) ** 2
+
+
+def bands(percent: int = PERCENT) -> tuple[int, int]:
+    """(halves, rows) for a threshold: the fewest halves, and the most rows (8 at most) that still meet often enough."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be in 1 .. 100, not {percent}")
+    halves = HALVES
+    while meets(percent / 100, halves, 1) < MEET:
+        halves *= 2
+    return halves, max(r for r in range(1, 9) if meets(percent / 100, halves, r) >= MEET)
+
+
+def half_keys(sets: list[np.ndarray], halves: int = HALVES, rows: int = bands()[1]) -> np.ndarray:
     """(len(sets), 2 * halves) keys: first collection, then second; sets must not be empty."""
     mult = wordhash.stream(2 * halves * rows, 11) | _U(1)
     add = wordhash.stream(2 * halves * rows, 12)
@@ -77,36 +96,37 @@ def half_keys(sets: list[np.ndarray], halves: int = HALVES, rows: int = ROWS) ->
     return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = wordhash.shingle_sets(batch.column("text").cast(pa.binary()).to_pylist())
-        full = [k for k, s in enumerate(sets) if len(s)]
-        keys = half_keys([sets[k] for k in full]).view(np.int64)
-        halves: list = [None] * len(sets)
-        for row, k in enumerate(full):
-            halves[k] = keys[row]
-        with np.errstate(over="ignore"):
-            s1 = [int(np.add.reduce(wordhash.mix(s), dtype=_U).astype(np.int64)) for s in sets]
-            s2 = [int(np.add.reduce(wordhash.mix(s ^ _U(0xA5A5A5A5A5A5A5A5)), dtype=_U).astype(np.int64)) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(halves, pa.list_(pa.int64()))],
-            ["doc_id", "n", "s1", "s2", "halves"])
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, set size, set digest and half keys of (doc_id, text)."""
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, set size, set digest and half keys (for links at ``percent``) of (doc_id, text)."""
+    halves_, rows_ = bands(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = wordhash.shingle_sets(batch.column("text").cast(pa.binary()).to_pylist())
+            full = [k for k, s in enumerate(sets) if len(s)]
+            keys = half_keys([sets[k] for k in full], halves_, rows_).view(np.int64)
+            halves: list = [None] * len(sets)
+            for row, k in enumerate(full):
+                halves[k] = keys[row]
+            with np.errstate(over="ignore"):
+                s1 = [int(np.add.reduce(wordhash.mix(s), dtype=_U).astype(np.int64)) for s in sets]
+                s2 = [int(np.add.reduce(wordhash.mix(s ^ _U(0xA5A5A5A5A5A5A5A5)), dtype=_U).astype(np.int64)) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(halves, pa.list_(pa.int64()))],
+                ["doc_id", "n", "s1", "s2", "halves"])
+
     arrow_batches(docs.sparkSession)
-    return docs.mapInArrow(_sketch, _SKETCH)
+    return docs.mapInArrow(run, _SKETCH)
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
-    """(src, dst) star edges over all table entries with two classes or more; classes: (cid, halves)."""
+def candidate_links(classes: DataFrame, n_halves: int = HALVES) -> DataFrame:
+    """(src, dst) star edges over all table entries with two classes or more; classes: (cid, 2 * n_halves keys)."""
     half = classes.select("cid", F.posexplode("halves").alias("k", "v"))
     shared = half.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "v")
     useful = half.join(shared, ["k", "v"]).groupBy("cid").agg(F.collect_list(F.struct("k", "v")).alias("keys"))
-    first = F.filter("keys", lambda x: x["k"] < HALVES)
-    second = F.filter("keys", lambda x: x["k"] >= HALVES)
+    first = F.filter("keys", lambda x: x["k"] < n_halves)
+    second = F.filter("keys", lambda x: x["k"] >= n_halves)
     table = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(
         a["k"], a["v"], b["k"], b["v"]))))
     entry = useful.select("cid", F.explode(table).alias("t"))
@@ -200,13 +220,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     members: int = MEMBERS, shingles: int = SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     plain = texts(docs, id_col, text_col)
-    sketch = stored(sketches(plain), "sketches")
+    sketch = stored(sketches(plain, percent), "sketches")
     known = sketch.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cid")), "classes")
     keyed = known.join(classes.select(F.col("cid").alias("doc_id"), F.col("n").alias("cn"), F.col("s1").alias("c1"),
                                       F.col("s2").alias("c2")), "doc_id")
     keyed = keyed.where("n = cn AND s1 = c1 AND s2 = c2").select(F.col("doc_id").alias("cid"), "halves")
-    clusters = components(candidate_links(keyed.dropDuplicates(["cid"])))
+    clusters = components(candidate_links(keyed.dropDuplicates(["cid"]), bands(percent)[0]))
     clusters = clusters.join(classes.select(F.col("cid").alias("id"), "n"), "id").groupBy("id").agg(
         F.min("component").alias("cluster"), F.max("n").alias("n")).withColumnRenamed("id", "cid")
     found = components(verified_links(plain, stored(clusters, "clusters"), percent, members, shingles))

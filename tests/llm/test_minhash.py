@@ -90,3 +90,26 @@ def test_half_keys_agree_as_often_as_the_similarity_says():
         met += half[:minhash.HALVES].any() and half[minhash.HALVES:].any()
         trials += 1
     assert met >= trials - 1  # similarity 0.85: 0.9998 each
+
+
+def test_bands_follow_from_the_threshold():
+    assert minhash.bands(85) == (16, 5) and minhash.bands(80) == (16, 4)
+    for percent in range(5, 101, 5):
+        assert minhash.meets(percent / 100, *minhash.bands(percent)) >= minhash.MEET
+    for bad in (0, 101):
+        with pytest.raises(ValueError):
+            minhash.bands(bad)
+
+
+def test_other_thresholds_find_their_pairs_too(spark):
+    rows, rng = [], random.Random(7)
+    for k in range(30):  # pairs at 0.5 and a little more; bands made for 0.85 would miss most of them
+        base = [f"w{rng.randrange(10 ** 9)}" for _ in range(154)]
+        near = list(base)
+        for at in range(8, 154, 16):
+            near[at] = f"x{rng.randrange(10 ** 9)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    want = brute(rows, percent=50)
+    assert sum(kept for *_, kept in want) == 30
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=50)
+    assert sorted(map(tuple, got.collect()), key=repr) == want
