@@ -12,7 +12,7 @@ groups hold together by more than one link.
 The work is kept near the input's size, whatever the groups:
 
 * equal shingle sets collapse to one class first (two 64-bit set digests and
-  the size), so copies never meet each other;
+  the size), so copies never meet each other; classes have numbers of their own;
 * a half key that no other class has cannot be part of a match; only classes
   with a shared key in both collections form table keys;
 * a table entry is a star: members point at the smallest id, counts and minima
@@ -27,7 +27,7 @@ The work is kept near the input's size, whatever the groups:
 Edge cases: a null or empty text, and one without words, has an empty set and
 is linked with nothing; a document with a null doc_id is linked with nothing
 and kept; rows that repeat a doc_id belong to the same class or link like any
-others; an empty table gives an empty result.
+others, each by its own text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ MEMBERS = 1024
 SHINGLES = 2_000_000
 
 _U = np.uint64
-_SKETCH = "doc_id long, n long, s1 long, s2 long, halves array<long>"
+_SKETCH = "doc_id long, h long, n long, s1 long, s2 long, halves array<long>"
 
 
 def meets(similarity: float, halves: int, rows: int) -> float:
@@ -97,7 +97,7 @@ def half_keys(sets: list[np.ndarray], halves: int = HALVES, rows: int = bands()[
 
 
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, set size, set digest and half keys (for links at ``percent``) of (doc_id, text)."""
+    """doc_id, text hash, set size, set digest and half keys (for links at ``percent``) of (doc_id, h, text)."""
     halves_, rows_ = bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +112,9 @@ def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 s1 = [int(np.add.reduce(wordhash.mix(s), dtype=_U).astype(np.int64)) for s in sets]
                 s2 = [int(np.add.reduce(wordhash.mix(s ^ _U(0xA5A5A5A5A5A5A5A5)), dtype=_U).astype(np.int64)) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column("doc_id").cast(pa.int64()), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(halves, pa.list_(pa.int64()))],
-                ["doc_id", "n", "s1", "s2", "halves"])
+                ["doc_id", "h", "n", "s1", "s2", "halves"])
 
     arrow_batches(docs.sparkSession)
     return docs.mapInArrow(run, _SKETCH)
@@ -196,15 +196,17 @@ def verified_links(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT,
                    shingles: int = SHINGLES) -> DataFrame:
     """(src, dst) links confirmed on full shingle sets.
 
-    clusters: (cid, n, cluster).  Links that follow from others of the same task are left out.
+    docs: (doc_id, h, text); clusters: (cid, doc_id, h, n, cluster), where doc_id and h name a text of the class.
+    Links that follow from others of the same task are left out.
     """
     size = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
     blocks = F.ceil(F.greatest(F.col("c") / members, F.col("w") / shingles)).cast("int")
-    dealt = clusters.select("cid", "cluster").join(size.select("cluster", blocks.alias("blocks")), "cluster")
+    dealt = clusters.select("cid", "doc_id", "h", "cluster").join(size.select("cluster", blocks.alias("blocks")), "cluster")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # a shuffle join at every size: the classes grow with the input, a broadcast of them would stop working
-    text = docs.join(dealt.hint("merge"), docs["doc_id"] == dealt["cid"]).select("cid", "text", "cluster", "blocks", "block")
-    text = text.dropDuplicates(["cid"])
+    text = docs.join(dealt.hint("merge"), ["doc_id", "h"]).select(
+        "doc_id", "h", "cid", "text", "cluster", "blocks", "block")
+    text = text.dropDuplicates(["doc_id", "h"]).drop("doc_id", "h")  # rows that repeat both doc_id and text
     met = text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "cid", "text")
 
@@ -219,19 +221,22 @@ def verified_links(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT,
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
                     members: int = MEMBERS, shingles: int = SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
-    plain = texts(docs, id_col, text_col)
+    plain = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     sketch = stored(sketches(plain, percent), "sketches")
     known = sketch.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cid")), "classes")
-    keyed = known.join(classes.select(F.col("cid").alias("doc_id"), F.col("n").alias("cn"), F.col("s1").alias("c1"),
-                                      F.col("s2").alias("c2")), "doc_id")
-    keyed = keyed.where("n = cn AND s1 = c1 AND s2 = c2").select(F.col("doc_id").alias("cid"), "halves")
-    clusters = components(candidate_links(keyed.dropDuplicates(["cid"]), bands(percent)[0]))
-    clusters = clusters.join(classes.select(F.col("cid").alias("id"), "n"), "id").groupBy("id").agg(
-        F.min("component").alias("cluster"), F.max("n").alias("n")).withColumnRenamed("id", "cid")
+    # a class is named by a number: its smallest doc_id may carry another text, of another class
+    classes = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min_by("h", "doc_id").alias("h"))
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    row = ["doc_id", "h", "n", "s1", "s2"]
+    keyed = known.join(classes, row).dropDuplicates(row).select("cid", "halves")
+    clusters = components(candidate_links(keyed, bands(percent)[0])).withColumnRenamed("id", "cid")
+    clusters = clusters.join(classes, "cid").groupBy("cid").agg(
+        F.min("component").alias("cluster"), *[F.max(c).alias(c) for c in ("doc_id", "h", "n")])
     found = components(verified_links(plain, stored(clusters, "clusters"), percent, members, shingles))
-    found = found.select(F.col("id").alias("cid"), "component")
-    named = classes.join(found, "cid", "left").select("n", "s1", "s2", F.coalesce("component", "cid").alias("component"))
+    found = found.withColumnRenamed("id", "cid").join(classes.select("cid", "doc_id"), "cid")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("least"))
+    found = found.join(least, "component").select("cid", "least")
+    named = classes.join(found, "cid", "left").select("n", "s1", "s2", F.coalesce("least", "doc_id").alias("component"))
     out = sketch.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),

@@ -113,3 +113,25 @@ def test_other_thresholds_find_their_pairs_too(spark):
     assert sum(kept for *_, kept in want) == 30
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=50)
     assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
+def brute_rows(rows, percent=85):
+    """Like brute, with every row linked by its own text, whatever other texts its doc_id has."""
+    numbered = brute([(k, t) for k, (_, t) in enumerate(rows)], percent)
+    least = {}
+    for k, _, c, _ in numbered:
+        least[c] = min(least.get(c, rows[k][0]), rows[k][0])
+    return sorted((rows[k][0], n, least[c], rows[k][0] == least[c]) for k, n, c, _ in numbered)
+
+
+@pytest.mark.parametrize("members", [1024, 2])
+def test_every_text_of_a_repeated_doc_id_keeps_its_links(spark, members):
+    texts = [family(seed, 3, edits=3) for seed in range(10, 34)]
+    rows = []
+    for k in range(0, 24, 2):  # the smallest id of two groups, with a text of either
+        rows += [(5 * k, texts[k][3]), (5 * k, texts[k + 1][3]), (5 * k, texts[k][3])]
+        rows += [(5 * k + 1 + j, texts[k + j // 3][j % 3]) for j in range(6)]
+    rows += [(1000, texts[0][0]), (1000, texts[5][0]), (1000, "alone"), (1001, "alone")]
+    random.Random(6).shuffle(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), members=members)
+    assert sorted(map(tuple, got.collect())) == brute_rows(rows)
