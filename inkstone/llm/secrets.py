@@ -173,8 +173,10 @@ class Grammar:
 
     def kind_of(self, token: str) -> str | None:
         """The kind whose format the token has, or None."""
-        best = max(((a.score(token), least, k) for k, (a, least) in self.automata.items()), default=None)
-        return best[2] if best and best[0] >= max(best[1], 0.0) else None
+        scores = ((a.score(token), least, k) for k, (a, least) in self.automata.items())
+        # each automaton by its own threshold; of those that accept, the one with the highest score
+        best = max((s for s in scores if s[0] >= max(s[1], 0.0)), default=None)
+        return best[2] if best else None
 
 
 def extract(docs: DataFrame) -> DataFrame:

@@ -72,3 +72,18 @@ def test_an_automaton_merges_states_and_generalises():
 def test_odd_documents_empty_table_and_order(spark):
     assert secrets.scan(odd.documents(spark)).count() == len(odd.rows())
     assert secrets.digests(secrets.scan(odd.empty(spark))).count() == 0
+
+
+class Scores:
+    def __init__(self, **known):
+        self.score = known.__getitem__
+
+
+def test_a_token_counts_if_any_automaton_accepts_it():
+    grammar = secrets.Grammar({})
+    grammar.automata = {"hex": (Scores(near=1.9, both=2.5, none=1.9, below=-1.0), 2.0),  # tight
+                        "assign": (Scores(near=1.0, both=1.0, none=0.1, below=-0.5), 0.5)}  # loose
+    assert grammar.kind_of("near") == "assign"  # hex scores it best and rejects it
+    assert grammar.kind_of("both") == "hex"
+    assert grammar.kind_of("none") is None and grammar.kind_of("below") is None
+    assert secrets.Grammar({}).kind_of("near") is None
