@@ -4,15 +4,15 @@ Three base patterns find labelled credentials: assignments, access keys and
 hexadecimal strings.  From a bounded sample of them, one probabilistic
 automaton per kind is inferred: the values form a prefix tree with counts, and
 states whose outgoing frequencies agree within a Hoeffding bound, all the way
-down, are merged, the most frequent first.  Every other long token of every text is then scored by its
-likelihood under each automaton, per character and against tokens of evenly
+down, are merged, the most frequent first.  Every other long token with a digit is then scored (in
+pieces where it has dots) by its likelihood under each automaton, per character and against tokens of evenly
 mixed characters.  Tokens at least as likely as the weakest hundredth of the
 labelled values are added as spans of kind ``format_<kind>``; base spans stay.
 
 Spans are code points, end exclusive, and cover the whole match.
 
-Edge cases: a null or empty text has no spans; without labelled values of a
-kind that kind has no automaton; an empty table gives an empty result; rows
+Edge cases: a null or empty text has no spans; with fewer than 20 distinct
+labelled values of a kind that kind has no automaton; an empty table gives an empty result; rows
 that repeat a doc_id are scanned each.
 """
 
