@@ -33,7 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     arrow_batches(spark)
     labels = read(spark, sf_dir, "labels")
     model = quality.train(texts(docs), labels.select("doc_id", quality.grade_of(labels).alias("grade")))
-    if model is None:
+    if model is None or not len(model.known):
         return docs
     return docs.where(quality.scored(spark, model)(docs["text"])["p_top"] >= quality.KEEP)
 

@@ -10,7 +10,7 @@ the probability of the top grade.  Features are present or absent, over the
 whole text: words, their first four and five bytes, and the bins of a few text
 statistics (symbols, repetition, length).  They are hashed to 26 bits; only
 features whose frequency in some grade differs from chance get a weight
-(``LEAST_Z`` standard errors), so a long text is not judged by the sum of its
+(``LEAST_Z`` standard errors, fewer with few labels), so a long text is not judged by the sum of its
 many rare words.
 
 The model is fitted on a bounded sample of labelled documents, at most
@@ -21,7 +21,8 @@ Edge cases: a null or empty text has only its statistics; documents without a
 label are scored like others; labels without a grade, or without a document,
 are ignored, and of several labels for one document the lowest grade counts;
 with labels of fewer than two grades nothing can be learned, scores are null
-and every document is kept; an empty table gives an empty result.
+and every document is kept; it is also kept if no feature gets a weight; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ from inkstone.llm.common import arrow_batches, texts
 PER_GRADE = 2500
 #: Standard errors by which a feature's frequency in a grade must differ from its overall frequency.
 LEAST_Z = 8.0
+#: The same as a share of sqrt(n), the most that n documents allow; it decides below some 130 documents.
+LEAST_SHARE = 0.7
 BITS = 26
 #: Probability of the top grade from which a document is kept.
 KEEP = 0.5
@@ -98,9 +101,8 @@ class Model:
         every = np.concatenate(rows)
         at = np.minimum(np.searchsorted(self.known, every), len(self.known) - 1)
         value = np.where(self.known[at] == every, self.weights[at], 0.0)
-        total = np.concatenate(([0.0], np.cumsum(value)))
-        ends = np.cumsum([len(r) for r in rows])
-        return total[ends] - total[ends - [len(r) for r in rows]]
+        # summed row by row, so a score does not depend on its batch
+        return np.bincount(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), weights=value, minlength=len(rows))
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1 .. K-1, one row per score."""
@@ -122,7 +124,7 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, weight: np.ndarray, grades: i
         here[np.searchsorted(known, number)] = count
         rest = np.maximum(1 - seen / len(rows), 1e-9)
         z = np.maximum(z, np.abs(here - seen * chance) / np.sqrt(np.maximum(seen * chance * (1 - chance) * rest, 1e-9)))
-    known = known[(z >= least_z) & (seen < len(rows))]
+    known = known[(z >= min(least_z, LEAST_SHARE * np.sqrt(len(rows)))) & (seen < len(rows))]
     held = [np.flatnonzero(np.isin(known, r, assume_unique=True)) for r in rows]
     row = np.repeat(np.arange(len(rows)), [len(h) for h in held])
     col = np.concatenate(held)
@@ -213,7 +215,7 @@ def classify(docs: DataFrame, rated: DataFrame, grades: int = 3, keep: float = K
         return plain.select("doc_id", none.alias("score"), none.alias("expected_grade"), none.alias("p_top"),
                             F.lit(True).alias("kept"))
     out = plain.select("doc_id", scored(docs.sparkSession, model)("text").alias("s")).select("doc_id", "s.*")
-    return out.withColumn("kept", F.col("p_top") >= keep)
+    return out.withColumn("kept", F.col("p_top") >= keep if len(model.known) else F.lit(True))
 
 
 def scored(spark: SparkSession, model: Model):

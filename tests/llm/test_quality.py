@@ -74,3 +74,18 @@ def test_grades_of_labels(spark):
     rows = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 0), (None, 0), (1, None)], "quality int, toxic int")
     assert [r[0] for r in rows.select(quality.grade_of(rows)).collect()] == [0, 0, 1, 2, None, None]
     assert rows.select(F.count(quality.grade_of(rows))).first()[0] == 4
+
+
+def test_thirty_labels_are_enough_for_a_clear_word(spark):
+    rng = np.random.default_rng(3)
+    text = lambda word: " ".join([word, *(f"w{k}" for k in rng.integers(0, 10 ** 9, 30))])
+    rows = [(k, text("fine" if k % 3 else "junk")) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rated = spark.createDataFrame([(k, 2 if k % 3 else 0) for k in range(30)], "doc_id long, grade int")
+    assert {r["doc_id"] for r in quality.classify(docs, rated).where("kept").collect()} == {k for k in range(90) if k % 3}
+
+
+def test_without_a_telling_feature_all_documents_are_kept(spark):
+    docs = spark.createDataFrame([(k, "the same text") for k in range(40)], "doc_id long, text string")
+    rated = spark.createDataFrame([(k, 2 if k % 3 == 0 else 0) for k in range(30)], "doc_id long, grade int")
+    assert quality.classify(docs, rated).where("kept").count() == 40
