@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import bpe, exactdedup, fingerprint, licenses, minhash, mixing, quality, secrets, tokencounts, warc
+from inkstone.llm import bpe, divergence, exactdedup, fingerprint, licenses, minhash, mixing, quality, secrets, tokencounts, warc
 from inkstone.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_fingerprint")
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(read(spark, sf_dir, "documents"))
+
+
+@_query("op12_source_divergence", divergence.SQL)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))

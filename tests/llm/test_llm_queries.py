@@ -18,7 +18,10 @@ COLUMNS = {
     "op8_quality": "doc_id expected_grade p_top kept",
     "op9_source_mix": "doc_id size source_size target taken",
     "op10_fingerprint": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op12_source_divergence": "lang source part item value rank",
 }
+#: Table and column whose values the result must hold all of.
+TABLE = {"op2_warc": ("pages", "page_id"), "op12_source_divergence": ("documents", "source")}
 
 
 def value(v):
@@ -30,7 +33,7 @@ def test_query(spark, name):
     df = entry.queries()[name](spark, SMALL)
     assert set(COLUMNS[name].split()) <= set(df.columns)
     got = df.collect()
-    table, key = ("pages", "page_id") if name == "op2_warc" else ("documents", "doc_id")
+    table, key = TABLE.get(name, ("documents", "doc_id"))
     assert {r[key] for r in got} == {r[0] for r in spark.read.parquet(f"{SMALL}/{table}.parquet").select(key).collect()}
     sql = entry.oracle_sql().get(name)
     if sql:
