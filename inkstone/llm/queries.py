@@ -12,7 +12,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import bpe, divergence, exactdedup, fingerprint, licenses, minhash, mixing, quality, secrets, tokencounts, warc
+from inkstone.llm import (
+    bpe,
+    crossalign,
+    divergence,
+    exactdedup,
+    fingerprint,
+    licenses,
+    minhash,
+    mixing,
+    quality,
+    secrets,
+    tokencounts,
+    tokenfiles,
+    warc,
+)
 from inkstone.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +108,17 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(read(spark, sf_dir, "documents"))
 
 
+@_query("op11_cross_tokenizer")
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossalign.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_query("op12_source_divergence", divergence.SQL)
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+@_query("op13_token_files")
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -18,7 +18,9 @@ COLUMNS = {
     "op8_quality": "doc_id expected_grade p_top kept",
     "op9_source_mix": "doc_id size source_size target taken",
     "op10_fingerprint": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op11_cross_tokenizer": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
     "op12_source_divergence": "lang source part item value rank",
+    "op13_token_files": "doc_id start n_tokens ids_crc32",
 }
 #: Table and column whose values the result must hold all of.
 TABLE = {"op2_warc": ("pages", "page_id"), "op12_source_divergence": ("documents", "source")}
