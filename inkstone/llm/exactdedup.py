@@ -74,9 +74,11 @@ def directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DE
     return slots, depth
 
 
-def _keyed(docs: DataFrame, key_bits: int, id_col: str, text_col: str) -> DataFrame:
-    norm = texts(docs, id_col, text_col).select(
-        "doc_id", code_points(F.col("text")).alias("n"), normalised(F.col("text")).alias("norm"))
+def _keyed(docs: DataFrame, key_bits: int, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    plain = texts(docs, id_col, text_col) if row_col is None else texts(docs, id_col, text_col, docs[row_col].alias("row"))
+    norm = plain.select(
+        "doc_id", code_points(F.col("text")).alias("n"), normalised(F.col("text")).alias("norm"),
+        *(["row"] if row_col else []))
     return norm.withColumn("key", _key(F.col("norm"), key_bits))
 
 
@@ -105,16 +107,31 @@ def build_index(docs: DataFrame, keys: DataFrame, path: str, capacity: int = CAP
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-                max_depth: int = MAX_DEPTH, key_bits: int = 64, index_path: str | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+                max_depth: int = MAX_DEPTH, key_bits: int = 64, index_path: str | None = None,
+                row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256; with ``row_col`` also row (its value) and n.
 
     ``key_bits`` below 64 weakens the hash (tests use it to force collisions).
     """
     spark = docs.sparkSession
-    keys = stored(_keyed(docs, key_bits, id_col, text_col).select(
-        "doc_id", "key", F.sha2("norm", 256).alias("sha")), "keys")
+    extra = [F.col("row"), F.col("n")] if row_col else []
+    keys = stored(_keyed(docs, key_bits, id_col, text_col, row_col).select(
+        "doc_id", "key", F.sha2("norm", 256).alias("sha"), *extra), "keys")
     index = build_index(docs, keys, index_path or shared_path(spark, "index"), capacity, max_depth, key_bits,
                         id_col, text_col)
     return keys.join(index, ["key", "sha"]).select(
         "doc_id", "keep_id", F.col("size").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"), *extra)
+
+
+def kept_rows(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(row): one row of every group of equal texts, by the unique numbers in ``row_col``.
+
+    The row is that of ``exact_dedup``; where several rows carry its id and an
+    equal text, the one with the most code points, then the smallest number.
+    """
+    step = F.lit(Decimal(10 ** 20))
+    decided = exact_dedup(docs, id_col, text_col, row_col=row_col, **options).where("kept")
+    rank = F.col("n").cast("decimal(12,0)") * step - F.col("row").cast("decimal(20,0)")
+    best = decided.groupBy("keep_id", "text_sha256").agg(F.max("n").alias("n"), F.max(rank).alias("rank"))
+    return best.select((F.col("n").cast("decimal(12,0)") * step - F.col("rank")).cast("long").alias("row"))

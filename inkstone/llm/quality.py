@@ -19,7 +19,8 @@ the grades' shares among all labels.  Every document is scored.
 
 Edge cases: a null or empty text has only its statistics; documents without a
 label are scored like others; labels without a grade, or without a document,
-are ignored, and of several labels for one document the lowest grade counts;
+are ignored, and of several labels for one document the lowest grade counts; of
+several texts under one labelled doc_id the fit sees one;
 with labels of fewer than two grades nothing can be learned, scores are null
 and every document is kept; it is also kept if no feature gets a weight; an
 empty table gives an empty result.
@@ -182,8 +183,10 @@ def train(docs: DataFrame, rated: DataFrame, grades: int = 3, per_grade: int = P
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.unionByName(part)
-    # at most grades * per_grade ids
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("grade", "text")
+    # at most grades * per_grade ids, and one text of each: of rows that repeat an id, the text that hashes lowest
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.max("grade").alias("grade"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    sample = sample.select("grade", "one.text")
     got = _features_of(sample, "grade").collect()  # at most grades * per_grade rows
     grade = np.array([r["grade"] for r in got], np.int64)
     if len(set(grade.tolist())) < 2:

@@ -37,8 +37,9 @@ PATTERNS = {
 }
 #: Tokens that are scored: long runs with a digit, outside base spans.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
-#: Distinct labelled values of each kind that the inference sees at most.
-PER_KIND = 500
+#: Distinct labelled values of each kind that the inference sees at most, and the most characters of one; whole tokens
+#: of any length are scored.
+PER_KIND, VALUE_CHARS = 500, 256
 #: Confidence of the Hoeffding bound: smaller merges more.
 ALPHA = 0.05
 SYMBOLS = 67
@@ -67,10 +68,14 @@ _DIGIT = re.compile("[0-9]")
 
 
 def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Tokens to be scored, without those that touch a base span."""
-    out = []
+    """Tokens to be scored, without those that touch a base span (``taken``, by start)."""
+    out, at, reach = [], 0, 0
     for m in _CANDIDATE.finditer(text):
-        if _DIGIT.search(m.group()) and not any(s < m.end() and m.start() < e for _, s, e, _ in taken):
+        # both lists are in order: spans that begin before the token's end, and how far any of them reaches
+        while at < len(taken) and taken[at][1] < m.end():
+            reach = max(reach, taken[at][2])
+            at += 1
+        if reach <= m.start() and _DIGIT.search(m.group()):
             out.append((-1, m.start(), m.end(), m.group()))
     return out
 
@@ -198,8 +203,13 @@ def extract(docs: DataFrame) -> DataFrame:
 
 
 def learn(found: DataFrame, per_kind: int = PER_KIND) -> Grammar:
-    """Infer the automata from at most ``per_kind`` distinct labelled values of each kind, those that hash lowest."""
-    values = found.select(F.explode("base").alias("s")).select("s.kind", "s.value").distinct()
+    """Infer the automata from at most ``per_kind`` distinct labelled values of each kind, those that hash lowest.
+
+    Values of more than ``VALUE_CHARS`` characters are not learned from, so the driver sees at most
+    ``per_kind * VALUE_CHARS`` characters of a kind.
+    """
+    values = found.select(F.explode("base").alias("s")).where(F.length("s.value") <= VALUE_CHARS).select(
+        "s.kind", "s.value").distinct()
     rows = []
     for k in range(len(KINDS)):
         rows += values.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(per_kind).collect()

@@ -38,6 +38,8 @@ ARCHIVE_BYTES = 256 << 20
 #: Bytes between two wanted records that are read along rather than skipped, and the most that one read takes.
 GAP = 64 << 10
 READ_BYTES = 4 << 20
+#: Bytes of records that one read task is dealt.
+TASK_BYTES = 8 << 20
 #: Pages carry no fetch time.
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 4
@@ -205,7 +207,10 @@ def read_records(selected: DataFrame, with_payload: bool = True, gap: int = GAP,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _record_types, strict=True)], _record_names)
 
-    return byte_ranges(selected, gap, most).mapInArrow(run, _RECORD)
+    # reads are dealt by the bytes to fetch: the index itself is small however much it points at
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(-(-size // TASK_BYTES), 100_000))
+    return byte_ranges(selected, gap, most).repartition(tasks, "file", "start").mapInArrow(run, _RECORD)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

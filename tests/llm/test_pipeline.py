@@ -90,3 +90,30 @@ def test_odd_and_empty_tables(spark, number):
         assert got.where(F.col("text").isNotNull()).count() > 0
     else:
         assert got.count() == len(odd.rows())
+
+
+def test_two_equal_rows_of_one_id_leave_one(spark):
+    text = odd.words(__import__("random").Random(5), 80)
+    near = text.split()
+    near[40] = "changed"
+    other = "quite another text about something else altogether"
+    rows = [(9, text), (9, text), (9, text.replace(" ", "  ")), (3, other), (9, other), (None, text), (12, " ".join(near)),
+            (None, None), (None, ""), (7, "")]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = corpus_pipeline.exact_stage(spark, df.repartition(3), SMALL)
+    got = sorted(((r["doc_id"], r["text"]) for r in exact.collect()), key=repr)
+    # of equal texts the longest, then the smallest id: once, though id 9 has two texts and two equal rows
+    assert got == sorted([(9, text.replace(" ", "  ")), (3, other), (12, " ".join(near)), (7, "")], key=repr)
+    left = corpus_pipeline.near_stage(spark, df.repartition(3), SMALL).collect()
+    assert sorted(r["doc_id"] for r in left if r["text"] and r["text"] != other) == [9]
+    assert sum(r["text"] == other for r in left) == 1
+
+
+@pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES)))
+def test_columns_with_any_names(spark, number):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).withColumns(
+        {"a.b": F.lit(1), "row": F.lit("x"), "row_": F.lit(2), "c`d": F.lit("y"), "taken_id": F.lit(3)})
+    got = corpus_pipeline.STAGES[number][1](spark, docs, SMALL)
+    assert got.count() > 0
+    if number < 4:
+        assert got.columns == docs.columns

@@ -89,3 +89,46 @@ def test_without_a_telling_feature_all_documents_are_kept(spark):
     docs = spark.createDataFrame([(k, "the same text") for k in range(40)], "doc_id long, text string")
     rated = spark.createDataFrame([(k, 2 if k % 3 == 0 else 0) for k in range(30)], "doc_id long, grade int")
     assert quality.classify(docs, rated).where("kept").count() == 40
+
+
+def test_fit_equals_an_independent_minimum_of_the_likelihood():
+    rng = np.random.default_rng(8)
+    n, words = 300, 4
+    x = rng.random((n, words)) < 0.4
+    latent = x @ np.array([2.0, -1.5, 1.0, -0.5]) + rng.logistic(size=n)
+    grade = np.digitize(latent, [-0.5, 1.0])
+    weight = rng.uniform(0.5, 2.0, n)
+    rows = [np.flatnonzero(r).astype(np.uint32) + 7 for r in x]
+
+    def loss(p):
+        cuts = np.array([p[words], p[words] + np.exp(p[words + 1])])
+        tail = 1 / (1 + np.exp(-(x @ p[:words])[:, None] + cuts[None, :]))
+        tail = np.concatenate((np.ones((n, 1)), tail, np.zeros((n, 1))), axis=1)
+        at = np.arange(n)
+        share = tail[at, grade] - tail[at, grade + 1]
+        return -(weight / weight.sum()) @ np.log(share) + 0.5 * quality.PENALTY * (p[:words] ** 2).sum()
+
+    # Newton steps on numeric derivatives, nothing shared with the fit
+    p, h, eye = np.zeros(words + 2), 1e-4, np.eye(words + 2)
+    for _ in range(25):
+        grad = np.array([(loss(p + h * e) - loss(p - h * e)) / (2 * h) for e in eye])
+        hess = np.array([[(loss(p + h * a + h * b) - loss(p + h * a - h * b) - loss(p - h * a + h * b) + loss(p - h * a - h * b))
+                          / (4 * h * h) for b in eye] for a in eye])
+        p = p - np.linalg.solve(hess + 1e-6 * eye, grad)
+    model = quality.fit(rows, grade, weight, 3, least_z=0.0, steps=3000)
+    assert model.known.tolist() == [7, 8, 9, 10]
+    assert np.allclose(model.weights, p[:words], atol=0.02)
+    assert np.allclose(model.cuts, [p[words], p[words] + np.exp(p[words + 1])], atol=0.02)
+
+
+def test_a_labelled_id_that_repeats_is_one_row_of_the_fit(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(k, f"{'fine' if k % 2 else 'junk'} " + " ".join(f"w{j}" for j in rng.integers(0, 10 ** 9, 20))) for k in range(60)]
+    rows += [(4, f"another text {k}") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    rated = spark.createDataFrame([(k, 2 if k % 2 else 0) for k in range(60)], "doc_id long, grade int")
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda r, *a, **k: seen.append(len(r)) or fit(r, *a, **k))
+    assert quality.classify(docs, rated).count() == 560
+    assert seen == [60]

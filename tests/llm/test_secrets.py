@@ -87,3 +87,31 @@ def test_a_token_counts_if_any_automaton_accepts_it():
     assert grammar.kind_of("both") == "hex"
     assert grammar.kind_of("none") is None and grammar.kind_of("below") is None
     assert secrets.Grammar({}).kind_of("near") is None
+
+
+def test_candidates_equal_the_plain_test_and_long_texts_take_linear_time():
+    import time
+    rng = random.Random(6)
+    parts = ["token=" + "a1" * 8, "x9" * 9, "0f" * 14, "word", "AKIA" + "Q1" * 9, "plainlongtokenwithoutdigit", "k7_" * 6]
+    for _ in range(200):
+        text = rng.choice(["", " ", "-"]).join(rng.choice(parts) + rng.choice([" ", "", ".", "/"]) for _ in range(30))
+        taken = secrets.base_spans(text)
+        want = [(-1, m.start(), m.end(), m.group()) for m in re.finditer(secrets.CANDIDATE, text)
+                if re.search("[0-9]", m.group()) and not any(s < m.end() and m.start() < e for _, s, e, _ in taken)]
+        assert secrets.candidates(text, taken) == want
+    long = " ".join(["password=" + "z9" * 10, "x9" * 9] * 50_000)
+    assert len(long) > 2_000_000
+    begin = time.perf_counter()
+    assert len(secrets.candidates(long, secrets.base_spans(long))) == 50_000
+    assert time.perf_counter() - begin < 2
+
+
+def test_very_long_values_are_found_but_not_learned_from(spark):
+    rows, *_ = generated(random.Random(1), 60)
+    big = (5000, "token=" + "A" * 300_000)
+    docs = spark.createDataFrame([*rows, big], "doc_id long, text string").repartition(2)
+    scanned = secrets.scan(docs)
+    spans = {r["doc_id"]: r["base"] for r in scanned.collect()}
+    assert len(spans[5000]) == 1 and spans[5000][0]["end"] == 300_006
+    grammar = secrets.learn(secrets.extract(docs))
+    assert len(grammar.automata["assign"][0].edge) < 2_000

@@ -87,3 +87,12 @@ def test_a_damaged_payload_is_an_error():
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_reads_are_dealt_by_bytes(spark, monkeypatch):
+    df, _ = pages(spark)
+    index = warc.write_archives(df)
+    monkeypatch.setattr(warc, "TASK_BYTES", 2000)
+    got = warc.read_records(index, most=1500)
+    assert got.rdd.getNumPartitions() > 2
+    assert {r["page_id"] for r in got.collect()} == {r["page_id"] for r in index.collect()}
