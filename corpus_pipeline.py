@@ -8,11 +8,15 @@ repeats an earlier stage.
 Edge cases are those of the operators: null and empty texts pass the
 classifier by their statistics, are one group for exact dedup, link with
 nothing, are taken 0 times by the mix and so leave there; an empty table stays
-empty.  Rows that repeat a doc_id are decided together, by doc_id.
+empty.  Rows that repeat a doc_id are decided each by their own text in the
+dedup stages (of two equal rows one stays) and together, by doc_id, in the mix.
+Columns may have any names, dots included.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +25,16 @@ from inkstone.llm import bpe, exactdedup, minhash, mixing, quality
 from inkstone.llm.common import arrow_batches, read, stored, texts
 
 
-def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id was kept; ``decided``: (doc_id, kept)."""
-    keep = decided.where("kept").select(F.col("doc_id").alias("kept_id_")).distinct()
-    # a shuffle join at every size: the ids grow with the input
-    return docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["kept_id_"]), "left_semi")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(row_, row): unique numbers and whole rows (one column, so no name of documents can clash), as a stored table."""
+    names = [docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]
+    return stored(docs.select(F.monotonically_increasing_id().alias("row_"), F.struct(*names).alias("row")), "rows")
+
+
+def _only(rows: DataFrame, keep: DataFrame) -> DataFrame:
+    """The numbered rows whose number is in ``keep`` (row_)."""
+    # a shuffle join at every size: the numbers grow with the input
+    return rows.join(keep.hint("merge"), "row_", "left_semi").select("row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,22 +49,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: one document of each group of equal texts stays."""
-    return _only(docs, exactdedup.exact_dedup(docs))
+    rows = _numbered(docs)
+    kept = exactdedup.kept_rows(rows.select("row_", "row.doc_id", "row.text"), "row_")
+    return _only(rows, kept.withColumnRenamed("row", "row_"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7, at its similarity of 0.85: one document of each group of near-duplicates stays."""
-    return _only(docs, minhash.near_duplicates(docs))
+    """Operator 7, at its similarity of 0.85: one document of each group of near-duplicates stays, that of the smallest doc_id."""
+    rows = _numbered(docs)
+    found = minhash.near_duplicates(rows.select("row_", "row.text"), id_col="row_").select(
+        F.col("doc_id").alias("row_"), "component_id")
+    # (doc_id, row number) as one number that partial aggregation can hold; 93 * 10^17 is beyond every long
+    step = F.lit(Decimal(10 ** 19))
+    doc_id = F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(Decimal(93 * 10 ** 17)))
+    least = found.join(rows.select("row_", "row.doc_id"), "row_").groupBy("component_id").agg(
+        F.min(doc_id * step + F.col("row_").cast("decimal(19,0)")).alias("least"))
+    return _only(rows, least.select(F.pmod("least", step).cast("long").alias("row_")))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: every document as often as the mix takes it."""
-    taken = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("taken_id_")).agg(
-        F.max("copies").cast("int").alias("copies_"))
-    # the whole row as one column, so no column of documents can clash
-    whole = docs.select(F.col("doc_id").alias("id_"), F.struct(*docs.columns).alias("row_"))
-    rows = whole.join(taken.hint("merge"), whole["id_"].eqNullSafe(taken["taken_id_"]))
-    return rows.select("row_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select("row_.*")
+    rows = _numbered(docs)
+    taken = mixing.mix(rows.select("row_", "row.doc_id", "row.text", "row.source")).where("taken > 0").groupBy(
+        F.col("doc_id").alias("taken_id")).agg(F.max("copies").cast("int").alias("copies"))
+    taken = rows.select("row_", "row.doc_id").join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).select("row_", "copies")
+    whole = rows.join(taken.hint("merge"), "row_")
+    return whole.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
