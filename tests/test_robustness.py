@@ -36,3 +36,15 @@ def test_null_vectors_and_json_and_html(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, "u", "<<<not html"), (3, "u", "")], "id long, url string, html string")
     out = PG.extract(pages).collect()
     assert len(out) == 3 and all(r.error == "no content" for r in out)
+
+
+def test_entry_imports_without_a_library_of_the_optional_part():
+    import subprocess
+    import sys
+    code = ("import sys; sys.modules['tokenizers'] = None; import __spark_entry__ as e; "
+            "print(len(e.queries()), 'knn_join' in e.queries(), 'op5_bpe' in e.queries(), len(e.oracle_sql()) > 90)")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120,
+                         cwd=__import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__))))
+    assert out.returncode == 0, out.stderr
+    n, news, llm, sql = out.stdout.split()
+    assert int(n) >= 90 and (news, llm, sql) == ("True", "False", "True")
