@@ -1,11 +1,12 @@
-"""Byte-level BPE ids of whole texts through the ``tokenizers`` library, each distinct word encoded once.
+"""Byte-level BPE ids of whole texts as the ``tokenizers`` library gives them.
 
-A byte-level BPE never merges across the words that its pre-tokeniser cuts, so
-a text's ids are those of its words in order.  ``ByteBpe`` cuts texts with the
-same pattern, keeps the ids of words in memory and has the library encode only
-words not held.  Texts for which the cut might differ (characters from U+0500
-on, whose classes depend on the Unicode version) or that contain a special
-token's string are encoded whole by the library.
+The library alone needs about twice the CPU time that token files may take.
+Where a vocabulary file's ids are in the order of its merges, the same merges
+can be done by ``tiktoken`` with ranks read from that file: both join the pair
+of the earliest merge first.  ``ByteBpe`` checks this when it loads the file
+and encodes such texts that way; all others are encoded by the library:
+those with a special token's string, and those with characters from U+0500 on,
+whose classes, and so the words, depend on the Unicode version of either.
 """
 
 from __future__ import annotations
@@ -17,13 +18,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import public_tokenizers
-import regex
+import tiktoken
 from tokenizers import Tokenizer
 
-#: Words held in memory between batches; a full memory is emptied, ids never depend on it.
-HELD_WORDS = 400_000
-#: Longer words are encoded but not held.
-WORD_CHARS = 40
 _LATER = re.compile("[^\x00-ӿ]")
 #: The settings under which words are cut by ``public_tokenizers.PATTERN`` alone.
 _PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
@@ -36,53 +33,50 @@ class ByteBpe:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self._coder = Tokenizer.from_file(path)
-        self._coder.no_truncation()
-        self._coder.no_padding()
-        self._coder.encode_special_tokens = special_as_text
-        added = [a["content"] for a in spec["added_tokens"]]
+        self._library = Tokenizer.from_file(path)
+        self._library.no_truncation()
+        self._library.no_padding()
+        self._library.encode_special_tokens = special_as_text
+        added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self._special = None if special_as_text or not added else re.compile("|".join(map(re.escape, added)))
-        self._words = regex.compile(public_tokenizers.PATTERN)
-        self._cuts = spec["pre_tokenizer"] == _PLAIN and spec["normalizer"] is None
-        self.size = self._coder.get_vocab_size(with_added_tokens=True)
+        back = {c: b for b, c in enumerate(_byte_chars())}
+        #: The bytes of every id: its entry, byte-level decoded; special tokens' strings as they are.
+        self.token_bytes = [b""] * (max([*spec["model"]["vocab"].values(), *added.values()]) + 1)
+        for token, i in spec["model"]["vocab"].items():
+            self.token_bytes[i] = bytes(back[c] for c in token)
+        for token, i in added.items():
+            self.token_bytes[i] = token.encode()
+        self._fast = _by_ranks(spec, self.token_bytes, set(added.values()))
         #: Ids as bytes take two bytes each where they fit.
-        self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self._held: dict[str, bytes] = {}
-
-    def _library(self, texts: Sequence[str]) -> list[bytes]:
-        done = self._coder.encode_batch_fast(list(texts), add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in done]
+        self.dtype = np.dtype("<u2") if len(self.token_bytes) <= 1 << 16 else np.dtype("<u4")
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of every text, serialised as little-endian ``dtype`` values."""
-        if len(self._held) > HELD_WORDS:
-            self._held = {}
-        whole = [i for i, t in enumerate(texts)
-                 if not self._cuts or _LATER.search(t) or (self._special and self._special.search(t))]
         out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        odd, held = set(whole), self._held
-        cut = {i: self._words.findall(t) for i, t in enumerate(texts) if i not in odd}
-        new = set().union(*cut.values()).difference(held) if cut else set()
-        new = list(new)
-        held.update(zip(new, self._library(new), strict=True))
-        for i, words in cut.items():
-            out[i] = b"".join(map(held.__getitem__, words))
-        for w in new:
-            if len(w) > WORD_CHARS:
-                del held[w]
+        slow = []
+        for k, text in enumerate(texts):
+            if self._fast is None or _LATER.search(text) or (self._special and self._special.search(text)):
+                slow.append(k)
+            else:
+                out[k] = self._fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes()
+        done = self._library.encode_batch_fast([texts[k] for k in slow], add_special_tokens=False)
+        for k, e in zip(slow, done, strict=True):
+            out[k] = np.array(e.ids, self.dtype).tobytes()
         return out
 
-    def token_bytes(self) -> list[bytes]:
-        """The bytes of every id: its entry, byte-level decoded."""
-        back = {c: b for b, c in enumerate(_byte_chars())}
-        vocab = self._coder.get_vocab(with_added_tokens=True)
-        out = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            # special tokens are entries in plain text
-            out[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-        return out
+
+def _by_ranks(spec: dict, token_bytes: list[bytes], special: set[int]) -> tiktoken.Encoding | None:
+    """The same merges by rank, if the ids of the file follow the order of its merges; else None."""
+    model = spec["model"]
+    vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    plain = spec["pre_tokenizer"] == _PLAIN and spec["normalizer"] is None and not model.get("ignore_merges")
+    plain = plain and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    ordered = all(vocab.get("".join(m)) == 256 + k for k, m in enumerate(merges))
+    whole = len(set(vocab.values()) - special) == 256 + len(merges) and all(vocab.get(c, 256) < 256 for c in _byte_chars())
+    if not (plain and ordered and whole):
+        return None
+    ranks = {token_bytes[i]: i for i in range(256 + len(merges))}
+    return tiktoken.Encoding("ranks of a vocabulary file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def _byte_chars() -> list[str]:

@@ -93,7 +93,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self._a = ByteBpe(path_a, special_as_text=True)
         self._b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self._bytes_a, self._bytes_b = self._a.token_bytes(), piece_bytes(self._b)
+        self._bytes_a, self._bytes_b = self._a.token_bytes, piece_bytes(self._b)
         self._length_a = np.array([len(t) for t in self._bytes_a], np.int64)
         self._length_b = np.array([len(t) for t in self._bytes_b], np.int64)
         self._list_a, self._list_b = self._length_a.tolist(), self._length_b.tolist()

@@ -110,7 +110,10 @@ def frames(docs: DataFrame, tokenizer: str, dictionary: bytes, end_id: int, boun
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ByteBpe(tokenizer)
         end = np.array([end_id], coder.dtype).tobytes()
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
+        shared = _dictionary(dictionary)
+        if shared is not None:
+            shared.precompute_compress(level=LEVEL)  # else it is digested anew for every document
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         for batch in batches:
             arrays = [a + end for a in coder.encode(batch.column("text").to_pylist())]
             crc = np.array([checksum(a, coder.dtype) for a in arrays], np.int64)
