@@ -44,6 +44,8 @@ BLOCK_PAIRS, BLOCK_DOCS = 1_000_000, 20_000
 #: Windows kept by a worker, and the most tokens of a window that is kept; results never depend on it.
 HELD_WINDOWS = 400_000
 WINDOW_TOKENS = 48
+#: Links of a group beyond which its distinct pairs are found first.
+LARGE_GROUP = 1024
 SPACE = 0x20
 _MARK = "▁"
 
@@ -57,36 +59,50 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     return out
 
 
-class Window:
-    """Groups and links between two anchors."""
-
-    __slots__ = ("groups", "n_groups", "n_links", "pairs", "text")
-
-    def __init__(self, a: list[int], b: list[int], length_a: np.ndarray, length_b: np.ndarray, width: int):
-        # two pointers over the ends of either side
-        cuts, i, j, end_a, end_b = [], 0, 0, 0, 0
-        while i < len(a):
-            end_a += length_a[a[i]]
-            i += 1
-            while end_b < end_a:
-                end_b += length_b[b[j]]
-                j += 1
-            if end_a == end_b:
-                cuts.append((i, j))
-        groups = [(a[i:k], b[j:m]) for (i, j), (k, m) in pairwise([(0, 0), *cuts])]
-        self.text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-        self.n_groups = len(groups)
-        self.n_links = sum(len(x) * len(y) for x, y in groups)
-        self.pairs = [_linked(x, y, width) for x, y in groups]
-
-
-def _linked(a: list[int], b: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs (a * width + b) of a group and how often each is linked."""
-    x, nx = np.unique(np.array(a, np.int64), return_counts=True)
-    y, ny = np.unique(np.array(b, np.int64), return_counts=True)
+    x, nx = np.unique(a.astype(np.int64), return_counts=True)
+    y, ny = np.unique(b.astype(np.int64), return_counts=True)
     return (x[:, None] * width + y[None, :]).ravel(), (nx[:, None] * ny[None, :]).ravel()
 
 
+class Groups:
+    """The groups of a document, of which windows are runs: group g has the A tokens cut_a[g] to cut_a[g + 1], and so B."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, width: int, size_a: int):
+        self.a, self.b, self.width = a.astype(np.int64), b.astype(np.int64), width
+        self.cut_a, self.cut_b = cut_a, cut_b
+        n_a, n_b = np.diff(cut_a), np.diff(cut_b)
+        self.token = (cut_a + cut_b).tolist()
+        # a token's string with what follows it: see Aligner._strings
+        codes = np.empty(len(a) + len(b), np.int64)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[cut_a[1:] - 1] = last_b[cut_b[1:] - 1] = True
+        codes[np.arange(len(a)) + np.repeat(cut_b[:-1], n_a)] = self.a + size_a * last_a
+        codes[np.arange(len(b)) + np.repeat(cut_a[1:], n_b)] = self.b + 2 * size_a + width * last_b
+        self.codes = codes.tolist()
+        # links of ordinary groups one by one; those of large groups as distinct pairs, when a window asks for them
+        self.large = np.flatnonzero(n_a * n_b > LARGE_GROUP).tolist()
+        each = np.where(n_a * n_b > LARGE_GROUP, 0, n_a * n_b)
+        first = np.concatenate(([0], np.cumsum(each)))
+        at = np.arange(first[-1]) - np.repeat(first[:-1], each)
+        per = np.repeat(n_b, each)
+        self.pairs = (self.a[np.repeat(cut_a[:-1], each) + at // per] * width + self.b[
+            np.repeat(cut_b[:-1], each) + at % per]).tobytes()
+        self.place = (8 * first).tolist()
+
+    def window(self, g: int, h: int, strings: list[str]) -> tuple[str, bytes, bytes | None]:
+        """Text, linked pairs, and how often each (None: as often as it is listed) of groups g to h."""
+        text = "".join(map(strings.__getitem__, self.codes[self.token[g]:self.token[h]]))[:-1]
+        pairs, times = self.pairs[self.place[g]:self.place[h]], None
+        if self.large and (large := [k for k in self.large if g <= k < h]):
+            more = [_distinct(self.a[self.cut_a[k]:self.cut_a[k + 1]], self.b[self.cut_b[k]:self.cut_b[k + 1]], self.width)
+                    for k in large]
+            times = np.concatenate([np.ones(len(pairs) // 8, np.int64), *(t for _, t in more)]).tobytes()
+            pairs += b"".join(p.tobytes() for p, _ in more)
+        return text, pairs, times
+
+
 class Aligner:
     """Alignment in one worker."""
 
@@ -96,11 +112,12 @@ class Aligner:
         self._bytes_a, self._bytes_b = self._a.token_bytes, piece_bytes(self._b)
         self._length_a = np.array([len(t) for t in self._bytes_a], np.int64)
         self._length_b = np.array([len(t) for t in self._bytes_b], np.int64)
-        self._list_a, self._list_b = self._length_a.tolist(), self._length_b.tolist()
         self._space_a = np.array([t[:1] == b" " for t in self._bytes_a])
         self._space_b = np.array([t[:1] == b" " for t in self._bytes_b])
         #: A pair is a * width + b.
         self.width = len(self._bytes_b)
+        sides = (range(len(self._bytes_a)), ",|"), (range(self.width), ",;")
+        self._strings = [f"{i}{mark}" for ids, marks in sides for mark in marks for i in ids]
         self._held: dict[tuple[bytes, bytes], tuple] = {}
 
     def encode(self, batch: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
@@ -111,8 +128,8 @@ class Aligner:
         out = []
         for text, whole, a, b in zip(batch, full, side_a, side_b, strict=True):
             data = whole.encode()
-            same = text and b"".join(map(self._bytes_a.__getitem__, a.tolist())) == data and b"".join(
-                map(self._bytes_b.__getitem__, b)) == data
+            # a byte-level BPE only cuts a text's bytes, so its lengths say enough
+            same = text and int(self._length_a[a].sum()) == len(data) and b"".join(map(self._bytes_b.__getitem__, b)) == data
             out.append((a, np.array(b, np.uint32)) if same else None)
         return out
 
@@ -125,27 +142,31 @@ class Aligner:
         cut_a, cut_b = np.flatnonzero(shared[end_a] == 3) + 1, np.flatnonzero(shared[end_b] == 3) + 1
         # anchors: shared ends before space-marked tokens of both sides; the text's end closes the last window
         anchor = self._space_a[a[cut_a[:-1]]] & self._space_b[b[cut_b[:-1]]]
-        edge_a = [0, *cut_a[:-1][anchor].tolist(), len(a)]
-        edge_b = [0, *cut_b[:-1][anchor].tolist(), len(b)]
+        cut_a, cut_b = np.concatenate(([0], cut_a)), np.concatenate(([0], cut_b))
+        edge = np.concatenate(([0], np.flatnonzero(anchor) + 1, [len(cut_a) - 1]))
         raw_a, raw_b, held = a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), self._held
-        keys = [(raw_a[4 * i:4 * j], raw_b[4 * k:4 * m]) for (i, j), (k, m) in zip(pairwise(edge_a), pairwise(edge_b), strict=True)]
-        found = [held.get(key) or self._window(key) for key in keys]
-        text, groups, links, pairs, times = zip(*found, strict=True)
-        pairs = np.frombuffer(b"".join(pairs), np.int64)
-        distinct, at = np.unique(pairs, return_inverse=True)
-        times = np.bincount(at, weights=np.frombuffer(b"".join(times), np.int64), minlength=len(distinct)).astype(np.int64)
-        return sum(groups), sum(links), ";".join(text), distinct, times
-
-    def _window(self, key: tuple[bytes, bytes]) -> tuple:
-        a, b = (np.frombuffer(k, "<u4").tolist() for k in key)
-        w = Window(a, b, self._list_a, self._list_b, self.width)
-        pairs, times = (np.concatenate(c) for c in zip(*w.pairs, strict=True))
-        made = (w.text, w.n_groups, w.n_links, pairs.tobytes(), times.tobytes())
-        if len(a) + len(b) <= WINDOW_TOKENS:
-            if len(self._held) >= HELD_WINDOWS:
-                self._held.clear()
-            self._held[key] = made
-        return made
+        keys = [(raw_a[i:j], raw_b[k:m]) for (i, j), (k, m) in zip(
+            pairwise((4 * cut_a[edge]).tolist()), pairwise((4 * cut_b[edge]).tolist()), strict=True)]
+        found = list(map(held.get, keys))
+        if None in found:
+            groups, edge = Groups(a, b, cut_a, cut_b, self.width, len(self._bytes_a)), edge.tolist()
+            for k in [k for k, made in enumerate(found) if made is None]:
+                key = keys[k]
+                found[k] = made = groups.window(edge[k], edge[k + 1], self._strings)
+                if len(key[0]) + len(key[1]) <= 4 * WINDOW_TOKENS:
+                    held[key] = made
+            if len(held) > HELD_WINDOWS:
+                held.clear()
+        text, pairs, times = zip(*found, strict=True)
+        all_pairs = np.frombuffer(b"".join(pairs), np.int64)
+        if not any(times):
+            distinct, counts = np.unique(all_pairs, return_counts=True)
+        else:
+            distinct, at = np.unique(all_pairs, return_inverse=True)
+            each = [np.ones(len(p) // 8, np.int64) if t is None else np.frombuffer(t, np.int64) for p, t in zip(pairs, times, strict=True)]
+            counts = np.zeros(len(distinct), np.int64)
+            np.add.at(counts, at, np.concatenate(each))
+        return len(cut_a) - 1, int(np.diff(cut_a) @ np.diff(cut_b)), ";".join(text), distinct, counts
 
 
 _DOC = pa.schema([("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
