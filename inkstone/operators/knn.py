@@ -5,14 +5,15 @@
 * ``knn_per_key`` — one query vector per key (e.g. a model centroid), joined on
   that key; top-k per key through a window that Spark limits map-side.
 * ``knn_join`` — many queries x corpus, matched within a key (the model) and
-  the vector's dimension.  Both sides of a key are dealt into blocks of bounded
+  the vector's dimension.  A key of more than one block is cut into lists
+  (``lists``): a query visits only lists that can hold one of its neighbours by
+  the triangle inequality.  Both sides of a group of lists are dealt into blocks of bounded
   size; every pair of blocks is one task that scores its block with matrix
-  products and returns its k best per query.  One plan at every size: nothing
-  is collected to the driver, nothing is broadcast, and a key that holds most
-  of the rows is as many tasks as its blocks need.
-* ``knn_approx`` — random-projection buckets as keys of the same join, so only
-  vectors that share a bucket meet, and an over-full bucket is dealt into
-  blocks like any other key.
+  products and returns its k best per query.  No rows are collected to the driver or
+  broadcast, and a list that holds most of the rows is as many tasks as its
+  blocks need.  Keys whose vectors have no clusters are searched whole.
+* ``knn_approx`` — the same lists with multi-probe: a query visits its nearest
+  lists, sign codes pick the rows of a list that are scored.
 
 Vectors of another dimension than the query's never match (``dimension_split``
 reports them).  Distances that are NaN (cosine of a zero vector) rank last.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkstone.functions import vectors as V
+from inkstone.operators import lists as L
 
 #: Rows of either side in one task of the join.
 BLOCK_ROWS = 4096
@@ -75,10 +77,6 @@ def knn_per_key(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "l2
 
 # ---------------------------------------------------------------- knn_join
 
-def _matrix(series: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series])
-
-
 def _dist_matrix(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
     g = q @ c.T
     if metric == "inner_product":
@@ -115,7 +113,7 @@ def _block_topk(k: int, metric: str, exclude_self: bool):
             return pd.DataFrame({c: [] for c in ("query_id", "id", "article_id", "distance")})
         qid, cid = queries["query_id"].to_numpy(np.int64), corpus["id"].to_numpy(np.int64)
         aid = corpus["article_id"].to_numpy(np.int64)
-        q, c = _matrix(queries["vector"]), _matrix(corpus["vector"])
+        q, c = L.matrix(queries["vector"]), L.matrix(corpus["vector"])
         step = max(1, _CELLS // len(cid))
         parts = []
         for s in range(0, len(qid), step):
@@ -144,6 +142,47 @@ _JOIN_SCHEMA = T.StructType([
 ])
 
 
+def _sides(queries: DataFrame, corpus: DataFrame, qid: str, qvec: str, model: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
+    """(query_id, key, dim, vector) and (id, article_id, key, dim, vector) of valid vectors."""
+    q = queries.filter(V.is_valid(F.col(qvec))).select(
+        F.col(qid).cast("long").alias("query_id"), F.col(model).alias("key"), F.size(qvec).alias("dim"),
+        F.col(qvec).cast("array<double>").alias("vector"))
+    c = corpus.filter(V.is_valid(F.col(vec_col))).select(
+        F.col("id").cast("long").alias("id"), F.col("article_id").cast("long").alias("article_id"),
+        F.col(model).alias("key"), F.size(vec_col).alias("dim"), F.col(vec_col).cast("array<double>").alias("vector"))
+    return q, c
+
+
+_ON = ["key", "dim", "grp"]
+
+
+def list_sizes(visits: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(key, dim, grp, n_queries, n_rows) of the groups of lists that both sides have."""
+    one, none = F.lit(1), F.lit(0)
+    both = visits.select(*_ON, one.alias("q"), none.alias("c")).unionByName(assigned.select(*_ON, none.alias("q"), one.alias("c")))
+    return both.groupBy(*_ON).agg(F.sum("q").alias("n_queries"), F.sum("c").alias("n_rows")).where(
+        "key IS NOT NULL AND n_queries > 0 AND n_rows > 0")
+
+
+def _block_join(visits: DataFrame, assigned: DataFrame, run, schema: T.StructType, block_rows: int) -> DataFrame:
+    """Every block of a group's queries against every block of its rows, each pair one cogrouped task."""
+    dealt = list_sizes(visits, assigned).select(
+        *_ON, F.ceil(F.col("n_queries") / block_rows).cast("int").alias("nq"),
+        F.ceil(F.col("n_rows") / block_rows).cast("int").alias("nc"))
+
+    def block(id_col: str, n: str):
+        return F.pmod(F.xxhash64(id_col), F.col(n)).cast("int")
+
+    def all_of(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    qs = visits.join(dealt, _ON).withColumn("qb", block("query_id", "nq")).withColumn("cb", all_of("nc"))
+    cs = assigned.join(dealt, _ON).withColumn("cb", block("id", "nc")).withColumn("qb", all_of("nq"))
+    task = [*_ON, "qb", "cb"]
+    return qs.select(*task, "query_id", "vector").groupBy(*task).cogroup(
+        cs.select(*task, "id", "article_id", "list", "vector").groupBy(*task)).applyInPandas(run, schema)
+
+
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
              exclude_self: bool = False, qid: str = "query_id", qvec: str = "query_vector",
              model: str = "model_id", vec_col: str = "vector", block_rows: int = BLOCK_ROWS,
@@ -159,35 +198,20 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
     if metric not in V.METRICS:
         raise ValueError(f"metric must be one of {V.METRICS}")
     per_key = keep is not None
-    q = queries.filter(V.is_valid(F.col(qvec))).select(
-        F.col(qid).cast("long").alias("query_id"), F.col(model).alias("key"), F.size(qvec).alias("dim"),
-        F.col(qvec).cast("array<double>").alias("vector"))
-    c = corpus.filter(V.is_valid(F.col(vec_col))).select(
-        F.col("id").cast("long").alias("id"), F.col("article_id").cast("long").alias("article_id"),
-        F.col(model).alias("key"), F.size(vec_col).alias("dim"), F.col(vec_col).cast("array<double>").alias("vector"))
-    on = ["key", "dim"]
-    blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
-    nq, nc = q.groupBy(*on).agg(blocks.alias("nq")), c.groupBy(*on).agg(blocks.alias("nc"))
-    dealt = nq.join(nc, on)  # one row per key that both sides have
-
-    def block(id_col: str, n: str):
-        return F.pmod(F.xxhash64(id_col), F.col(n)).cast("int")
-
-    def all_of(n: str):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    qs = q.join(dealt, on).withColumn("qb", block("query_id", "nq")).withColumn("cb", all_of("nc"))
-    cs = c.join(dealt, on).withColumn("cb", block("id", "nc")).withColumn("qb", all_of("nq"))
-    body = _block_topk(k, metric, exclude_self)
-    task = [*on, "qb", "cb"]
+    q, c = _sides(queries, corpus, qid, qvec, model, vec_col)
+    spare = 1 if exclude_self else 0
+    index = L.build(c, metric, k + spare, block_rows, block_rows, exact=True)
+    assigned = L.assign(c, index, metric)
+    L.measure(assigned, index, k + spare)
+    visits = L.route(q, index, metric, k, exact=True, spare=spare)
     schema = T.StructType([*_JOIN_SCHEMA.fields, T.StructField("key", c.schema["key"].dataType)]) if per_key else _JOIN_SCHEMA
+    body = _block_topk(k, metric, exclude_self)
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = body(left, right)
         return out.assign(key=key[0]) if per_key else out
 
-    cand = qs.select(*task, "query_id", "vector").groupBy(*task).cogroup(
-        cs.select(*task, "id", "article_id", "vector").groupBy(*task)).applyInPandas(run, schema)
+    cand = _block_join(visits, assigned, run, schema, block_rows)
     if per_key:
         ranked = cand.withColumn("rank", F.row_number().over(_rank_window("key", "query_id")))
         return ranked.filter(F.col("rank") <= k).withColumnRenamed("key", keep[0])
@@ -200,46 +224,78 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
 
 # ---------------------------------------------------------------- approximate
 
-def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine",
-               bucket_length: float | None = None, num_tables: int = 8, seed: int = 7,
-               qid: str = "query_id", qvec: str = "query_vector", vec_col: str = "vector",
-               exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """LSH candidates + exact re-rank (the HNSW index re-aimed).
-
-    Vectors (unit-normalised for cosine) are hashed by
-    ``BucketedRandomProjectionLSH``; every (model, table, bucket) is a key of
-    the exact block join, so only same-bucket pairs are scored and none are
-    emitted.  Results per query are the best k over all tables (recall < 1 by
-    design).  The default bucket width is 1.5 / sqrt(dim): a projection of a
-    unit vector has standard deviation 1 / sqrt(dim), so a table has a handful
-    of buckets.
+#: Keys of fewer rows are searched whole.
+LEAST_ROWS = 64
+# Code distance of rows that a query may not have, and pairs scored at once.
+_FAR, _PAIRS = np.uint16(65535), 100_000
+_APPROX_SCHEMA = T.StructType([*_JOIN_SCHEMA.fields, T.StructField("scored", T.LongType())])
+
+
+def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", seed: int = 7,
+               qid: str = "query_id", qvec: str = "query_vector", vec_col: str = "vector", exclude_self: bool = False,
+               block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Approximate top-k within the same model: lists, multi-probe, sign codes, exact distances (the HNSW index re-aimed).
+
+    Every corpus row is in a list.  Per query, all pairs cost a look at its key's centres; rows of the visited lists
+    cost a comparison of sign codes; only the rows whose codes are nearest are scored.  Returns (query_id, id,
+    article_id, distance, rank, scored); scored: the query's full distances, to centres and rows.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    def unit(c):
-        return V.unit(c) if metric == "cosine" else c
-
-    def hashable(df, col):
-        # zero vectors have no direction: cosine is undefined (NaN), they cannot be hashed
-        ok = V.is_valid(F.col(col))
-        return df.filter(ok & (V.norm(F.col(col)) > 0) if metric == "cosine" else ok)
-
-    c = hashable(corpus, vec_col).withColumn("_u", array_to_vector(unit(F.col(vec_col))))
-    q = hashable(queries, qvec).withColumn("_u", array_to_vector(unit(F.col(qvec))))
-    if bucket_length is None:
-        dim = c.select(F.max(F.size(vec_col))).first()[0] or 1
-        bucket_length = 1.5 / math.sqrt(dim)
-    lsh = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(c.select("_u").limit(1))
-
-    def keyed(df, model_col):
-        h = lsh.transform(df).select("*", F.posexplode("_h").alias("_t", "_hv"))
-        key = F.xxhash64(F.col(model_col), F.col("_t"), vector_to_array(F.col("_hv"))[0])
-        return h.withColumn("_key", key).drop("_u", "_h", "_t", "_hv")
-
-    return knn_join(keyed(q, "model_id"), keyed(c, "model_id"), k, metric, exclude_self=exclude_self,
-                    qid=qid, qvec=qvec, model="_key", vec_col=vec_col, block_rows=block_rows, unique_queries=False)
+    q, c = _sides(queries, corpus, qid, qvec, "model_id", vec_col)
+    index = L.build(c, metric, k, LEAST_ROWS, block_rows, exact=False, seed=seed)
+    assigned = L.assign(c, index, metric).where(F.col("list") != L.NO_PLACE)
+    visits = L.route(q, index, metric, k, exact=False)
+    shared = q.sparkSession.sparkContext.broadcast(index)
+    whole = _block_topk(k, metric, exclude_self)
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        mine = shared.value.get((key[0], key[1]))
+        if mine is None or not len(left) or not len(right):
+            out = whole(left, right)
+            return out.assign(scored=np.where(out["query_id"].duplicated(), 0, len(right)))
+        right = right.sort_values("id")
+        qid_, cid, aid = (x.to_numpy(np.int64) for x in (left["query_id"], right["id"], right["article_id"]))
+        qv, cv = L.matrix(left["vector"]), L.matrix(right["vector"])
+        home = right["list"].to_numpy()
+        code_q, code_c = (L.codes(L.placed(metric, x)[0], seed) for x in (qv, cv))
+        least = min(len(cid), k + 1)
+        step = max(1, _CELLS // len(cid))
+        parts = []
+        for s in range(0, len(qid_), step):
+            qi = qid_[s:s + step]
+            apart = L.differing(code_q[s:s + step], code_c)
+            apart[~mine.probed(metric, qv[s:s + step])[:, home]] = _FAR
+            if exclude_self:
+                apart[qi[:, None] == cid[None, :]] = _FAR
+            use = apart <= mine.bits
+            # the nearest codes at any rate, so no query is left without its k
+            first = np.argpartition(apart, least - 1, axis=1)[:, :least]
+            np.put_along_axis(use, first, np.take_along_axis(apart, first, axis=1) < _FAR, axis=1)
+            i, j = np.nonzero(use)
+            exact = np.concatenate([_exact(metric, qv[s + i[a:a + _PAIRS]], cv[j[a:a + _PAIRS]]) for a in range(0, len(i), _PAIRS)]
+                                   or [np.zeros(0)])
+            nan = np.isnan(exact)
+            order = np.lexsort((cid[j], np.where(nan, 0.0, exact), nan, i))
+            i, j, exact = i[order], j[order], exact[order]
+            scored = np.bincount(i, minlength=len(qi))
+            nth = np.arange(len(i)) - np.repeat(np.cumsum(scored) - scored, scored)
+            best = nth < k
+            parts.append(pd.DataFrame({"query_id": qi[i[best]], "id": cid[j[best]], "article_id": aid[j[best]],
+                                       "distance": exact[best], "scored": np.where(nth[best] == 0, scored[i[best]], 0)}))
+        return pd.concat(parts, ignore_index=True)
+
+    cand = _block_join(visits, assigned, run, _APPROX_SCHEMA, block_rows)
+    centres = {name: len(x.centers) for name, x in index.items()}
+    looks = F.lit(0)
+    if centres:
+        table = q.sparkSession.createDataFrame([(*name, n) for name, n in centres.items()],
+                                               f"key {q.schema['key'].dataType.simpleString()}, dim int, centres int")
+        # a row per key with lists, at most lists.KEYS
+        cost = q.select("query_id", "key", "dim").join(F.broadcast(table), ["key", "dim"]).select("query_id", "centres")
+        cand = cand.join(cost, "query_id", "left")
+        looks = F.coalesce("centres", F.lit(0))
+    total = F.sum("scored").over(Window.partitionBy("query_id"))
+    ranked = cand.withColumn("rank", F.row_number().over(_rank_window("query_id"))).withColumn("scored", total + looks)
+    return ranked.filter(F.col("rank") <= k).drop("centres")
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import vectors as V
 from inkstone.operators import knn as K
+from inkstone.operators import lists as L
 from inkstone.operators import vector_agg as VA
 from inkstone.sources import adapters as A
 
@@ -151,3 +152,81 @@ def test_knn_per_key_jvm_path_matches_kernel(spark, vecs):
     ker = {(r.query_id, r["rank"]): (r.id, round(r.distance, 9))
            for r in K.knn_join(cent.withColumn("query_id", F.col("model_id").cast("long")), v, 6, "cosine").collect()}
     assert jvm == ker and len(jvm) == 12
+
+
+def _clustered(spark, rows_per, clusters, dim=8, seed=5):
+    """One hot cluster with half of the rows, the rest evenly small, far apart."""
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(clusters, dim)) * 10
+    label = np.concatenate([np.zeros(rows_per * clusters // 2, int), rng.integers(1, clusters, rows_per * clusters // 2)])
+    x = centers[label] + rng.normal(size=(len(label), dim)) * 0.3
+    rows = [(i, i, 0, v.tolist()) for i, v in enumerate(x)]
+    rows += [(90_000, 1, 0, [0.0] * dim), (90_001, 1, 0, [float("nan")] * dim), (90_002, 1, 0, [1e200] * dim)]
+    return x, spark.createDataFrame(rows, "id long, article_id long, model_id int, vector array<double>").repartition(4)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "inner_product"])
+def test_knn_join_by_lists_equals_brute_force(spark, metric):
+    x, v = _clustered(spark, 40, 30)
+    q = v.select(F.col("id").alias("query_id"), "model_id", F.col("vector").alias("query_vector"))
+    qs, cs = K._sides(q, v, "query_id", "query_vector", "model_id", "vector")
+    index = L.build(cs, metric, 4, 60, 60, exact=True)
+    if metric != "inner_product":
+        assert len(index[0, 8].centers) > 20
+    got = K.knn_join(q, v, 4, metric, exclude_self=True, block_rows=60).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append((r["rank"], r.id))
+    whole = {r.id: np.asarray(r.vector) for r in v.collect()}
+    ids = np.array(sorted(whole))
+    c = np.stack([whole[i] for i in ids])
+    for i in [*range(0, len(x), 11), 90_000, 90_001, 90_002]:
+        with np.errstate(all="ignore"):
+            d = K._exact(metric, whole[i][None, :], c)
+        nan = np.isnan(d)
+        order = np.lexsort((ids, np.where(nan, 0.0, d), nan, ids == i))[:4]
+        assert sorted(by[i]) == [(n + 1, ids[j]) for n, j in enumerate(order)], i
+
+
+def test_lists_spare_most_block_pairs_of_clustered_vectors_and_split_a_hot_list(spark):
+    x, v = _clustered(spark, 40, 30)
+    q = v.select(F.col("id").alias("query_id"), "model_id", F.col("vector").alias("query_vector"))
+    qs, cs = K._sides(q, v, "query_id", "query_vector", "model_id", "vector")
+    index = L.build(cs, "l2", 5, 60, 60, exact=True)
+    assigned = L.assign(cs, index, "l2")
+    L.measure(assigned, index, 5)
+    sizes = K.list_sizes(L.route(qs, index, "l2", 4, exact=True, spare=1), assigned).collect()
+    pairs = sum(r["n_queries"] * r["n_rows"] for r in sizes)
+    assert pairs < 0.4 * len(x) ** 2  # the hot cluster alone is a quarter
+    assert max(r["n_rows"] for r in sizes) >= 60  # dealt into several blocks
+    # vectors without clusters are searched whole
+    flat = spark.createDataFrame([(i, i, 0, r.tolist()) for i, r in enumerate(np.random.default_rng(1).normal(size=(900, 64)))],
+                                 "id long, article_id long, model_id int, vector array<double>")
+    _, fs = K._sides(q, flat, "query_id", "query_vector", "model_id", "vector")
+    assert L.build(fs, "cosine", 5, 60, 60, exact=True) == {}
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_knn_approx_on_clusters_finds_nearly_all_for_few_pairs(spark, metric):
+    x, v = _clustered(spark, 60, 30)
+    v = v.where("id < 90000")
+    q = v.select(F.col("id").alias("query_id"), "model_id", F.col("vector").alias("query_vector"))
+    exact = K.knn_join(q, v, 5, metric, exclude_self=True)
+    found = K.knn_approx(q, v, 5, metric, exclude_self=True, block_rows=300).cache()
+    assert K.recall_at_k(found, exact).first().recall >= 0.9
+    work = found.where("rank = 1").agg(F.sum("scored")).first()[0]
+    assert work <= 0.2 * len(x) ** 2
+    assert found.groupBy("query_id").count().where("count <> 5").count() == 0
+
+
+def test_knn_approx_odd_rows(spark):
+    rows = [(i, i, i % 3, [float(i % 7), float(i), 1.0]) for i in range(300)]
+    rows += [(900, 1, 0, [0.0] * 3), (901, 1, 0, None), (902, 1, 0, []), (903, 1, 7, [1.0, 2.0, 3.0]), (904, 1, None, [1.0] * 3),
+             (905, 1, 0, [float("nan")] * 3), (906, 1, 0, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "id long, article_id long, model_id int, vector array<double>").repartition(3)
+    q = v.select(F.col("id").alias("query_id"), "model_id", F.col("vector").alias("query_vector"))
+    got = K.knn_approx(q, v, 3, "cosine", exclude_self=True).collect()
+    assert {r.query_id for r in got} >= set(range(300)) and not {901, 902, 904} & {r.query_id for r in got}
+    assert all(r.id < 900 for r in got if r.query_id < 300)
+    assert K.knn_approx(q.limit(0), v, 3, "cosine").count() == 0
+    assert K.knn_approx(q, v.limit(0), 3, "cosine").count() == 0
