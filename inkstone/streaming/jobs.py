@@ -10,6 +10,7 @@ overwrite, which makes replays of an epoch idempotent.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from inkstone import session as S
 from inkstone.streaming import commands as CM
+from inkstone.streaming import state as ST
 
 WIRE_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -68,14 +70,19 @@ def dead_letter_job(wire: DataFrame, good_path: str, dead_path: str, name: str =
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+#: Epochs after which the task table is folded into one.
+FOLD = 16
+
+
 def task_state_job(wire: DataFrame, out_path: str, name: str = "task-state",
-                   trigger: dict | None = None) -> StreamingQuery:
+                   trigger: dict | None = None, fold: int = FOLD) -> StreamingQuery:
     """Latest status per task and day: dedupe redeliveries within the horizon, then a streaming ``max_by``
     aggregate in update mode.
 
     State is one row per task and day of events and goes when the watermark
-    passes the day, so it never grows with the tasks of the past;
-    ``latest_tasks`` merges what the epochs wrote into one row per task.
+    passes the day, so it never grows with the tasks of the past.  Every
+    ``fold`` epochs what they wrote is folded into one table of task days, and
+    ``latest_tasks`` reads the last of these and the epochs since.
     """
     spark = wire.sparkSession
     parsed = with_event_time(CM.parse(wire)).filter(F.col("reason").isNull())
@@ -90,17 +97,50 @@ def task_state_job(wire: DataFrame, out_path: str, name: str = "task-state",
         F.max(F.when(failed, order)).alias("last_error"),
         F.min("event_at").alias("created_at"), F.max("event_at").alias("updated_at"), F.count("*").alias("n_events"))
     agg = agg.withColumn("day", F.col("window.start")).drop("window")
-    return (agg.writeStream.outputMode("update").foreachBatch(_epoch_sink(out_path))
+    write = _epoch_sink(out_path)
+
+    def merge(batch: DataFrame, epoch_id: int) -> None:
+        write(batch, epoch_id)
+        if epoch_id % fold == fold - 1:
+            _task_days(batch.sparkSession, out_path, epoch_id).write.mode("overwrite").parquet(f"{_folded(out_path)}/upto={epoch_id}")
+
+    return (agg.writeStream.outputMode("update").foreachBatch(merge)
             .option("checkpointLocation", checkpoint_for(spark, name))
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def _folded(path: str) -> str:
+    return f"{path.rstrip('/')}-folded"
+
+
+def _numbers(spark: SparkSession, path: str, label: str) -> list[int]:
+    """The numbers in the folder names ``label=<n>`` below ``path`` that hold finished output."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{label}=*/_SUCCESS")
+    status = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found)
+    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in status or [])
+
+
+def _task_days(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """Newest row per task and day: the last folded table and the epochs after it, nothing older."""
+    bases = [n for n in _numbers(spark, _folded(path), "upto") if upto is None or n < upto]
+    since = bases[-1] if bases else -1
+    epochs = [n for n in _numbers(spark, path, "epoch") if n > since and (upto is None or n <= upto)]
+    parts = [spark.read.parquet(f"{path}/epoch={n}").withColumn("epoch", F.lit(n)) for n in epochs]
+    if bases:
+        parts.append(spark.read.parquet(f"{_folded(path)}/upto={since}").withColumn("epoch", F.lit(since)))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("task_id", "day").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (
+        "task_id", "day", "epoch")]), "epoch").alias("r")).select("task_id", "day", "r.*")
+
+
 def latest_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """One row per task from the epochs of ``task_state_job``: the newest row of each day, then days merged."""
-    epochs = spark.read.option("basePath", path).parquet(path)  # epoch comes from the folder names
-    days = epochs.groupBy("task_id", "day").agg(F.max_by(F.struct(*[c for c in epochs.columns if c not in (
-        "task_id", "day", "epoch")]), "epoch").alias("r")).select("task_id", "r.*")
-    return days.groupBy("task_id").agg(
+    """One row per task from what ``task_state_job`` wrote: the newest row of each day, then days merged.
+
+    Reads the last folded table and the epochs after it, ``FOLD`` at most.
+    """
+    return _task_days(spark, path).groupBy("task_id").agg(
         F.max_by("status", "last").alias("status"), F.max_by("error_message", "last_error").alias("error_message"),
         F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.sum("n_events").alias("n_events"))
 
@@ -179,45 +219,55 @@ RETRY_SCHEMA = T.StructType([
 ])
 
 
-def _retry_state_fn(base_ms: int, max_ms: int, max_attempts: int | None, idle_ms: int):
-    import pandas as pd
-
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:  # no failure for a whole horizon: forget the task
-            state.remove()
-            return
-        attempts = state.get[0] if state.exists else 0
-        for pdf in pdfs:  # one Arrow batch of the task at a time: a task is never held whole
-            out = []
-            rows = pdf.sort_values(["event_at", "event_id"])
-            for eid, at in zip(rows["event_id"], rows["event_at"], strict=True):
-                delay = int(max_ms if attempts > 40 else min(max_ms, base_ms * 2 ** attempts))
-                dead = max_attempts is not None and attempts >= max_attempts
-                out.append((int(eid), key[0], attempts, delay, "dead_letter" if dead else "retry",
-                            None if dead else at + pd.Timedelta(milliseconds=delay)))
-                attempts += 1
-            yield pd.DataFrame(out, columns=RETRY_SCHEMA.fieldNames())
-        state.update((attempts,))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
-
-    return fn
-
-
 def retry_job(wire: DataFrame, out_path: str, policy=(500, 10_000, 3), name: str = "retry",
               trigger: dict | None = None) -> StreamingQuery:
-    """2.12.7 as a stream: attempt number per failed task, capped exponential delay, time of the next delivery
-    (the redelivery table), dead letter after the maximum.  State is one counter per task, dropped after a
-    horizon without failures (event-time timeout)."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
+    """2.12.7 as a stream: attempt number per failed task in event order, capped exponential delay, time of the next
+    delivery (the redelivery table), dead letter after the maximum.  A late failure renumbers those after it: the
+    newest epoch's row of an event holds (``latest_retries``).  State: the failures younger than the watermark and a
+    count of the older ones, dropped after a horizon without failures (event-time timer)."""
     spark = wire.sparkSession
     base, cap, max_attempts = policy
     failed = (with_event_time(CM.parse(wire)).filter(F.col("reason").isNull() & (F.col("subject") == CM.TASK_FAILED))
               .select("event_id", F.col("m")["task_id"].alias("task_id"), "event_at")
               .withWatermark("event_at", DEDUPE_HORIZON).dropDuplicatesWithinWatermark(["event_id"]))
-    out = failed.groupBy("task_id").applyInPandasWithState(
-        _retry_state_fn(base, cap, max_attempts, idle_ms=3 * 3600 * 1000), RETRY_SCHEMA,
-        "attempts long", "append", GroupStateTimeout.EventTimeTimeout)
+    out = failed.groupBy("task_id").transformWithStateInPandas(
+        ST.Retries(base, cap, max_attempts, idle_ms=3 * 3600 * 1000), RETRY_SCHEMA, "Append", "EventTime")
     return (out.writeStream.outputMode("append").foreachBatch(_epoch_sink(out_path))
             .option("checkpointLocation", checkpoint_for(spark, name))
             .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def latest_retries(spark: SparkSession, path: str) -> DataFrame:
+    """One row per failure from the epochs of ``retry_job``: its newest number."""
+    epochs = spark.read.option("basePath", path).parquet(path)
+    cols = [c for c in epochs.columns if c not in ("event_id", "epoch")]
+    return epochs.groupBy("event_id").agg(F.max_by(F.struct(*cols), "epoch").alias("r")).select("event_id", "r.*")
+
+
+def content_reads(wire: DataFrame, table: DataFrame, ttl: str = CACHE_TTL) -> DataFrame:
+    """2.12.6 as a stream: every processing step with the content it reads, from the cache within ``ttl`` of its task's
+    entry, else from ``table`` (task_id, content; a stream-static join), else null.
+
+    (event_id, task_id, event_at, served_from, content); served_from: cache or db.
+    """
+    parsed = with_event_time(CM.parse(wire)).filter(F.col("reason").isNull())
+    entry = F.col("subject") == CM.TASK_CREATED
+    step = (F.col("subject") == CM.TASK_UPDATE_STATUS) & (F.col("m")["status"] == "processing")
+    events = parsed.filter(entry | step).select(
+        "event_id", F.col("m")["task_id"].alias("task_id"), "event_at", entry.alias("is_entry"),
+        F.when(entry, F.col("m")["original_input"]).alias("content")).withWatermark("event_at", ttl)
+    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    read = events.groupBy("task_id").transformWithStateInPandas(
+        ST.ContentCache(ttl_ms), "event_id long, task_id string, event_at timestamp, hit boolean, cached string", "Append", "EventTime")
+    rows = table.select(F.col("task_id").alias("t_task"), F.col("content").alias("stored"))
+    joined = read.join(rows, F.col("task_id") == F.col("t_task"), "left")
+    return joined.select("event_id", "task_id", "event_at", F.when(F.col("hit"), "cache").otherwise("db").alias("served_from"),
+                         F.when(F.col("hit"), F.col("cached")).otherwise(F.col("stored")).alias("content"))
+
+
+def content_reads_job(wire: DataFrame, table: DataFrame, out_path: str, name: str = "content-reads",
+                      trigger: dict | None = None, ttl: str = CACHE_TTL) -> StreamingQuery:
+    spark = wire.sparkSession
+    return (content_reads(wire, table, ttl).writeStream.outputMode("append").foreachBatch(_epoch_sink(out_path))
+            .option("checkpointLocation", checkpoint_for(spark, name))
+            .trigger(**(trigger or {"availableNow": True})).start())
