@@ -1,9 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target number of words; a document is expected
-``target / source words`` times (times its relative weight, if weights are
-given).  The whole part of that number is taken for certain.  The fraction is
-an inclusion probability p: documents are ranked by
+Every source gets a target number of words.  Within it a document is expected
+``scale * weight`` times, ``max_copies`` at most; the source's scale is such that
+the expected words add up to the target.  Weights are those of a column, or,
+with ``by_size``, the binary digits of the document's size, so that longer
+documents are likelier; without either all are equal.  The whole part of that
+number is taken for certain.  The fraction is an inclusion probability p,
+different for documents of different weight: they are ranked by
 
     (u / (1 - u)) / (p / (1 - p)),   u = a hash of the doc_id, uniform in (0, 1)
 
@@ -78,26 +81,50 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_CO
     return src.select("source", "source_size", F.least(F.col("cap"), F.col("w") * F.lit(share)).alias("target"))
 
 
+def scales(sized: DataFrame, goal: DataFrame, max_copies: int) -> DataFrame:
+    """(scale_of, scale): per source, the number that weights are multiplied with.
+
+    Documents of the largest weights reach ``max_copies`` first.  With the heaviest weights down to some level full,
+    the others share what is left of the target; the scale is that of the first level that then stays below the most.
+    """
+    level = sized.where("size > 0 AND weight > 0").groupBy(F.col("source").alias("scale_of"), "weight").agg(
+        F.sum("size").alias("words"))
+    down = Window.partitionBy("scale_of").orderBy(F.col("weight").desc())
+    before = down.rowsBetween(Window.unboundedPreceding, -1)
+    after = down.rowsBetween(0, Window.unboundedFollowing)
+    level = level.withColumn("full", F.coalesce(F.sum("words").over(before), F.lit(0))).withColumn(
+        "open", F.sum(F.col("weight") * F.col("words")).over(after))
+    level = level.join(goal.select(F.col("source").alias("g"), "target"), F.col("scale_of").eqNullSafe(F.col("g")))
+    scale = (F.col("target") - max_copies * F.col("full")) / F.col("open")
+    return level.withColumn("scale", scale).where(F.col("scale") * F.col("weight") <= max_copies).groupBy("scale_of").agg(
+        F.max_by("scale", "weight").alias("scale"))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 7, bins: int = BINS,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weight_col: str | None = None) -> DataFrame:
+        weight_col: str | None = None, by_size: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row per document."""
-    weight = F.greatest(F.coalesce(docs[weight_col].cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
     size = F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("long")
+    if weight_col:  # three digits: a source has a bounded number of weights, however many documents
+        weight = F.format_string("%.2e", F.greatest(F.coalesce(docs[weight_col].cast("double"), F.lit(0.0)), F.lit(0.0))).cast("double")
+    else:
+        weight = F.length(F.bin(size)).cast("double") if by_size else F.lit(1.0)
     sized = stored(docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"),
                                size.alias("size"), weight.alias("weight")), "sizes")
     goal = targets(sized, weights, max_copies)
-    heavy = sized.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("weight") * F.col("size")).alias("weighted"))
-    goal = goal.join(heavy, goal["source"].eqNullSafe(heavy["s"])).drop("s").withColumnRenamed("source", "s")
-    wanted = F.when(F.col("weighted") > 0, F.least(
-        F.lit(float(max_copies)), F.col("weight") * F.col("target") / F.col("weighted"))).otherwise(0.0)
+    goal = goal.join(scales(sized, goal, max_copies), goal["source"].eqNullSafe(F.col("scale_of")), "left").drop(
+        "scale_of").withColumnRenamed("source", "s")
+    # without a scale even all copies of all documents stay below the target
+    wanted = F.when(F.col("weight") <= 0, 0.0).when(
+        F.col("scale").isNull() | (F.col("target") >= F.col("source_size") * max_copies), F.lit(float(max_copies))).otherwise(
+        F.least(F.lit(float(max_copies)), F.col("scale") * F.col("weight")))
     rows = _per_source(sized, goal, "s").withColumn("wanted", wanted)
     rows = rows.withColumn("whole", F.floor("wanted")).withColumn("p", F.col("wanted") - F.col("whole"))
     u = draw(F.col("doc_id"), seed)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     # rank in (0, 1): the odds ratio on a bounded scale, in the same order
     rows = rows.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (1 + odds)))
-    rows = rows.withColumn("bin", F.floor(F.col("rank") * bins)).drop("weighted", "wanted", "weight")
+    rows = rows.withColumn("bin", F.floor(F.col("rank") * bins)).drop("scale", "wanted", "weight")
 
     # what whole copies leave open, and the bin in which the running total crosses it
     per_bin = rows.groupBy("source", "bin").agg(
@@ -138,7 +165,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES,
                        (copies * F.col("size")).cast("long").alias("taken"))
 
 
-#: The same computation in DuckDB SQL (weights 5, 2, 1; seed 7).
+#: The same computation in DuckDB SQL (weights 5, 2, 1; seed 7; by size).
 SQL = """
 WITH sized AS (
   SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
@@ -152,19 +179,31 @@ fill AS (
          sum(w) OVER () - sum(w) OVER (ORDER BY 3.0 * source_size / w, source ROWS UNBOUNDED PRECEDING) AS open_w,
          sum(source_size) OVER () AS total
   FROM src),
-level AS (
+water AS (
   SELECT min(x) AS share FROM (
     SELECT (total - caps) / open_w AS x, caps, open_w, 3.0 * source_size / w AS r,
            lead(3.0 * source_size / w) OVER (ORDER BY 3.0 * source_size / w, source) AS nxt FROM fill WHERE open_w > 0
     UNION ALL SELECT max(total) / max(tw), 0, 0, 0, min(r) FROM (
       SELECT total, sum(w) OVER () AS tw, 3.0 * source_size / w AS r FROM fill))
   WHERE x >= r AND x <= coalesce(nxt, 1e300)),
-goal AS (SELECT source, source_size, least(3.0 * source_size, w * share)::DOUBLE AS target FROM src, level),
+goal AS (SELECT source, source_size, least(3.0 * source_size, w * share)::DOUBLE AS target FROM src, water),
+level AS (
+  SELECT source, length(bin(size)) AS weight, sum(size)::BIGINT AS words FROM sized WHERE size > 0 GROUP BY ALL),
+stair AS (
+  SELECT l.source, l.weight, g.target,
+         coalesce(sum(words) OVER (PARTITION BY l.source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used,
+         sum(weight * words) OVER (PARTITION BY l.source ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS open
+  FROM level l JOIN goal g ON l.source IS NOT DISTINCT FROM g.source),
+scale AS (
+  SELECT source, max_by((target - 3 * used) / open, weight) AS scale FROM stair
+  WHERE (target - 3 * used) / open * weight <= 3 GROUP BY source),
 drawn AS (
   SELECT d.doc_id, d.source, d.size, g.source_size, g.target,
-         CASE WHEN g.source_size > 0 THEN least(3.0, g.target / g.source_size) ELSE 0 END AS wanted,
+         CASE WHEN c.scale IS NULL OR g.target >= 3.0 * g.source_size THEN 3.0::DOUBLE
+              ELSE least(3.0::DOUBLE, c.scale * length(bin(d.size))) END AS wanted,
          (('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
-  FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source),
+  FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
+  LEFT JOIN scale c ON d.source IS NOT DISTINCT FROM c.source),
 odds AS (
   SELECT *, floor(wanted) AS whole,
          CASE WHEN wanted > floor(wanted) AND size > 0

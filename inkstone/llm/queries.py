@@ -99,7 +99,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op9_source_mix", mixing.SQL)
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).select(
+    return mixing.mix(read(spark, sf_dir, "documents"), by_size=True).select(
         "doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 

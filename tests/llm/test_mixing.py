@@ -71,3 +71,30 @@ def test_odd_documents_and_empty_table(spark):
     assert {x for x in sized if x[1] is not None} <= sizes
     assert got.where("size = 0 AND taken <> 0").count() == 0
     assert mixing.mix(odd.empty(spark)).count() == 0
+
+
+def test_inclusion_differs_between_documents_of_a_source(spark):
+    docs = many(spark)
+    got = mixing.mix(docs, by_size=True).where("size > 0").cache()
+    per = got.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g"), F.sum("size").alias("s")).collect()
+    for r in per:
+        assert abs(r["t"] - r["g"]) <= max(2, 0.01 * r["g"])
+    assert got.where("copies > 3").count() == 0
+    # between none and all copies, a longer document is taken more often
+    part = [r["source"] for r in per if 0.1 < r["g"] / r["s"] < 2.5 and r["source"]]
+    mean = {r["long"]: r["c"] for r in got.where(F.col("source").isin(part)).groupBy((F.col("size") > 60).alias("long")).agg(
+        F.avg("copies").alias("c")).collect()}
+    assert mean[True] > 1.2 * mean[False]
+    equal = mixing.mix(docs).where("size > 0")
+    assert got.join(equal.select("doc_id", F.col("copies").alias("e")), "doc_id").where("copies <> e").count() > 100
+
+
+@pytest.mark.parametrize("share", [0.2, 1.0, 1.7, 2.9, 3.0])
+def test_scales_fill_the_target(spark, share):
+    sizes = [(w, 10 * w + k) for w in (1, 2, 4, 9) for k in range(5)]
+    total = sum(s for _, s in sizes)
+    sized = spark.createDataFrame([("a", s, float(w)) for w, s in sizes] + [("b", 0, 1.0)], "source string, size long, weight double")
+    goal = spark.createDataFrame([("a", total, share * total), ("b", 0, 0.0)], "source string, source_size long, target double")
+    got = {r["scale_of"]: r["scale"] for r in mixing.scales(sized, goal, 3).collect()}
+    assert math.isclose(sum(min(3.0, got["a"] * w) * s for w, s in sizes), share * total, rel_tol=1e-9)
+    assert "b" not in got
