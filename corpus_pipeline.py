@@ -68,9 +68,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: every document as often as the mix takes it."""
+    """Operator 9, longer documents likelier: every document as often as the mix takes it."""
     rows = _numbered(docs)
-    taken = mixing.mix(rows.select("row_", "row.doc_id", "row.text", "row.source")).where("taken > 0").groupBy(
+    taken = mixing.mix(rows.select("row_", "row.doc_id", "row.text", "row.source"), by_size=True).where("taken > 0").groupBy(
         F.col("doc_id").alias("taken_id")).agg(F.max("copies").cast("int").alias("copies"))
     taken = rows.select("row_", "row.doc_id").join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id"))).select("row_", "copies")
     whole = rows.join(taken.hint("merge"), "row_")
