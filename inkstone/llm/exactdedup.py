@@ -6,7 +6,10 @@ leading bit, and the directory doubles whenever a split needs a bit that it
 does not have yet.  A bucket's keys therefore form one key range, which one
 owner task sorts and writes as its own files.  Within a key, entries are
 chained: the build groups by key *and* normalised text, so two texts share an
-entry only if their bytes are equal, however the hash behaves.  At
+entry only if their bytes are equal, however the hash behaves.  Copies of a text
+are first combined within ``SALTS`` shares of the input, so a text that fills a
+third of the table reaches its owner as a few entries; the directory sends these
+to their buckets, and only there do groups, sizes and the ids to keep come about.  At
 ``max_depth`` buckets stop splitting and simply grow (the exact way past the
 limit).  Only DataFrame functions are used.
 
@@ -27,6 +30,8 @@ from inkstone.llm.common import SPACE, code_points, shared_path, stored, texts
 
 #: Distinct keys that a bucket holds before it splits.
 CAPACITY = 16_384
+#: Shares of the input within which copies are combined before they go to their bucket.
+SALTS = 16
 #: Bits of the largest directory: 65,536 entries, the proven bound of the broadcast below.
 MAX_DEPTH = 16
 
@@ -87,22 +92,26 @@ def build_index(docs: DataFrame, keys: DataFrame, path: str, capacity: int = CAP
     """Write the index of ``docs`` to ``path`` and return it as stored.
 
     One entry per distinct normalised text: bucket, key, sha (of the text),
-    size (rows), keep_id.  Copies collapse before the shuffle, so a text that
-    fills a third of the table travels once per input task.
+    size (rows), keep_id.
     """
     # longest original text first, then smallest id, as one number that partial aggregation can hold
     step = F.lit(Decimal(10 ** 20))
     no_id = F.lit(Decimal(10 ** 19))  # beyond every long
     rank = F.col("n").cast("decimal(12,0)") * step - F.coalesce(F.col("doc_id").cast("decimal(20,0)"), no_id)
-    entries = _keyed(docs, key_bits, id_col, text_col).withColumn("rank", rank).groupBy(
-        "key", "norm").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.max("rank").alias("rank"))
-    keep = F.col("n").cast("decimal(12,0)") * step - F.col("rank")
-    entries = entries.select("key", F.sha2("norm", 256).alias("sha"), "size",
-                             F.when(keep < no_id, keep).cast("long").alias("keep_id"))
+    rows = _keyed(docs, key_bits, id_col, text_col).withColumn("rank", rank).withColumn(
+        "share", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    local = rows.groupBy("share", "key", "norm").agg(
+        F.count(F.lit(1)).alias("size"), F.max("n").alias("n"), F.max("rank").alias("rank"))
     slots, depth = directory(keys, capacity, max_depth)
     # at most 2 ** max_depth directory entries
-    owned = entries.withColumn("slot", _lead(F.col("key"), depth)).join(F.broadcast(slots), "slot").drop("slot")
-    owned.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(path)
+    sent = local.withColumn("slot", _lead(F.col("key"), depth)).join(F.broadcast(slots), "slot").drop("slot", "share")
+    # the owner of a bucket chains the entries of a key: equal bytes are one entry (no shuffle, the bucket is here whole)
+    chained = sent.repartition("bucket").groupBy("bucket", "depth", "key", "norm").agg(
+        F.sum("size").alias("size"), F.max("n").alias("n"), F.max("rank").alias("rank"))
+    keep = F.col("n").cast("decimal(12,0)") * step - F.col("rank")
+    entries = chained.select("key", F.sha2("norm", 256).alias("sha"), "size",
+                             F.when(keep < no_id, keep).cast("long").alias("keep_id"), "depth", "bucket")
+    entries.sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(path)
     return docs.sparkSession.read.schema("key long, sha string, size long, keep_id long, depth int, bucket long").parquet(path)
 
 
