@@ -10,6 +10,8 @@ overwrite, which makes replays of an epoch idempotent.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from inkstone import session as S
+from inkstone.sources import messages as M
 from inkstone.streaming import commands as CM
 from inkstone.streaming import state as ST
 
@@ -38,6 +41,42 @@ def read_wire(spark: SparkSession, path: str, max_files_per_trigger: int | None
     return reader.json(path)
 
 
+def read_messages(spark: SparkSession, log: str, consumer: str | None = None, deliver: str = "all",
+                  max_messages: int | None = None) -> DataFrame:
+    """Message source: the log at ``log`` (``sources.messages``) with seq, event_id, subject, data."""
+    M.register(spark)
+    reader = spark.readStream.format(M.NAME).option("deliver", deliver)
+    for key, value in (("consumer", consumer), ("maxMessagesPerBatch", max_messages)):
+        if value is not None:
+            reader = reader.option(key, value)
+    return reader.load(log)
+
+
+def consume_job(spark: SparkSession, log: str, consumer: str, handle: Callable[[DataFrame, int], None], deliver: str = "all",
+                max_messages: int | None = None, name: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Hand every micro-batch of the log to ``handle(batch, epoch)`` and acknowledge it when that returns.
+
+    If ``handle`` fails, the query stops without an acknowledgement and the same messages come again at its restart.
+    """
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        handle(batch, epoch_id)
+        last = batch.agg(F.max("seq")).first()[0]
+        if last is not None:
+            M.acknowledge(log, consumer, last + 1)
+
+    stream = read_messages(spark, log, consumer, deliver, max_messages)
+    return (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_for(spark, name or f"consume-{consumer}"))
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def publish(commands: DataFrame, log: str, name: str = "publish-log", trigger: dict | None = None) -> StreamingQuery:
+    """Message sink: append (event_id, subject, data) to a log, every message once, with retried publishes."""
+    M.register(commands.sparkSession)
+    return (commands.select("event_id", "subject", "data").writeStream.format(M.NAME)
+            .option("checkpointLocation", checkpoint_for(commands.sparkSession, name))
+            .trigger(**(trigger or {"availableNow": True})).start(log))
+
+
 def with_event_time(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("event_at", F.timestamp_seconds(F.col("m")["event_at"]).cast("timestamp"))
 
