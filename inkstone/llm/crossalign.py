@@ -42,7 +42,7 @@ from inkstone.llm.common import arrow_batches, stored, texts
 #: Pairs that the documents of a block hold, in all, before it is closed, and the most documents of a block.
 BLOCK_PAIRS, BLOCK_DOCS = 1_000_000, 20_000
 #: Windows kept by a worker, and the most tokens of a window that is kept; results never depend on it.
-HELD_WINDOWS = 400_000
+HELD_WINDOWS = 300_000
 WINDOW_TOKENS = 48
 #: Links of a group beyond which its distinct pairs are found first.
 LARGE_GROUP = 1024
@@ -118,7 +118,7 @@ class Aligner:
         self.width = len(self._bytes_b)
         sides = (range(len(self._bytes_a)), ",|"), (range(self.width), ",;")
         self._strings = [f"{i}{mark}" for ids, marks in sides for mark in marks for i in ids]
-        self._held: dict[tuple[bytes, bytes], tuple] = {}
+        self._held: dict[bytes, tuple] = {}
 
     def encode(self, batch: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """The ids of either side per text; None where a side does not give the text back."""
@@ -144,16 +144,20 @@ class Aligner:
         anchor = self._space_a[a[cut_a[:-1]]] & self._space_b[b[cut_b[:-1]]]
         cut_a, cut_b = np.concatenate(([0], cut_a)), np.concatenate(([0], cut_b))
         edge = np.concatenate(([0], np.flatnonzero(anchor) + 1, [len(cut_a) - 1]))
-        raw_a, raw_b, held = a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), self._held
-        keys = [(raw_a[i:j], raw_b[k:m]) for (i, j), (k, m) in zip(
-            pairwise((4 * cut_a[edge]).tolist()), pairwise((4 * cut_b[edge]).tolist()), strict=True)]
+        # a window's key: its A ids, then its B ids with A's size added, so one tuple of numbers names both
+        edge_a, edge_b, held = cut_a[edge], cut_b[edge], self._held
+        both = np.empty(len(a) + len(b), np.uint32)
+        both[np.arange(len(a)) + np.repeat(edge_b[:-1], np.diff(edge_a))] = a
+        both[np.arange(len(b)) + np.repeat(edge_a[1:], np.diff(edge_b))] = b + np.uint32(len(self._bytes_a))
+        raw = both.tobytes()
+        keys = [raw[i:j] for i, j in pairwise((4 * (edge_a + edge_b)).tolist())]
         found = list(map(held.get, keys))
         if None in found:
             groups, edge = Groups(a, b, cut_a, cut_b, self.width, len(self._bytes_a)), edge.tolist()
             for k in [k for k, made in enumerate(found) if made is None]:
                 key = keys[k]
                 found[k] = made = groups.window(edge[k], edge[k + 1], self._strings)
-                if len(key[0]) + len(key[1]) <= 4 * WINDOW_TOKENS:
+                if len(key) <= 4 * WINDOW_TOKENS:
                     held[key] = made
             if len(held) > HELD_WINDOWS:
                 held.clear()
