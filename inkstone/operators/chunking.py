@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.functions.bind import let, let2
+from inkstone.functions.bind import let, let2, running_sums
 from inkstone.sources.adapters import running_byte_cuts
 
 
@@ -65,12 +65,9 @@ def paragraph_starts(paragraphs: Column) -> Column:
 
 
 def _prefix_exclusive(lens: Column) -> Column:
-    """[0, x1, x1+x2, ...]: one fold per row (bounded by the array length)."""
-    return F.aggregate(
-        lens, F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("run")),
-        lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["run"])).alias("out"),
-                                (acc["run"] + x).cast("int").alias("run")),
-        lambda acc: acc["out"])
+    """[0, x1, x1+x2, ...], as long as ``lens``."""
+    return let(running_sums(lens), lambda sums: F.when(F.size(sums) > 0, F.concat(
+        F.array(F.lit(0)), F.slice(sums, 1, F.size(sums) - 1))).otherwise(sums))
 
 
 def paragraph_offsets(df: DataFrame, paragraphs_col: str = "paragraphs", id_col: str = "id",
@@ -231,17 +228,12 @@ def byte_cuts(paragraphs: Column) -> Column:
 def split_by_cuts(text: Column, cuts: Column) -> Column:
     """2.9.3 inverse: slice text by byte cuts; empty pieces skipped; no cuts -> [text].
 
-    The encoded bytes ride in the fold's accumulator so they are computed once
-    per row, not once per piece.
+    The encoded bytes and the cuts are bound once per row, not once per piece.
     """
-    heads = F.concat(F.array(F.lit(0)), F.slice(cuts, 1, F.greatest(F.size(cuts) - 1, F.lit(0))))
-    zero = F.struct(F.encode(text, "UTF-8").alias("b"), F.array().cast("array<string>").alias("out"))
+    def pieces(data: Column, ends: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))))
+        kept = F.filter(F.arrays_zip(starts.alias("h"), ends.alias("t")), lambda z: z["t"] > z["h"])
+        return F.transform(kept, lambda z: F.decode(F.substring(data, z["h"] + 1, z["t"] - z["h"]), "UTF-8"))
 
-    def step(acc, z):
-        piece = F.decode(F.substring(acc["b"], z["h"] + 1, z["t"] - z["h"]), "UTF-8")
-        return F.struct(acc["b"].alias("b"),
-                        F.when(z["t"] > z["h"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
-                        .alias("out"))
-
-    pieces = F.aggregate(F.arrays_zip(heads.alias("h"), cuts.alias("t")), zero, step, lambda acc: acc["out"])
-    return F.when(F.size(cuts) == 0, F.array(text)).otherwise(pieces)
+    split = let2(F.encode(text, "UTF-8"), cuts, pieces)
+    return F.when(F.size(cuts) == 0, F.array(text)).otherwise(split)

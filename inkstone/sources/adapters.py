@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import keys
+from inkstone.functions.bind import running_sums
 from inkstone.sources.tables import table
 
 # Party enum, in declaration order; doc_id % 4 picks one.
@@ -31,15 +32,9 @@ def paragraphs_of(text: Column) -> Column:
 def running_byte_cuts(paragraphs: Column) -> Column:
     """Cumulative UTF-8 byte length after each paragraph (reference ``cuts``).
 
-    One array fold per row: no shuffle, bounded by the paragraph count of a
-    single document.
+    Running sums inside the row: no shuffle, near linear in the paragraphs of a document.
     """
-    return F.aggregate(
-        paragraphs,
-        F.array().cast("array<int>"),
-        lambda acc, p: F.concat(acc, F.array(
-            (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.octet_length(p)).cast("int"))),
-    )
+    return running_sums(F.transform(paragraphs, lambda p: F.octet_length(p)))
 
 
 def _hours_after_epoch(n: Column) -> Column:

@@ -204,3 +204,28 @@ def test_sql_table_functions_match_the_operator(spark):
         assert texts.filter("id = 2").first().chunk == "xy"
     with pytest.raises(Exception, match="bad chunk size"):
         spark.sql("SELECT o.* FROM chunk_source s, LATERAL chunk_offsets(s.content, 8, 3) o").collect()
+
+
+def test_a_document_of_many_paragraphs_takes_linear_time(spark):
+    import time
+    from inkstone.functions.bind import running_sums
+    from inkstone.sources.adapters import running_byte_cuts
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: F.repeat(F.lit("é"), (i % 7).cast("int"))).alias("p"))
+    lengths = [k % 7 for k in range(1, 100_001)]
+    df.select(F.size(running_byte_cuts(F.slice("p", 1, 100)))).collect()  # start-up
+    begin = time.perf_counter()
+    cuts = df.select(running_byte_cuts(F.col("p")).alias("c")).first()["c"]
+    starts = df.select(C.paragraph_starts(F.col("p")).alias("s")).first()["s"]
+    took = time.perf_counter() - begin
+    total = 0
+    for k, n in enumerate(lengths):
+        assert starts[k] == total
+        total += n
+        assert cuts[k] == 2 * total
+    assert took < 4, took  # two documents
+    back = df.select(F.size(C.split_by_cuts(F.array_join("p", ""), running_byte_cuts(F.col("p"))))).first()[0]
+    assert back == sum(n > 0 for n in lengths)
+    for n in (0, 1, 63, 64, 65, 4096, 5000):
+        xs = spark.range(1).select(F.slice(F.sequence(F.lit(1), F.lit(6000)), 1, n).alias("x"))
+        assert xs.select(running_sums(F.col("x")).alias("s")).first()["s"] == [k * (k + 1) // 2 for k in range(1, n + 1)]
+    assert spark.sql("SELECT CAST(NULL AS array<int>) AS x").select(running_sums(F.col("x")).alias("s")).first()["s"] is None
