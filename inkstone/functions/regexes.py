@@ -238,11 +238,12 @@ def js_to_re2(source: str, flags: str) -> str:
 _RUN = r"[A-Za-z0-9_<>/:\"'=@#%&,;~` -]"
 
 
-def needles(source: str) -> list[str] | None:
+def needles(source: str, signs: set[str] | None = None) -> list[str] | None:
     """Strings of which every match of a pattern contains at least one, or None if none are plain to see.
 
     The longest run of ordinary characters, or a group of plain words, outside
-    of other groups, classes and optional parts.
+    of other groups, classes and optional parts.  ``signs`` gathers the
+    punctuation that every match contains.
     """
     import re as _re
     best: list[str] = []
@@ -257,6 +258,8 @@ def needles(source: str) -> list[str] | None:
         nonlocal run
         if run:
             keep([run])
+            if signs is not None:
+                signs.update(c for c in run if not c.isalnum() and c != " ")
         run = ""
 
     while i < len(source):
@@ -304,6 +307,17 @@ def needles(source: str) -> list[str] | None:
 
 
 GO_JAVA = [re2_to_java(p) for p in GO_INJECTION_PATTERNS]
+
+
+def _gate(pattern: str) -> tuple[list[str], list[str]]:
+    """(strings of which a match contains one, signs that it contains all of), in lower case."""
+    signs: set[str] = set()
+    found = needles(pattern.removeprefix("(?i)"), signs)
+    return [n.lower() for n in found or []], sorted(signs) if found else []
+
+
+#: Per server pattern: what the folded text must contain before the pattern is tried.
+GO_GATES = [_gate(p) for p in GO_INJECTION_PATTERNS]
 UI_JAVA = [(fam, js_to_java(src, fl)) for fam, src, fl in UI_INJECTION_PATTERNS]
 #: Per browser pattern: strings that a match contains (in lower case if the pattern ignores case), and whether it does.
 UI_NEEDLES = [([n.lower() for n in found] if "i" in fl else found, "i" in fl) if (found := needles(src)) else (None, False)

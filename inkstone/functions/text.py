@@ -58,16 +58,16 @@ def go_trim(s: Column) -> Column:
 
 
 def mask_secret(s: Column, mark: str = "●", cap: int | None = 10) -> Column:
-    """Show 5 leading and 5 trailing characters; <= 10 -> all masked.
+    """Show 5 leading and 5 trailing bytes; of at most 10 bytes all are masked.
 
-    ``cap`` limits the number of mask marks (None = the template variant).
-    Lengths are bytes in the reference; secrets are ASCII, where bytes and
-    characters coincide.
+    ``cap`` limits the number of mask marks (None = the template variant).  A
+    character that the cut splits stays as its remaining bytes.
     """
-    n = F.length(s)
+    data = s.cast("binary")
+    n = F.octet_length(s)
     middle = n - 10 if cap is None else F.least(n - 10, F.lit(cap))
-    return F.when(n <= 10, F.repeat(F.lit(mark), n)).otherwise(
-        F.concat(F.left(s, F.lit(5)), F.repeat(F.lit(mark), middle), F.right(s, F.lit(5))))
+    return F.when(n <= 10, F.repeat(F.lit(mark), n)).otherwise(F.concat(
+        F.substring(data, 1, 5).cast("string"), F.repeat(F.lit(mark), middle), F.substring(data, n - 4, F.lit(5)).cast("string")))
 
 
 def title_and_body(text: Column) -> Column:

@@ -14,20 +14,38 @@ from pyspark.sql import functions as F
 from inkstone.functions import regexes as R
 
 
-def first_match(text: Column, patterns: list[str]) -> Column:
-    """1-based index of the first pattern that matches, NULL when none does."""
+def first_match(text: Column, patterns: list[str], folded: Column | None = None,
+                gates: list[tuple[list[str], list[str]]] | None = None) -> Column:
+    """1-based index of the first pattern that matches, NULL when none does.
+
+    With ``gates``, a pattern is tried only where ``folded`` (the text in lower
+    case) contains one of its strings and all of its signs.
+    """
     expr = None
     for i, p in enumerate(patterns, start=1):
         cond = text.rlike(p)
+        if gates is not None:
+            strings, signs = gates[i - 1]
+            if strings:
+                cond = reduce(lambda a, b: a | b, [folded.contains(s) for s in strings]) & cond
+            cond = reduce(lambda a, b: b & a, [folded.contains(s) for s in signs], cond)
         expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
     return expr
 
 
 def injection_scan(df: DataFrame, text_col: str = "text", patterns: list[str] | None = None) -> DataFrame:
-    """Adds (matched, first_pattern) for the server-side pattern list."""
-    pats = patterns if patterns is not None else R.GO_JAVA
-    fp = first_match(F.col(text_col), pats)
-    return df.withColumn("first_pattern", fp).withColumn("matched", F.col("first_pattern").isNotNull())
+    """Adds (matched, first_pattern) for the server-side pattern list.
+
+    Its patterns are tried only where strings that their matches contain occur;
+    patterns of one's own are all tried.
+    """
+    if patterns is not None:
+        out = df.withColumn("first_pattern", first_match(F.col(text_col), patterns))
+    else:
+        # the patterns fold case beyond ASCII: the long s has no lower case of its own
+        low = df.withColumn("_low", F.translate(F.lower(text_col), "\u017f", "s"))
+        out = low.withColumn("first_pattern", first_match(F.col(text_col), R.GO_JAVA, F.col("_low"), R.GO_GATES)).drop("_low")
+    return out.withColumn("matched", F.col("first_pattern").isNotNull())
 
 
 def injection_scan_families(df: DataFrame, text_col: str = "text") -> DataFrame:

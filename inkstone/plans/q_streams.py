@@ -135,9 +135,8 @@ FROM wire WHERE subject = 'task.logs' AND reason IS NULL GROUP BY 1, 2
 """, views=("messages",))
 def log_rollup(spark, sf_dir):
     """2.12.8: tumbling 10-minute counts of log messages per level (batch form of the windowed stream)."""
-    p = CM.parse(CM.render(A.messages(spark, sf_dir, ["log"]))).filter(F.col("reason").isNull())
-    at = F.timestamp_seconds(F.col("m")["event_at"])
-    return (p.groupBy(F.window(at, "10 minutes"), F.col("m")["level"].alias("level")).agg(F.count("*").alias("n"))
+    m = A.log_messages(spark, sf_dir)
+    return (m.groupBy(F.window("event_at", "10 minutes"), "level").agg(F.count("*").alias("n"))
             .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "level", "n"))
 
 

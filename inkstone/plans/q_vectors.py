@@ -137,6 +137,36 @@ def avg_embedding(spark, sf_dir):
     return r.select("article_id", "model_id", V.as_scaled_ints(F.col("avg_vector")).alias("avg_vector"))
 
 
+@register("avg_embedding_function", """
+, means AS (
+  SELECT article_id, model_id, list(m ORDER BY pos) AS avg_vector FROM (
+    SELECT article_id, model_id, pos, avg(CAST(x AS DOUBLE)) AS m FROM (
+      SELECT article_id, model_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos
+      FROM vecs WHERE vector IS NOT NULL AND len(vector) > 0)
+    GROUP BY article_id, model_id, pos)
+  GROUP BY article_id, model_id)
+SELECT a.id AS article_id, CASE WHEN a.party = 'none' THEN 'public' ELSE 'parties' END AS scope,
+       array_to_string(list_transform(m.avg_vector, lambda x: CAST(round(x * 10000) AS BIGINT)), ',') AS avg_vector
+FROM articles a LEFT JOIN means m ON m.article_id = a.id AND m.model_id = a.id % 2
+""", views=("vecs", "articles"))
+def avg_embedding_function(spark, sf_dir):
+    """2.13: avg_embedding(aid, mid) as a SQL function in either scope: news articles and party releases
+    have embeddings, and a function, of their own; every article asks the function of its scope for model ``id % 2``."""
+    from inkstone.plans import sql as SQL
+    arts = A.articles(spark, sf_dir).select(F.col("id").alias("article_id"), "party")
+    scoped = A.vectors(spark, sf_dir).join(arts, "article_id")
+    SQL.register_avg_embedding(spark, scoped.filter(F.col("party") == "none"), "avg_embedding_public")
+    SQL.register_avg_embedding(spark, scoped.filter(F.col("party") != "none"), "avg_embedding_parties")
+    arts.createOrReplaceTempView("avg_embedding_requests")
+    r = spark.sql("""
+        SELECT article_id, 'public' AS scope, avg_embedding_public(article_id, CAST(article_id % 2 AS INT)) AS v
+        FROM avg_embedding_requests WHERE party = 'none'
+        UNION ALL
+        SELECT article_id, 'parties', avg_embedding_parties(article_id, CAST(article_id % 2 AS INT))
+        FROM avg_embedding_requests WHERE party <> 'none'""")
+    return r.select("article_id", "scope", V.as_scaled_ints(F.col("v")).alias("avg_vector"))
+
+
 @register("valid_vectors", """
 SELECT id, article_id, model_id, len(vector) AS dim FROM vecs
 WHERE vector IS NOT NULL AND len(vector) > 0 AND model_id = 1

@@ -8,7 +8,7 @@ operators' results can be queried with plain Spark SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from inkstone.operators import chunking as C
 from inkstone.operators import vector_agg as VA
@@ -36,8 +36,9 @@ FUNCTIONS = {
         RETURN regexp_replace(regexp_replace(replace(s, char(160), ' '), '[\\t\\n\\f\\r ]+', ' '),
                               '[\\x00-\\x1F\\x7F-\\x9F\\x{3000} ]', '')""",
     "mask_secret": """(s STRING) RETURNS STRING
-        RETURN CASE WHEN length(s) <= 10 THEN repeat('●', length(s))
-                    ELSE concat(left(s, 5), repeat('●', least(length(s) - 10, 10)), right(s, 5)) END""",
+        RETURN CASE WHEN octet_length(s) <= 10 THEN repeat('●', octet_length(s))
+                    ELSE concat(string(substring(binary(s), 1, 5)), repeat('●', least(octet_length(s) - 10, 10)),
+                                string(substring(binary(s), octet_length(s) - 4, 5))) END""",
 }
 
 
@@ -63,6 +64,19 @@ def register_functions(spark: SparkSession) -> list[str]:
     return sorted([*FUNCTIONS, *TABLE_FUNCTIONS])
 
 
+def register_avg_embedding(spark: SparkSession, embeddings: DataFrame, name: str = "avg_embedding") -> str:
+    """``name(aid, mid)``: mean vector of an article under a model over ``embeddings`` (article_id, model_id, vector),
+    NULL without rows.
+
+    The means are the view ``<name>_means``; a call is a lookup in it, which the
+    optimizer turns into a left join, however many rows call it.
+    """
+    VA.mean_by(embeddings, ["article_id", "model_id"]).createOrReplaceTempView(f"{name}_means")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(aid BIGINT, mid INT) RETURNS ARRAY<DOUBLE>
+        RETURN (SELECT any_value(m.avg_vector) FROM {name}_means m WHERE m.article_id = aid AND m.model_id = mid)""")
+    return name
+
+
 def register(spark: SparkSession, sf_dir: str) -> list[str]:
     register_all(spark, sf_dir)
     register_functions(spark)
@@ -76,7 +90,8 @@ def register(spark: SparkSession, sf_dir: str) -> list[str]:
         "chat": A.chat(spark, sf_dir),
     }
     views["chunks"] = C.paragraph_offsets(views["articles"])
-    # avg_embedding(aid, mid) for SQL users: SELECT avg_vector FROM avg_embedding WHERE ...
+    register_avg_embedding(spark, views["vecs"])
+    # the means as a relation, too
     views["avg_embedding"] = VA.mean_by(views["vecs"], ["article_id", "model_id"])
     for name, df in views.items():
         df.createOrReplaceTempView(name)

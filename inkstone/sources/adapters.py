@@ -131,6 +131,20 @@ def messages(spark: SparkSession, sf_dir: str, subjects: list[str] | None = None
     )
 
 
+# Log levels in declaration order; event_id % 7 picks one.
+LOG_LEVELS = ["Debug", "Info", "Warn", "Error", "Fatal", "Panic", "Trace"]
+
+
+def log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log_messages(event_id, task_id, event_at, level): valid log messages, times in whole seconds as on the wire.
+
+    The same rules as the wire messages: a value below 1 is a malformed message.
+    """
+    level = F.element_at(F.array(*[F.lit(x) for x in LOG_LEVELS]), (F.col("event_id") % len(LOG_LEVELS) + 1).cast("int"))
+    m = messages(spark, sf_dir, ["log"]).filter(~F.coalesce(F.col("value") < 1, F.lit(False)))
+    return m.select("event_id", "task_id", F.date_trunc("second", "event_at").alias("event_at"), level.alias("level"))
+
+
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", "html")
 

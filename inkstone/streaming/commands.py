@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkstone.sources.adapters import TASK_STATUSES, SOURCE_TYPES
+from inkstone.sources.adapters import LOG_LEVELS, SOURCE_TYPES, TASK_STATUSES
 from inkstone.streaming.tasks import uuid_of
 
 MESSAGE_VERSION = "1.0"
@@ -30,8 +30,7 @@ TASK_CREATE_EMBEDDING = "task.create.embedding"
 TASK_UPDATE_STATUS = "task.update.status"
 TASK_LOG = "task.logs"
 
-# Log levels and embed types.
-LOG_LEVELS = ["Debug", "Info", "Warn", "Error", "Fatal", "Panic", "Trace"]
+# Embed types.
 EMBED_TYPES = ["query", "passage"]
 
 # Event -> next commands (subject, source or '' for any).
