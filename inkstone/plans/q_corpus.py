@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from inkstone.functions import keys
 from inkstone.operators import chunking as C
+from inkstone.operators import layout as LY
 from inkstone.operators import tables as TB
 from inkstone.plans.registry import register
+from inkstone.session import checkpoint_dir
 from inkstone.sources import adapters as A
 from inkstone.sources.tables import table
 from inkstone.streaming.tasks import task_state, uuid_of
@@ -264,6 +269,19 @@ def articles_in_interval(spark, sf_dir):
                    [F.col("published_at").desc(), F.col("id").desc()], 50)
 
 
+@register("articles_in_interval_by_day", """
+SELECT id, title, published_at FROM articles
+WHERE published_at BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'
+ORDER BY published_at DESC, id DESC LIMIT 50
+""", views=("articles",))
+def articles_in_interval_by_day(spark, sf_dir):
+    """2.2.5 over a table laid out by day, written to the shared folder first: only the days of the interval are listed."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/articles-by-day-{uuid.uuid4().hex}"
+    LY.write_by_day(A.articles(spark, sf_dir).select("id", "title", "published_at"), path)
+    found = LY.in_interval(spark, path, datetime(2024, 1, 5), datetime(2024, 1, 20))
+    return TB.page(found, [F.col("published_at").desc(), F.col("id").desc()], 50)
+
+
 @register("articles_past_k_days", """
 SELECT id, title, published_at FROM articles
 WHERE published_at >= TIMESTAMP '2024-02-10 00:00:00' - INTERVAL 7 DAY
