@@ -26,10 +26,12 @@ one window, however long; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark import TaskContext
@@ -42,12 +44,14 @@ from inkstone.llm.common import arrow_batches, stored, texts
 #: Pairs that the documents of a block hold, in all, before it is closed, and the most documents of a block.
 BLOCK_PAIRS, BLOCK_DOCS = 1_000_000, 20_000
 #: Windows kept by a worker, and the most tokens of a window that is kept; results never depend on it.
-HELD_WINDOWS = 300_000
+HELD_WINDOWS = 400_000
 WINDOW_TOKENS = 48
 #: Links of a group beyond which its distinct pairs are found first.
 LARGE_GROUP = 1024
 SPACE = 0x20
 _MARK = "▁"
+#: Characters that normalising models change: compatibility forms, composed and decomposed letters, blanks, case.
+PROBE = "Ａﬁ①²½ÅÅé e\u0301 ﾊﾟ\u00a0x\u3000y  z\tT\r\nİßΣς한\u1112\u1161\u11ab "
 
 
 def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
@@ -119,18 +123,22 @@ class Aligner:
         sides = (range(len(self._bytes_a)), ",|"), (range(self.width), ",;")
         self._strings = [f"{i}{mark}" for ids, marks in sides for mark in marks for i in ids]
         self._held: dict[bytes, tuple] = {}
+        # B rewrites nothing but its mark, three bytes, as a blank: lengths then tell whether bytes are the text's
+        self._plain_b = self._b.normalize(PROBE) == _MARK + PROBE.replace(" ", _MARK)
 
     def encode(self, batch: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """The ids of either side per text; None where a side does not give the text back."""
-        full = [" " + t for t in batch]
-        side_a = [np.frombuffer(x, self._a.dtype) for x in self._a.encode(full)]
+        side_a = self._a.encode([" " + t for t in batch])
         side_b = self._b.encode(batch, num_threads=1)
         out = []
-        for text, whole, a, b in zip(batch, full, side_a, side_b, strict=True):
-            data = whole.encode()
-            # a byte-level BPE only cuts a text's bytes, so its lengths say enough
-            same = text and int(self._length_a[a].sum()) == len(data) and b"".join(map(self._bytes_b.__getitem__, b)) == data
-            out.append((a, np.array(b, np.uint32)) if same else None)
+        for text, a, ids in zip(batch, side_a, side_b, strict=True):
+            a, b = np.frombuffer(a, self._a.dtype), np.frombuffer(array("I", ids), np.uint32)
+            size = len(text.encode()) + 1
+            # a byte-level BPE only cuts a text's bytes, and so does a model that changes no characters but to shorten them
+            same = text and int(self._length_a[a].sum()) == size == int(self._length_b[b].sum())
+            if same and not self._plain_b:
+                same = b"".join(map(self._bytes_b.__getitem__, ids)) == (" " + text).encode()
+            out.append((a, b) if same else None)
         return out
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[int, int, str, np.ndarray, np.ndarray]:
@@ -194,7 +202,8 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, block_pairs: int = BLOCK_P
         held: list[np.ndarray] = []
 
         def close():
-            distinct, at, count = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+            at, distinct = pd.factorize(np.concatenate([*held, np.zeros(0, np.int64)]))
+            count = np.bincount(at, minlength=len(distinct))
             places = np.split(at.astype("<i4"), np.cumsum([len(h) for h in held])[:-1])
             cols = list(zip(*rows, strict=True))
             made = [cols[0], cols[1], cols[2], cols[3], cols[4], [p.tobytes() for p in places], cols[5]]

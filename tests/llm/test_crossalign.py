@@ -120,3 +120,18 @@ def test_odd_tables(spark):
     assert by_id[12][3] > 0  # 60,000 times the same letter, without a blank
     assert run(odd.empty(spark)) == []
     assert crossalign.align(odd.empty(spark).withColumn("a.b", F.lit(1)), A, B).count() == 0
+
+
+def test_lengths_tell_whether_b_gives_a_text_back(spark):
+    import random
+    aligner = crossalign.Aligner(A, B)
+    assert aligner._plain_b
+    rng = random.Random(9)
+    texts = [crossalign.PROBE, "▁", "a▁", "\x00", *(t for _, t in SHORT + SPECIAL if t)]
+    texts += ["".join(chr(rng.choice([rng.randrange(1, 0x250), rng.randrange(0x2500, 0x2600), rng.randrange(0x10000, 0x1F700), 32]))
+                      for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    short = aligner.encode(texts)
+    aligner._plain_b = False
+    for x, y, t in zip(short, aligner.encode(texts), texts, strict=True):
+        assert (x is None) == (y is None), t
+    assert any(x is None for x in short)
