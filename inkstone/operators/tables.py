@@ -47,7 +47,12 @@ def sequential_ids(df: DataFrame, order_cols: list, id_col: str = "id", start_af
 
 
 def key_offsets(counts: DataFrame, key: str, n_col: str = "n", out: str = "offset") -> DataFrame:
-    """(key, out): how many rows come before each key's, in key order; ``counts``: one row (key, n) per key.
+    """The offsets of ``numbered_keys``."""
+    return numbered_keys(counts, key, n_col, out)[0]
+
+
+def numbered_keys(counts: DataFrame, key: str, n_col: str = "n", out: str = "offset") -> tuple[DataFrame, int]:
+    """((key, out), all rows): how many rows come before each key's, in key order; ``counts``: one row (key, n) per key.
 
     Numbers rows that already have an ordinal within their key (chunks of an
     article) as offset + ordinal: only keys and counts are sorted, never the
@@ -65,14 +70,18 @@ def key_offsets(counts: DataFrame, key: str, n_col: str = "n", out: str = "offse
     before = totals.select("_pid", F.coalesce(F.sum("_total").over(w), F.lit(0)).alias("_off"))
     inside = Window.partitionBy("_pid").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     run = local.withColumn("_run", F.sum("_n").over(inside) - F.col("_n"))
-    return run.join(F.broadcast(before), "_pid").select(key, (F.col("_off") + F.col("_run")).cast("long").alias(out))
+    total = local.agg(F.sum("_n")).first()[0] or 0
+    return run.join(F.broadcast(before), "_pid").select(key, (F.col("_off") + F.col("_run")).cast("long").alias(out)), total
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: list[str], first_by: list | None = None) -> DataFrame:
     """``INSERT ... ON CONFLICT DO NOTHING``: rows of ``new`` whose key is absent.
 
     Of rows that share a key the first by ``first_by`` stays (default: the
-    smallest by all other columns), so reruns keep the same one.
+    smallest by all other columns), so reruns keep the same one.  The stored
+    table is only probed for the batch's keys: with a batch below Spark's broadcast
+    threshold it is scanned without a shuffle, with a larger one a filter of
+    the batch's keys thins it out first (runtime Bloom filter of a semi join).
     """
     rest = [c for c in new.columns if c not in key]
     if not rest:
@@ -81,7 +90,8 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, key: list[str], first_
         order = F.struct(*(first_by or [c for c in rest if not isinstance(new.schema[c].dataType, MapType)]))
         one = new.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(
             *key, *[F.col("_row")[c].alias(c) for c in rest]).select(*new.columns)
-    return one.join(existing.select(*key).distinct(), key, "left_anti")
+    known = existing.select(*key).join(one.select(*key), key, "left_semi").distinct()
+    return one.join(known, key, "left_anti")
 
 
 def insert_returning_ids(new: DataFrame, existing: DataFrame, key: list[str], order_cols: list,

@@ -44,11 +44,11 @@ def _chunk_inputs(spark, sf_dir):
     """(seq, input) of every chunk and their number: article offsets plus the chunk's ordinal in its article."""
     arts = A.articles(spark, sf_dir)
     counts = C.paragraph_offsets(arts).groupBy("article_id").agg(F.count("*").alias("n"))
-    offsets = TB.key_offsets(counts, "article_id")
+    offsets, total = TB.numbered_keys(counts, "article_id")
     parts = C.paragraph_chunks(arts).join(offsets, "article_id")
     inputs = parts.select((F.col("offset") + F.col("chunk_no") + 1).alias("seq"),
                           F.concat(F.lit(PASSAGE), F.col("chunk")).alias("input"))
-    return inputs, counts.agg(F.sum("n")).first()[0] or 0
+    return inputs, total
 
 
 @register("batch_requests", _PARA_OFFSETS + f"""

@@ -10,6 +10,7 @@ from inkstone.operators import knn as K
 from inkstone.operators import tables as TB
 from inkstone.operators import vector_agg as VA
 from inkstone.plans.registry import register
+from inkstone.session import checkpoint_dir
 from inkstone.sources import adapters as A
 from inkstone.sources.tables import table
 
@@ -285,8 +286,10 @@ def keyword_articles(spark, sf_dir):
 # ---------------------------------------------------------------- 2.11.2 / 2.11.6 / 2.11.7
 
 def _kw_sets(spark, sf_dir):
+    """(id, terms) of every article, written once: the overlap join reads the sets from several sides."""
+    checkpoint_dir(spark)
     th = themes_by_doc(spark, sf_dir)
-    return th.select(F.col("doc_id").alias("id"), F.col("themes").alias("terms"))
+    return th.select(F.col("doc_id").alias("id"), F.col("themes").alias("terms")).checkpoint()
 
 
 _OVERLAP_SQL = """

@@ -104,3 +104,16 @@ def test_insert_if_absent_keeps_the_first_of_equal_keys(spark):
     got = TB.insert_if_absent(new, new.limit(0), ["k"])
     assert sorted(map(tuple, got.collect())) == [(1, "a", 3), (2, None, 1)]
     assert TB.insert_if_absent(new, new.limit(0), ["k"], ["w"]).filter("k = 1").first().v == "b"
+
+
+def test_insert_if_absent_probes_the_stored_table_without_shuffling_it(spark, tmp_path):
+    stored = str(tmp_path / "stored")
+    spark.range(50_000).selectExpr("id AS a", "id % 7 AS b", "repeat('x', 20) AS t").write.parquet(stored)
+    new = spark.createDataFrame([(1, 1, "y"), (1, 2, "z"), (60_000, 0, "w"), (None, 0, "n"), (1, 2, "zz")], "a long, b long, t string")
+    got = TB.insert_if_absent(new, spark.read.parquet(stored), ["a", "b"])
+    rows = got.collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted([(1, 2, "z"), (60_000, 0, "w"), (None, 0, "n")], key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    above = [line for line in final.splitlines() if "LeftSemi" in line]
+    assert above and all("BroadcastHashJoin" in line for line in above), final
