@@ -90,7 +90,7 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, key: list[str], first_
         order = F.struct(*(first_by or [c for c in rest if not isinstance(new.schema[c].dataType, MapType)]))
         one = new.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(
             *key, *[F.col("_row")[c].alias(c) for c in rest]).select(*new.columns)
-    known = existing.select(*key).join(one.select(*key), key, "left_semi").distinct()
+    known = existing.select(*key).join(new.select(*key), key, "left_semi").distinct()
     return one.join(known, key, "left_anti")
 
 
