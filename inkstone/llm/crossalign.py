@@ -43,8 +43,9 @@ from inkstone.llm.common import arrow_batches, stored, texts
 
 #: Pairs that the documents of a block hold, in all, before it is closed, and the most documents of a block.
 BLOCK_PAIRS, BLOCK_DOCS = 1_000_000, 20_000
-#: Windows kept by a worker, and the most tokens of a window that is kept; results never depend on it.
-HELD_WINDOWS = 400_000
+#: Windows kept by a worker, half of them found lately and half before those, and the most tokens of a window that is
+#: kept; results never depend on it.
+HELD_WINDOWS = 240_000
 WINDOW_TOKENS = 48
 #: Links of a group beyond which its distinct pairs are found first.
 LARGE_GROUP = 1024
@@ -122,7 +123,9 @@ class Aligner:
         self.width = len(self._bytes_b)
         sides = (range(len(self._bytes_a)), ",|"), (range(self.width), ",;")
         self._strings = [f"{i}{mark}" for ids, marks in sides for mark in marks for i in ids]
+        # windows found or met lately, and those before them, which go when the former are half of what may be held
         self._held: dict[bytes, tuple] = {}
+        self._older: dict[bytes, tuple] = {}
         # B rewrites nothing but its mark, three bytes, as a blank: lengths then tell whether bytes are the text's
         self._plain_b = self._b.normalize(PROBE) == _MARK + PROBE.replace(" ", _MARK)
 
@@ -161,14 +164,19 @@ class Aligner:
         keys = [raw[i:j] for i, j in pairwise((4 * (edge_a + edge_b)).tolist())]
         found = list(map(held.get, keys))
         if None in found:
-            groups, edge = Groups(a, b, cut_a, cut_b, self.width, len(self._bytes_a)), edge.tolist()
+            groups, older = None, self._older
             for k in [k for k, made in enumerate(found) if made is None]:
                 key = keys[k]
-                found[k] = made = groups.window(edge[k], edge[k + 1], self._strings)
+                made = older.get(key)
+                if made is None:
+                    if groups is None:
+                        groups, edge = Groups(a, b, cut_a, cut_b, self.width, len(self._bytes_a)), edge.tolist()
+                    made = groups.window(edge[k], edge[k + 1], self._strings)
+                found[k] = made
                 if len(key) <= 4 * WINDOW_TOKENS:
                     held[key] = made
-            if len(held) > HELD_WINDOWS:
-                held.clear()
+            if len(held) > HELD_WINDOWS // 2:
+                self._held, self._older = {}, held
         text, pairs, times = zip(*found, strict=True)
         all_pairs = np.frombuffer(b"".join(pairs), np.int64)
         if not any(times):
@@ -183,15 +191,16 @@ class Aligner:
 
 _DOC = pa.schema([("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
                   ("groups_sha256", pa.string()), ("at", pa.binary()), ("times", pa.binary())])
-_BLOCK = ("block string, doc_id array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
-          "groups_sha256 array<string>, at array<binary>, times array<binary>, pairs array<long>, docs array<int>")
+_BLOCK = ("block string, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
+          "at binary, times binary, pairs array<long>, docs array<int>")
 
 
 def blocks(docs: DataFrame, path_a: str, path_b: str, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
-    """Aligned documents in blocks: their figures, and the block's distinct pairs with numbers of documents.
+    """Aligned documents, a row each, in blocks: their figures, and the block's distinct pairs with numbers of documents.
 
-    ``at`` holds a document's pairs as places in the block's ``pairs`` (int32),
-    ``times`` how often each is linked (int64).
+    ``at`` holds a document's pairs as places in its block's ``pairs`` (int32),
+    ``times`` how often each is linked (int32, or int64 where a number is larger).
+    ``pairs`` and ``docs`` stand on the block's first row, other rows have none.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -207,11 +216,11 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, block_pairs: int = BLOCK_P
             places = np.split(at.astype("<i4"), np.cumsum([len(h) for h in held])[:-1])
             cols = list(zip(*rows, strict=True))
             made = [cols[0], cols[1], cols[2], cols[3], cols[4], [p.tobytes() for p in places], cols[5]]
-            one = [pa.array([f"{part}-{n}"], pa.string()), _single(pa.concat_arrays(ids))]
-            one += [_single(pa.array(c, f.type)) for c, f in zip(made, _DOC, strict=True)]
-            one += [_single(pa.array(distinct)), _single(pa.array(count.astype(np.int32)))]
+            out = [pa.array([f"{part}-{n}"] * len(rows), pa.string()), pa.concat_arrays(ids)]
+            out += [pa.array(c, f.type) for c, f in zip(made, _DOC, strict=True)]
+            out += [_first(pa.array(x), len(rows)) for x in (distinct, count.astype(np.int32))]
             names = ["block", "doc_id", *_DOC.names, "pairs", "docs"]
-            return pa.RecordBatch.from_arrays(one, names)
+            return pa.RecordBatch.from_arrays(out, names)
 
         for batch in batches:
             for k, both in enumerate(aligner.encode(batch.column("text").to_pylist())):
@@ -219,7 +228,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, block_pairs: int = BLOCK_P
                     row, pairs = (0, 0, 0, 0, "", b""), np.zeros(0, np.int64)
                 else:
                     groups, links, text, pairs, times = aligner.align(*both)
-                    row = (len(both[0]), len(both[1]), groups, links, hashlib.sha256(text.encode()).hexdigest(), times.tobytes())
+                    row = (len(both[0]), len(both[1]), groups, links, hashlib.sha256(text.encode()).hexdigest(), _narrow(times).tobytes())
                 ids.append(batch.column("doc_id").slice(k, 1))
                 rows.append(row)
                 held.append(pairs)
@@ -234,9 +243,13 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, block_pairs: int = BLOCK_P
     return docs.mapInArrow(run, _BLOCK.format(kind=kind))
 
 
-def _single(values: pa.Array) -> pa.Array:
-    """One list of all ``values``."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _first(values: pa.Array, rows: int) -> pa.Array:
+    """A list of all ``values``, then empty ones."""
+    return pa.ListArray.from_arrays(pa.array([0] + [len(values)] * rows, pa.int32()), values)
+
+
+def _narrow(times: np.ndarray) -> np.ndarray:
+    return times.astype("<i4") if not len(times) or times.max() < 1 << 31 else times.astype("<i8")
 
 
 def pair_counts(aligned: DataFrame, width: int) -> DataFrame:
@@ -263,14 +276,15 @@ def align(docs: DataFrame, path_a: str, path_b: str, block_pairs: int = BLOCK_PA
         pos = right.column("pos").to_numpy()
         n[pos], best[pos] = right.column("n").to_numpy(), right.column("best").to_numpy()
         sums, bests = [], []
-        for at, times in zip(left.column("at")[0].as_py(), left.column("times")[0].as_py(), strict=True):
-            at, times = np.frombuffer(at, "<i4"), np.frombuffer(times, "<i8")
+        for at, times in zip(left.column("at"), left.column("times"), strict=True):
+            at, times = np.frombuffer(at.as_buffer(), "<i4"), times.as_buffer()
+            times = np.frombuffer(times, "<i4" if times.size == at.nbytes else "<i8").astype(np.int64)
             sums.append(int(times @ n[at]))
             bests.append(int(times[best[at]].sum()))
-        cols = {c: left.column(c).combine_chunks().flatten() for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
+        cols = {c: left.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
         return pa.table({**cols, "n_best": pa.array(bests, pa.int64()), "count_sum": pa.array(sums, pa.int64()),
-                         "groups_sha256": left.column("groups_sha256").combine_chunks().flatten()})
+                         "groups_sha256": left.column("groups_sha256")})
 
-    # both sides of a block: its documents, and one row per distinct pair; a block is bounded by its documents' pairs
+    # both sides of a block: a row per document, and one per distinct pair; a block is bounded by its documents' pairs
     return aligned.drop("pairs", "docs").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(
         run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

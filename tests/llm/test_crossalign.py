@@ -2,6 +2,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import sentencepiece
 from pyspark.sql import functions as F
@@ -135,3 +136,31 @@ def test_lengths_tell_whether_b_gives_a_text_back(spark):
     for x, y, t in zip(short, aligner.encode(texts), texts, strict=True):
         assert (x is None) == (y is None), t
     assert any(x is None for x in short)
+
+
+def test_blocks_hold_a_row_per_document(spark):
+    rows = [(k, f"{t or ''} word{k}") for k, (_, t) in enumerate(SHORT + SPECIAL)]
+    got = crossalign.blocks(frame(spark, rows).coalesce(1), A, B, block_pairs=40).collect()
+    assert sorted(r["doc_id"] for r in got) == [k for k, _ in rows]
+    # only the first row of a block lists its pairs; a document's places lie within them
+    blocks = {r["block"] for r in got}
+    assert len(blocks) > 1
+    for block in blocks:
+        mine = [r for r in got if r["block"] == block]
+        size = {len(r["pairs"]) for r in mine if r["pairs"]}
+        assert len(size) <= 1
+        assert all(max(np.frombuffer(r["at"], "<i4"), default=-1) < max(size, default=0) for r in mine)
+
+
+def test_kept_windows_are_bounded_and_change_nothing(monkeypatch):
+    aligner = crossalign.Aligner(A, B)
+    texts = [f"alpha beta{k} gamma{k % 3}" for k in range(60)]
+    want = [aligner.align(*both)[:3] for both in aligner.encode(texts)]
+    monkeypatch.setattr(crossalign, "HELD_WINDOWS", 16)
+    few = crossalign.Aligner(A, B)
+    for both, w in zip(few.encode(texts), want, strict=True):
+        assert few.align(*both)[:3] == w
+        assert len(few._held) + len(few._older) <= 16 + len(both[0])
+    assert few._older
+    big = np.array([1, 1 << 31])
+    assert crossalign._narrow(big).dtype.itemsize == 8 and crossalign._narrow(big[:1]).dtype.itemsize == 4
