@@ -15,7 +15,10 @@ Columns may have any names, dots included.
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
 from decimal import Decimal
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +40,25 @@ def _only(rows: DataFrame, keep: DataFrame) -> DataFrame:
     return rows.join(keep.hint("merge"), "row_", "left_semi").select("row.*")
 
 
+def _released(stage: Callable) -> Callable:
+    """``stage``, begun after the driver has let go of earlier work.
+
+    Spark removes broadcasts and shuffle files once the driver's JVM has collected the plans that refer to them, and Python
+    holds such plans until its own cycles are collected; left alone, the driver's heap stays as large as it ever was.
+    """
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+    return run
+
+
+def release(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@_released
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the classifier rejects go (a filter on the score; rows do not move)."""
     arrow_batches(spark)
@@ -47,6 +69,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.where(quality.scored(spark, model)(docs["text"])["p_top"] >= quality.KEEP)
 
 
+@_released
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: one document of each group of equal texts stays."""
     rows = _numbered(docs)
@@ -54,6 +77,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _only(rows, kept.withColumnRenamed("row", "row_"))
 
 
+@_released
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7, at its similarity of 0.85: one document of each group of near-duplicates stays, that of the smallest doc_id."""
     rows = _numbered(docs)
@@ -67,6 +91,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _only(rows, least.select(F.pmod("least", step).cast("long").alias("row_")))
 
 
+@_released
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9, longer documents likelier: every document as often as the mix takes it."""
     rows = _numbered(docs)
@@ -77,6 +102,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return whole.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
+@_released
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: token counts and digests of ids and decoded text, one row per taken copy."""
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))

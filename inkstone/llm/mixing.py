@@ -114,6 +114,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES,
     goal = targets(sized, weights, max_copies)
     goal = goal.join(scales(sized, goal, max_copies), goal["source"].eqNullSafe(F.col("scale_of")), "left").drop(
         "scale_of").withColumnRenamed("source", "s")
+    goal = stored(goal, "goal")  # a row per source; every use below would otherwise carry its whole plan
     # without a scale even all copies of all documents stay below the target
     wanted = F.when(F.col("weight") <= 0, 0.0).when(
         F.col("scale").isNull() | (F.col("target") >= F.col("source_size") * max_copies), F.lit(float(max_copies))).otherwise(
@@ -137,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES,
     crossing = per_bin.where("bin IS NOT NULL AND before <= rest AND before + loose > rest").select(
         F.col("source").alias("s"), F.col("bin").alias("cross"), "before")
     rest = per_bin.groupBy(F.col("source").alias("s1")).agg(F.max("rest").alias("rest"))
-    plan = rest.join(crossing, F.col("s1").eqNullSafe(F.col("s")), "left").drop("s")
+    plan = stored(rest.join(crossing, F.col("s1").eqNullSafe(F.col("s")), "left").drop("s"), "crossing")  # a row per source
     rows = _per_source(rows, plan, "s1")
 
     inside = rows.where("bin = cross")

@@ -98,3 +98,17 @@ def test_scales_fill_the_target(spark, share):
     got = {r["scale_of"]: r["scale"] for r in mixing.scales(sized, goal, 3).collect()}
     assert math.isclose(sum(min(3.0, got["a"] * w) * s for w, s in sizes), share * total, rel_tol=1e-9)
     assert "b" not in got
+
+
+def test_targets_and_crossings_are_worked_out_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "a b c " * k, f"s{k % 2}") for k in range(1, 9)], "doc_id long, text string, source string")
+    inside, stored = [], mixing.stored
+
+    def seen(df, name, *rest):
+        inside.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Window ")))
+        return stored(df, name, *rest)
+
+    monkeypatch.setattr(mixing, "stored", seen)
+    assert mixing.mix(docs, by_size=True).count() == 8
+    # the targets' windows are in the plan of their own table only
+    assert dict(inside)["drawn"] == 1 and {"goal", "crossing"} <= dict(inside).keys()

@@ -117,3 +117,11 @@ def test_columns_with_any_names(spark, number):
     assert got.count() > 0
     if number < 4:
         assert got.columns == docs.columns
+
+
+def test_every_stage_lets_go_of_earlier_work_first(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "release", calls.append)
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.exact_stage(spark, docs, SMALL).count() == 1
+    assert len(calls) == 1 and all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
