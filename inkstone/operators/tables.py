@@ -118,13 +118,19 @@ def unique_violations(df: DataFrame, key: list[str], constraint: str) -> DataFra
 
 
 def fk_orphans(child: DataFrame, child_key: list[str], parent: DataFrame, parent_key: list[str],
-               edge: str) -> DataFrame:
-    """(edge, key_value) for child rows whose key has no parent row."""
-    p = parent.select(*[F.col(a).alias(b) for a, b in zip(parent_key, child_key)]).distinct()
+               edge: str, times: str | None = None) -> DataFrame:
+    """(edge, key_value) for child rows whose key has no parent row.
+
+    The parent is not made distinct first: an anti join needs no unique keys, and parents are unique as a rule.
+    ``times``: a column that says how many child rows a row stands for, so that a child with many rows per key (chunks
+    of an article) is joined once a key.
+    """
+    p = parent.select(*[F.col(a).alias(b) for a, b in zip(parent_key, child_key)])
     kv = F.concat_ws("|", *[F.col(c).cast("string") for c in child_key])
-    return (child.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in child_key]))
-            .join(p, child_key, "left_anti")
-            .select(F.lit(edge).alias("edge"), kv.alias("key_value")))
+    orphans = child.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in child_key])).join(p, child_key, "left_anti")
+    if times:
+        orphans = orphans.filter(F.col(times) > 0).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long"))))
+    return orphans.select(F.lit(edge).alias("edge"), kv.alias("key_value"))
 
 
 def cascade_delete(child: DataFrame, deleted_parents: DataFrame, child_key: str, parent_key: str = "id") -> DataFrame:

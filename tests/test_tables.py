@@ -117,3 +117,17 @@ def test_insert_if_absent_probes_the_stored_table_without_shuffling_it(spark, tm
     final = plan.split("== Initial Plan ==")[0]
     above = [line for line in final.splitlines() if "LeftSemi" in line]
     assert above and all("BroadcastHashJoin" in line for line in above), final
+
+
+def test_fk_orphans_repeats_a_row_as_often_as_it_stands_for(spark):
+    child = spark.createDataFrame([(1, 2), (2, 3), (3, 0), (None, 4)], "k long, n long")
+    parent = spark.createDataFrame([(1,), (1,)], "id long")
+    got = TB.fk_orphans(child, ["k"], parent, ["id"], "e", times="n").collect()
+    assert [tuple(r) for r in got] == [("e", "2")] * 3
+
+
+def test_fk_orphans_reads_texts_once_and_shuffles_none(spark):
+    from inkstone.plans import registry
+    registry.load_all()
+    plan = registry.QUERIES["fk_orphans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
