@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from inkstone.functions import vectors as V
 from inkstone.operators import lists as L
 
-#: Rows of either side in one task of the join.
+#: Rows of either side in one task of the join; keys of more than ``lists.SPLIT`` such blocks have larger ones.
 BLOCK_ROWS = 4096
 # Distance cells computed at once inside one task.
 _CELLS = 2_000_000
@@ -101,8 +101,24 @@ def _exact(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def _smallest(dist: np.ndarray, ids: np.ndarray, out: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k smallest (excluded last, then NaN, then distance, then id) per row."""
+    near = _no_farther(dist, out, k)
+    if near is not None:
+        dist, ids, out = (np.take_along_axis(x, near, axis=1) for x in (dist, np.broadcast_to(ids, out.shape), out))
     nan = np.isnan(dist)
-    return np.lexsort((ids, np.where(nan, 0.0, dist), nan, out), axis=1)[:, :k]
+    best = np.lexsort((ids, np.where(nan, 0.0, dist), nan, out), axis=1)[:, :k]
+    return best if near is None else np.take_along_axis(near, best, axis=1)
+
+
+def _no_farther(dist: np.ndarray, out: np.ndarray, k: int) -> np.ndarray | None:
+    """Columns that hold, for every row, all distances up to its k-th smallest; None where these are not few."""
+    if dist.shape[1] <= 8 * k:
+        return None
+    key = np.where(out | np.isnan(dist), np.inf, dist)
+    last = np.partition(key, k - 1, axis=1)[:, k - 1:k]
+    most = int((key <= last).sum(axis=1).max()) if len(key) else 0
+    if most > dist.shape[1] // 2 or not np.isfinite(last).all():
+        return None
+    return np.argpartition(key, most - 1, axis=1)[:, :most]
 
 
 def _block_topk(k: int, metric: str, exclude_self: bool):
@@ -143,13 +159,18 @@ _JOIN_SCHEMA = T.StructType([
 
 
 def _sides(queries: DataFrame, corpus: DataFrame, qid: str, qvec: str, model: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
-    """(query_id, key, dim, vector) and (id, article_id, key, dim, vector) of valid vectors."""
+    """(query_id, key, dim, vector) and (id, article_id, key, dim, vector) of valid vectors; floats travel as floats."""
+    def numbers(df: DataFrame, c: str):
+        kind = df.schema[c].dataType
+        small = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+        return F.col(c).cast("array<float>" if small else "array<double>").alias("vector")
+
     q = queries.filter(V.is_valid(F.col(qvec))).select(
         F.col(qid).cast("long").alias("query_id"), F.col(model).alias("key"), F.size(qvec).alias("dim"),
-        F.col(qvec).cast("array<double>").alias("vector"))
+        numbers(queries, qvec))
     c = corpus.filter(V.is_valid(F.col(vec_col))).select(
         F.col("id").cast("long").alias("id"), F.col("article_id").cast("long").alias("article_id"),
-        F.col(model).alias("key"), F.size(vec_col).alias("dim"), F.col(vec_col).cast("array<double>").alias("vector"))
+        F.col(model).alias("key"), F.size(vec_col).alias("dim"), numbers(corpus, vec_col))
     return q, c
 
 
@@ -166,9 +187,12 @@ def list_sizes(visits: DataFrame, assigned: DataFrame) -> DataFrame:
 
 def _block_join(visits: DataFrame, assigned: DataFrame, run, schema: T.StructType, block_rows: int) -> DataFrame:
     """Every block of a group's queries against every block of its rows, each pair one cogrouped task."""
-    dealt = list_sizes(visits, assigned).select(
-        *_ON, F.ceil(F.col("n_queries") / block_rows).cast("int").alias("nq"),
-        F.ceil(F.col("n_rows") / block_rows).cast("int").alias("nc"))
+    # a row per group of lists: as wide a block as for the whole key (``lists.block_width``)
+    of_key = F.sum("n_rows").over(Window.partitionBy("key", "dim"))
+    width = F.greatest(F.lit(block_rows), F.least(F.ceil(of_key / L.SPLIT), F.floor(L.BLOCK_CELLS / F.greatest("dim", F.lit(1)))))
+    dealt = list_sizes(visits, assigned).withColumn("width", width).select(
+        *_ON, F.ceil(F.col("n_queries") / F.col("width")).cast("int").alias("nq"),
+        F.ceil(F.col("n_rows") / F.col("width")).cast("int").alias("nc"))
 
     def block(id_col: str, n: str):
         return F.pmod(F.xxhash64(id_col), F.col(n)).cast("int")

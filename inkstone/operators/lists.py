@@ -45,6 +45,19 @@ SPARES = 0.5
 NO_PLACE, WHOLE = -2, -1
 
 
+#: Blocks that a key's rows are dealt into, if they fill them, and the most numbers of a block (64 MB as doubles).
+SPLIT, BLOCK_CELLS = 8, 8_000_000
+
+
+def block_width(n: int, dim: int, block_rows: int) -> int:
+    """Rows of a block of a key with ``n`` rows: ``block_rows``, or more where the key would have over ``SPLIT`` blocks.
+
+    Every row travels once per block that it meets, so a fixed number of blocks keeps what is shuffled in
+    proportion to the rows, until blocks are as large as a task may hold.
+    """
+    return max(block_rows, min(math.ceil(n / SPLIT), BLOCK_CELLS // max(dim, 1)))
+
+
 def matrix(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series])
 
@@ -218,9 +231,12 @@ def build(corpus: DataFrame, metric: str, k: int, least_rows: int, block_rows: i
             return nothing()
         probes, bits = (0, 0) if exact else fit_search(metric, y, centers, k, seed)
         share = np.bincount(distances(y, centers).argmin(axis=1), minlength=len(centers)) / len(y)
+        n = int(rows["n"].iloc[0])
+        # where queries visit many lists, narrow groups spare none of them and only send every query more often
+        width = block_width(n, int(key[1]), block_rows) if 4 * probes > len(centers) else block_rows
         return pd.DataFrame({"key": [key[0]] * len(centers), "dim": [key[1]] * len(centers), "list": range(len(centers)),
                              "center": list(centers), "probes": probes, "bits": bits,
-                             "grp": grouped(centers, share * int(rows["n"].iloc[0]), block_rows)})
+                             "grp": grouped(centers, share * n, width)})
 
     fitted = sample.groupBy("key", "dim").applyInPandas(
         fit, f"key {kind}, dim int, list int, center array<double>, probes int, bits int, grp int").collect()

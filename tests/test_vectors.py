@@ -1,8 +1,10 @@
 """Vector operators against numpy brute force on the fixture embeddings."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkstone.functions import vectors as V
 from inkstone.operators import knn as K
@@ -230,3 +232,35 @@ def test_knn_approx_odd_rows(spark):
     assert all(r.id < 900 for r in got if r.query_id < 300)
     assert K.knn_approx(q.limit(0), v, 3, "cosine").count() == 0
     assert K.knn_approx(q, v.limit(0), 3, "cosine").count() == 0
+
+
+def test_blocks_of_a_key_do_not_grow_in_number_with_its_rows():
+    assert [L.block_width(n, 64, 4096) for n in (10, 40_000, 80_000, 10 ** 9)] == [4096, 5000, 10_000, 125_000]
+    assert L.block_width(10 ** 6, 4000, 4096) == 4096  # long vectors: what a task may hold comes first
+
+
+def test_block_join_sends_a_row_to_few_blocks(spark):
+    def side(name):
+        return spark.range(2000).select(F.col("id").alias(name), F.lit(0).alias("key"), F.lit(1).alias("dim"), F.lit(-1).alias("grp"),
+                                        F.lit(-1).alias("list"), F.col("id").alias("article_id"), F.array(F.lit(1.0)).alias("vector"))
+
+    def run(left, right):
+        return pd.DataFrame({"a": [len(left)], "b": [len(right)]})
+
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    got = K._block_join(side("query_id").drop("list", "article_id"), side("id"), run, schema, 10).collect()
+    assert sum(r["a"] * r["b"] for r in got) == 2000 ** 2
+    assert sum(r["a"] for r in got) == sum(r["b"] for r in got) == 8 * 2000
+
+
+def test_smallest_is_the_whole_order(spark):
+    rng = np.random.default_rng(3)
+    for top in (3, 50, 10 ** 6):  # many ties, some, none
+        d = rng.integers(0, top, (40, 300)).astype(float)
+        d[rng.random(d.shape) < 0.1] = np.nan
+        d[rng.random(d.shape) < 0.02] = np.inf
+        d[0] = np.nan
+        out, ids = rng.random(d.shape) < 0.05, rng.permutation(300)
+        nan = np.isnan(d)
+        want = np.lexsort((np.broadcast_to(ids, d.shape), np.where(nan, 0.0, d), nan, out), axis=1)[:, :7]
+        assert (K._smallest(d, np.broadcast_to(ids, d.shape), out, 7) == want).all()
