@@ -100,8 +100,10 @@ SELECT doc_id, i - 1 AS pos, all_ents[i] AS entity1, 'co_occurs' AS relation, al
 FROM (SELECT doc_id, all_ents, unnest(generate_series(1, len(all_ents) - 1)) AS i FROM kw WHERE len(all_ents) > 1)
 """, views=("articles",))
 def relations(spark, sf_dir):
-    """2.9.23: relation triples as edge rows."""
-    return KW.relations(keyword_docs(spark, sf_dir), "kw", "doc_id")
+    """2.9.23: relation triples as edge rows; they come from a text's own words, so themes are not worked out."""
+    a = A.articles(spark, sf_dir)
+    kw = KW.keyword_struct(F.array().cast("array<string>"), KW.capitalised(F.col("text")))
+    return KW.relations(a.select(F.col("id").alias("doc_id"), kw.alias("kw")), "kw", "doc_id")
 
 
 @register("keyword_counts", _TERMS_SQL + """
