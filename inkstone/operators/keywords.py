@@ -1,15 +1,22 @@
 """Keyword analytics: tf-idf keywords, keyword structs, keyword-overlap ranking.
 
-* ``topk_terms`` — tf per (doc, term) and df per term are partial
-  aggregates; the tf x df join is keyed by term (df has one row per term,
-  so a hot term is handled by AQE's skew split), idf uses a scalar subquery
-  for N.  Top-k per document via ``row_number`` (Spark limits it map-side).
+* ``topk_terms`` — texts are cut into terms once (``term_counts``), df per
+  term is a partial aggregate.  The ``COMMON`` most frequent terms and their df
+  go to the tasks; for any other term a document bounds df between 1 and the
+  least of those, and sends only terms that can still be among its k best to
+  the tf x df join, which is keyed by term (a hot term is handled by AQE's skew
+  split).  Top-k per document via ``row_number``.
 * ``overlap_topk`` — documents ranked by shared keywords, through an index of
   term subsets that keeps k + 1 rows per subset; no pairs inside a keyword's group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,13 +64,77 @@ def counted(toks: Column) -> Column:
     return let(F.array_sort(toks), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
 
 
-def topk_terms(docs: DataFrame, id_col: str = "id", text_col: str = "content", k: int = 5) -> DataFrame:
+#: Most frequent terms whose df is sent to every task (some MB); results never depend on it.
+COMMON = 100_000
+
+
+def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, terms, tfs): the distinct tokens of every row and how often each occurs, in no fixed order."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toks = batch.column("toks")
+            at = np.repeat(np.arange(len(toks)), pc.list_value_length(toks).fill_null(0).to_numpy(zero_copy_only=False))
+            words = toks.flatten().dictionary_encode()
+            width = max(len(words.dictionary), 1)
+            pairs, n = np.unique(at * width + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            ends = pa.array(np.searchsorted(pairs, np.arange(len(toks) + 1) * width).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(pairs % width))),
+                 pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int64)))], ["doc_id", "terms", "tfs"])
+
+    toks = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("toks"))
+    return toks.mapInArrow(run, f"doc_id {kind}, terms array<string>, tfs array<long>")
+
+
+def _candidates(counts: DataFrame, terms: list[str], dfs: list[int], n_docs: int, k: int) -> DataFrame:
+    """(doc_id, term, tf) of the terms that can be among the k best of their row.
+
+    ``terms`` with their ``dfs`` are the most frequent ones; another term has at most the least of these df.
+    """
+    kind = counts.schema["doc_id"].dataType.simpleString()
+    shared = counts.sparkSession.sparkContext.broadcast((terms, np.array(dfs, np.float64)))
+    least = min(dfs, default=n_docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(shared.value[0], pa.string())
+        idf = np.log(n_docs / shared.value[1])
+        low, high = max(np.log(n_docs / least), 0.0), np.log(max(n_docs, 1))
+        for batch in batches:
+            rows, words = batch.column("terms"), batch.column("terms").flatten()
+            size = pc.list_value_length(rows).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            tf = batch.column("tfs").flatten().to_numpy(zero_copy_only=False)
+            found = pc.index_in(words, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)
+            exact = idf[found] if len(idf) else np.zeros(len(found))
+            sure, most = tf * np.where(found < 0, low, exact), tf * np.where(found < 0, high, exact)
+            # the k-th best lower bound of every row; rows of fewer terms keep all
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((-sure, row))
+            first = np.cumsum(size) - size
+            enough = size >= k
+            limit = np.full(len(size), -np.inf)
+            limit[enough] = sure[order[first[enough] + k - 1]]
+            # ties and rounding stay
+            use = pa.array(np.flatnonzero(most >= limit[row] - 1e-9 * (1 + np.abs(limit[row]))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row).take(use)), words.take(use), pa.array(tf).take(use)],
+                                             ["doc_id", "term", "tf"])
+
+    return counts.mapInArrow(run, f"doc_id {kind}, term string, tf long")
+
+
+def topk_terms(docs: DataFrame, id_col: str = "id", text_col: str = "content", k: int = 5, common: int = COMMON) -> DataFrame:
     """(doc_id, rank, term, tf, df, score) with score = tf * ln(N / df)."""
-    t = docs.select(F.col(id_col).alias("doc_id"), F.explode(counted(tokens(F.col(text_col)))).alias("t"))
-    tf = t.select("doc_id", "t.term", "t.tf")
-    df_ = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n_docs = docs.select(F.count("*")).scalar()
-    scored = tf.join(df_, "term").withColumn("score", F.col("tf") * F.log(n_docs / F.col("df")))
+    from inkstone.session import checkpoint_dir
+
+    checkpoint_dir(docs.sparkSession)
+    # texts are cut once; df is read by its most frequent terms and by the join
+    counts = term_counts(docs, id_col, text_col).checkpoint()
+    df_ = counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).checkpoint()
+    n = docs.count()
+    top = df_.orderBy(F.col("df").desc(), "term").limit(common).toPandas()  # at most ``common`` terms
+    tf = _candidates(counts, top["term"].tolist(), top["df"].tolist(), n, k)
+    scored = tf.join(df_, "term").withColumn("score", F.col("tf") * F.log(F.lit(n) / F.col("df")))
     w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), F.col("term"))
     return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("doc_id", "rank", "term", "tf", "df", "score"))

@@ -1,6 +1,10 @@
 """Keyword operators: overlap ranking vs brute force, structs, bands."""
 
 
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +127,28 @@ def test_relations_are_not_capped_with_the_keywords(spark):
     kw = df.select("id", KW.keyword_struct(F.col("themes"), F.col("ents")).alias("kw"))
     assert kw.first().kw.keywords.entities == names[:5]
     assert KW.relations(kw, "kw", "id").count() == 6
+
+
+def test_topk_terms_sends_few_terms_and_loses_none(spark):
+    rng = random.Random(5)
+    words = [f"word{min(int(rng.paretovariate(0.6)), 400)}" for _ in range(20000)]
+    rows = [(k // 2 if k < 20 else k, " ".join(words[k * 50:k * 50 + rng.choice([0, 1, 3, 50])])) for k in range(400)] + [(None, "null row"), (401, None)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    count = {}
+    per = [(i, Counter((t or "").split())) for i, t in rows]
+    for _, c in per:
+        for w in c:
+            count[w] = count.get(w, 0) + 1
+    scored = {}
+    for i, c in per:
+        scored.setdefault(i, []).extend((-n * math.log(len(rows) / count[w]), w) for w, n in c.items())
+    want = sorted(((i, r + 1, w) for i, x in scored.items() for r, (_, w) in enumerate(sorted(x)[:5])), key=repr)
+    for common in (1, 7, 100_000):
+        got = KW.topk_terms(docs, "id", "text", 5, common=common).select("doc_id", "rank", "term").collect()
+        assert sorted(map(tuple, got), key=repr) == want
+    # with df at hand only a few terms of a row go on
+    counts = KW.term_counts(docs, "id", "text")
+    names = sorted(count, key=lambda w: -count[w])
+    sent = KW._candidates(counts, names, [count[w] for w in names], len(rows), 5).count()
+    assert sent < 0.5 * counts.select(F.sum(F.size("terms"))).first()[0]
+    assert KW.topk_terms(docs.limit(0), "id", "text", 5).count() == 0
