@@ -74,7 +74,8 @@ def numbered_keys(counts: DataFrame, key: str, n_col: str = "n", out: str = "off
     return run.join(F.broadcast(before), "_pid").select(key, (F.col("_off") + F.col("_run")).cast("long").alias(out)), total
 
 
-def insert_if_absent(new: DataFrame, existing: DataFrame, key: list[str], first_by: list | None = None) -> DataFrame:
+def insert_if_absent(new: DataFrame, existing: DataFrame, key: list[str], first_by: list | None = None,
+                     keys: DataFrame | None = None) -> DataFrame:
     """``INSERT ... ON CONFLICT DO NOTHING``: rows of ``new`` whose key is absent.
 
     Of rows that share a key the first by ``first_by`` stays (default: the
@@ -82,6 +83,7 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, key: list[str], first_
     table is only probed for the batch's keys: with a batch below Spark's broadcast
     threshold it is scanned without a shuffle, with a larger one a filter of
     the batch's keys thins it out first (runtime Bloom filter of a semi join).
+    ``keys``: the batch's keys, where they are at hand without its rows (rows that cost much are then made once).
     """
     rest = [c for c in new.columns if c not in key]
     if not rest:
@@ -90,7 +92,7 @@ def insert_if_absent(new: DataFrame, existing: DataFrame, key: list[str], first_
         order = F.struct(*(first_by or [c for c in rest if not isinstance(new.schema[c].dataType, MapType)]))
         one = new.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(
             *key, *[F.col("_row")[c].alias(c) for c in rest]).select(*new.columns)
-    known = existing.select(*key).join(new.select(*key), key, "left_semi").distinct()
+    known = existing.select(*key).join((new if keys is None else keys).select(*key), key, "left_semi").distinct()
     return one.join(known, key, "left_anti")
 
 

@@ -9,6 +9,7 @@ from inkstone.operators import knn as K
 from inkstone.operators import vector_agg as VA
 from inkstone.plans.q_chunks import _PARA_OFFSETS as _PARA_OFFSETS_SQL
 from inkstone.plans.registry import register
+from inkstone.session import checkpoint_dir
 from inkstone.sources import adapters as A
 
 K_NN = 10
@@ -287,13 +288,17 @@ def article_pipeline(spark, sf_dir):
     from inkstone.operators import tables as TB
     from inkstone.operators import chunking as C
     arts = A.articles(spark, sf_dir)
-    per_chunk = C.paragraph_offsets(arts).groupBy("article_id").agg(F.count("*").alias("n_chunks"))
+    checkpoint_dir(spark)
+    per_chunk = C.paragraph_offsets(arts).groupBy("article_id").agg(F.count("*").alias("n_chunks")).checkpoint()
     offsets = TB.key_offsets(per_chunk, "article_id", "n_chunks")  # ids without sorting any text
     chunks = C.paragraph_chunks(arts).join(offsets, "article_id").withColumn(
         "chunk_id", F.col("offset") + F.col("chunk_no") + 1)
     emb = EM.embed_hashed(chunks.select("article_id", "chunk_id", F.col("chunk").alias("text")), "text", DIM)
     new = emb.select("article_id", "chunk_id", F.lit(0).alias("model_id"), "vector")
-    ins = TB.insert_if_absent(new, A.vectors(spark, sf_dir), ["article_id", "chunk_id", "model_id"])
+    # the stored table is probed with numbers alone, so nothing is embedded twice
+    keys = per_chunk.join(offsets, "article_id").select("article_id", F.lit(0).alias("model_id"), F.explode(
+        F.sequence(F.col("offset") + 1, F.col("offset") + F.col("n_chunks"))).alias("chunk_id"))
+    ins = TB.insert_if_absent(new, A.vectors(spark, sf_dir), ["article_id", "chunk_id", "model_id"], keys=keys)
     per_ins = ins.groupBy("article_id").agg(F.count("*").alias("n_inserted"))
     return (per_chunk.join(per_ins, "article_id", "left")
             .select("article_id", "n_chunks", F.coalesce("n_inserted", F.lit(0)).alias("n_inserted")))

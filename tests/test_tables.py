@@ -131,3 +131,14 @@ def test_fk_orphans_reads_texts_once_and_shuffles_none(spark):
     registry.load_all()
     plan = registry.QUERIES["fk_orphans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan
+
+
+def test_insert_if_absent_probes_with_given_keys_only(spark):
+    new = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string")
+    old = spark.createDataFrame([(2, "x"), (9, "y")], "k long, v string")
+    got = TB.insert_if_absent(new, old, ["k"], keys=spark.range(1, 4).select(F.col("id").alias("k")))
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (3, "c")]
+    # the rows themselves are read once
+    marked = new.withColumn("v", F.concat("v", F.lit("_made")))
+    plan = TB.insert_if_absent(marked.withColumn("k", F.col("k") + F.length("v") * 0), old, ["k"], keys=new.select("k"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("_made") == 1
