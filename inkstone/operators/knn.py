@@ -36,6 +36,10 @@ from inkstone.operators import lists as L
 BLOCK_ROWS = 4096
 # Distance cells computed at once inside one task.
 _CELLS = 2_000_000
+# Pairs scored at once.
+_PAIRS = 100_000
+# Queries and rows of a tile of products.
+_TILE = 1024, 2048
 # Neighbours beyond k that are re-scored exactly, against rounding in the matrix product.
 _SPARE = 8
 
@@ -121,6 +125,119 @@ def _no_farther(dist: np.ndarray, out: np.ndarray, k: int) -> np.ndarray | None:
     return np.argpartition(key, most - 1, axis=1)[:, :most]
 
 
+def _distinct(c: np.ndarray, cid: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can be among the k nearest of any vector: of equal vectors those with the k smallest ids."""
+    rows = np.ascontiguousarray(c).view(np.dtype((np.void, c.shape[1] * c.itemsize)))[:, 0]
+    _, same = np.unique(rows, return_inverse=True)
+    order = np.lexsort((cid, same))
+    group, ids = same[order], cid[order]
+    begins = np.r_[True, group[1:] != group[:-1]]
+    nth = np.cumsum(begins | np.r_[True, ids[1:] != ids[:-1]])  # equal ids count once
+    return np.sort(order[nth - np.repeat(nth[begins], np.diff(np.r_[np.flatnonzero(begins), len(nth)])) < k])
+
+
+def _best(i: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best pairs (NaN last, then distance, then id) of every query ``i``, in this order."""
+    nan = np.isnan(dist)
+    order = np.lexsort((ids, np.where(nan, 0.0, dist), nan, i) if nan.any() else (ids, dist, i))
+    of = i[order]
+    begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    return order[np.arange(len(of)) - np.repeat(begins, np.diff(np.r_[begins, len(of)])) < k]
+
+
+def _pair_distances(metric: str, q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact distances of pairs of rows, ``_PAIRS`` at once."""
+    return np.concatenate([_exact(metric, q[i[s:s + _PAIRS]], c[j[s:s + _PAIRS]]) for s in range(0, len(i), _PAIRS)] or [np.zeros(0)])
+
+
+def _every_pair(metric: str, q: np.ndarray, c: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int, exclude_self: bool):
+    """(query rows, corpus rows, distances) of the k best of all pairs, whatever the vectors hold."""
+    step = max(1, _CELLS // max(1, len(cid)))
+    for s in range(0, len(qid) if len(cid) else 0, step):
+        qs, qi = q[s:s + step], qid[s:s + step]
+        with np.errstate(over="ignore", invalid="ignore"):
+            d = _dist_matrix(metric, qs, c)
+        out = (qi[:, None] == cid[None, :]) if exclude_self else np.zeros(d.shape, bool)
+        near = _smallest(d, np.broadcast_to(cid, d.shape), out, k + _SPARE)
+        exact = _exact(metric, qs[:, None, :], c[near])
+        out = np.take_along_axis(out, near, axis=1)
+        best = _smallest(exact, cid[near], out, k)
+        rows = np.take_along_axis(near, best, axis=1)
+        use = ~np.take_along_axis(out, best, axis=1)
+        yield np.broadcast_to(np.arange(s, s + len(qi))[:, None], rows.shape)[use], rows[use], np.take_along_axis(exact, best, axis=1)[use]
+
+
+def _plain(metric: str, x: np.ndarray) -> np.ndarray:
+    """Rows whose bounds hold: no overflow, and for cosine a direction."""
+    with np.errstate(all="ignore"):
+        length = np.sqrt((x * x).sum(axis=1))
+        return (length < 1e100) & ((length > 1e-100) | (metric != "cosine"))
+
+
+def _bounds(metric: str, q: np.ndarray, c: np.ndarray):
+    """(a, b, least): ``a @ b.T`` is, rounding included, no less than least(rows, d) for every pair at distance d or nearer.
+
+    For cosine products of unit vectors in single precision; else in double precision, with columns for what rounding can take.
+    """
+    lq, lc = (np.sqrt((x * x).sum(axis=1))[:, None] for x in (q, c))
+    if metric == "cosine":
+        slack = (q.shape[1] + 16) * 2.0 ** -23
+        return (q / lq).astype(np.float32), (c / lc).astype(np.float32), lambda rows, d: (1 - slack - d).astype(np.float32)
+    slack = (q.shape[1] + 16) * 2.0 ** -51
+    if metric == "inner_product":
+        return np.hstack([q, slack * lq]), np.hstack([c, lc]), lambda rows, d: -d
+    # q.c - c.c / 2 is (q.q - d.d) / 2
+    a, b = np.hstack([q, np.ones_like(lq), slack * lq]), np.hstack([c, lc * lc * (slack - 1) / 2, lc])
+    q2 = lq[:, 0] ** 2
+    return a, b, lambda rows, d: (q2[rows] - d * d) / 2 - slack * (q2[rows] + d * d)
+
+
+def _bounded_pairs(metric: str, q: np.ndarray, c: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int, exclude_self: bool):
+    """(query rows, corpus rows, distances) of the k best of all pairs of plain rows.
+
+    A tile of products is compared with what the query's k-th best row so far comes to; only pairs that may be nearer
+    are scored exactly. The first tile's largest products give the first k.
+    """
+    a, b, least = _bounds(metric, q, c)
+    room = np.empty(_TILE, a.dtype)
+    for s in range(0, len(qid), _TILE[0]):
+        rows = np.arange(s, min(s + _TILE[0], len(qid)))
+        limit = np.full(len(rows), -np.inf, a.dtype)
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        new, fresh, full = [], 0, _TILE[1]
+        for t in range(0, len(cid), _TILE[1]):
+            part = b[t:t + _TILE[1]]
+            product = np.matmul(a[rows], part.T, out=room[:len(rows), :len(part)])
+            if t == 0 and len(part) > 2 * (k + 1):
+                near = np.argpartition(product, len(part) - k - 1, axis=1)[:, -k - 1:]
+                exact = _exact(metric, q[rows][:, None, :], c[near])
+                if exclude_self:
+                    exact[qid[rows][:, None] == cid[near]] = np.inf
+                kth = np.partition(exact, k - 1, axis=1)[:, k - 1]
+                some = np.isfinite(kth)
+                limit[some] = least(rows[some], kth[some])
+            i, j = np.divmod(np.flatnonzero(product >= limit[:, None]), len(part))
+            j += t
+            if exclude_self:
+                other = qid[rows[i]] != cid[j]
+                i, j = i[other], j[other]
+            new.append((i, j, _pair_distances(metric, q, c, rows[i], j)))
+            fresh += len(i)
+            # the limits fall with the rows seen: set anew as these double
+            if t + len(part) >= full or fresh > _PAIRS or t + _TILE[1] >= len(cid):
+                held = [np.concatenate(x) for x in zip(held, *new, strict=True)]
+                keep = _best(held[0], cid[held[1]], held[2], k)
+                held = [x[keep] for x in held]
+                last = np.flatnonzero(np.bincount(held[0], minlength=len(rows)) == k)
+                if len(last):
+                    ends = np.flatnonzero(np.r_[held[0][1:] != held[0][:-1], True])
+                    kth = np.full(len(rows), np.inf)
+                    kth[held[0][ends]] = held[2][ends]
+                    limit[last] = np.maximum(limit[last], least(rows[last], kth[last]))
+                new, fresh, full = [], 0, max(full, 2 * (t + len(part)))
+        yield rows[held[0]], held[1], held[2]
+
+
 def _block_topk(k: int, metric: str, exclude_self: bool):
     """Cogroup body: the k best corpus rows of one block for every query of one block."""
 
@@ -130,22 +247,18 @@ def _block_topk(k: int, metric: str, exclude_self: bool):
         qid, cid = queries["query_id"].to_numpy(np.int64), corpus["id"].to_numpy(np.int64)
         aid = corpus["article_id"].to_numpy(np.int64)
         q, c = L.matrix(queries["vector"]), L.matrix(corpus["vector"])
-        step = max(1, _CELLS // len(cid))
+        use = _distinct(c, cid, k + exclude_self)
+        cid, aid, c = cid[use], aid[use], c[use]
+        q_ok, c_ok = _plain(metric, q), _plain(metric, c)
         parts = []
-        for s in range(0, len(qid), step):
-            qs, qi = q[s:s + step], qid[s:s + step]
-            d = _dist_matrix(metric, qs, c)
-            out = (qi[:, None] == cid[None, :]) if exclude_self else np.zeros(d.shape, bool)
-            near = _smallest(d, np.broadcast_to(cid, d.shape), out, k + _SPARE)
-            exact = _exact(metric, qs[:, None, :], c[near])
-            out = np.take_along_axis(out, near, axis=1)
-            best = _smallest(exact, cid[near], out, k)
-            rows = np.take_along_axis(near, best, axis=1)
-            use = ~np.take_along_axis(out, best, axis=1)
-            parts.append(pd.DataFrame({
-                "query_id": np.broadcast_to(qi[:, None], rows.shape)[use], "id": cid[rows][use],
-                "article_id": aid[rows][use], "distance": np.take_along_axis(exact, best, axis=1)[use]}))
-        return pd.concat(parts, ignore_index=True)
+        for search, left, right in ((_bounded_pairs, q_ok, c_ok), (_every_pair, q_ok, ~c_ok), (_every_pair, ~q_ok, np.ones(len(c), bool))):
+            left, right = np.flatnonzero(left), np.flatnonzero(right)
+            if len(left) and len(right):
+                parts += [(left[i], right[j], d) for i, j, d in search(metric, q[left], c[right], qid[left], cid[right], k, exclude_self)]
+        i, j, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+        best = _best(i, cid[j], d, k)
+        i, j, d = i[best], j[best], d[best]
+        return pd.DataFrame({"query_id": qid[i], "id": cid[j], "article_id": aid[j], "distance": d})
 
     return run
 
@@ -250,11 +363,89 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
 
 #: Keys of fewer rows are searched whole.
 LEAST_ROWS = 64
-# Code distance of rows that a query may not have, and pairs scored at once.
-_FAR, _PAIRS = np.uint16(65535), 100_000
+# Queries that the lists of a group are searched for at once.
+_QUERIES = 4096
 _APPROX_SCHEMA = T.StructType([*_JOIN_SCHEMA.fields, T.StructField("scored", T.LongType())])
 
 
+def _search_lists(mine: L.Lists, metric: str, k: int, spare: int, qid: np.ndarray, qv: np.ndarray, code_q: np.ndarray,
+                  cid: np.ndarray, cv: np.ndarray, code_c: np.ndarray, home: np.ndarray):
+    """(query rows, corpus rows, distances) of the k best found in the visited lists, and the number of pairs scored a query.
+
+    Rows lie in order of their list (``home``). A list's rows meet the queries that visit it: codes are compared in
+    their first words, as a whole where these are near enough, and vectors where that is.
+    """
+    begins = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
+    spans = list(zip(home[begins], begins, np.r_[begins[1:], len(home)], strict=True))
+    probed = mine.probed(metric, qv, k + spare)[:, home[begins]]
+    head_q, head_c = L.heads(code_q), L.heads(code_c)
+    low = np.full(probed.shape, 256, np.int16)  # least difference of the first words of a list's rows
+    found = np.zeros(len(qid), np.int64)
+    scored = np.zeros(len(qid), np.int64)
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    new: list[tuple] = []
+
+    def settle() -> None:
+        nonlocal held, new
+        held = [np.concatenate(x) for x in zip(held, *new, strict=True)]
+        keep = _best(held[0], cid[held[1]], held[2], k)
+        held, new = [x[keep] for x in held], []
+
+    def score(i: np.ndarray, j: np.ndarray) -> None:
+        scored[:] += np.bincount(i, minlength=len(qid))
+        new.append((i, j, _pair_distances(metric, qv, cv, i, j)))
+        if sum(len(x[0]) for x in new) > _CELLS:
+            settle()
+
+    def others(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        use = qid[i] != cid[j] if spare else np.ones(len(i), bool)
+        return i[use], j[use]
+
+    for n, (_, a, b) in enumerate(spans):
+        visitors = np.flatnonzero(probed[:, n])
+        wide = max(1, _CELLS // max(1, len(visitors)))
+        for t in range(a, b if len(visitors) else a, wide):
+            end = min(t + wide, b)
+            apart = L.differing_heads(head_c[:, t:end], head_q[:, visitors])
+            low[visitors, n] = np.minimum(low[visitors, n], apart.min(axis=0))
+            j, i = np.divmod(np.flatnonzero(apart <= mine.first), len(visitors))
+            i, j = visitors[i], j + t
+            near = np.concatenate([np.bitwise_count(code_q[i[p:p + _PAIRS]] ^ code_c[j[p:p + _PAIRS]]).sum(axis=1, dtype=np.uint16)
+                                   for p in range(0, len(i), _PAIRS)] or [np.zeros(0, np.uint16)]) <= mine.bits
+            i, j = others(i[near], j[near])
+            found += np.bincount(i, minlength=len(qid))
+            score(i, j)
+    # the nearest codes at any rate, so no query is left without its k: they lie in the lists with the least differences
+    short = np.flatnonzero(found < k)
+    if len(short):
+        most = min(k + spare, len(spans))
+        nearest = np.argpartition(low[short], most - 1, axis=1)[:, :most]
+        again = np.zeros((len(short), len(spans)), bool)
+        np.put_along_axis(again, nearest, True, axis=1)
+        again &= probed[short]
+        scored[short] = 0
+        more = []
+        for n, (_, a, b) in enumerate(spans):
+            of = short[again[:, n]]
+            wide = max(1, _CELLS // (b - a))
+            for t in range(0, len(of), wide):
+                apart = L.differing_heads(head_q[:, of[t:t + wide]], head_c[:, a:b])
+                rows = min(k + spare, b - a)
+                near = np.argpartition(apart, rows - 1, axis=1)[:, :rows]
+                more.append(others(np.repeat(of[t:t + wide], rows), a + near.ravel()))
+        settle()
+        mask = np.zeros(len(qid), bool)
+        mask[short] = True
+        mine_ = mask[held[0]]
+        more.append((held[0][mine_], held[1][mine_]))
+        held = [x[~mine_] for x in held]
+        i, j = (np.concatenate(x) for x in zip(*more, strict=True))
+        i, j = np.divmod(np.unique(i * len(cid) + j), len(cid))
+        score(i, j)
+    settle()
+    return *held, scored
+
+
 def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", seed: int = 7,
                qid: str = "query_id", qvec: str = "query_vector", vec_col: str = "vector", exclude_self: bool = False,
                block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -267,7 +458,9 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos
     q, c = _sides(queries, corpus, qid, qvec, "model_id", vec_col)
     index = L.build(c, metric, k, LEAST_ROWS, block_rows, exact=False, seed=seed)
     assigned = L.assign(c, index, metric).where(F.col("list") != L.NO_PLACE)
-    visits = L.route(q, index, metric, k, exact=False)
+    L.count_rows(assigned, index)
+    spare = 1 if exclude_self else 0
+    visits = L.route(q, index, metric, k, exact=False, spare=spare)
     shared = q.sparkSession.sparkContext.broadcast(index)
     whole = _block_topk(k, metric, exclude_self)
 
@@ -276,35 +469,20 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos
         if mine is None or not len(left) or not len(right):
             out = whole(left, right)
             return out.assign(scored=np.where(out["query_id"].duplicated(), 0, len(right)))
-        right = right.sort_values("id")
         qid_, cid, aid = (x.to_numpy(np.int64) for x in (left["query_id"], right["id"], right["article_id"]))
-        qv, cv = L.matrix(left["vector"]), L.matrix(right["vector"])
-        home = right["list"].to_numpy()
+        qv, cv, home = L.matrix(left["vector"]), L.matrix(right["vector"]), right["list"].to_numpy()
+        use = _distinct(cv, cid, k + spare)
+        use = use[np.argsort(home[use], kind="stable")]
+        cid, aid, cv, home = cid[use], aid[use], cv[use], home[use]
         code_q, code_c = (L.codes(L.placed(metric, x)[0], seed) for x in (qv, cv))
-        least = min(len(cid), k + 1)
-        step = max(1, _CELLS // len(cid))
+        step = max(1, min(_QUERIES, _CELLS // len(mine.centers)))
         parts = []
         for s in range(0, len(qid_), step):
-            qi = qid_[s:s + step]
-            apart = L.differing(code_q[s:s + step], code_c)
-            apart[~mine.probed(metric, qv[s:s + step])[:, home]] = _FAR
-            if exclude_self:
-                apart[qi[:, None] == cid[None, :]] = _FAR
-            use = apart <= mine.bits
-            # the nearest codes at any rate, so no query is left without its k
-            first = np.argpartition(apart, least - 1, axis=1)[:, :least]
-            np.put_along_axis(use, first, np.take_along_axis(apart, first, axis=1) < _FAR, axis=1)
-            i, j = np.nonzero(use)
-            exact = np.concatenate([_exact(metric, qv[s + i[a:a + _PAIRS]], cv[j[a:a + _PAIRS]]) for a in range(0, len(i), _PAIRS)]
-                                   or [np.zeros(0)])
-            nan = np.isnan(exact)
-            order = np.lexsort((cid[j], np.where(nan, 0.0, exact), nan, i))
-            i, j, exact = i[order], j[order], exact[order]
-            scored = np.bincount(i, minlength=len(qi))
-            nth = np.arange(len(i)) - np.repeat(np.cumsum(scored) - scored, scored)
-            best = nth < k
-            parts.append(pd.DataFrame({"query_id": qi[i[best]], "id": cid[j[best]], "article_id": aid[j[best]],
-                                       "distance": exact[best], "scored": np.where(nth[best] == 0, scored[i[best]], 0)}))
+            at = slice(s, s + step)
+            i, j, exact, scored = _search_lists(mine, metric, k, spare, qid_[at], qv[at], code_q[at], cid, cv, code_c, home)
+            first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
+            parts.append(pd.DataFrame({"query_id": qid_[at][i], "id": cid[j], "article_id": aid[j],
+                                       "distance": exact, "scored": np.where(first, scored[i], 0)}))
         return pd.concat(parts, ignore_index=True)
 
     cand = _block_join(visits, assigned, run, _APPROX_SCHEMA, block_rows)

@@ -9,10 +9,12 @@ sample of its rows; every row is then assigned.  Two searches use them:
   k-th best distance from above; lists that cannot hold a neighbour are not
   visited.  Where the sample shows that the lists of a key spare less than
   ``SPARES`` of the visits (vectors without clusters), the key is searched whole.
-* approximate (``knn.knn_approx``): the nearest ``probes`` lists are visited, and of
-  their rows those are scored whose sign codes differ from the query's in ``bits``
-  places at most.  Both are fitted on the sample, so that ``TARGET`` of its true
-  neighbours are found.
+* approximate (``knn.knn_approx``): the nearest ``probes`` lists are visited (more, where
+  these hold too few rows), and of their rows those are scored whose sign codes differ from
+  the query's in ``bits`` places at most, and in ``first`` of those compared first.  They are
+  fitted so that ``TARGET`` of the true neighbours are found: neighbours of some rows of
+  the sample among all rows of the key.  In the sample alone neighbours lie farther away the more rows
+  it leaves out, and a share of all pairs that does not fall with the rows would be scored.
 
 Neighbouring lists share a group of about a block of rows, and queries travel to
 groups: one row per group that has a list to visit, none to the others.
@@ -37,8 +39,13 @@ from pyspark.sql import functions as F
 KEYS, LISTS, CELLS = 4096, 4096, 4_000_000
 #: Rows of a key that the centres are fitted on at most, and k-means rounds.
 SAMPLE_ROWS, ROUNDS = 8192, 8
-#: Queries of the sample that probes and depth are fitted on, and the share of neighbours they must find.
-FIT_QUERIES, TARGET = 256, 0.92
+#: Queries of the sample that probes and depth are fitted on, those of them whose neighbours are sought in a whole key,
+#: and the share of neighbours that must be found.
+FIT_QUERIES, FIT_WHOLE, TARGET = 256, 1024, 0.92
+#: Parts of the neighbours not found: in lists not visited, by the code's first words, by the whole code.
+LOSS = {"place": 1 / 2, "first": 1 / 8, "apart": 3 / 8}
+#: Words of a code that are compared first (without one bit: their difference is a byte), and pairs compared at once.
+FIRST_WORDS, CODE_PAIRS = 4, 1 << 18
 #: Share of visits that the lists of a key must spare in an exact search.
 SPARES = 0.5
 #: List numbers of rows without a place, and of keys without lists.
@@ -59,7 +66,7 @@ def block_width(n: int, dim: int, block_rows: int) -> int:
 
 
 def matrix(series: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series])
+    return np.concatenate(series.to_numpy()).astype(np.float64).reshape(len(series), -1)
 
 
 def placed(metric: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,29 +112,64 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def heads_of(code: np.ndarray) -> np.ndarray:
+    """The words of codes (along the last axis) that are compared first."""
+    out = code[..., :FIRST_WORDS].copy()
+    out[..., 0] &= ~np.uint64(1)
+    return out
+
+
+def heads(code: np.ndarray) -> np.ndarray:
+    """``heads_of``, a row a word."""
+    return np.ascontiguousarray(heads_of(code).T)
+
+
+def differing_heads(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which heads differ, (columns of a, columns of b) as bytes."""
+    out = np.zeros((a.shape[1], b.shape[1]), np.uint8)
+    step = max(1, CODE_PAIRS // max(1, b.shape[1]))
+    with np.errstate():  # ends the buffer's size too: with the default one rows of under 2,048 are copied first
+        np.setbufsize(1024)
+        for s in range(0, len(out), step):
+            for x, y in zip(a[:, s:s + step], b, strict=True):
+                out[s:s + step] += np.bitwise_count(x[:, None] ^ y[None, :])
+    return out
+
+
 def similarity_order(metric: str, y: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """Smaller is nearer: how lists are ordered for a query."""
     return -(y @ centers.T) if metric == "inner_product" else distances(y, centers)
 
 
-def fit_search(metric: str, y: np.ndarray, centers: np.ndarray, k: int, seed: int) -> tuple[int, int]:
-    """(probes, bits) that find ``TARGET`` of the sample's own neighbours, half of the loss allowed to either."""
+def places(order: np.ndarray) -> np.ndarray:
+    """Place of every list in a query's order."""
+    out = np.empty_like(order)
+    np.put_along_axis(out, order, np.arange(order.shape[1])[None, :], axis=1)
+    return out
+
+
+def found_share(part: str) -> float:
+    return 1 - (1 - TARGET) * LOSS[part]
+
+
+def fit_search(metric: str, y: np.ndarray, centers: np.ndarray, k: int, seed: int) -> tuple[int, int, int]:
+    """(probes, first, bits) that find ``TARGET`` of the sample's own neighbours."""
     queries = min(FIT_QUERIES, len(y))
     score = similarity_order(metric, y[:queries], y)
     score[np.arange(queries), np.arange(queries)] = np.inf
     k = min(k, len(y) - 1)
     every = codes(y, seed)
     if k < 1:
-        return len(centers), every.shape[1] * 64
+        return len(centers), FIRST_WORDS * 64, every.shape[1] * 64
     true = np.argsort(score, axis=1)[:, :k]
     home = distances(y, centers).argmin(axis=1)
-    order = np.argsort(similarity_order(metric, y[:queries], centers), axis=1)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(len(centers))[None, :], axis=1)
-    share = 1 - (1 - TARGET) / 2
-    probes = int(np.quantile(np.take_along_axis(place, home[true], axis=1), share, method="higher")) + 1
-    apart = differing(every[:queries], every)
-    return probes, int(np.quantile(np.take_along_axis(apart, true, axis=1), share, method="higher"))
+    place = places(np.argsort(similarity_order(metric, y[:queries], centers), axis=1))
+    head = heads(every)
+    seen = {"place": np.take_along_axis(place, home[true], axis=1),
+            "first": np.take_along_axis(differing_heads(head[:, :queries], head), true, axis=1),
+            "apart": np.take_along_axis(differing(every[:queries], every), true, axis=1)}
+    cut = {part: int(np.quantile(x, found_share(part), method="higher")) for part, x in seen.items()}
+    return cut["place"] + 1, cut["first"], cut["apart"]
 
 
 def grouped(centers: np.ndarray, rows: np.ndarray, block_rows: int) -> np.ndarray:
@@ -142,19 +184,26 @@ def grouped(centers: np.ndarray, rows: np.ndarray, block_rows: int) -> np.ndarra
 class Lists:
     """The lists of one key."""
 
-    def __init__(self, centers: np.ndarray, probes: int, bits: int, group: np.ndarray):
-        self.centers, self.probes, self.bits, self.group = centers, probes, bits, group
+    def __init__(self, centers: np.ndarray, probes: int, first: int, bits: int, group: np.ndarray):
+        self.centers, self.probes, self.first, self.bits, self.group = centers, probes, first, bits, group
         n = len(centers)
         self.low, self.high, self.rows = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n, np.int64)
         self.near: list[list[float]] = [[] for _ in range(n)]
         self.bare = 0
 
-    def probed(self, metric: str, x: np.ndarray) -> np.ndarray:
-        """(queries, lists): the nearest ``probes`` lists; none for queries without a place."""
+    def probed(self, metric: str, x: np.ndarray, least: int) -> np.ndarray:
+        """(queries, lists): the nearest ``probes`` lists, or as many as hold ``least`` rows; none for queries without a place."""
         y, ok = placed(metric, x)
-        order = np.argsort(similarity_order(metric, y, self.centers), axis=1, kind="stable")
-        out = np.zeros(order.shape, bool)
-        np.put_along_axis(out, order[:, :self.probes], True, axis=1)
+        order = similarity_order(metric, y, self.centers)
+        last = min(self.probes, order.shape[1]) - 1
+        out = order <= np.partition(order, last, axis=1)[:, last:last + 1]
+        few = np.flatnonzero(out @ self.rows < min(least, self.rows.sum()))
+        if len(few):
+            by = np.argsort(order[few], axis=1, kind="stable")
+            held = self.rows[by]
+            more = np.zeros((len(few), len(self.rows)), bool)
+            np.put_along_axis(more, by, np.cumsum(held, axis=1) - held < least, axis=1)
+            out[few] |= more
         return out & ok[:, None]
 
     def may_hold(self, metric: str, x: np.ndarray, k: int) -> np.ndarray:
@@ -186,7 +235,7 @@ class Lists:
 
 def spared(metric: str, y: np.ndarray, centers: np.ndarray, k: int) -> float:
     """Share of visits that bounds spare between the sample's first rows and the sample."""
-    probe = Lists(centers, 0, 0, np.zeros(len(centers), np.int32))
+    probe = Lists(centers, 0, 0, 0, np.zeros(len(centers), np.int32))
     d = distances(y, centers)
     home = d.argmin(axis=1)
     off = d[np.arange(len(y)), home]
@@ -218,7 +267,7 @@ def build(corpus: DataFrame, metric: str, k: int, least_rows: int, block_rows: i
 
     def nothing() -> pd.DataFrame:
         return pd.DataFrame({"key": pd.Series([], dtype=object), "dim": [], "list": [], "center": pd.Series([], dtype=object),
-                             "probes": [], "bits": [], "grp": []})
+                             "probes": [], "first": [], "bits": [], "grp": []})
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("nth")
@@ -229,28 +278,99 @@ def build(corpus: DataFrame, metric: str, k: int, least_rows: int, block_rows: i
         centers = kmeans(y, int(rows["lists"].iloc[0]), seed)
         if exact and spared(metric, y, centers, k) < SPARES:
             return nothing()
-        probes, bits = (0, 0) if exact else fit_search(metric, y, centers, k, seed)
+        probes, first, bits = (0, 0, 0) if exact else fit_search(metric, y, centers, k, seed)
         share = np.bincount(distances(y, centers).argmin(axis=1), minlength=len(centers)) / len(y)
         n = int(rows["n"].iloc[0])
         # where queries visit many lists, narrow groups spare none of them and only send every query more often
         width = block_width(n, int(key[1]), block_rows) if 4 * probes > len(centers) else block_rows
         return pd.DataFrame({"key": [key[0]] * len(centers), "dim": [key[1]] * len(centers), "list": range(len(centers)),
-                             "center": list(centers), "probes": probes, "bits": bits,
+                             "center": list(centers), "probes": probes, "first": first, "bits": bits,
                              "grp": grouped(centers, share * n, width)})
 
     fitted = sample.groupBy("key", "dim").applyInPandas(
-        fit, f"key {kind}, dim int, list int, center array<double>, probes int, bits int, grp int").collect()
+        fit, f"key {kind}, dim int, list int, center array<double>, probes int, first int, bits int, grp int").collect()
     found: dict[tuple, list] = {}
     for r in fitted:
         found.setdefault((r["key"], r["dim"]), []).append(r)
     out: dict[tuple, Lists] = {}
     for name, mine in found.items():
         mine.sort(key=lambda r: r["list"])
-        out[name] = Lists(np.array([r["center"] for r in mine]), mine[0]["probes"], mine[0]["bits"],
+        out[name] = Lists(np.array([r["center"] for r in mine]), mine[0]["probes"], mine[0]["first"], mine[0]["bits"],
                           np.array([r["grp"] for r in mine], np.int32))
+    if not exact:
+        refit(sample, corpus, out, {(r["key"], r["dim"]): r["n"] for r in sizes}, metric, k, seed)
     return out
 
 
+def refit(sample: DataFrame, corpus: DataFrame, index: dict[tuple, Lists], sizes: dict[tuple, int], metric: str, k: int, seed: int) -> None:
+    """Probes and code distances of keys that are larger than their sample, fitted on neighbours among all rows of the key.
+
+    One pass scores every row against the queries of its key, at most ``FIT_WHOLE`` and ``CELLS`` numbers over all keys; a
+    task returns the k nearest of each. With less room than ``FIT_QUERIES`` a key the sample's values stay, which find more.
+    """
+    wide = {name: sizes[name] for name in index if sizes[name] > SAMPLE_ROWS}
+    each = min([FIT_WHOLE, *(CELLS // (dim * len(wide)) for _, dim in wide)])
+    if not wide or each < FIT_QUERIES:
+        return
+    asked: dict[tuple, list] = {}
+    for r in sample.where((F.col("nth") <= each) & (F.col("n") > SAMPLE_ROWS)).select("key", "dim", "id", "vector").collect():
+        if (r["key"], r["dim"]) in wide:
+            asked.setdefault((r["key"], r["dim"]), []).append((r["id"], r["vector"]))
+    spark = corpus.sparkSession
+    shared = spark.sparkContext.broadcast((index, asked))
+
+    def queries_of(name: tuple) -> tuple:
+        lists, rows = shared.value[0][name], shared.value[1][name]
+        y, ok = placed(metric, np.array([v for _, v in rows], dtype=np.float64))
+        y, ids = y[ok], np.array([i for i, _ in rows])[ok]
+        place = places(np.argsort(similarity_order(metric, y, lists.centers), axis=1)) if len(y) else np.zeros((0, 1), int)
+        return ids, y, codes(y, seed), place, lists.centers
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready: dict[tuple, tuple] = {}
+        best: dict[tuple, list[np.ndarray]] = {}
+        for pdf in batches:
+            for name, at in _groups(pdf):
+                if name not in shared.value[1]:
+                    continue
+                if name not in ready:
+                    ready[name] = queries_of(name)
+                ids, y, code, place, centers = ready[name]
+                x, ok = placed(metric, matrix(pdf["vector"].iloc[at]))
+                x, xid = x[ok], pdf["id"].to_numpy(np.int64)[at][ok]
+                if not len(x) or not len(y):
+                    continue
+                score = similarity_order(metric, y, x)
+                score[ids[:, None] == xid[None, :]] = np.inf
+                near = np.argpartition(score, min(k, len(x)) - 1, axis=1)[:, :k]
+                row = np.arange(len(y))[:, None]
+                theirs = codes(x, seed)[near]
+                new = [score[row, near], place[row, distances(x, centers).argmin(axis=1)[near]],
+                       np.bitwise_count(heads_of(code)[:, None] ^ heads_of(theirs)).sum(axis=2, dtype=np.int64),
+                       np.bitwise_count(code[:, None] ^ theirs).sum(axis=2, dtype=np.int64)]
+                if name in best:
+                    new = [np.concatenate(pair, axis=1) for pair in zip(best[name], new, strict=True)]
+                keep = np.argsort(new[0], axis=1)[:, :k]
+                best[name] = [np.take_along_axis(z, keep, axis=1) for z in new]
+        for name, (score, place, first, apart) in best.items():
+            held = np.isfinite(score)
+            yield pd.DataFrame({"key": [name[0]] * int(held.sum()), "dim": name[1], "query": np.nonzero(held)[0], "score": score[held],
+                                "place": place[held], "first": first[held], "apart": apart[held]})
+
+    kind = corpus.schema["key"].dataType.simpleString()
+    seen = corpus.mapInPandas(run, f"key {kind}, dim int, query int, score double, place long, first long, apart long")
+    nth = F.row_number().over(Window.partitionBy("key", "dim", "query").orderBy("score", "place", "apart"))
+
+    def cut(part: str):
+        # at most k * FIT_WHOLE values a key
+        every = F.sort_array(F.collect_list(part))
+        return F.element_at(every, (F.ceil((F.size(every) - 1) * F.lit(found_share(part))) + 1).cast("int")).alias(part)
+
+    for r in seen.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("key", "dim").agg(*[cut(part) for part in LOSS]).collect():
+        mine = index[r["key"], r["dim"]]
+        mine.probes, mine.first, mine.bits = r["place"] + 1, r["first"], r["apart"]
+
+
 def _groups(pdf: pd.DataFrame) -> Iterator[tuple[tuple, np.ndarray]]:
     keys = [None if k is None or k != k else k for k in pdf["key"].tolist()]
     at: dict[tuple, list[int]] = {}
@@ -283,6 +403,15 @@ def assign(corpus: DataFrame, index: dict[tuple, Lists], metric: str) -> DataFra
     return corpus.mapInPandas(run, f"{kinds}, list int, grp int, off double")
 
 
+def count_rows(assigned: DataFrame, index: dict[tuple, Lists]) -> None:
+    """Fill in each list's rows."""
+    if not index:
+        return
+    rows = assigned.where(F.col("list") >= 0).groupBy("key", "dim", "list").agg(F.count(F.lit(1)).alias("n"))
+    for r in rows.collect():
+        index[r["key"], r["dim"]].rows[r["list"]] = r["n"]
+
+
 def measure(assigned: DataFrame, index: dict[tuple, Lists], k: int) -> None:
     """Fill in each list's rows, nearest and farthest distance and k nearest distances: k + 3 numbers a list."""
     if not index:
@@ -325,7 +454,7 @@ def route(queries: DataFrame, index: dict[tuple, Lists], metric: str, k: int, ex
                     few = metric == "inner_product" or mine.rows.sum() < k + spare
                     bare = ~placed(metric, x)[1] | few
                 else:
-                    visit, bare = mine.probed(metric, x), np.zeros(len(x), bool)
+                    visit, bare = mine.probed(metric, x, k + spare), np.zeros(len(x), bool)
                 visit = np.stack([visit[:, mine.group == g].any(axis=1) for g in range(mine.group.max() + 1)], axis=1)
                 i, j = np.nonzero(visit)
                 at += [rows[i], rows[np.flatnonzero(bare)]]

@@ -264,3 +264,77 @@ def test_smallest_is_the_whole_order(spark):
         nan = np.isnan(d)
         want = np.lexsort((np.broadcast_to(ids, d.shape), np.where(nan, 0.0, d), nan, out), axis=1)[:, :7]
         assert (K._smallest(d, np.broadcast_to(ids, d.shape), out, 7) == want).all()
+
+
+def test_knn_approx_is_fitted_on_neighbours_in_the_whole_key(spark, monkeypatch):
+    """With neighbours of the sample alone the codes let through a share of the pairs that does not fall with the rows."""
+    monkeypatch.setattr(L, "SAMPLE_ROWS", 400)
+    monkeypatch.setattr(L, "FIT_QUERIES", 100)
+    x = np.random.default_rng(2).normal(size=(8000, 16))
+    v = spark.createDataFrame([(i, i, 0, r.tolist()) for i, r in enumerate(x)],
+                              "id long, article_id long, model_id int, vector array<double>").repartition(4)
+    q = v.select(F.col("id").alias("query_id"), "model_id", F.col("vector").alias("query_vector"))
+    _, c = K._sides(q, v, "query_id", "query_vector", "model_id", "vector")
+    index = L.build(c, "cosine", 5, 64, 4096, exact=False)[0, 16]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    some = np.argsort(u[:300] @ u.T, axis=1)[:, -6:-1]
+    apart = np.bitwise_count(L.codes(u[:300], 7)[:, None] ^ L.codes(u, 7)[some]).sum(axis=2)
+    assert abs(float((apart <= index.bits).mean()) - L.found_share("apart")) < 0.02  # 1.00 when fitted on the sample
+    found = K.knn_approx(q, v, 5, "cosine", exclude_self=True).cache()
+    assert K.recall_at_k(found, K.knn_join(q, v, 5, "cosine", exclude_self=True)).first().recall >= 0.9
+    assert found.groupBy("query_id").count().where("count <> 5").count() == 0
+
+
+def test_probed_lists_hold_enough_rows():
+    centers = np.eye(4)
+    lists = L.Lists(centers, 1, 0, 0, np.zeros(4, np.int32))
+    lists.rows[:] = [2, 0, 3, 9]
+    near = centers * 0.9 + np.array([0.04, 0.03, 0.02, 0.01])
+    assert lists.probed("l2", near, 1).sum(axis=1).tolist() == [1, 2, 1, 1]
+    assert lists.probed("l2", near, 5).tolist()[0] == [True, True, True, False]
+    assert lists.probed("l2", near, 100).all()
+
+
+def test_lists_of_too_few_near_codes_still_give_every_query_its_k():
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=(400, 8))
+    q = rng.normal(size=(90, 8))
+    home = np.sort(rng.integers(0, 12, 400))
+    lists = L.Lists(rng.normal(size=(12, 8)), 12, 0, 0, np.zeros(12, np.int32))  # no code is near enough
+    lists.rows[:] = np.bincount(home, minlength=12)
+    cq, cc = L.codes(q, 7), L.codes(c, 7)
+    i, j, d, scored = K._search_lists(lists, "l2", 3, 0, np.arange(90), q, cq, np.arange(400), c, cc, home)
+    assert np.bincount(i, minlength=90).tolist() == [3] * 90 and (scored <= 9).all()
+    assert np.allclose(d, np.sqrt(((q[i] - c[j]) ** 2).sum(axis=1)))
+    # the row with the nearest code is among those scored, so no found row is farther than it
+    first = L.differing(L.heads_of(cq), L.heads_of(cc)).argmin(axis=1)
+    assert (d[np.flatnonzero(np.r_[True, i[1:] != i[:-1]])] <= np.sqrt(((q - c[first]) ** 2).sum(axis=1)) + 1e-9).all()
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "inner_product"])
+@pytest.mark.parametrize("scale", [1.0, 1e4])
+def test_block_topk_equals_brute_force_and_scores_few_pairs(monkeypatch, metric, scale):
+    monkeypatch.setattr(K, "_TILE", (256, 512))
+    pairs = []
+    exact = K._pair_distances
+    monkeypatch.setattr(K, "_pair_distances", lambda m, q, c, i, j: (pairs.append(len(i)), exact(m, q, c, i, j))[1])
+    rng = np.random.default_rng(1)
+    c = rng.normal(size=(6000, 16)) * scale
+    c[rng.integers(0, 6000, 1500)] = c[5]  # a vector that many rows have
+    c[7], c[8], c[9], c[10], c[11] = 0, np.nan, 1e200, np.inf, 1e-180
+    c[20:2000] += (rng.random((1980, 1)) < 0.1) * 1e6
+    cid = np.arange(6000)
+    cid[100] = 99
+    q, qid = np.concatenate([c[:120], c[-200:], rng.normal(size=(280, 16)) * scale]), np.r_[:120, 5800:6000, 10_000:10_280]
+    got = K._block_topk(5, metric, True)(pd.DataFrame({"query_id": qid, "vector": list(q)}),
+                                         pd.DataFrame({"id": cid, "article_id": -cid, "vector": list(c)}))
+    assert (got["article_id"] == -got["id"]).all()
+    assert sum(pairs) < 0.05 * len(q) * len(c)
+    got = {i: g for i, g in got.groupby("query_id")}
+    for n, i in enumerate(qid):
+        with np.errstate(all="ignore"):
+            d = K._exact(metric, q[n][None], c)
+        nan = np.isnan(d)
+        order = np.lexsort((cid, np.where(nan, 0.0, d), nan, cid == i))[:5]
+        assert got[i]["id"].tolist() == cid[order].tolist(), (metric, i)
+        assert np.allclose(got[i]["distance"], d[order], rtol=0, atol=0, equal_nan=True)
