@@ -410,8 +410,7 @@ def _search_lists(mine: L.Lists, metric: str, k: int, spare: int, qid: np.ndarra
             low[visitors, n] = np.minimum(low[visitors, n], apart.min(axis=0))
             j, i = np.divmod(np.flatnonzero(apart <= mine.first), len(visitors))
             i, j = visitors[i], j + t
-            near = np.concatenate([np.bitwise_count(code_q[i[p:p + _PAIRS]] ^ code_c[j[p:p + _PAIRS]]).sum(axis=1, dtype=np.uint16)
-                                   for p in range(0, len(i), _PAIRS)] or [np.zeros(0, np.uint16)]) <= mine.bits
+            near = L.differing_pairs(code_q, code_c, i, j) <= mine.bits
             i, j = others(i[near], j[near])
             found += np.bincount(i, minlength=len(qid))
             score(i, j)

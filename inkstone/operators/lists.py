@@ -45,7 +45,7 @@ FIT_QUERIES, FIT_WHOLE, TARGET = 256, 1024, 0.92
 #: Parts of the neighbours not found: in lists not visited, by the code's first words, by the whole code.
 LOSS = {"place": 1 / 2, "first": 1 / 8, "apart": 3 / 8}
 #: Words of a code that are compared first (without one bit: their difference is a byte), and pairs compared at once.
-FIRST_WORDS, CODE_PAIRS = 4, 1 << 18
+FIRST_WORDS, CODE_PAIRS = 4, 1 << 16
 #: Share of visits that the lists of a key must spare in an exact search.
 SPARES = 0.5
 #: List numbers of rows without a place, and of keys without lists.
@@ -128,11 +128,24 @@ def differing_heads(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Bits in which heads differ, (columns of a, columns of b) as bytes."""
     out = np.zeros((a.shape[1], b.shape[1]), np.uint8)
     step = max(1, CODE_PAIRS // max(1, b.shape[1]))
+    words, bits = (np.empty((min(step, len(out)), b.shape[1]), t) for t in (np.uint64, np.uint8))
     with np.errstate():  # ends the buffer's size too: with the default one rows of under 2,048 are copied first
         np.setbufsize(1024)
         for s in range(0, len(out), step):
+            part = out[s:s + step]
             for x, y in zip(a[:, s:s + step], b, strict=True):
-                out[s:s + step] += np.bitwise_count(x[:, None] ^ y[None, :])
+                np.bitwise_xor(x[:, None], y[None, :], out=words[:len(part)])
+                part += np.bitwise_count(words[:len(part)], out=bits[:len(part)])
+    return out
+
+
+def differing_pairs(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the codes of pairs of rows differ."""
+    out = np.empty(len(i), np.float32)
+    one = np.ones(a.shape[1], np.float32)
+    step = max(1, CODE_PAIRS // a.shape[1])
+    for s in range(0, len(i), step):
+        out[s:s + step] = np.bitwise_count(a[i[s:s + step]] ^ b[j[s:s + step]]) @ one
     return out
 
 
@@ -440,12 +453,12 @@ def route(queries: DataFrame, index: dict[tuple, Lists], metric: str, k: int, ex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at, chosen = [], []
+            chosen = np.empty(len(pdf), object)
             for name, rows in _groups(pdf):
                 mine = shared.value.get(name)
                 if mine is None:
-                    at.append(rows)
-                    chosen.append(np.full(len(rows), WHOLE))
+                    for r in rows:
+                        chosen[r] = np.array([WHOLE], np.int32)
                     continue
                 x = matrix(pdf["vector"].iloc[rows])
                 if exact:
@@ -455,12 +468,13 @@ def route(queries: DataFrame, index: dict[tuple, Lists], metric: str, k: int, ex
                     bare = ~placed(metric, x)[1] | few
                 else:
                     visit, bare = mine.probed(metric, x, k + spare), np.zeros(len(x), bool)
-                visit = np.stack([visit[:, mine.group == g].any(axis=1) for g in range(mine.group.max() + 1)], axis=1)
-                i, j = np.nonzero(visit)
-                at += [rows[i], rows[np.flatnonzero(bare)]]
-                chosen += [j, np.full(int(bare.sum()), NO_PLACE)]
-            yield pdf.iloc[np.concatenate(at) if at else []].assign(
-                grp=np.concatenate(chosen).astype(np.int32) if chosen else np.zeros(0, np.int32))
-
+                # the last column is the list of rows without a place
+                groups = np.append(np.arange(mine.group.max() + 1), NO_PLACE).astype(np.int32)
+                visit = np.stack([*(visit[:, mine.group == g].any(axis=1) for g in groups[:-1]), bare], axis=1)
+                for r, v in zip(rows, visit, strict=True):
+                    chosen[r] = groups[v]
+            yield pdf.assign(grps=chosen)
+
+    # a row once out of Python, and once per group only from here
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema)
-    return queries.mapInPandas(run, f"{kinds}, grp int")
+    return queries.mapInPandas(run, f"{kinds}, grps array<int>").withColumn("grp", F.explode("grps")).drop("grps")
