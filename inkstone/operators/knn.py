@@ -365,7 +365,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosin
 LEAST_ROWS = 64
 # Queries that the lists of a group are searched for at once.
 _QUERIES = 4096
-_APPROX_SCHEMA = T.StructType([*_JOIN_SCHEMA.fields, T.StructField("scored", T.LongType())])
+_APPROX_SCHEMA = T.StructType([*_JOIN_SCHEMA.fields, T.StructField("scored", T.LongType()), T.StructField("centres", T.LongType())])
 
 
 def _search_lists(mine: L.Lists, metric: str, k: int, spare: int, qid: np.ndarray, qv: np.ndarray, code_q: np.ndarray,
@@ -467,7 +467,7 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos
         mine = shared.value.get((key[0], key[1]))
         if mine is None or not len(left) or not len(right):
             out = whole(left, right)
-            return out.assign(scored=np.where(out["query_id"].duplicated(), 0, len(right)))
+            return out.assign(scored=np.where(out["query_id"].duplicated(), 0, len(right)), centres=0)
         qid_, cid, aid = (x.to_numpy(np.int64) for x in (left["query_id"], right["id"], right["article_id"]))
         qv, cv, home = L.matrix(left["vector"]), L.matrix(right["vector"]), right["list"].to_numpy()
         use = _distinct(cv, cid, k + spare)
@@ -481,21 +481,14 @@ def knn_approx(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos
             i, j, exact, scored = _search_lists(mine, metric, k, spare, qid_[at], qv[at], code_q[at], cid, cv, code_c, home)
             first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
             parts.append(pd.DataFrame({"query_id": qid_[at][i], "id": cid[j], "article_id": aid[j],
-                                       "distance": exact, "scored": np.where(first, scored[i], 0)}))
+                                       "distance": exact, "scored": np.where(first, scored[i], 0), "centres": len(mine.centers)}))
         return pd.concat(parts, ignore_index=True)
 
     cand = _block_join(visits, assigned, run, _APPROX_SCHEMA, block_rows)
-    centres = {name: len(x.centers) for name, x in index.items()}
-    looks = F.lit(0)
-    if centres:
-        table = q.sparkSession.createDataFrame([(*name, n) for name, n in centres.items()],
-                                               f"key {q.schema['key'].dataType.simpleString()}, dim int, centres int")
-        # a row per key with lists, at most lists.KEYS
-        cost = q.select("query_id", "key", "dim").join(F.broadcast(table), ["key", "dim"]).select("query_id", "centres")
-        cand = cand.join(cost, "query_id", "left")
-        looks = F.coalesce("centres", F.lit(0))
-    total = F.sum("scored").over(Window.partitionBy("query_id"))
-    ranked = cand.withColumn("rank", F.row_number().over(_rank_window("query_id"))).withColumn("scored", total + looks)
+    of_query = Window.partitionBy("query_id")
+    # every task of a query names the same centres: it looked at them once
+    total = F.sum("scored").over(of_query) + F.max("centres").over(of_query)
+    ranked = cand.withColumn("rank", F.row_number().over(_rank_window("query_id"))).withColumn("scored", total)
     return ranked.filter(F.col("rank") <= k).drop("centres")
 
 
