@@ -36,7 +36,7 @@ from inkstone.operators import lists as L
 BLOCK_ROWS = 4096
 # Distance cells computed at once inside one task.
 _CELLS = 2_000_000
-# Pairs scored at once.
+# Pairs after which a query's limit is set anew.
 _PAIRS = 100_000
 # Queries and rows of a tile of products.
 _TILE = 1024, 2048
@@ -146,14 +146,15 @@ def _best(i: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarra
 
 
 def _pair_distances(metric: str, q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Exact distances of pairs of rows, ``_PAIRS`` at once."""
-    return np.concatenate([_exact(metric, q[i[s:s + _PAIRS]], c[j[s:s + _PAIRS]]) for s in range(0, len(i), _PAIRS)] or [np.zeros(0)])
+    """Exact distances of pairs of rows, ``_CELLS`` numbers of either side at once."""
+    step = max(1, _CELLS // q.shape[1])
+    return np.concatenate([_exact(metric, q[i[s:s + step]], c[j[s:s + step]]) for s in range(0, len(i), step)] or [np.zeros(0)])
 
 
 def _every_pair(metric: str, q: np.ndarray, c: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int, exclude_self: bool):
     """(query rows, corpus rows, distances) of the k best of all pairs, whatever the vectors hold."""
-    step = max(1, _CELLS // max(1, len(cid)))
-    for s in range(0, len(qid) if len(cid) else 0, step):
+    step = max(1, _CELLS // max(len(cid), (k + _SPARE) * q.shape[1]))
+    for s in range(0, len(qid), step):
         qs, qi = q[s:s + step], qid[s:s + step]
         with np.errstate(over="ignore", invalid="ignore"):
             d = _dist_matrix(metric, qs, c)
@@ -210,7 +211,7 @@ def _bounded_pairs(metric: str, q: np.ndarray, c: np.ndarray, qid: np.ndarray, c
             product = np.matmul(a[rows], part.T, out=room[:len(rows), :len(part)])
             if t == 0 and len(part) > 2 * (k + 1):
                 near = np.argpartition(product, len(part) - k - 1, axis=1)[:, -k - 1:]
-                exact = _exact(metric, q[rows][:, None, :], c[near])
+                exact = _pair_distances(metric, q, c, np.repeat(rows, k + 1), near.ravel()).reshape(near.shape)
                 if exclude_self:
                     exact[qid[rows][:, None] == cid[near]] = np.inf
                 kth = np.partition(exact, k - 1, axis=1)[:, k - 1]

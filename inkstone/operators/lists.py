@@ -46,6 +46,8 @@ FIT_QUERIES, FIT_WHOLE, TARGET = 256, 1024, 0.92
 LOSS = {"place": 1 / 2, "first": 1 / 8, "apart": 3 / 8}
 #: Words of a code that are compared first (without one bit: their difference is a byte), and pairs compared at once.
 FIRST_WORDS, CODE_PAIRS = 4, 1 << 16
+#: Rows whose codes are made at once.
+CODE_ROWS = 2048
 #: Share of visits that the lists of a key must spare in an exact search.
 SPARES = 0.5
 #: List numbers of rows without a place, and of keys without lists.
@@ -101,7 +103,10 @@ def codes(y: np.ndarray, seed: int) -> np.ndarray:
     """Signs of random projections, 512 to 2048 of them by the dimension, as rows of 64-bit words."""
     bits = min(2048, max(512, -(-16 * y.shape[1] // 64) * 64))
     turn = np.random.default_rng(seed).normal(size=(y.shape[1], bits))
-    return np.packbits(y @ turn > 0, axis=1).view(np.uint64)
+    out = np.empty((len(y), bits // 64), np.uint64)
+    for s in range(0, len(y), CODE_ROWS):
+        out[s:s + CODE_ROWS] = np.packbits(y[s:s + CODE_ROWS] @ turn > 0, axis=1).view(np.uint64)
+    return out
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
